@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, mixing, quality, secrets, sharding
 from .shared import table
 
 
@@ -14,10 +14,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op1_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op2_query(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op4_query(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op6_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op2_mixing": mixing.ORACLE,
 }
