@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, secrets, sharding
+from . import decontamination, jaccard, mixing, quality, secrets, sharding
 from .shared import table
 
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4_query(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op5_query(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6_query(table(spark, sf_dir, "documents"))
 
@@ -35,10 +39,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
 }
