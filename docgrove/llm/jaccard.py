@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .shared import durable
+from .shared import durable, id_filter, in_filter, without
 
 WIDTH = 5
 SINGLES_UPTO = 48
@@ -53,8 +53,6 @@ SLACK = 12
 FREQUENT = 32
 FLUSH = 1 << 20
 REMAINDER_BITS = 40
-#: Bits of the filter over document ids, at most.
-FILTER_BITS = 1 << 26
 HUB_ROWS = 128
 
 _U64 = np.uint64
@@ -270,25 +268,6 @@ def meeting_sets(blobs: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition(parts, "bucket").mapInArrow(rows, "grp bigint, doc_id bigint, keeps_all boolean, parity int, size bigint, hub bigint")
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap over xxhash64(id) of bounded size; true for all ids of the table and some others."""
-    n = ids.count()
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 8 * n):
-        bits *= 2
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long"))
-    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return out
-
-
-def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) & _U64(64 * len(bitmap) - 1)
-    return (bitmap.view(np.uint64)[(at >> _U64(6)).astype(np.int64)] >> (at & _U64(63))) & _U64(1) == 1
-
-
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, shingles): the sets of the documents in nodes, six bytes a shingle."""
     bitmap = id_filter(nodes)
@@ -408,16 +387,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     found = link_components(docs, width)
     drop = durable(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
-    bitmap = id_filter(drop)
-
-    @F.pandas_udf("boolean")
-    def suspect(h):
-        import pandas as pd
-
-        return pd.Series(in_filter(bitmap, h.to_numpy(dtype=np.int64)))
-
-    flag = suspect(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
-    return docs.filter(~flag).unionByName(docs.filter(flag).join(drop, docs.doc_id.eqNullSafe(drop.doc_id), "left_anti"))
+    return without(docs, drop)
 
 
 def op5_query(docs: DataFrame) -> DataFrame:

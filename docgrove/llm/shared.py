@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,10 @@ SOLID_WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+#: Bits of a filter over document ids, at most.
+FILTER_BITS = 1 << 26
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,3 +51,43 @@ def word_count(text: Column) -> Column:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap over xxhash64(id) of bounded size; true for all ids of the table and some others."""
+    n = ids.count()
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, 8 * n):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long"))
+    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return out
+
+
+def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def suspect(bitmap: np.ndarray):
+    """A function of hash columns: whether the bitmap may hold the id."""
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bitmap, h.to_numpy(dtype=np.int64)))
+
+    return test
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in drop (distinct ids).
+
+    Only rows that a bounded filter over the dropped ids catches are joined with
+    them; the others pass without a shuffle of their texts.
+    """
+    flag = suspect(id_filter(drop))(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
+    caught = docs.filter(flag)
+    return docs.filter(~flag).unionByName(caught.join(drop.select(F.col("doc_id").alias("dropped_id")), caught["doc_id"] == F.col("dropped_id"), "left_anti"))
