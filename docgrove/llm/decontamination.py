@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import durable
+from .shared import durable, without
 
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; larger benchmarks go in blocks.
@@ -37,6 +37,7 @@ BLOCK_BYTES = 8 << 20
 #: Distinct benchmark terms up to which postings are kept only for them.
 VOCABULARY_LIMIT = 1 << 21
 _CANDIDATES = 1 << 20
+NO_ID = -(1 << 63)
 
 INDEX_SCHEMA = "segment_task int, segment_no int, doc_ids array<bigint>, first_word array<bigint>, terms binary, lengths binary, positions binary"
 MATCH_SCHEMA = "segment_task int, segment_no int, segment_row int, doc_id bigint, n_words bigint, spans array<struct<from:bigint,to:bigint>>, item_ids array<string>, near_item_ids array<string>"
@@ -307,6 +308,31 @@ def _united(spans: str) -> F.Column:
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the documents that hold a benchmark window.
+
+    Of rows that share an id, one contaminated row takes all.  Rows with a null id
+    stand behind one id in the first look, and are judged by text if that one is hit.
+    """
+    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
+    hit = durable(decontaminate(named, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct(), "contaminated")
+    bare = hit.filter(F.col("doc_id") == NO_ID).select("doc_id")
+    kept = without(docs.filter(F.col("doc_id").isNotNull()), hit.filter(F.col("doc_id") != NO_ID))
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if not bare.isEmpty():
+        # rows without an id: judged one by one, by their text
+        texts = decontaminated_texts(nameless, benchmark)
+        nameless = nameless.join(texts, nameless["text"].eqNullSafe(texts["clean_text"]), "left_semi")
+    return kept.unionByName(nameless)
+
+
+def decontaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """clean_text: the distinct texts of docs without a benchmark window."""
+    texts = durable(docs.select("text").distinct().select("text", F.xxhash64("text").alias("doc_id")), "texts")
+    hit = decontaminate(texts, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct()
+    return texts.join(hit, "doc_id", "left_anti").select(F.col("text").alias("clean_text"))
+
+
 def op1_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = decontaminate(docs, benchmark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
