@@ -1,0 +1 @@
+"""docgrove: documentation retrieval and corpus processing on Spark DataFrames."""
