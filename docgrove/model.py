@@ -20,6 +20,6 @@ CHUNKS = f"id string, documentPath string, documentTitle string, category string
 RECORD_METADATA = ("documentPath", "documentTitle", "category", "heading", "content", "sourceUrl", "repository", "language", "method", "path", "version")
 
 
-def chunk(id: str, path: str, title: str, category: str, heading: str, content: str, **metadata: str | None) -> dict:
+def chunk(id: str, path: str, title: str, category: str, heading: str, content: str, /, **metadata: str | None) -> dict:
     keys = ("description", "sourceUrl", "method", "path", "language", "repository", "version")
     return {"id": id, "documentPath": path, "documentTitle": title, "category": category, "heading": heading, "content": content, "metadata": {k: metadata.get(k) for k in keys}}
