@@ -18,9 +18,9 @@ without enough sound partitions sign everything and pass over nothing.
 
 Rows do not travel one by one: each task packs its signatures into blobs by bucket,
 one set per task for equal sets.  Signatures that meet name candidates: first each
-set against the group's least document, then, in groups whose sets are not yet in
-one component, every pair of different components.  Candidates are checked exactly
-on their whole sets.
+set against the group's least document; then, in families of groups whose sets are
+not yet in one component, every pair of different components that a lower bound on
+their difference does not rule out.  Candidates are checked exactly on whole sets.
 
 Inputs and edge cases
 * null, empty and wordless texts: no shingles, linked with nothing, own component.
@@ -32,7 +32,7 @@ Inputs and edge cases
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
+from .packing import REMAINDER_BITS, deal, delta, places, unblob, undelta
 from .shared import durable, id_filter, in_filter, without
 
 WIDTH = 5
@@ -49,11 +50,10 @@ SINGLES_UPTO = 48
 #: Bands up to this size enumerate subsets of two of three parts; beyond, whole partitions select enough.
 ENUMERATE_UPTO = 256
 SLACK = 12
-#: Groups of more sets than this count as frequent, and may be passed over within a set's allowance.
-FREQUENT = 32
 FLUSH = 1 << 20
-REMAINDER_BITS = 40
 HUB_ROWS = 128
+#: Sets in a block of a family.
+BLOCK = 2048
 
 _U64 = np.uint64
 
@@ -226,46 +226,110 @@ def signature_blobs(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFr
 
 
 def meeting_sets(blobs: DataFrame, parts: int) -> DataFrame:
-    """Rows of signatures that two or more sets share: (grp, doc_id, keeps_all, parity, size, hub).
+    """(place, docs, sigs, classes): signatures that two or more sets share, packed by the document's place.
 
-    Groups that are not frequent go by their members, once per task; frequent ones
-    by their signature.  hub is the group's least document.
+    A class byte holds the group's size on a log scale, and in its top bit whether
+    the document passes over nothing in that signature's band.
     """
+    n_places = places(parts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, doc = [], []
-        for batch in batches:
-            for k, s, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, REMAINDER_BITS // 8)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, : REMAINDER_BITS // 8] = raw
-                sig.append(wide.view(np.uint64)[:, 0] | _U64(k << REMAINDER_BITS))
-                doc.append(np.cumsum(np.frombuffer(d.as_buffer(), np.int64)))
-        if not sig:
+        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
+        if not got:
             return
-        sigs, docs = np.concatenate(sig), np.concatenate(doc)
-        del sig, doc
+        sigs, docs = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.argsort(sigs, kind="stable")
         sigs, docs = sigs[order], docs[order]
-        new = np.ones(len(sigs), bool)
-        new[1:] = sigs[1:] != sigs[:-1]
-        begin = np.flatnonzero(new)
+        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        size = np.diff(np.append(begin, len(sigs)))
+        shared = np.repeat(size > 1, size)
+        scale = np.repeat(np.minimum(4 * np.log2(size), 127).astype(np.uint8), size)[shared] | (docs[shared] & 1).astype(np.uint8) << 7
+        sigs, ids = sigs[shared], docs[shared] >> 1
+        order = np.argsort(ids, kind="stable")
+        sigs, ids, scale = sigs[order], ids[order], scale[order]
+        for place, i, s, c in deal(ids % n_places, ids, sigs, scale):
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "docs": [delta(i)], "sigs": [s.tobytes()], "classes": [c.tobytes()]})
+
+    return blobs.repartition(parts, "bucket").mapInArrow(rows, "place bigint, docs binary, sigs binary, classes binary")
+
+
+def k2_of(s: int, parity: int) -> int:
+    """k2 of the band of this parity that sets of size s sign for."""
+    if parity == 0 and s <= 4 * SINGLES_UPTO // 3:
+        return 0
+    return next((b.k2 for b in bands_of(s) if b.number & 1 == parity), 0)
+
+
+def used_signatures(meet: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """(bucket, sigs, docs): shared signatures less those of the largest groups, within each set's allowance.
+
+    The sizes of sets come from nodes (doc_id, n), dealt to the same places.
+    """
+    n_places = places(parts)
+    none = F.lit(None).cast("binary")
+    sizes = nodes.select(F.pmod("doc_id", F.lit(n_places)).alias("place"), none.alias("docs"), none.alias("sigs"), none.alias("classes"), "doc_id", "n")
+    null = F.lit(None).cast("bigint")
+    both = meet.withColumns({"doc_id": null, "n": null}).unionByName(sizes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, known, of = [], [], []
+        for b in batches:
+            blob = b.filter(b.column(1).is_valid())
+            got += [(undelta(d), np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint8)) for d, s, c in zip(*(blob.column(k).to_pylist() for k in (1, 2, 3)))]
+            size = b.filter(b.column(1).is_null())
+            known.append(size.column(4).to_numpy(zero_copy_only=False).astype(np.int64))
+            of.append(size.column(5).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not got:
+            return
+        ids, sigs, classes = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((sigs, classes & 127, sigs & _U64(1), ids))
+        ids, sigs, classes = ids[order], sigs[order], classes[order]
+        group = ids * 2 + (sigs & _U64(1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        last = np.append(first[1:], len(group))
+        known, of = np.concatenate(known), np.concatenate(of)
+        sort = np.argsort(known)
+        n = of[sort][np.searchsorted(known[sort], ids[first])]
+        keeps_all = np.bitwise_or.reduceat(classes, first) >> 7
+        use = np.zeros(len(ids), bool)
+        for i, j, s, k, p in zip(first.tolist(), last.tolist(), n.tolist(), keeps_all.tolist(), (group[first] & 1).tolist()):
+            use[i : j if k else max(i, j - allowance(s, k2_of(s, p)))] = True
+        ids, sigs = ids[use], sigs[use]
+        for k, s, d in deal((sigs >> _U64(REMAINDER_BITS)).astype(np.int64), sigs, ids):
+            low = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sigs": [low.tobytes()], "docs": [delta(d)]})
+
+    return both.repartition(parts, "place").mapInArrow(rows, "bucket int, sigs binary, docs binary")
+
+
+def groups_of(used: DataFrame, parts: int) -> DataFrame:
+    """(grp, doc_id, hub): groups of two or more sets that use one signature; equal groups of a task once.
+
+    grp is a hash of the members, hub the least of them.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
+        if not got:
+            return
+        sigs, ids = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((ids, sigs))
+        sigs, ids = sigs[order], ids[order]
+        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
         size = np.diff(np.append(begin, len(sigs)))
-        ids, keeps = docs >> 1, (docs & 1).astype(bool)
-        hub = np.minimum.reduceat(ids, begin)
-        members = np.add.reduceat(tk.mix64(ids.view(np.uint64)), begin)
-        frequent = size > FREQUENT
+        members = tk.mix64(np.add.reduceat(tk.mix64(ids.view(np.uint64)), begin) + size.astype(np.uint64)).view(np.int64)
         first = np.zeros(len(begin), bool)
         first[np.unique(members, return_index=True)[1]] = True
-        use = (size > 1) & (frequent | first)
-        grp = np.where(frequent, sigs[begin].view(np.int64), tk.mix64(members).view(np.int64))
-        row = np.repeat(use, size)
-        for a in range(0, int(row.sum()), 1 << 17):
-            at = np.flatnonzero(row)[a : a + (1 << 17)]
+        row = np.flatnonzero(np.repeat(first & (size > 1), size))
+        for i in range(0, len(row), 1 << 16):
+            at = row[i : i + (1 << 16)]
             g = np.searchsorted(begin, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grp[g], ids[at], keeps[at], (sigs[at] & _U64(1)).astype(np.int32), size[g], hub[g])], names=["grp", "doc_id", "keeps_all", "parity", "size", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(members[g]), pa.array(ids[at]), pa.array(ids[begin[g]])], names=["grp", "doc_id", "hub"])
 
-    return blobs.repartition(parts, "bucket").mapInArrow(rows, "grp bigint, doc_id bigint, keeps_all boolean, parity int, size bigint, hub bigint")
+    return used.repartition(parts, "bucket").mapInArrow(rows, "grp bigint, doc_id bigint, hub bigint")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -292,33 +356,119 @@ def _unpacked(b: bytes) -> np.ndarray:
     return wide.view(np.uint64)[:, 0]
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those that link, with their exact intersection size.
+def _with_hubs(pairs: DataFrame, payloads: DataFrame, keep: Callable[[bytes, bytes], int | None]) -> DataFrame:
+    """Pairs (a, b) for which keep(payload of a, payload of b) is a number, and that number.
 
     Each a (a hub may have very many partners) is copied to as many salts as it
     takes for HUB_ROWS partners each; a group holds one hub and its partners.
+    payloads has doc_id and payload.
     """
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("long").alias("salts"))
-    partner = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "shingles")
-    hub = hubs.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    partner = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(payloads.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "payload")
+    hub = hubs.join(payloads.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "payload")
 
     def group(t: pa.Table) -> pa.Table:
-        ids, sets_ = t["b"].to_pylist(), t["shingles"].to_pylist()
-        own = [x for i, x in zip(ids, sets_) if i is None]
-        a, b, n = [], [], []
-        if own:
-            base = _unpacked(own[0])
-            for i, x in zip(ids, sets_):
-                if i is not None:
-                    u = _unpacked(x)
-                    inter = int(np.isin(u, base, assume_unique=True, kind="sort").sum()) if 4 * min(len(u), len(base)) >= 3 * max(len(u), len(base)) else 0
-                    if links(inter, len(u), len(base)):
-                        a.append(t["a"][0].as_py())
-                        b.append(i)
-                        n.append(inter)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "inter": pa.array(n, pa.int64())})
-
-    return partner.unionByName(hub).groupBy("a", "salt").applyInArrow(group, "a bigint, b bigint, inter bigint")
+        ids, payload = t["b"].to_pylist(), t["payload"].to_pylist()
+        own = [x for i, x in zip(ids, payload) if i is None]
+        found = [(i, n) for i, x in zip(ids, payload) if i is not None and own and (n := keep(own[0], x)) is not None]
+        return pa.table({"a": pa.array([t["a"][0].as_py()] * len(found), pa.int64()), "b": pa.array([i for i, _ in found], pa.int64()), "number": pa.array([n for _, n in found], pa.int64())})
+
+    return partner.unionByName(hub).groupBy("a", "salt").applyInArrow(group, "a bigint, b bigint, number bigint")
+
+
+def _linked(x: bytes, y: bytes) -> int | None:
+    a, b = _unpacked(x), _unpacked(y)
+    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
+        return None
+    inter = int(np.isin(a, b, assume_unique=True, kind="sort").sum())
+    return inter if links(inter, len(a), len(b)) else None
+
+
+def _possible(x: bytes, y: bytes) -> int | None:
+    """By sketches behind their set sizes: sets differ in at least as many shingles as sketches do."""
+    n = int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")
+    s = _folded([x[4:], y[4:]])
+    apart = int(np.abs(s[0] - s[1]).sum(dtype=np.int64))
+    return apart if 7 * apart <= n else None
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) those that link, with their exact intersection size."""
+    return _with_hubs(pairs.select("a", "b"), sets.withColumnRenamed("shingles", "payload"), _linked)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs that the sketches do not rule out."""
+    payload = F.concat(F.col("size"), F.col("sketch"))
+    return _with_hubs(pairs, sketches.select(F.col("node").alias("doc_id"), payload.alias("payload")), _possible).select("a", "b")
+
+
+def sketches_of(sets: DataFrame) -> DataFrame:
+    """(node, size, sketch) of whole sets; size is four bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, b.num_rows, 512):
+                part = b.slice(x, 512)
+                found = [_unpacked(v) for v in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u).to_bytes(4, "little") for u in found], pa.binary()), pa.array([sketch(u) for u in found], pa.binary())], names=["node", "size", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(rows, "node bigint, size binary, sketch binary")
+
+
+def sketch(u: np.ndarray) -> bytes:
+    """Counts of the set's shingles by low hash bits; as many bytes as half the shingles, at least."""
+    size = 64
+    while size < len(u) // 2:
+        size *= 2
+    return np.minimum(np.bincount((u & _U64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width, the least of theirs; counts that fold together add up."""
+    width = min(map(len, sketches))
+    narrow = max(map(len, sketches)) // width * 255 < 1 << 15
+    out = np.zeros((len(sketches), width), np.int16 if narrow else np.int64)
+    for i, s in enumerate(sketches):
+        out[i] = np.frombuffer(s, np.uint8).reshape(-1, width).sum(axis=0)
+    return out
+
+
+def across_families(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of unlike components in one family that their sketches do not rule out.
+
+    Two sets differ in at least as many shingles as their sketches do.  A family's
+    sets are compared in pairs of blocks of BLOCK sets, ordered by size, and blocks too
+    far apart in size are not paired; a task holds two blocks.
+    """
+
+    by_size = Window.partitionBy("family").orderBy("n", "node")
+    placed = durable(members.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "members")
+    rows = placed.join(sketches.select("node", "sketch"), "node")
+    blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (4 * F.col("x.high") >= 3 * F.col("y.low")))
+    near = near.filter((F.least("x.c_low", "y.c_low") < F.greatest("x.c_high", "y.c_high"))).select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = near.select("family", "i", "j", F.col("i").alias("block")).union(near.filter("i < j").select("family", "i", "j", F.col("j").alias("block")))
+    dealt = rows.join(sides, ["family", "block"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        block, node, comp, n = (t[c].to_numpy() for c in ("block", "node", "component", "n"))
+        s = _folded(t["sketch"].to_pylist())
+        left = np.flatnonzero(block == i)
+        a, b = [], []
+        for p in left.tolist():
+            with_ = np.flatnonzero((comp != comp[p]) & (4 * np.minimum(n, n[p]) >= 3 * np.maximum(n, n[p])) & ((block == j) if i != j else (np.arange(len(n)) > p)))
+            if len(with_):
+                apart = np.abs(s[with_] - s[p]).sum(axis=1, dtype=np.int64)
+                with_ = with_[7 * apart <= n[with_] + n[p]]
+                a.append(np.minimum(node[with_], node[p]))
+                b.append(np.maximum(node[with_], node[p]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -335,50 +485,38 @@ def link_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     same = known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = durable(known.select("doc_id", "key_a", "key_b").distinct().join(same, ["key_a", "key_b"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("n_shingles").alias("n")), "nodes")
 
-    meet = durable(meeting_sets(signature_blobs(docs, 4 * parts, width), parts), "meeting")
-    often = meet.filter(F.col("size") > FREQUENT).join(nodes, "doc_id")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "parity").orderBy(F.col("size").desc(), "grp"))
-    uses_k2 = (F.col("n") > SINGLES_UPTO) & ~((F.col("parity") == 0) & (F.col("n") <= 4 * SINGLES_UPTO // 3)) & _enumerated(F.col("n"), F.col("parity"))
-    may = F.floor(F.floor(3 * F.col("n") / 4) / F.when(uses_k2, F.lit(2 * SLACK)).otherwise(F.lit(SLACK)))
-    rest = often.withColumn("rank", rank).filter(F.col("keeps_all") | (F.col("rank") > may)).select("grp", "doc_id", "hub")
-    kept = durable(meet.filter(F.col("size") <= FREQUENT).select("grp", "doc_id", "hub").distinct().unionByName(rest), "kept")
+    meet = meeting_sets(signature_blobs(docs, 4 * parts, width), parts)
+    kept = durable(groups_of(used_signatures(meet, nodes, parts), parts).distinct(), "kept")
 
-    of = nodes.select("doc_id", "node")
-    stars = kept.select("doc_id", "hub").distinct().join(of, "doc_id").select("hub", F.col("node").alias("x")).distinct().join(of.withColumnRenamed("doc_id", "hub"), "hub").select("x", F.col("node").alias("y"))
+    of = nodes.select("doc_id", "node", "n")
+    stars = kept.select("doc_id", "hub").distinct().join(of, "doc_id").select("hub", F.col("node").alias("x"), F.col("n").alias("n_x")).distinct()
+    stars = stars.join(of.withColumnRenamed("doc_id", "hub"), "hub").filter("4 * least(n, n_x) >= 3 * greatest(n, n_x)").select("x", F.col("node").alias("y"))
     pairs = durable(_pairs(stars, "x", "y"), "pairs")
-    needed = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = durable(whole_sets(docs, needed, width), "sets")
-    linked = durable(checked(pairs, sets), "links")
+    needed = kept.select("doc_id").distinct().join(of, "doc_id").select(F.col("node").alias("doc_id")).distinct()
+    sets = durable(whole_sets(docs, durable(needed, "needed"), width), "sets")
+    sketches = durable(sketches_of(sets), "sketches")
+    linked = durable(checked(durable(possible(pairs, sketches), "possible"), sets), "links")
     found = components(linked)
 
     # groups that still hold different components: every pair across them that was not checked
-    placed = of.join(found, of.node == found.node, "left").select("doc_id", of.node, F.coalesce("component", of.node).alias("component"))
+    placed = of.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     grouped = kept.select("grp", "doc_id").join(placed, "doc_id").select("grp", "node", "component").distinct()
-    mixed = grouped.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("grp")
-    members = durable(grouped.join(mixed, "grp", "left_semi").join(nodes.filter("doc_id = node").select("node", "n"), "node"), "members")
-    left, right = members.alias("l"), members.alias("r")
-    across = left.join(right, (F.col("l.grp") == F.col("r.grp")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & (4 * F.least("l.n", "r.n") >= 3 * F.greatest("l.n", "r.n")))
-    more = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    mixed = grouped.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("hub_node")).filter("least <> most").select("grp", "hub_node")
+    across = grouped.join(mixed, "grp")
+    family = components(across.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct())
+    labelled = across.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node").join(nodes.filter("doc_id = node").select("node", "n"), "node")
+    more = across_families(labelled, sketches).join(pairs, ["a", "b"], "left_anti")
     linked_too = durable(checked(durable(more, "pairs"), sets), "links")
     all_links = linked.unionByName(linked_too)
     if not linked_too.isEmpty():
         found = components(all_links)
     degree = all_links.select(F.col("a").alias("node")).union(all_links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = of.join(found, "node", "left").join(degree, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = of.select("doc_id", "node").join(found, "node", "left").join(degree, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return counted.join(labels, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
-def _enumerated(n: F.Column, parity: F.Column) -> F.Column:
-    """Whether sets of n shingles enumerate subsets in their band of this parity."""
-    yes = F.lit(False)
-    for b in bands():
-        if b.high > ENUMERATE_UPTO:
-            return yes
-        yes = yes | ((parity == b.number % 2) & n.between(b.low, b.high))
-
-
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the documents that are not the least of their component.
 

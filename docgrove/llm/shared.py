@@ -16,6 +16,7 @@ SOLID_WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1024
 #: Bits of a filter over document ids, at most.
 FILTER_BITS = 1 << 26
 
@@ -37,10 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    While it is written, Arrow batches hold BATCH_ROWS rows, for texts may be long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrove/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

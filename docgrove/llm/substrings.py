@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .packing import REMAINDER_BITS, deal, delta, places, unblob, undelta
 from .shared import durable, id_filter, suspect, without
 from .suffixes import neighbours_agree, suffix_order
 
@@ -43,9 +44,8 @@ ANCHOR = 26
 REACH = LENGTH - ANCHOR
 FREQUENT = 1 << 15
 FLUSH = 1 << 20
-REMAINDER_BITS = 40
 #: Bytes of contexts that are suffix-sorted at once; an anchor's contexts are never parted.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 _U64 = np.uint64
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -141,40 +141,42 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def shared_anchors(blobs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, sigs): packed anchors that stand in two or more documents; the sign bit marks frequent ones."""
+    """(doc_id, sigs, frequent): each document's anchors that also stand in another one, packed.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, doc = [], []
-        for batch in batches:
-            for k, s, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, REMAINDER_BITS // 8)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, : REMAINDER_BITS // 8] = raw
-                sig.append(wide.view(np.uint64)[:, 0] | _U64(k << REMAINDER_BITS))
-                doc.append(np.cumsum(np.frombuffer(d.as_buffer(), np.int64)))
-        if not sig:
+    The sign bit marks anchors of more than FREQUENT documents; `frequent` says if there are any.
+    """
+    n_places, top = places(parts), _U64(1 << 63)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
+        if not got:
             return
-        sigs, ids = np.concatenate(sig), np.concatenate(doc)
-        del sig, doc
+        sigs, ids = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.argsort(sigs, kind="stable")
         sigs, ids = sigs[order], ids[order]
-        new = np.ones(len(sigs), bool)
-        new[1:] = sigs[1:] != sigs[:-1]
-        begin = np.flatnonzero(new)
+        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
         size = np.diff(np.append(begin, len(sigs)))
-        different = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
-        keep = np.repeat(different, size)
-        sigs = np.where(np.repeat(size > FREQUENT, size), sigs | _U64(1 << 63), sigs)[keep]
+        keep = np.repeat(np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin), size)
+        sigs = np.where(np.repeat(size > FREQUENT, size), sigs | top, sigs)[keep]
         ids = ids[keep]
         order = np.argsort(ids, kind="stable")
-        sigs, ids = sigs[order], ids[order]
-        begin = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else []
-        ends = np.append(begin[1:], len(ids)) if len(ids) else []
-        for x in range(0, len(begin), 4096):
-            part = [sigs[a:b].tobytes() for a, b in zip(begin[x : x + 4096], ends[x : x + 4096])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[begin[x : x + 4096]], pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "sigs"])
+        for place, i, s in deal(ids[order] % n_places, ids[order], sigs[order]):
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "docs": [delta(i)], "sigs": [s.tobytes()]})
 
-    return blobs.repartition(parts, "bucket").mapInArrow(rows, "doc_id bigint, sigs binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(undelta(d), np.frombuffer(s, np.uint64)) for b in batches for d, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        if not got:
+            return
+        ids, sigs = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(ids, kind="stable")
+        held = list(deal(ids[order], sigs[order]))
+        for x in range(0, len(held), 4096):
+            part = held[x : x + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary()), pa.array([bool((s >= top).any()) for _, s in part])], names=["doc_id", "sigs", "frequent"])
+
+    met = blobs.repartition(parts, "bucket").mapInArrow(meet, "place bigint, docs binary, sigs binary")
+    return met.repartition(parts, "place").mapInArrow(gather, "doc_id bigint, sigs binary, frequent boolean")
 
 
 CONTEXTS = "bucket int, sigs binary, docs binary, starts binary, sizes binary, bytes binary, raw_size bigint"
@@ -373,13 +375,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = durable(placed.filter("doc_id <> origin").select("doc_id"), "copies")
 
     shared = durable(shared_anchors(anchor_blobs(without(docs.select("doc_id", "text"), copies), buckets), parts), "shared-anchors")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list("sigs").alias("sigs"))
-    joint = F.aggregate("sigs", F.lit(b""), lambda acc, x: F.concat(acc, x))
-    chosen = per_doc.select("doc_id", joint.alias("sigs")).join(placed.filter("doc_id = origin").select("doc_id", "digest"), "doc_id")
-    texts_of = _caught(texts, shared.select("doc_id").distinct())
+    chosen = shared.select("doc_id", "sigs").join(placed.filter("doc_id = origin").select("doc_id", "digest"), "doc_id")
+    texts_of = _caught(texts, shared.select("doc_id"))
     texts_of = texts_of.withColumn("digest", F.md5(F.encode("text", "utf-8"))).join(chosen, ["doc_id", "digest"]).select("doc_id", "text", "sigs")
     spans = repeated_spans(context_blobs(texts_of, buckets), parts)
-    if not shared.filter(_has_frequent(F.col("sigs"))).isEmpty():
+    if not shared.filter("frequent").isEmpty():
         spans = spans.unionByName(frequent_spans(texts_of, buckets))
     spans = durable(spans, "spans")
 
@@ -414,11 +414,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return untouched.unionByName(part.mapInArrow(rows, REMOVED))
 
 
-def _has_frequent(sigs: F.Column) -> F.Column:
-    """Whether a packed list (little-endian) holds a hash with the sign bit."""
-    return F.hex(sigs).rlike("^(?:.{16})*.{14}[89A-F]")
-
-
 def _caught(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """texts whose id is among ids, and a few others: a bounded filter before a join."""
     return texts.filter(F.col("doc_id").isNotNull()).filter(suspect(id_filter(ids))(F.xxhash64("doc_id")))
