@@ -41,6 +41,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     While it is written, Arrow batches hold BATCH_ROWS rows, for texts may be long.
+    Afterwards the driver's garbage is collected, which lets Spark delete the shuffle
+    files that led to the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrove/{label}-{uuid.uuid4().hex}"
@@ -51,6 +53,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
