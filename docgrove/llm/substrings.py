@@ -43,9 +43,9 @@ LENGTH = 50
 ANCHOR = 26
 REACH = LENGTH - ANCHOR
 FREQUENT = 1 << 15
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of contexts that are suffix-sorted at once; an anchor's contexts are never parted.
-SORT_BYTES = 1 << 19
+SORT_BYTES = 1 << 18
 
 _U64 = np.uint64
 SEPARATOR = 0xFF  # in no UTF-8 text
