@@ -1,6 +1,7 @@
 """Decontamination, quality, secrets: whole results against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -117,6 +118,29 @@ def test_quality_ratio_matches_plain_sums(spark, docs, rows):
     assert abs(got - want) < 1e-9
 
 
+@pytest.mark.parametrize("buckets", [1 << 14, 1 << 7])
+def test_quality_cut_holds_where_ngrams_crowd_the_buckets(spark, buckets, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", buckets)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.random() ** 2 * 300)}" if i % 4 else f"junk{rng.randrange(10**6)}" for _ in range(120)) for i in range(480)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bad = {i for i in range(480) if i % 4 == 0}
+    labels = spark.createDataFrame([(i, 0 if i in bad else 1, 0) for i in range(240)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.op3_query(docs, labels).collect()}
+    # documents without a label, which neither the target nor the cut has seen
+    assert sum(not got[i].kept for i in bad if i >= 240) >= 0.9 * 60
+    assert sum(not got[i].kept for i in set(range(240, 480)) - bad) <= 0.1 * 180
+
+    target, held, known_bad = ({r.doc_id for r in x.collect()} for x in quality._labelled(labels))
+    assert target | held == set(range(240)) - bad and not target & held and known_bad == {i for i in bad if i < 240}
+    gain = lambda cut: np.mean([got[i].llr < cut for i in known_bad]) - np.mean([got[i].llr < cut for i in held])
+    cut = quality.label_cut(docs, labels, quality.bucket_weights(docs, labels))
+    step = quality.CUT_STEP / quality.SCALE
+    assert gain(cut) >= max(gain(k * step) for k in range(int(min(r.llr for r in got.values()) / step) - 1, int(max(r.llr for r in got.values()) / step) + 2)) - 1e-9
+    assert all(r.kept == (not r.base_failed and r.llr >= cut) for r in got.values())
+    assert quality.label_cut(docs, labels.filter("quality = 1"), quality.bucket_weights(docs, labels)) == quality.THRESHOLD
+
+
 def plain_spans(text):
     out = []
     for k, (pattern, least, group) in enumerate(((secrets.ASSIGN, 12, 2), (secrets.ACCESS, 18, 0), (secrets.HEX, 16, 0))):
