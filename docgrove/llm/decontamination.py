@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -37,6 +37,8 @@ BLOCK_BYTES = 8 << 20
 #: Distinct benchmark terms up to which postings are kept only for them.
 VOCABULARY_LIMIT = 1 << 21
 _CANDIDATES = 1 << 20
+#: Words by which the proximity query lets a benchmark word lie off its place.
+SLOP = 1
 NO_ID = -(1 << 63)
 
 INDEX_SCHEMA = "segment_task int, segment_no int, doc_ids array<bigint>, first_word array<bigint>, terms binary, lengths binary, positions binary"
@@ -185,8 +187,9 @@ class Postings:
         if slop:
             shift = np.arange(-slop, slop + 1)
             row, start = np.repeat(row, len(shift)), (start[:, None] + shift).ravel()
-            pair = np.unique(row * (2 * self.span) + start + width + slop)
-            row, start = pair // (2 * self.span), pair % (2 * self.span) - width - slop
+            room = self.span + 2 * (width + slop)
+            pair = np.unique(row * room + start + width + slop)
+            row, start = pair // room, pair % room - width - slop
         length = w.length[active[row]]
         doc = np.searchsorted(self.first_word, np.maximum(start, 0), "right") - 1
         doc = np.minimum(doc, len(self.first_word) - 2)
@@ -333,8 +336,7 @@ def decontaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return texts.join(hit, "doc_id", "left_anti").select(F.col("text").alias("clean_text"))
 
 
-def op1_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = decontaminate(docs, benchmark)
+def _verdicts(found: DataFrame, *more: Column) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
     return found.select(
         "doc_id",
@@ -343,9 +345,20 @@ def op1_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        *more,
     )
 
 
+def op1_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return _verdicts(decontaminate(docs, benchmark))
+
+
+def proximity_query(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame:
+    """The columns of op1_query, and the items met within `slop`, among them those of exact hits."""
+    near = F.array_sort(F.array_distinct("near_item_ids"))
+    return _verdicts(decontaminate(docs, benchmark, slop=slop), F.size(near).cast("long").alias("n_near_items"), near.alias("near_item_ids"))
+
+
 ORACLE = r"""
 with d as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),

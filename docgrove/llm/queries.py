@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op1_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.proximity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_query(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op1_proximity": op1_proximity,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,

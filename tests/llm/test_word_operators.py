@@ -78,6 +78,37 @@ def test_proximity_finds_shifted_words():
         assert bool(len(p.find(w, 1)[0])) == near
 
 
+def expect_near(text, bench, slop):
+    """Items with a window of whose words each stands within slop of its place, the window being inside the text."""
+    w = WORDY.findall(lower(text))
+    items = set()
+    for item, t in bench:
+        b = WORDY.findall(lower(t))
+        k = min(10, len(b))
+        for g in [b[i : i + k] for i in range(len(b) - k + 1)] if k else []:
+            if any(all(g[j] in w[max(0, i + j - slop) : i + j + slop + 1] for j in range(k)) for i in range(len(w) - k + 1)):
+                items.add("" if item is None else str(item))
+    return sorted(items)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_query(spark, docs, rows, block, slop, monkeypatch):
+    b = bench_rows(rows)
+    passage = b[0][1].split()[:10]
+    shifted = [(900, " ".join(["ahead", *passage[:5], "inserted", *passage[5:], "after"])), (901, " ".join([*passage[:4], "two", "more", *passage[4:]])), (902, " ".join(passage[::-1]))]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(shifted, "doc_id bigint, text string"))
+    bench = spark.createDataFrame(b, "item_id bigint, text string")
+    whole = dc.decontaminate
+    monkeypatch.setattr(dc, "decontaminate", lambda d, x, slop: whole(d, x, slop=slop, block_bytes=block))
+    got = dc.proximity_query(more, bench, slop).collect()
+    texts = [r[:2] for r in rows] + shifted
+    want = [(i, *expect_hits(t, b), near := expect_near(t, b, slop), len(near)) for i, t in texts]
+    assert Counter((*r[:6], tuple(r.near_item_ids), r.n_near_items) for r in got) == Counter((*x[:6], tuple(x[6]), x[7]) for x in want)
+    inserted = next(r for r in got if r.doc_id == 900)
+    assert inserted.n_items == 0 and "1" in inserted.near_item_ids
+
+
 def test_clean_documents_keeps_the_rest(spark, docs, rows):
     b = bench_rows(rows)
     kept = dc.clean_documents(docs, spark.createDataFrame(b, "item_id bigint, text string"))
