@@ -75,11 +75,14 @@ def item_windows(items: list[tuple[str | None, str | None]], width: int = WINDOW
             lengths.append(np.full(len(view), w))
             owner.append(np.full(len(view), base + r))
         base += s.rows()
-    ids = ["" if i is None else str(i) for i, _ in items]
+    # rows of one id are one item
+    place: dict[str, int] = {}
+    of_row = np.array([place.setdefault("" if i is None else str(i), len(place)) for i, _ in items], np.int64)
+    ids = list(place)
     if not rows:
         z = np.zeros(0, np.int64)
         return Windows(np.zeros(0, np.uint64), np.zeros((0, width), np.int64), z, z, ids)
-    grid, length, item = np.concatenate(rows), np.concatenate(lengths), np.concatenate(owner)
+    grid, length, item = np.concatenate(rows), np.concatenate(lengths), of_row[np.concatenate(owner)]
     real = np.arange(width) < length[:, None]
     vocabulary = np.unique(grid[real])
     terms = np.where(real, np.searchsorted(vocabulary, grid), -1)

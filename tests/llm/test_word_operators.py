@@ -62,6 +62,16 @@ def test_decontamination_is_exact(spark, docs, rows, block, monkeypatch):
     assert got == Counter((r[0], *expect_hits(r[1], b)) for r in rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_repeated_benchmark_rows_are_one_item(spark, docs, rows, block, monkeypatch):
+    b = bench_rows(rows)
+    b += [b[0], b[0], (b[2][0], b[0][1]), b[6]]
+    whole = dc.decontaminate
+    monkeypatch.setattr(dc, "decontaminate", lambda d, x: whole(d, x, block_bytes=block))
+    got = Counter(tuple(r)[:6] for r in dc.op1_query(docs, spark.createDataFrame(b, "item_id bigint, text string")).collect())
+    assert got == Counter((r[0], *expect_hits(r[1], b)) for r in rows)
+
+
 def test_decontamination_empty(spark, docs, empty):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.op1_query(empty, bench).count() == 0
