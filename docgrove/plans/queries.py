@@ -111,8 +111,21 @@ def embedding_input(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace('`' || split_part(text, ' ', 1) || '` **' || source || '**  [' || lang || '](http://x)', '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g').replace('  ', ' ').replace(chr(10), ' ')) heading
   from documents where regexp_matches(split_part(text, ' ', 1), '^[^`*\[\]\s]+$')""")
 def clean_heading(spark: SparkSession, d: str) -> DataFrame:
-    first = F.get(F.split("text", " "), 0)
-    docs = t(spark, d, "documents").filter(first.rlike(r"^[^`*\[\]\s]+$"))
+    return _headings(t(spark, d, "documents").filter(_first_word().rlike(r"^[^`*\[\]\s]+$")))
+
+
+@query()
+def clean_heading_all(spark: SparkSession, d: str) -> DataFrame:
+    """clean_heading over the whole table, with the first words that SQL does not clean alike."""
+    return _headings(t(spark, d, "documents"))
+
+
+def _first_word() -> F.Column:
+    return F.get(F.split("text", " "), 0)
+
+
+def _headings(docs: DataFrame) -> DataFrame:
+    first = _first_word()
     raw = F.concat(F.lit("`"), first, F.lit("` **"), F.col("source"), F.lit("**  ["), F.col("lang"), F.lit("](http://x)"))
     return docs.select("doc_id", tx.clean_heading(raw).alias("heading"))
 
@@ -126,14 +139,32 @@ def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with p as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) x from documents where length(text) >= 30 and not regexp_matches(text, '[`*\[\]#>|-]'))
   select doc_id, case when length(x) > 200 then substr(x, 1, 197) || '...' else x end description from p""")
 def extract_description(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").filter((F.length("text") >= 30) & ~F.col("text").rlike(r"[`*\[\]#>|-]"))
+    return _descriptions(t(spark, d, "documents").filter((F.length("text") >= 30) & ~F.col("text").rlike(r"[`*\[\]#>|-]")))
+
+
+@query()
+def extract_description_all(spark: SparkSession, d: str) -> DataFrame:
+    """extract_description over the whole table; SQL cannot follow marks, short or null texts."""
+    return _descriptions(t(spark, d, "documents"))
+
+
+def _descriptions(docs: DataFrame) -> DataFrame:
     built = F.concat(F.lit("# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n"), F.col("text"), F.lit("\n\nanother paragraph that is long enough to count"))
     return docs.select("doc_id", tx.extract_description(built).alias("description"))
 
 
 @query(r"select doc_id, ['# ' || source || chr(10), '```' || chr(10) || lang || chr(10) || '```', chr(10) || text] parts, true whole from documents where not contains(text, '```')")
 def fence_split(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").filter(~F.col("text").contains("```"))
+    return _fences(t(spark, d, "documents").filter(~F.col("text").contains("```")))
+
+
+@query()
+def fence_split_all(spark: SparkSession, d: str) -> DataFrame:
+    """fence_split over the whole table, with texts that hold fences or are null."""
+    return _fences(t(spark, d, "documents"))
+
+
+def _fences(docs: DataFrame) -> DataFrame:
     built = F.concat(F.lit("# "), F.col("source"), F.lit("\n```\n"), F.col("lang"), F.lit("\n```\n"), F.col("text"))
     parts = tx.split_fences(built)
     return docs.select("doc_id", parts.alias("parts"), (F.array_join(parts, "") == built).alias("whole"))
@@ -284,7 +315,17 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
 def readme_documents(spark: SparkSession, d: str) -> DataFrame:
     """README chunks of texts without headings: each is one chunk, whatever its size."""
     docs = t(spark, d, "documents").filter((F.length(F.trim("text")) >= 125) & ~F.col("text").rlike(r"(?m)^#{1,6}\s") & ~F.col("text").contains("```") & ~F.col("text").contains("\r"))
-    found = chunk_rows(docs.select("doc_id", "source", "text"), lambda r: readme_chunks(r["text"], "", r["source"]), keep=["doc_id"])
+    return _readmes(docs)
+
+
+@query()
+def readme_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """README chunks of the whole table: texts with headings or fences, CR, short and null ones too."""
+    return _readmes(t(spark, d, "documents"))
+
+
+def _readmes(docs: DataFrame) -> DataFrame:
+    found = chunk_rows(docs.select("doc_id", "source", "text"), lambda r: readme_chunks(r["text"] or "", "", r["source"]), keep=["doc_id"])
     return found.select("doc_id", "id", "content")
 
 

@@ -109,3 +109,26 @@ def test_embedder_and_order():
         with pytest.raises(ValueError):
             reorder_by_index(bad, 2)
     assert re.fullmatch(r"\w+", "ok")
+
+
+def test_whole_table_queries_leave_out_no_document(spark, tmp_path):
+    from docgrove.operators.chunking import fence_parts, readme_chunks
+    from docgrove.plans import queries as q
+
+    prose = "Plain prose that is long enough to be a paragraph of its own, " * 3
+    texts = [None, "", "x", prose, "`code` and " + prose, "well-known " + prose, "# Head\n" + prose + "\n## Next\n" + prose, "a ```x``` b " + prose, "```\ncode\n```\n" + prose, prose + "\r\n" + prose, "**bold** word", "- item\n\n" + prose, "[l](u) text, " + prose, "> quote"]
+    rows = [(i, s, "en", f"s{i % 2}", len(s or "")) for i, s in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def got(name):
+        return q.QUERIES[name](spark, str(tmp_path)).collect()
+
+    before, after = "# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n", "\n\nanother paragraph that is long enough to count"
+    assert {r.doc_id: r.description for r in got("extract_description_all")} == {i: None if s is None else tx.description_str(before + s + after) for i, s in enumerate(texts)}
+    raw = {i: None if s is None else f"`{s.split(' ')[0]}` **s{i % 2}**  [en](http://x)" for i, s in enumerate(texts)}
+    assert {r.doc_id: r.heading for r in got("clean_heading_all")} == {i: None if s is None else tx.apply_str(tx.HEADING, s) for i, s in raw.items()}
+    whole = {i: None if s is None else f"# s{i % 2}\n```\nen\n```\n{s}" for i, s in enumerate(texts)}
+    assert {r.doc_id: (r.parts, r.whole) for r in got("fence_split_all")} == {i: (None, None) if s is None else (fence_parts(s), True) for i, s in whole.items()}
+    want = sorted((i, c["id"], c["content"]) for i, s in enumerate(texts) for c in readme_chunks(s or "", "", f"s{i % 2}"))
+    assert sorted(tuple(r) for r in got("readme_documents_all")) == want and len({x[0] for x in want}) > 5
+    assert not {f"{n}_all" for n in ("extract_description", "clean_heading", "fence_split", "readme_documents")} & set(q.ORACLES)
