@@ -476,7 +476,10 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links to other texts that were checked, for every row."""
+    """doc_id, n_shingles, component_id for every row.
+
+    Not every link is looked for: two texts that others already put into one component are not compared.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = durable(shingle_counts(docs, width), "shingle-counts")
@@ -510,11 +513,8 @@ def link_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     all_links = linked.unionByName(linked_too)
     if not linked_too.isEmpty():
         found = components(all_links)
-    degree = all_links.select(F.col("a").alias("node")).union(all_links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = of.select("doc_id", "node").join(found, "node", "left").join(degree, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return counted.join(labels, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    labels = of.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return counted.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -48,6 +48,10 @@ def test_components_match_all_pairs(docs, rows, empty):
     assert J.op5_query(empty).count() == 0
 
 
+def test_components_claim_no_count_of_links(docs):
+    assert J.link_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_one_of_each(docs, rows):
     want = expected_components(rows)
     kept = J.one_of_each(docs)
