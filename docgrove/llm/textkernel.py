@@ -51,6 +51,9 @@ WORDY[0x30:0x3A] = True
 WORDY[0x61:0x7B] = True
 WORDY[0x80:] = True
 
+#: The first 0..8 bytes of a little-endian word.
+HEAD_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _powers: list[np.ndarray] = []
 
 

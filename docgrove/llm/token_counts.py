@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .encoding import TOKENIZERS, packed_ranks, worker_encoder
 
 SCHEMA = "doc_id bigint, section bigint, char_start bigint, char_end bigint, n_tokens double"
@@ -79,20 +80,21 @@ def count_tokens(docs: DataFrame, section_ends: Callable[[str], np.ndarray] = li
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(packed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids, cols = part.column(0).to_pylist(), [[], [], [], [], []]
-                for i, t in zip(ids, part.column(1)):
+            for s in tk.slices(batch.column(1)):
+                tokens, first = encoder.encode(s)
+                ends, counts = [], []
+                for r, t in enumerate(batch.column(1).slice(s.first, s.rows())):
                     text = t.as_py() or ""
-                    tokens = np.frombuffer(encoder.encode(text), np.uint16)
-                    ends = section_ends(text)
-                    n = allocate(*token_spans(text, tokens, encoder.lengths), ends, rule) if len(tokens) else np.zeros(len(ends))
-                    for c, v in zip(cols, (np.full(len(ends), 0 if i is None else i), np.arange(len(ends)), np.append(0, ends[:-1]), ends, n)):
-                        c.append(v)
-                    if i is None:
-                        cols[0][-1] = np.ma.masked_all(len(ends), np.int64)
-                doc = pa.concat_arrays([pa.nulls(len(c), pa.int64()) if np.ma.isMaskedArray(c) else pa.array(c, pa.int64()) for c in cols[0]])
-                yield pa.RecordBatch.from_arrays([doc, *[pa.array(np.concatenate(c), pa.int64()) for c in cols[1:4]], pa.array(np.concatenate(cols[4]), pa.float64())], names=["doc_id", "section", "char_start", "char_end", "n_tokens"])
+                    ids = tokens[first[r] : first[r + 1]]
+                    ends.append(section_ends(text))
+                    counts.append(allocate(*token_spans(text, ids, encoder.lengths), ends[-1], rule) if len(ids) else np.zeros(len(ends[-1])))
+                n = np.array([len(e) for e in ends])
+                end = np.concatenate(ends)
+                top = np.cumsum(n) - n  # each row's first section
+                start = np.append(0, end[:-1])
+                start[top] = 0
+                doc = batch.column(0).slice(s.first, s.rows()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.arange(len(end)) - np.repeat(top, n), pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(np.concatenate(counts), pa.float64())], names=["doc_id", "section", "char_start", "char_end", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(rows, SCHEMA)
 

@@ -4,9 +4,13 @@ Documents are encoded once and cut into sequences of SEQUENCE tokens (an end-of-
 token closes each document and pads its last sequence).  The sequences are stored
 and numbered 0..N-1; a keyed Feistel network over the least even-bit domain that
 holds N, walked along its cycle until it lands below N, gives each its global slot.
-Ranges of slots become shards: every record has the same stride, so slot s is at
-byte (s mod SHARD_RECORDS) * stride of shard s div SHARD_RECORDS, and a reader may
-resume at any slot.
+Ranges of slots become shards, and ranges of shards partitions: every record has the
+same stride, so slot s is at byte (s mod SHARD_RECORDS) * stride of shard
+s div SHARD_RECORDS, and a reader may resume at any slot.
+
+``training_shards`` returns the shards as rows.  ``write_shards`` writes each as one
+file of fixed-stride records (FILE_STRIDE bytes: the token ids, and a newline that
+Spark's writer sets behind every record), from which ``read_records`` seeks.
 
 Inputs and edge cases
 * null and empty texts give one sequence that holds the end-of-text token alone.
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -33,6 +37,7 @@ SHARD_RECORDS = 4096
 ROUNDS = 6
 KEY = 0x5EED
 STRIDE = 2 * SEQUENCE
+FILE_STRIDE = STRIDE + 1
 
 SEQUENCES = "task int, task_no bigint, doc_id bigint, part bigint, n_tokens int, tokens binary"
 SHARDS = "shard bigint, first_slot bigint, n_records bigint, stride int, doc_ids array<bigint>, parts array<bigint>, n_tokens array<int>, payload binary"
@@ -61,50 +66,59 @@ def feistel(x: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS) -> n
 def sequences(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Stored sequences, numbered within the task that made them."""
     packed = packed_ranks(tokenizers)
-    end = np.array([END_OF_TEXT], np.uint16).tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, no = worker_encoder(packed), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                doc, piece, n, tokens = [], [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1)):
-                    raw = encoder.encode(t.as_py() or "") + end
-                    for k, a in enumerate(range(0, len(raw), STRIDE)):
-                        cut = raw[a : a + STRIDE]
-                        doc.append(i)
-                        piece.append(k)
-                        n.append(len(cut) // 2)
-                        tokens.append(cut + end * ((STRIDE - len(cut)) // 2))
-                size = len(doc)
+            for s in tk.slices(batch.column(1)):
+                ids, first = encoder.encode(s)
+                n = np.diff(first) + 1  # with the end of text
+                parts = -(-n // SEQUENCE)
+                ahead = np.cumsum(parts) - parts
+                total = int(parts.sum())
+                grid = np.full(total * SEQUENCE, END_OF_TEXT, np.uint16)
+                grid[np.arange(len(ids)) + np.repeat(ahead * SEQUENCE - first[:-1], n - 1)] = ids
+                part = np.arange(total) - np.repeat(ahead, parts)
+                held = np.minimum(np.repeat(n, parts) - part * SEQUENCE, SEQUENCE)
+                doc = batch.column(0).slice(s.first, s.rows()).take(pa.array(np.repeat(np.arange(s.rows()), parts)))
+                tokens = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(total + 1, dtype=np.int32) * np.int32(STRIDE)), pa.py_buffer(grid)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, task), pa.int32()), pa.array(np.arange(no, no + size), pa.int64()), pa.array(doc, pa.int64()), pa.array(piece, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())],
+                    [pa.array(np.full(total, task), pa.int32()), pa.array(np.arange(no, no + total), pa.int64()), doc, pa.array(part, pa.int64()), pa.array(held, pa.int32()), tokens],
                     names=["task", "task_no", "doc_id", "part", "n_tokens", "tokens"],
                 )
-                no += size
+                no += total
 
     return durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(rows, SEQUENCES), "sequences")
 
 
-def training_shards(docs: DataFrame, key: int = KEY, shard_records: int = SHARD_RECORDS, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """SHARDS: one row per shard, its payload being fixed-stride records in slot order."""
+def ranged_slots(docs: DataFrame, key: int = KEY, shard_records: int = SHARD_RECORDS, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """shard, slot and the stored columns of every sequence, in slot order within partitions of whole shards."""
     stored = sequences(docs, tokenizers)
     spark = docs.sparkSession
     # one count per task: bounded by the number of input partitions
     counts = {r["task"]: r["n"] for r in stored.groupBy("task").agg(F.max("task_no").alias("n")).collect()}
-    ahead, total = {}, 0
+    offset, total = np.zeros(max(counts, default=0) + 1, np.int64), 0
     for task in sorted(counts):
-        ahead[task] = total
+        offset[task] = total
         total += counts[task] + 1
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                index = np.array([ahead[t] for t in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
+                index = offset[b.column(0).to_numpy()] + b.column(1).to_numpy()
                 slot = feistel(index, total, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot // shard_records), pa.array(slot), *[b.column(k) for k in range(2, 6)]], names=["shard", "slot", "doc_id", "part", "n_tokens", "tokens"])
 
+    placed = stored.mapInArrow(slots, "shard bigint, slot bigint, doc_id bigint, part bigint, n_tokens int, tokens binary")
+    n_shards = max(1, -(-total // shard_records))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards)
+    ranged = placed.repartitionById(parts, F.floor(F.col("shard") * parts / n_shards).cast("int"))
+    return ranged.sortWithinPartitions("shard", "slot").select("shard", "slot", "doc_id", "part", "n_tokens", "tokens")
+
+
+def training_shards(docs: DataFrame, key: int = KEY, shard_records: int = SHARD_RECORDS, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """SHARDS: one row per shard, its payload being fixed-stride records in slot order."""
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         current = None
@@ -122,10 +136,7 @@ def training_shards(docs: DataFrame, key: int = KEY, shard_records: int = SHARD_
         if held:
             yield _shard(held, shard_records)
 
-    placed = stored.mapInArrow(slots, "shard bigint, slot bigint, doc_id bigint, part bigint, n_tokens int, tokens binary")
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_records)))
-    ranged = placed.withColumn("range", F.floor(F.col("shard") * parts / (-(-total // shard_records) or 1))).repartition(parts, "range")
-    return ranged.sortWithinPartitions("shard", "slot").select("shard", "slot", "doc_id", "part", "n_tokens", "tokens").mapInArrow(shards, SHARDS)
+    return ranged_slots(docs, key, shard_records, tokenizers).mapInArrow(shards, SHARDS)
 
 
 def _shard(held: list[pa.RecordBatch], shard_records: int) -> pa.RecordBatch:
@@ -141,15 +152,34 @@ def _shard(held: list[pa.RecordBatch], shard_records: int) -> pa.RecordBatch:
     )
 
 
-def read_slots(shards: DataFrame, first: int, last: int, shard_records: int = SHARD_RECORDS) -> list[np.ndarray]:
-    """Token ids of slots first..last-1, reading only the shards that hold them."""
-    rows = shards.filter(F.col("shard").between(first // shard_records, (last - 1) // shard_records)).select("first_slot", "n_records", "payload").orderBy("first_slot").collect()
-    out = []
-    for r in rows:
-        for s in range(max(first, r["first_slot"]), min(last, r["first_slot"] + r["n_records"])):
-            a = (s - r["first_slot"]) * STRIDE
-            out.append(np.frombuffer(bytes(r["payload"][a : a + STRIDE]), np.uint16))
-    return out
+def write_shards(docs: DataFrame, folder: str, key: int = KEY, shard_records: int = SHARD_RECORDS, tokenizers: str = TOKENIZERS) -> None:
+    """Writes folder/shard=K, each one file of fixed-stride records in slot order."""
+    records = ranged_slots(docs, key, shard_records, tokenizers).select("shard", F.col("tokens").cast("string").alias("record"))
+    records.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(folder)
+
+
+def read_records(spark: SparkSession, folder: str, first: int, last: int, shard_records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:
+    """Token ids of slots first..last-1 of written shards: seeks to the first, then reads on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while first < last:
+        shard = first // shard_records
+        stop = min(last, (shard + 1) * shard_records)
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+        store = path.getFileSystem(conf)
+        files = [f for f in store.listStatus(path) if f.getPath().getName().startswith("part-")]
+        if len(files) != 1:
+            raise ValueError(f"shard {shard} has {len(files)} files")
+        stream = store.open(files[0].getPath())
+        try:
+            stream.seek((first - shard * shard_records) * FILE_STRIDE)
+            for _ in range(first, stop):
+                record = bytes(stream.readNBytes(FILE_STRIDE))
+                if len(record) < FILE_STRIDE:
+                    return
+                yield np.frombuffer(record, np.uint16, SEQUENCE)
+        finally:
+            stream.close()
+        first = stop
 
 
 def op10_query(docs: DataFrame) -> DataFrame:
