@@ -6,29 +6,41 @@ Ordering all copies by that time interleaves the sources in proportion; the orde
 is cut where the total budget is used up.  A source whose target exceeds its size
 is queued again, up to ``repeats`` times.
 
-Cumulative words come from two levels: sums per (source, bucket of the shuffle
-key), and a running sum inside each bucket.  A bucket has a few thousand rows
-whatever its source's share, so a source with a third of all rows is spread.
+Within a source, finish times rise with (shuffle key, size).  So the cut is, for
+each copy of a source, one place in that order, and a document's copies follow from
+comparing its key with its source's places: texts are never shuffled.  The places
+are found on a narrow table (shuffle key, source, size), stored once:
+
+* sums per (source, bucket of the shuffle key) give each bucket's span of finish
+  times.  Targets add up to the budget, so all that ends before time 1 is taken;
+* only buckets that reach into the short time behind are range-sorted row by row, by
+  finish time, up to the row that no longer fits.  That time shrinks with the corpus:
+  it holds about one longest document per source.
 
 The table of sources is taken as configuration-sized: one row per source goes
 through one task to rank them and to level the targets.
 
 Inputs and edge cases
 * null text has size 0; sizes of 0 are taken 0 words.  Null source is a source of
-  its own, ordered last.  Null doc_id is kept.
-* repeated rows are queued one after another, each with its own finish time.
+  its own, ordered last.
+* null doc_id is kept; its place in the shuffle comes from ``nameless`` (the text's
+  digest in the query and the pipeline).
+* repeated rows of one id and size are queued one after another.  Where the cut falls
+  among them, each partition of the input gives its share of them, rounded down: their
+  number is then short by less than the number of partitions.
 * an empty table, or one without words, gives targets of 0 and an empty mix.
-* input columns travel inside one struct, so their names cannot clash.
+* added columns get names that the table does not have.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count
+from .shared import durable, scratch, unused_name, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -58,71 +70,159 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return leveled.select("source", "source_size", "source_rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """docs as struct `doc`, with size, source_size, target and the finish time of each copy (`finish`).
+def shuffle_key(id_col: str = "doc_id", nameless: Column | None = None, seed: str = SEED) -> Column:
+    """Hex digest of the id and the seed; rows without an id go by `nameless`."""
+    name = F.col(id_col).cast("string")
+    return F.md5(F.concat_ws(":", name if nameless is None else F.coalesce(name, nameless), F.lit(seed)))
+
+
+def sized(docs: DataFrame, size: Column, source_col: str = "source", key: Column | None = None) -> DataFrame:
+    """The narrow table: every row's doc_id, source, size and shuffle key."""
+    key = shuffle_key() if key is None else key
+    return docs.select(F.col("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key.alias("shuffle_key"))
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a copy of a source ends: in order (key, size), with `taken` of the `among` equal rows there."""
+
+    key: str
+    size: int
+    taken: int
+    among: int
+
+
+@dataclass(frozen=True)
+class SourceCut:
+    """Every row of a source is taken `whole` times, and once more per place that it does not pass."""
+
+    source: str | None
+    source_size: int
+    target: float
+    whole: int
+    places: list[Place]
+
+
+CUTS = "cut_source string, cut struct<source_size:bigint,target:double,whole:int,places:array<struct<key:string,size:bigint,taken:bigint,among:bigint>>>"
+
+
+def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> list[SourceCut]:
+    """The cut of every source of the (stored) narrow table.
 
-    `copies` is how many of them lie within the budget, so size x copies is what
-    the mix takes of the document.
+    Sums per bucket stay distributed; one row per source and copy reaches the driver.
     """
-    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)))
-    base = docs.select(F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key.alias("shuffle_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    n_rows = docs.count()
+    n_rows = rows.count()
     digits = min(8, max(1, math.ceil(math.log(max(1, n_rows) / BUCKET_ROWS, 16))))
-    base = base.withColumn("bucket", F.substring("shuffle_key", 1, digits))
-    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats)
+    bucket = F.substring("shuffle_key", 1, digits)
+    sums = durable(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"), F.max("size").alias("longest")), "bucket-sums")
+    sources = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"), F.max("longest").alias("longest"))
+    targets = durable(source_targets(sources.select("source", "source_size"), weights, repeats).join(sources.select(F.col("source").alias("s"), "longest"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    known = targets.collect()  # one row per source
+    if not any(t["target"] for t in known):
+        return [SourceCut(t["source"], t["source_size"], t["target"], 0, []) for t in known]
+    copies = F.least(F.lit(repeats), F.greatest(F.ceil(F.col("target") / F.col("source_size")), F.lit(1))).cast("int")
+    live = targets.filter("target > 0").withColumn("copies", copies)
     ahead = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
-    offsets = sums.withColumn("ahead", ahead).alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.bucket", "ahead", "source_size", "source_rank", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("shuffle_key", "size").rowsBetween(Window.unboundedPreceding, 0))
-    queued = base.withColumn("inside", inside).alias("b").join(offsets.alias("o"), F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.bucket") == F.col("o.bucket"))).select(
-        "doc", "size", "shuffle_key", "source_size", "source_rank", "target", (F.col("ahead") + F.col("inside")).alias("cumulative")
-    )
-    finish = F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(repeats), F.greatest(F.ceil(F.col("target") / F.col("source_size")), F.lit(1))).cast("int") - 1),
-        lambda k: (F.col("cumulative") + k * F.col("source_size")).cast("double") / F.col("target"),
-    )
-    queued = queued.withColumn("finish", F.when((F.col("target") > 0) & (F.col("size") > 0), finish))
-    return _cut(queued)
-
-
-def _cut(queued: DataFrame) -> DataFrame:
-    """Range-sorts all copies by finish time and truncates at the total budget.
-
-    Only sums per range of finish times reach the driver's plan; the one range in
-    which the budget ends is ordered row by row.
+    spans = sums.withColumn("ahead", ahead).select(F.col("source").alias("s"), "bucket", "bucket_size", "ahead")
+    finish = lambda words, k: (words + k * F.col("source_size")).cast("double") / F.col("target")
+    each = spans.join(live, F.col("s").eqNullSafe(F.col("source"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    each = durable(each.select("source", "source_rank", "source_size", "target", "bucket", "copy", "bucket_size", "ahead", finish(F.col("ahead"), F.col("copy")).alias("opens"), finish(F.col("ahead") + F.col("bucket_size"), F.col("copy")).alias("closes")), "bucket-spans")
+
+    budget = sum(t["source_size"] for t in known)
+    early = 1 - 1e-9  # all that ends by then is within the budget, whatever the rounding
+    reach = 2 * sum(t["longest"] for t in known) / budget
+    while True:
+        late = early + reach
+        near = each.filter((F.col("closes") > early) & (F.col("opens") <= late))
+        passed = each.filter(F.col("closes") <= early).agg(F.coalesce(F.sum("bucket_size"), F.lit(0))).first()[0]
+        order = ["at", "source_rank", "copy", "shuffle_key", "size"]
+        # near buckets are a few per source; their rows meet by (source, bucket)
+        keys = near.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "source_rank", "source_size", "target", "ahead", "copy")
+        placed = rows.withColumn("bucket", bucket).join(keys.select("s", "b", "ahead").distinct(), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("source", "bucket", "size", "shuffle_key", "ahead")
+        inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("shuffle_key", "size").rowsBetween(Window.unboundedPreceding, 0))
+        placed = placed.withColumn("cumulative", F.col("ahead") + inside).drop("ahead")
+        timed = durable(
+            placed.join(keys.drop("ahead"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", finish(F.col("cumulative"), F.col("copy"))).select("source", "source_rank", "copy", "shuffle_key", "size", "at"),
+            "near-the-cut",
+        )
+        passed += timed.filter(F.col("at") <= early).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        behind = timed.filter((F.col("at") > early) & (F.col("at") <= late) & (F.col("size") > 0))
+        running = behind.withColumn("upto", F.lit(passed) + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        running = durable(running, "running")
+        over = running.filter(F.col("upto") > budget).orderBy("upto").limit(1).first()
+        if over is not None or each.filter(F.col("closes") > late).isEmpty():
+            break
+        reach *= 16
+    taken = timed.filter((F.col("at") <= early) & (F.col("size") > 0)).select("source", "copy", "shuffle_key", "size").unionByName(running.filter(F.col("upto") <= budget).select("source", "copy", "shuffle_key", "size"))
+    last = taken.groupBy("source", "copy").agg(F.max(F.struct("shuffle_key", "size")).alias("last"))
+    level = F.struct("shuffle_key", "size")
+    equal = lambda found: found.join(last.select(F.col("source").alias("s"), F.col("copy").alias("c"), "last"), F.col("source").eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")) & (level == F.col("last"))).groupBy("source", "copy").count()
+    n_taken = {(r["source"], r["copy"]): r["count"] for r in equal(taken).collect()}
+    n_among = {(r["source"], r["copy"]): r["count"] for r in equal(timed.select("source", "copy", "shuffle_key", "size")).collect()}
+    ends = {(r["source"], r["copy"]): Place(r["last"]["shuffle_key"], r["last"]["size"], n_taken[r["source"], r["copy"]], n_among[r["source"], r["copy"]]) for r in last.collect()}
+    # a copy without rows near the cut is taken whole if its last bucket closed, else not at all, or up to its last closed bucket
+    closed = {(r["source"], r["copy"]): (r["last"], r["open"]) for r in each.groupBy("source", "copy").agg(F.max(F.when(F.col("closes") <= early, F.col("bucket"))).alias("last"), F.count_if(F.col("closes") > early).alias("open")).collect()}
+    out = []
+    for t in known:
+        whole, places = 0, []
+        for k in range(repeats):
+            upto, still_open = closed.get((t["source"], k), (None, 1))
+            end = ends.get((t["source"], k))
+            if not still_open:
+                whole += 1
+            elif end is not None:
+                places.append(end)
+            elif upto is not None:
+                places.append(Place(upto + "g", 0, 1, 1))  # behind every key of the bucket: digits are hexadecimal
+        out.append(SourceCut(t["source"], t["source_size"], t["target"], whole, places))
+    return out
+
+
+#: Sources up to which their table of cuts, a few hundred bytes each, is broadcast.
+BROADCAST_SOURCES = 10_000
+
+
+def copies_taken(docs: DataFrame, found: list[SourceCut], key: Column, size: Column, source_col: str = "source") -> tuple[DataFrame, str, str]:
+    """docs with the cut of their source and the number of copies taken, and the names of these two columns.
+
+    There is one cut per source, so their join moves no row of docs.
     """
-    copies = queued.select("size", "source_rank", "shuffle_key", "source_size", F.posexplode("finish").alias("copy", "at"))
-    ranges = 4096
-    copies = copies.withColumn("range", F.floor(F.col("at") * ranges))
-    sums = copies.groupBy("range").agg(F.sum("size").alias("range_size"))
-    budget = queued.groupBy("source_rank").agg(F.first("source_size").alias("s")).agg(F.sum("s")).first()[0] or 0
-    running = sums.withColumn("upto", F.sum("range_size").over(Window.orderBy("range")))
-    last = running.filter(F.col("upto") > budget).orderBy("range").limit(1).first()
-    if last is None:
-        return queued.withColumn("copies", F.coalesce(F.size("finish"), F.lit(0)).cast("long") * (F.col("finish").isNotNull()).cast("long"))
-    left = budget - (last["upto"] - last["range_size"])
-    order = ["at", "source_rank", "copy", "shuffle_key"]
-    ended = copies.filter(F.col("range") == last["range"]).withColumn("upto", F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    cut = ended.filter(F.col("upto") <= left).orderBy(*[F.col(c).desc() for c in order]).limit(1).first()
-    if cut is None:
-        taken = F.filter("finish", lambda at: F.floor(at * ranges) < last["range"])
-        return queued.withColumn("copies", F.coalesce(F.size(taken), F.lit(0)).cast("long") * F.col("finish").isNotNull().cast("long"))
-    end = F.struct(F.lit(cut["at"]).alias("at"), F.lit(cut["source_rank"]).alias("r"), F.lit(cut["copy"]).alias("c"), F.lit(cut["shuffle_key"]).alias("k"))
-    stamped = F.transform("finish", lambda at, k: F.struct(at.alias("at"), F.col("source_rank").alias("r"), k.alias("c"), F.col("shuffle_key").alias("k")))
-    taken = F.filter(stamped, lambda x: x <= end)
-    return queued.withColumn("copies", F.when(F.col("finish").isNull(), F.lit(0)).otherwise(F.size(taken)).cast("long"))
-
-
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    cut, n, mark, source, split, part, turn, held = (unused_name(f"mix_{x}", docs) for x in ("cut", "copies", "key", "source", "split", "part", "turn", "held"))
+    rows = [(c.source, (c.source_size, c.target, c.whole, [(p.key, p.size, p.taken, p.among) for p in c.places])) for c in found]
+    table = docs.sparkSession.createDataFrame(rows, CUTS).toDF(source, cut)
+    table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+    joined = docs.withColumn(mark, key).join(table, F.col(source_col).eqNullSafe(F.col(source)), "left").drop(source)
+    before = lambda p: (F.col(mark) < p["key"]) | ((F.col(mark) == p["key"]) & (size <= p["size"]))
+    taken = joined.withColumn(n, F.when(size > 0, F.col(cut)["whole"] + F.size(F.filter(F.col(cut)["places"], before))).otherwise(F.lit(0)))
+    if any(p.taken < p.among for c in found for p in c.places):
+        # equal rows that a cut parts
+        parted = lambda p: (p["taken"] < p["among"]) & (F.col(mark) == p["key"]) & (size == p["size"])
+        taken = taken.withColumn(split, F.coalesce((size > 0) & F.exists(F.col(cut)["places"], parted), F.lit(False))).withColumn(part, F.spark_partition_id())
+        group = Window.partitionBy(part, source_col, mark)
+        equal = taken.filter(split).withColumn(turn, F.row_number().over(group.orderBy(F.lit(0)))).withColumn(held, F.count(F.lit(1)).over(group))
+        over = F.filter(F.col(cut)["places"], lambda p: parted(p) & (F.col(turn) > F.floor(p["taken"] * F.col(held) / p["among"])))
+        equal = equal.withColumn(n, F.col(n) - F.size(over)).drop(turn, held)
+        taken = taken.filter(~F.col(split)).unionByName(equal).drop(split, part)
+    return taken.drop(mark), cut, n
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself, as rows of docs: each document as often as it is taken."""
-    found = mix(docs, word_count(F.col("text")), **settings)
-    each = found.filter(F.col("copies") > 0).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc.*")
+    size, key = word_count(F.col("text")), shuffle_key(nameless=F.md5("text"), seed=seed)
+    with scratch(docs.sparkSession):
+        found = cuts(durable(sized(docs, size, key=key), "sizes"), weights, repeats)
+    taken, cut, n = copies_taken(docs, found, key, size)
+    again = unused_name("mix_again", taken)
+    return taken.filter(F.col(n) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(cut, n, again)
 
 
 def op2_query(docs: DataFrame) -> DataFrame:
-    found = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), F.col("size"))
-    return found.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    key = shuffle_key(nameless=F.md5("text"))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(sized(docs, word_count(F.col("text")), key=key), "sizes")
+        found = cuts(rows)
+    taken, cut, n = copies_taken(rows, found, F.col("shuffle_key"), F.col("size"))
+    return taken.select("doc_id", "size", F.col(cut)["source_size"].alias("source_size"), F.col(cut)["target"].alias("target"), (F.col("size") * F.col(n)).alias("taken"))
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bits of a 64-bit signature that a blob keeps; the bucket holds the others that matter.
 REMAINDER_BITS = 40
@@ -41,3 +42,17 @@ def places(parts: int) -> int:
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of a partition that is sorted by its first column, together by that column; one run is held at a time."""
+    current, held = None, []
+    for batch in batches:
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != current:
+                if held:
+                    yield current, held
+                current, held = key, []
+            held.append(tuple(row))
+    if held:
+        yield current, held

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -16,7 +20,7 @@ SOLID_WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 #: Bits of a filter over document ids, at most.
 FILTER_BITS = 1 << 26
 
@@ -25,27 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables made in the innermost scope.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it names none (tests), a local one."""
+    """The cluster's shared folder; only in one process (tests), a local one where none is named."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jvm_dir.get() if jvm_dir.isDefined() else None
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="docgrove-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    While it is written, Arrow batches hold BATCH_ROWS rows, for texts may be long.
-    Afterwards the driver's garbage is collected, which lets Spark delete the shuffle
-    files that led to the table.
-    """
+def _written(df: DataFrame, label: str, made: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrove/{label}-{uuid.uuid4().hex}"
+    if made is not None:
+        made.append(path)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
@@ -57,6 +63,48 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    While it is written, Arrow batches hold BATCH_ROWS rows, for texts may be long.
+    Afterwards the driver's garbage is collected, for only then does Spark delete the
+    shuffle files that led to the table.  Inside ``scratch`` the table lives as long as
+    the scope; elsewhere, until the folder is cleared.
+    """
+    return _written(df, label, _made.get())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose durable tables are deleted at its end, also after an error.
+
+    Gives a function like ``durable`` whose tables outlive the scope: they belong to
+    the scope around it.  What leaves the scope must read no other of its tables.
+    """
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    try:
+        yield lambda df, label: _written(df, label, outer)
+    finally:
+        _made.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused_name(name: str, *tables: DataFrame) -> str:
+    """name, lengthened until no column of the tables is called so in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words without white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SOLID_WORD)), F.lit(0)).cast("long")
@@ -67,13 +115,18 @@ def utf8_size(text: Column) -> Column:
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap over xxhash64(id) of bounded size; true for all ids of the table and some others."""
-    n = ids.count()
+    """A bitmap over xxhash64(doc_id) of bounded size; true for all ids of the table and some others."""
+    return hash_filter(ids.select(F.xxhash64("doc_id").alias("hash")))
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS at most over the column `hash` (bigint); true for all of them and some others."""
+    n = hashes.count()
     bits = 1 << 16
     while bits < min(FILTER_BITS, 8 * n):
         bits *= 2
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long"))
-    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
+    place = F.pmod("hash", F.lit(bits).cast("long"))
+    words = hashes.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["mask"].to_numpy()
@@ -102,5 +155,6 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     them; the others pass without a shuffle of their texts.
     """
     flag = suspect(id_filter(drop))(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
+    gone = unused_name("dropped_id", docs)
     caught = docs.filter(flag)
-    return docs.filter(~flag).unionByName(caught.join(drop.select(F.col("doc_id").alias("dropped_id")), caught["doc_id"] == F.col("dropped_id"), "left_anti"))
+    return docs.filter(~flag).unionByName(caught.join(drop.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti"))

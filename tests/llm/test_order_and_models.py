@@ -1,5 +1,6 @@
 """Mixing, sharding, tokens, LM scoring, training order, and the pipeline's stages."""
 
+import hashlib
 import math
 import random
 import re
@@ -39,6 +40,69 @@ def test_mix_meets_targets(docs, rows, empty):
     assert mixing.op2_query(empty).count() == 0
 
 
+def expected_mix(rows):
+    """(doc_id, size, source_size, target) and how often such rows are taken in all, row by row in Python."""
+    base = []
+    for r in rows:
+        text = r[1]
+        name = str(r[0]) if r[0] is not None else hashlib.md5(text.encode()).hexdigest() if text is not None else None
+        key = hashlib.md5(":".join(x for x in (name, mixing.SEED) if x is not None).encode()).hexdigest()
+        base.append((r[3], key, len(SOLID.findall(text or "")), r[0]))
+    sources = sorted({b[0] for b in base}, key=lambda x: (x is None, x or ""))
+    total = sum(b[2] for b in base)
+    full = {s: sum(b[2] for b in base if b[0] == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    target, left, free = {}, float(total), set(sources)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if 3 * full[s] < level * weight[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * full[s]
+            left -= target[s]
+            free.remove(s)
+    queue = []
+    for rank, s in enumerate(sources):
+        done = 0
+        for b in sorted((b for b in base if b[0] == s), key=lambda b: b[1:3]):
+            done += b[2]
+            if b[2] and target[s]:
+                queue += [((done + k * full[s]) / target[s], rank, k, b[1], b[2], b) for k in range(min(3, max(1, math.ceil(target[s] / full[s] - 1e-12))))]
+    taken, used = Counter(), 0
+    for q in sorted(queue, key=lambda q: q[:5]):
+        used += q[4]
+        if used > total:
+            break
+        taken[q[5][3], q[4], full[q[5][0]]] += 1
+    return target, taken, full
+
+
+def test_mix_matches_row_by_row_queueing(docs, rows):
+    target, taken, full = expected_mix(rows)
+    got = Counter()
+    for r in mixing.op2_query(docs).collect():
+        if r.taken:
+            got[r.doc_id, r.size, r.source_size] += r.taken // r.size
+        assert any(math.isclose(r.target, target[s], rel_tol=1e-9, abs_tol=1e-9) and r.source_size == full[s] for s in full)
+    assert got == taken
+
+
+def test_mix_parts_equal_rows(spark):
+    rows = [(7, "one two three", "en", "hot", 0)] * 900 + [(i, "w " * (1 + i % 9), "en", f"s{i % 4}", 0) for i in range(100, 700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    _, taken, _ = expected_mix(rows)
+    got, most = Counter(), 0
+    for r in mixing.op2_query(docs).collect():
+        most = max(most, r.taken // r.size)
+        got[r.doc_id, r.size, r.source_size] += r.taken // r.size
+    assert most <= 3
+    assert all(got[k] == v for k, v in taken.items() if k[0] != 7)
+    hot = [k for k in taken if k[0] == 7][0]
+    assert 0 <= taken[hot] - got[hot] <= 3 * 5
+
+
 def test_mix_repeats_documents(docs):
     found = mixing.mixed_documents(docs)
     want = {(r.doc_id): r.taken // r.size for r in mixing.op2_query(docs).collect() if r.size}
@@ -84,12 +148,27 @@ def test_matrix_margins():
 def test_encoder_equals_plain_encoding(rows):
     e = encoding.worker_encoder(encoding.packed_ranks())
     texts = [r[1] for r in rows if r[1]] + ["a  b", " lead", "tail ", "x\n\ny z", "it's we'll  done\t tab", "é 中文 \U0001f600 ok", "a b c"]
+    white = " \n\t\r\x0b\x0c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    rng = random.Random(11)
+    texts += ["".join(rng.choice(white + "ab'se1é\U0001f600.-") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     for t in texts:
-        ids = np.frombuffer(e.encode(t), np.uint16).tolist()
+        ids = e.encode_text(t).tolist()
         assert ids == e.plain.encode_ordinary(t)
         assert e.plain.decode(ids) == t
 
 
+def test_encoder_splits_slices_by_row(rows):
+    import pyarrow as pa
+
+    e = encoding.worker_encoder(encoding.packed_ranks())
+    texts = [r[1] for r in rows]
+    got = []
+    for s in tk.slices(pa.array(texts, pa.string()), 2000):
+        ids, first = e.encode(s)
+        got += [ids[a:b].tolist() for a, b in zip(first, first[1:])]
+    assert got == [e.plain.encode_ordinary(t or "") for t in texts]
+
+
 def test_token_attribution(docs, rows, empty):
     e = encoding.worker_encoder(encoding.packed_ranks())
     got = defaultdict(list)
@@ -168,6 +247,28 @@ def test_lm_scores(docs, rows, empty, dictionary):
     assert lm_scoring.op8_query(empty).count() == 0
 
 
+def plain_feistel(x, size):
+    """The keyed permutation of one number, in Python integers."""
+    full = (1 << 64) - 1
+
+    def mix(v):
+        v ^= v >> 31
+        v = v * 0x7FB5D329728EA185 & full
+        v ^= v >> 27
+        v = v * 0x81DADEF4BC2DD44D & full
+        return v ^ v >> 33
+
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for k in range(1, training_order.ROUNDS + 1):
+            left, right = right, left ^ (mix(right + mix(k * 0x9E3779B97F4A7C15 + training_order.KEY & full) & full) & mask)
+        x = left << half | right
+        if x < size:
+            return x
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 1000, 4097])
 def test_feistel_is_a_permutation(size):
     x = training_order.feistel(np.arange(size), size)
@@ -176,22 +277,30 @@ def test_feistel_is_a_permutation(size):
         assert (x != training_order.feistel(np.arange(size), size, key=1)).any()
 
 
-def test_training_order_round_trip(docs, rows, empty):
+def test_training_order_round_trip(docs, rows, empty, tmp_path):
     e = encoding.worker_encoder(encoding.packed_ranks())
     shards = training_order.training_shards(docs, shard_records=16)
     got = sorted(shards.collect(), key=lambda r: r.shard)
     slots = [(s.first_slot + k, d, p, n, bytes(s.payload[k * s.stride : (k + 1) * s.stride])) for s in got for k, (d, p, n) in enumerate(zip(s.doc_ids, s.parts, s.n_tokens))]
     assert [s[0] for s in slots] == list(range(len(slots)))
-    texts = defaultdict(dict)
-    for _, d, p, n, raw in slots:
-        texts[d].setdefault(p, []).append(np.frombuffer(raw, np.uint16)[:n].tolist())
+    pad = lambda ids: [*ids, *[encoding.END_OF_TEXT] * (training_order.SEQUENCE - len(ids))]
+    want = Counter()
     for r in rows:
-        if r[0] in (3, None):
-            continue
-        ids = [x for p in sorted(texts[r[0]]) for x in texts[r[0]][p][0]]
-        assert ids[-1] == encoding.END_OF_TEXT and ids[:-1] == e.plain.encode_ordinary(r[1] or "")
-    read = training_order.read_slots(shards, 13, 35, 16)
-    assert [x.tobytes() for x in read] == [s[4] for s in slots[13:35]]
+        ids = [*e.plain.encode_ordinary(r[1] or ""), encoding.END_OF_TEXT]
+        for k in range(0, len(ids), training_order.SEQUENCE):
+            cut = ids[k : k + training_order.SEQUENCE]
+            want[r[0], k // training_order.SEQUENCE, len(cut), np.array(pad(cut), np.uint16).tobytes()] += 1
+    assert Counter(s[1:] for s in slots) == want
+    # every slot anew: the stored number of a sequence, sent through the permutation in plain integers
+    stored = training_order.sequences(docs).collect()
+    number = {k: i for i, k in enumerate(sorted((r.task, r.task_no) for r in stored))}
+    placed = {plain_feistel(number[r.task, r.task_no], len(stored)): (r.doc_id, r.part, r.n_tokens, bytes(r.tokens)) for r in stored}
+    assert [placed[k] for k in range(len(slots))] == [s[1:] for s in slots]
+    folder = str(tmp_path / "shards")
+    training_order.write_shards(docs, folder, shard_records=16)
+    for a, b in ((0, len(slots)), (13, 35), (len(slots) - 1, len(slots) + 40)):
+        read = training_order.read_records(docs.sparkSession, folder, a, b, 16)
+        assert [x.tobytes() for x in read] == [s[4] for s in slots[a:b]]
     assert training_order.training_shards(empty).count() == 0
 
 
