@@ -56,3 +56,16 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]
             held.append(tuple(row))
     if held:
         yield current, held
+
+
+def together(pieces: Iterator[tuple[np.ndarray, ...]], limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of equally long arrays, concatenated until they hold `limit` entries."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= limit:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))

@@ -50,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _written(df: DataFrame, label: str, made: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docgrove/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.System.gc()
     if made is not None:
         made.append(path)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -59,7 +60,6 @@ def _written(df: DataFrame, label: str, made: list[str] | None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,8 +67,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     While it is written, Arrow batches hold BATCH_ROWS rows, for texts may be long.
-    Afterwards the driver's garbage is collected, for only then does Spark delete the
-    shuffle files that led to the table.  Inside ``scratch`` the table lives as long as
+    Before, the driver's garbage is collected, for only then does Spark delete the
+    shuffle files that led to earlier tables.  Inside ``scratch`` the table lives as long as
     the scope; elsewhere, until the folder is cleared.
     """
     return _written(df, label, _made.get())
@@ -89,6 +89,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         _made.reset(token)
         for path in own:
             remove(spark, path)
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

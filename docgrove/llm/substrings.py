@@ -11,9 +11,14 @@ anchor's bucket.  There the distinct contexts are suffix-sorted in two stages, a
 adjacent common prefixes of 50 bytes give the classes of equal strings, with the
 least document of each.
 
-Equal texts are settled first: of them only the least document takes part.  Anchors
-of more than FREQUENT contexts do not go to one task: their strings are dealt out
-one by one by a 128-bit hash.
+No anchor or string gathers in one task, however frequent it is.  A map task sends of
+each anchor its least and its greatest document; the ones between are known to share
+it.  Of equal contexts it sends those of the least document; the others are repeats
+already.  Around an anchor of more than FREQUENT documents the context is parted
+before it is sent: each of its 50-byte strings is a context of its own, in a bucket by
+its own hash, and is sorted there like any other.
+
+Equal texts are settled first: of them only the least document takes part.
 
 Inputs and edge cases
 * null text is empty; texts under 50 bytes lose nothing.
@@ -31,19 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .packing import REMAINDER_BITS, deal, delta, places, unblob, undelta
-from .shared import durable, id_filter, suspect, without
+from .packing import REMAINDER_BITS, deal, delta, places, runs, together, unblob, undelta
+from .shared import durable, hash_filter, id_filter, in_filter, scratch, suspect, without
 from .suffixes import neighbours_agree, suffix_order
 
 LENGTH = 50
 ANCHOR = 26
 REACH = LENGTH - ANCHOR
-FREQUENT = 1 << 15
+#: Documents of an anchor from which its contexts are parted into strings.
+FREQUENT = 1 << 13
 FLUSH = 1 << 19
+#: Entries in a row of documents or spans that need not meet others.
+DIRECT = 1 << 14
 #: Bytes of contexts that are suffix-sorted at once; an anchor's contexts are never parted.
 SORT_BYTES = 1 << 18
 
@@ -62,17 +71,25 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
+def prefix_hashes(s: tk.Slice) -> np.ndarray:
+    """Running sums from which the hash of any byte range of the slice follows."""
+    n = len(s.data)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(tk.BYTE_CODES[s.data] * tk.powers(n + 1)[0][:n], out=prefix[1:])
+    return prefix
+
+
+def range_hashes(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return tk.mix64((prefix[high] - prefix[low]) * tk.powers(len(prefix))[1][low] + (high - low).astype(np.uint64))
+
+
+def anchors(s: tk.Slice, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors in a slice, by position."""
-    data, n = s.data, len(s.data)
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(s.data)
     if n < LENGTH:
-        return none
-    up, down = tk.powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(tk.BYTE_CODES[data] * up[:n], out=prefix[1:])
-    h = tk.mix64((prefix[ANCHOR:] - prefix[:-ANCHOR]) * down[: n - ANCHOR + 1])
-    del prefix
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    prefix = prefix_hashes(s) if prefix is None else prefix
+    h = tk.mix64((prefix[ANCHOR:] - prefix[:-ANCHOR]) * tk.powers(n + 1)[1][: n - ANCHOR + 1])
     least = _sliding(h, REACH + 1, np.minimum)
     lengths = np.diff(s.offsets)
     left = np.repeat(s.offsets[1:], lengths) - np.arange(n)
@@ -93,21 +110,43 @@ def _short(sigs: np.ndarray, buckets: int) -> np.ndarray:
     return (sigs >> _U64(REMAINDER_BITS)) % _U64(buckets) << _U64(REMAINDER_BITS) | sigs & _U64((1 << REMAINDER_BITS) - 1)
 
 
-def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, sigs, docs): each document's distinct anchors, packed by bucket; equal texts once per task."""
+ANCHORS = "bucket int, sigs binary, docs binary, more binary"
 
-    def pack(sig: list[np.ndarray], doc: list[np.ndarray]) -> pa.RecordBatch:
+
+def anchor_blobs(docs: DataFrame, buckets: int, n_places: int) -> DataFrame:
+    """ANCHORS: each document's distinct anchors, packed by bucket; equal texts once per task.
+
+    Of an anchor only its least and its greatest document in the task's hands go to the
+    bucket; `more` counts those between, or is empty.  These go to rows of bucket
+    -1 - place: they share the anchor.
+    """
+
+    def pack(sig: list[np.ndarray], doc: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, d = np.concatenate(sig), np.concatenate(doc)
+        order = np.lexsort((d, s))
+        s, d = s[order], d[order]
+        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        last = np.append(edge[1:], len(s)) - 1
+        between = np.ones(len(s), bool)
+        between[edge] = between[last] = False
+        more = np.zeros(len(s), np.uint32)
+        more[edge] = np.maximum(last - edge - 1, 0)
+        use = between & np.repeat(d[edge] != d[last], last - edge + 1)
+        keys, cols = [], ([], [], [])
+        for place, i, x in deal(d[use] % n_places, d[use], s[use]):
+            keys.append(-1 - place)
+            for c, v in zip(cols, (x.tobytes(), delta(i), b"")):
+                c.append(v)
+        s, d, more = s[~between], d[~between], more[~between]
         bucket = (s >> _U64(REMAINDER_BITS)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        s, d, bucket = s[order], d[order], bucket[order]
         at = np.searchsorted(bucket, np.arange(buckets + 1))
         low = s.view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8]
-        keys = np.flatnonzero(np.diff(at)).tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([low[at[k] : at[k + 1]].tobytes() for k in keys], pa.binary()), pa.array([np.diff(d[at[k] : at[k + 1]], prepend=0).tobytes() for k in keys], pa.binary())],
-            names=["bucket", "sigs", "docs"],
-        )
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            a, b = at[k], at[k + 1]
+            keys.append(k)
+            for c, v in zip(cols, (low[a:b].tobytes(), delta(d[a:b]), more[a:b].tobytes() if more[a:b].any() else b"")):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "sigs", "docs", "more"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -132,143 +171,206 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                     doc.append(np.full(len(u), i, np.int64))
                     held += len(u)
                 if held >= FLUSH:
-                    yield pack(sig, doc)
+                    yield from pack(sig, doc)
                     sig, doc, held = [], [], 0
         if held:
-            yield pack(sig, doc)
+            yield from pack(sig, doc)
 
-    return _texts(docs).mapInArrow(rows, "bucket int, sigs binary, docs binary")
+    return _texts(docs).mapInArrow(rows, ANCHORS)
 
 
-def shared_anchors(blobs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, sigs, frequent): each document's anchors that also stand in another one, packed.
+def shared_anchors(blobs: DataFrame, parts: int, n_places: int) -> DataFrame:
+    """(doc_id, sigs): each document's anchors that also stand in another one, packed.
 
-    The sign bit marks anchors of more than FREQUENT documents; `frequent` says if there are any.
+    Rows without an id hold the anchors of more than FREQUENT documents.
     """
-    n_places, top = places(parts), _U64(1 << 63)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, id, anchor); place -1 holds frequent anchors."""
+        for bucket, held in runs(batches):
+            if bucket < 0:
+                for s, d, _ in held:
+                    yield np.full(len(s) // 8, -1 - bucket), undelta(d), np.frombuffer(s, np.uint64)
+                continue
+            sigs = np.concatenate([unblob(s, bucket) for s, _, _ in held])
+            ids = np.concatenate([undelta(d) for _, d, _ in held])
+            more = np.concatenate([np.frombuffer(m, np.uint32) if m else np.zeros(len(d) // 8, np.uint32) for _, d, m in held])
+            order = np.argsort(sigs, kind="stable")
+            sigs, ids, more = sigs[order], ids[order], more[order]
+            begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            size = np.diff(np.append(begin, len(sigs)))
+            often = sigs[begin[size + np.add.reduceat(more.astype(np.int64), begin) > FREQUENT]]
+            yield np.full(len(often), -1), np.zeros(len(often), np.int64), often
+            keep = np.repeat(np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin), size)
+            yield ids[keep] % n_places, ids[keep], sigs[keep]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
-        if not got:
-            return
-        sigs, ids = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.argsort(sigs, kind="stable")
-        sigs, ids = sigs[order], ids[order]
-        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        size = np.diff(np.append(begin, len(sigs)))
-        keep = np.repeat(np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin), size)
-        sigs = np.where(np.repeat(size > FREQUENT, size), sigs | top, sigs)[keep]
-        ids = ids[keep]
-        order = np.argsort(ids, kind="stable")
-        for place, i, s in deal(ids[order] % n_places, ids[order], sigs[order]):
-            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "docs": [delta(i)], "sigs": [s.tobytes()]})
+        for place, ids, sigs in together(shared(batches), FLUSH):
+            order = np.argsort(ids, kind="stable")
+            keys, cols = [], ([], [])
+            for key, i, s in deal(place[order], ids[order], sigs[order]):
+                keys.append(key)
+                cols[0].append(delta(i))
+                cols[1].append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["place", "docs", "sigs"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(undelta(d), np.frombuffer(s, np.uint64)) for b in batches for d, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        if not got:
-            return
-        ids, sigs = (np.concatenate(x) for x in zip(*got))
-        order = np.argsort(ids, kind="stable")
-        held = list(deal(ids[order], sigs[order]))
-        for x in range(0, len(held), 4096):
-            part = held[x : x + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary()), pa.array([bool((s >= top).any()) for _, s in part])], names=["doc_id", "sigs", "frequent"])
+        for place, got in runs(batches):
+            if place < 0:
+                found = [(None, np.frombuffer(s, np.uint64)) for _, s in got]
+            else:
+                ids = np.concatenate([undelta(d) for d, _ in got])
+                sigs = np.concatenate([np.frombuffer(s, np.uint64) for _, s in got])
+                order = np.argsort(ids, kind="stable")
+                found = list(deal(ids[order], sigs[order]))
+            for x in range(0, len(found), 4096):
+                part = found[x : x + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for _, s in part], pa.binary())], names=["doc_id", "sigs"])
+
+    met = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "place int, docs binary, sigs binary")
+    return met.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(gather, "doc_id bigint, sigs binary")
+
+
+def frequent_anchors(shared: DataFrame) -> np.ndarray:
+    """A bounded filter over the anchors of more than FREQUENT documents.
+
+    An anchor that it holds by chance has its contexts parted too, in every document alike.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["hash"])
 
-    met = blobs.repartition(parts, "bucket").mapInArrow(meet, "place bigint, docs binary, sigs binary")
-    return met.repartition(parts, "place").mapInArrow(gather, "doc_id bigint, sigs binary, frequent boolean")
+    return hash_filter(shared.filter(F.col("doc_id").isNull()).select("sigs").mapInArrow(rows, "hash bigint").distinct())
 
 
 CONTEXTS = "bucket int, sigs binary, docs binary, starts binary, sizes binary, bytes binary, raw_size bigint"
 
 
-def context_blobs(texts: DataFrame, buckets: int) -> DataFrame:
-    """Contexts of shared anchors, packed by bucket; texts has doc_id, text and its packed sigs."""
+def context_blobs(texts: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """CONTEXTS of shared anchors, packed by bucket; texts has doc_id, text and its packed sigs.
 
-    def pack(held: list[tuple]) -> pa.RecordBatch:
-        sig, doc, start, size = (np.concatenate([x[j] for x in held]) for j in range(4))
-        data = np.concatenate([x[4] for x in held])
-        bucket = (sig >> _U64(REMAINDER_BITS)).astype(np.int64)
+    Of equal contexts in the task's hands those of the least document are sent; where
+    the others stand goes to rows of negative buckets, which need not meet any.
+    """
+
+    def pack(held: list[tuple], turn: int) -> Iterator[pa.RecordBatch]:
+        sig, key, doc, start, size = (np.concatenate([x[j] for x in held]) for j in range(5))
+        data = np.concatenate([x[5] for x in held])
         begin = np.cumsum(size) - size
+        order = np.lexsort((doc, size, key, sig))
+        same = np.zeros(len(order), bool)
+        same[1:] = (sig[order[1:]] == sig[order[:-1]]) & (key[order[1:]] == key[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        first = order[head]
+        # a repeat of a smaller document's context, byte for byte
+        later = np.flatnonzero(doc[order] != doc[first])
+        stay = np.ones(len(sig), bool)
+        for x in range(0, len(later), DIRECT):
+            mine, theirs = order[later[x : x + DIRECT]], first[later[x : x + DIRECT]]
+            n = size[mine]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            alike = data[step + np.repeat(begin[mine], n)] == data[step + np.repeat(begin[theirs], n)]
+            stay[mine[np.logical_and.reduceat(alike, np.cumsum(n) - n)]] = False
+        cols: list[list] = [[] for _ in range(7)]
+        d, a, b = united_runs(doc[~stay], start[~stay], (start + size)[~stay])
+        for x in range(0, len(d), DIRECT):
+            at = slice(x, x + DIRECT)
+            for c, v in zip(cols, (-1 - (turn + x // DIRECT) % buckets, b"", delta(d[at]), a[at].tobytes(), (b - a)[at].tobytes(), b"", 0)):
+                c.append(v)
+        bucket = (sig >> _U64(REMAINDER_BITS)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        order = order[stay[order]]
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        cols: list[list] = [[] for _ in range(7)]
         for k in np.flatnonzero(np.diff(at)).tolist():
             use = order[at[k] : at[k + 1]]
             n = size[use]
             pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[use], n)
             raw = data[pick].tobytes()
-            packed = (sig[use].tobytes(), np.diff(doc[use], prepend=0).tobytes(), start[use].astype(np.int64).tobytes(), n.astype(np.uint8).tobytes(), pa.compress(raw, "zstd", asbytes=True), len(raw))
+            packed = (sig[use].tobytes(), delta(doc[use]), start[use].astype(np.int64).tobytes(), n.astype(np.uint8).tobytes(), pa.compress(raw, "zstd", asbytes=True), len(raw))
             for c, v in zip(cols, (k, *packed)):
                 c.append(v)
         kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "sigs", "docs", "starts", "sizes", "bytes", "raw_size"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "sigs", "docs", "starts", "sizes", "bytes", "raw_size"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n_held = 0
-        for doc, s, row, at, sig in _shared_places(batches, buckets, frequent=False):
-            lo = np.maximum(at - REACH, s.offsets[row])
-            size = np.minimum(at + LENGTH, s.offsets[row + 1]) - lo
-            pick = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            held.append((sig, np.full(len(sig), doc, np.int64), lo - s.offsets[row], size, s.data[pick]))
+        n_held, turn = 0, TaskContext.get().partitionId()
+        for doc, s, prefix, row, at, sig in _shared_places(batches, buckets):
+            first, last = s.offsets[row], s.offsets[row + 1]
+            often = in_filter(frequent, sig.view(np.int64))
+            low = np.maximum(at[~often] - REACH, first)
+            high = np.minimum(at[~often] + LENGTH, last)
+            sig = sig[~often]
+            if often.any():
+                starts = np.unique((at[often][:, None] - np.arange(REACH + 1)).ravel())
+                starts = starts[(starts >= first) & (starts + LENGTH <= last)]
+                low, high = np.concatenate([low, starts]), np.concatenate([high, starts + LENGTH])
+                sig = np.concatenate([sig, _short(tk.mix64(range_hashes(prefix, starts, starts + LENGTH)), buckets)])
+            size = high - low
+            pick = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            held.append((sig, range_hashes(prefix, low, high), np.full(len(sig), doc, np.int64), low - first, size, s.data[pick]))
             n_held += len(sig)
             if n_held >= FLUSH // 4:
-                yield pack(held)
-                held, n_held = [], 0
+                yield from pack(held, turn)
+                held, n_held, turn = [], 0, turn + 1
         if n_held:
-            yield pack(held)
+            yield from pack(held, turn)
 
     return texts.select("doc_id", "text", "sigs").mapInArrow(rows, CONTEXTS)
 
 
-def _shared_places(batches: Iterator[pa.RecordBatch], buckets: int, frequent: bool):
-    """Per document with such anchors: id, slice, row, positions and short hashes."""
-    top = _U64(1 << 63)
+def _shared_places(batches: Iterator[pa.RecordBatch], buckets: int):
+    """Per document with shared anchors: id, slice, its prefix hashes, row, positions and short hashes."""
     for batch in batches:
         for s in tk.slices(batch.column(1)):
             ids = batch.column(0).slice(s.first, s.rows()).to_pylist()
             marks = batch.column(2).slice(s.first, s.rows())
-            at, h = anchors(s)
+            prefix = prefix_hashes(s)
+            at, h = anchors(s, prefix)
             h = _short(h, buckets)
             cut = np.searchsorted(at, s.offsets)
             for r, i in enumerate(ids):
-                known = np.frombuffer(marks[r].as_buffer(), np.uint64)
-                known = np.sort(known[(known >= top) == frequent] & ~top)
-                if not len(known):
-                    continue
+                known = np.sort(np.frombuffer(marks[r].as_buffer(), np.uint64))
                 a, b = cut[r], cut[r + 1]
+                if not len(known) or a == b:
+                    continue
                 j = np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)
                 hit = known[j] == h[a:b]
                 if hit.any():
-                    yield i, s, r, at[a:b][hit], h[a:b][hit]
+                    yield i, s, prefix, r, at[a:b][hit], h[a:b][hit]
 
 
 def repeated_spans(contexts: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, from, to): byte ranges covered by strings that also start in a smaller document."""
+    """(doc_id, from, to): byte ranges covered by strings that also start in a smaller document.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[tuple] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                size = np.frombuffer(r["sizes"], np.uint8).astype(np.int64)
-                got.append((np.frombuffer(r["sigs"], np.uint64), np.cumsum(np.frombuffer(r["docs"], np.int64)), np.frombuffer(r["starts"], np.int64), size, np.frombuffer(pa.decompress(r["bytes"], r["raw_size"], "zstd", asbytes=True), np.uint8)))
-        if not got:
-            return
-        sig, doc, start, size, data = (np.concatenate([x[j] for x in got]) for j in range(5))
-        del got
-        begin = np.cumsum(size) - size
-        order = np.argsort(sig, kind="stable")
-        total = np.cumsum(size[order])
-        a = 0
-        while a < len(order):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SORT_BYTES, "right")))
-            while b < len(order) and sig[order[b]] == sig[order[b - 1]]:
-                b += 1
-            yield _spans_of(sig, doc, start, size, begin, data, order[a:b])
-            a = b
+    Partitions are sorted by bucket and worked off bucket by bucket; of a bucket, whole
+    anchors of about SORT_BYTES are suffix-sorted at once.
+    """
 
-    return contexts.repartition(parts, "bucket").mapInArrow(rows, "doc_id bigint, from bigint, to bigint")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, got in runs(batches):
+            doc = np.concatenate([undelta(x[1]) for x in got])
+            start = np.concatenate([np.frombuffer(x[2], np.int64) for x in got])
+            size = np.concatenate([np.frombuffer(x[3], np.int64 if bucket < 0 else np.uint8) for x in got]).astype(np.int64)
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(start + size)], names=["doc_id", "from", "to"])
+                continue
+            sig = np.concatenate([np.frombuffer(x[0], np.uint64) for x in got])
+            data = np.concatenate([np.frombuffer(pa.decompress(x[4], x[5], "zstd", asbytes=True), np.uint8) for x in got])
+            begin = np.cumsum(size) - size
+            order = np.argsort(sig, kind="stable")
+            total = np.cumsum(size[order])
+            a = 0
+            while a < len(order):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SORT_BYTES, "right")))
+                while b < len(order) and sig[order[b]] == sig[order[b - 1]]:
+                    b += 1
+                yield _spans_of(sig, doc, start, size, begin, data, order[a:b])
+                a = b
+
+    return contexts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(rows, "doc_id bigint, from bigint, to bigint")
 
 
 def _spans_of(sig, doc, start, size, begin, data, use) -> pa.RecordBatch:
@@ -280,7 +382,7 @@ def _spans_of(sig, doc, start, size, begin, data, use) -> pa.RecordBatch:
     grid.ravel()[at] = data[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[use], n)]
     # equal contexts of an anchor become one, under their least document
     whole = np.concatenate([sig[use].view(np.uint8).reshape(-1, 8), grid], axis=1)
-    order = np.lexsort((doc[use], _key(whole)))
+    order = np.lexsort((doc[use], _key(whole), sig[use]))
     sorted_rows = whole[order]
     new = np.ones(len(order), bool)
     new[1:] = (sorted_rows[1:] != sorted_rows[:-1]).any(axis=1)
@@ -288,10 +390,15 @@ def _spans_of(sig, doc, start, size, begin, data, use) -> pa.RecordBatch:
     one = order[new]
     least = doc[use][one]
     m = n[one]
-    text = grid[one].ravel()
+    # the strings of an anchor with one context stand in no other place
+    alone = np.ones(len(one), bool)
+    alone[1:] = sig[use][one[1:]] != sig[use][one[:-1]]
+    alone[:-1] &= alone[1:]
+    several = np.flatnonzero(~alone)
+    text = grid[one[several]].ravel()
     sa = suffix_order(text, LENGTH + 6)
-    owner = sa // (width + 1)
-    offset = sa - owner * (width + 1)
+    owner = several[sa // (width + 1)]
+    offset = sa % (width + 1)
     full = offset + LENGTH <= m[owner]
     sa, owner, offset = sa[full], owner[full], offset[full]
     agree = neighbours_agree(text, sa, LENGTH)
@@ -306,7 +413,7 @@ def _spans_of(sig, doc, start, size, begin, data, use) -> pa.RecordBatch:
     fresh = np.ones(len(o), bool)
     fresh[1:] = (o[1:] != o[:-1]) | (f[1:] > f[:-1] + LENGTH)
     lo = np.flatnonzero(fresh)
-    hi = np.append(lo[1:], len(o)) - 1
+    hi = np.append(lo[1:], len(o))[: len(lo)] - 1
     spans_o, spans_a, spans_b = o[lo], f[lo], f[hi] + LENGTH
     is_least = doc[use][order] == least[kind]
     holders = np.flatnonzero(is_least)
@@ -317,9 +424,22 @@ def _spans_of(sig, doc, start, size, begin, data, use) -> pa.RecordBatch:
     place = use[order[rows]]
     out_doc, out_a, out_b = doc[place], start[place] + np.repeat(spans_a, reps), start[place] + np.repeat(spans_b, reps)
     rest = use[order[~is_least & (m[kind] >= LENGTH)]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([out_doc, doc[rest]])), pa.array(np.concatenate([out_a, start[rest]])), pa.array(np.concatenate([out_b, start[rest] + size[rest]]))], names=["doc_id", "from", "to"]
-    )
+    found = united_runs(np.concatenate([out_doc, doc[rest]]), np.concatenate([out_a, start[rest]]), np.concatenate([out_b, start[rest] + size[rest]]))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc_id", "from", "to"])
+
+
+def united_runs(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges a..b by document, overlapping and touching ones made one."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    lift = (np.cumsum(new) - 1) * (int(b.max(initial=0)) + 1)  # ends of one document stay below those of the next
+    reach = np.maximum.accumulate(b + lift)
+    new[1:] |= (a + lift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], a[first], (reach - lift)[last]
 
 
 def _key(rows: np.ndarray) -> np.ndarray:
@@ -332,23 +452,6 @@ def _key(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def frequent_spans(texts: DataFrame, buckets: int) -> DataFrame:
-    """The spans around anchors that are too frequent for one task: strings dealt by their hash."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, s, row, at, _ in _shared_places(batches, buckets, frequent=True):
-            first, last = s.offsets[row], s.offsets[row + 1]
-            starts = np.unique((at[:, None] - np.arange(REACH + 1)).ravel())
-            starts = starts[(starts >= first) & (starts + LENGTH <= last)]
-            keys = [hashlib.blake2b(s.data[p : p + LENGTH], digest_size=16).digest() for p in starts.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.full(len(starts), doc), pa.int64()), pa.array(starts - first, pa.int64())], names=["string", "doc_id", "from"])
-
-    strings = texts.select("doc_id", "text", "sigs").mapInArrow(rows, "string binary, doc_id bigint, from bigint")
-    strings = durable(strings, "strings")
-    least = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("string", "least")
-    return strings.join(least, "string").filter("doc_id > least").select("doc_id", "from", (F.col("from") + LENGTH).alias("to"))
-
-
 def united(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((x["from"], x["to"]) for x in spans):
@@ -362,30 +465,33 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
 REMOVED = "doc_id bigint, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """REMOVED for every row: the maximal removed byte runs and the bytes that stay."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+def _changes(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, spans): what goes of the text with that digest; to = -1 is its end."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, n_places = 3 * parts, places(parts)
     texts = _texts(docs)
-    known = durable(texts.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    known = durable(texts.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest")), "digests")
     named = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("digest"))
     origin = named.groupBy("digest").agg(F.min("doc_id").alias("origin"))
     placed = durable(named.join(origin, "digest").select("doc_id", "digest", "origin"), "origins")
     copies = durable(placed.filter("doc_id <> origin").select("doc_id"), "copies")
 
-    shared = durable(shared_anchors(anchor_blobs(without(docs.select("doc_id", "text"), copies), buckets), parts), "shared-anchors")
-    chosen = shared.select("doc_id", "sigs").join(placed.filter("doc_id = origin").select("doc_id", "digest"), "doc_id")
-    texts_of = _caught(texts, shared.select("doc_id"))
+    shared = durable(shared_anchors(anchor_blobs(without(docs.select("doc_id", "text"), copies), buckets, n_places), parts, n_places), "shared-anchors")
+    chosen = shared.join(placed.filter("doc_id = origin").select("doc_id", "digest"), "doc_id")
+    texts_of = _caught(texts, shared.filter(F.col("doc_id").isNotNull()).select("doc_id"))
     texts_of = texts_of.withColumn("digest", F.md5(F.encode("text", "utf-8"))).join(chosen, ["doc_id", "digest"]).select("doc_id", "text", "sigs")
-    spans = repeated_spans(context_blobs(texts_of, buckets), parts)
-    if not shared.filter("frequent").isEmpty():
-        spans = spans.unionByName(frequent_spans(texts_of, buckets))
-    spans = durable(spans, "spans")
+    spans = durable(repeated_spans(context_blobs(texts_of, buckets, frequent_anchors(shared)), parts), "spans")
 
     per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans")).join(placed.select("doc_id", "digest"), "doc_id")
     copied = placed.filter("doc_id <> origin").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("to"))).alias("spans"), "digest")
-    changes = durable(per_doc.select("doc_id", "spans", "digest").unionByName(copied), "changes")
+    return per_doc.select("doc_id", "spans", "digest").unionByName(copied)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """REMOVED for every row: the maximal removed byte runs and the bytes that stay."""
+    texts = _texts(docs)
+    with scratch(docs.sparkSession) as keep:
+        changes = keep(_changes(docs), "changes")
     changed_ids = changes.select("doc_id").distinct()
     bitmap = id_filter(changed_ids)
     flagged = texts.withColumn("flag", suspect(bitmap)(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long")))))
