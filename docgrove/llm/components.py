@@ -1,61 +1,47 @@
-"""Connected components by rounds of local contraction, one shuffle a round."""
+"""Connected components by large-star and small-star rounds, DataFrame operations only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, scratch
+
 
-STARS = "a bigint, b bigint, changed boolean"
+def _state(edges: DataFrame) -> tuple:
+    """What tells two sets of edges apart."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).first())
 
 
-def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges a < b as stars: (least of its component, node, whether the node had another neighbour)."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, x, label[y])
-        np.minimum.at(label, y, label[x])
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.zeros(len(nodes), bool)
-    other = label[y] != x
-    moved[y[other]] = True
-    leaf = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[leaf]], nodes[leaf], moved[leaf]
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round: larger neighbours move to a node's least neighbour, then smaller ones do."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    large = durable(large, "large-stars")
+    least = large.groupBy("b").agg(F.min("a").alias("m"))
+    small = large.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return small.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links(a, b); component is the least node reachable.
 
-    A round brings the edges of a node together (each edge goes to both its ends),
-    contracts what meets in a partition, and leaves stars around least nodes.  When
-    no partition finds an edge that is not of such a star, the stars are the
-    components.  Distances about halve in a round.
+    Least neighbours are sums that combine before they travel, and they meet the edges
+    in a join of one row per node, which Spark splits where a node has very many edges:
+    no node gathers its neighbours in one task.  Rounds end when the edges no longer
+    change; then they are stars around the least nodes.  Edges from a node to itself
+    are ignored, repeated ones count once; no links give no rows.
     """
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
-        if got:
-            a, b, moved = contracted(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
-            for i in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in (a, b, moved)], names=["a", "b", "changed"])
-
-    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        both = edges.select("a", "b", F.explode(F.array("a", "b")).alias("at"))
-        edges = durable(both.repartition(parts, "at").select("a", "b").mapInArrow(stars, STARS), "stars")
-        if not edges.agg(F.coalesce(F.bool_or("changed"), F.lit(False))).first()[0]:
-            break
-    found = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")))
-    return found.distinct()
+    with scratch(links.sparkSession) as keep:
+        edges = durable(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        before = _state(edges)
+        while before[0]:
+            edges = durable(_stars(edges), "stars")
+            after = _state(edges)
+            if after == before:
+                break
+            before = after
+        found = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        return keep(found, "components")

@@ -13,14 +13,22 @@ none of its signatures is empty there.  Each set signs its partitions in one fix
 order until it has h / (k2 + 1) + 1 + x sound ones.  Of the set that stops first, all
 but h / (k2 + 1) of these give a common signature that is not empty: the pair shares
 at least 1 + x.  Therefore each set may pass over the x signatures that most sets
-share (one order for all sets), which takes frequent lines and passages out.  Sets
+share (one order for all sets), and a set that shares no more than 1 + x with all
+others together has no link: both take frequent lines and passages out.  Sets
 without enough sound partitions sign everything and pass over nothing.
 
+Bands of more than ENUMERATE_UPTO shingles have n2 = 1 and k2 = 0, and sets up to
+SINGLES_UPTO take every shingle as a partition: with n1 > h partitions one of them is
+equal in both sets, and the enumeration of all subsets of size n2 - k2 = 1 is the
+partition itself.  The same scheme, at the end of its range of parameters.
+
 Rows do not travel one by one: each task packs its signatures into blobs by bucket,
 one set per task for equal sets.  Signatures that meet name candidates: first each
-set against the group's least document; then, in families of groups whose sets are
-not yet in one component, every pair of different components that a lower bound on
-their difference does not rule out.  Candidates are checked exactly on whole sets.
+set against the group's hub, the set that is in most groups (the text that variants
+were made from keeps most signatures); then, in families (all groups of one hub) whose
+sets are not yet in one component, every pair of different components.  A lower bound on their difference,
+from small sketches, rules most candidates out; the others are checked exactly on
+whole sets, which only they fetch.
 
 Inputs and edge cases
 * null, empty and wordless texts: no shingles, linked with nothing, own component.
@@ -37,13 +45,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .packing import REMAINDER_BITS, deal, delta, places, unblob, undelta
-from .shared import durable, id_filter, in_filter, without
+from .packing import REMAINDER_BITS, deal, delta, places, runs, together, unblob, undelta
+from .shared import durable, id_filter, in_filter, scratch, without
 
 WIDTH = 5
 SINGLES_UPTO = 48
@@ -52,8 +60,8 @@ ENUMERATE_UPTO = 256
 SLACK = 12
 FLUSH = 1 << 20
 HUB_ROWS = 128
-#: Sets in a block of a family.
-BLOCK = 2048
+#: Sets of a family that are compared with each other in one piece.
+BLOCK = 1024
 
 _U64 = np.uint64
 
@@ -177,30 +185,28 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return _documents(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, key_a bigint, key_b bigint")
 
 
-def _packed(sig: list[np.ndarray], doc: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    s, d = np.concatenate(sig), np.concatenate(doc)
+SIGNATURES = "bucket int, sigs binary, docs binary, keeps binary"
+
+
+def _packed(sig: list[np.ndarray], doc: list[np.ndarray], keeps: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    s, d, k = np.concatenate(sig), np.concatenate(doc), np.concatenate(keeps)
     bucket = ((s >> _U64(REMAINDER_BITS)) % _U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    s, d, bucket = s[order], d[order], bucket[order]
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
+    keys, cols = [], ([], [], [])
     low = s.view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8]
-    keys, sigs, docs = [], [], []
-    for k in np.flatnonzero(np.diff(at)).tolist():
-        a, b = at[k], at[k + 1]
-        keys.append(k)
-        sigs.append(low[a:b].tobytes())
-        docs.append(np.diff(d[a:b], prepend=0).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(sigs, pa.binary()), pa.array(docs, pa.binary())], names=["bucket", "sigs", "docs"])
+    for key, x, i, f in deal(bucket, low, d, k):
+        keys.append(key)
+        for c, v in zip(cols, (x.tobytes(), delta(i), np.packbits(f).tobytes())):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "sigs", "docs", "keeps"])
 
 
 def signature_blobs(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
-    """(bucket, sigs, docs): packed signatures; a doc code is twice the id, plus 1 if it passes over none."""
+    """SIGNATURES: packed by bucket, with the documents and a bit for those that pass over none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        sig: list[np.ndarray] = []
-        doc: list[np.ndarray] = []
-        held = 0
+        held: tuple[list, list, list] = ([], [], [])
+        n_held = 0
         for batch in batches:
             for s in tk.slices(batch.column(1)):
                 ids = batch.column(0).slice(s.first, s.rows()).to_pylist()
@@ -213,16 +219,16 @@ def signature_blobs(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFr
                     seen.add(key)
                     for parity, found, keeps_all in signatures(u):
                         # the lowest bit tells the band's parity
-                        sig.append((found >> _U64(1) << _U64(1)) | _U64(parity))
-                        doc.append(np.full(len(found), 2 * i + keeps_all, np.int64))
-                        held += len(found)
-                if held >= FLUSH:
-                    yield from _packed(sig, doc, buckets)
-                    sig, doc, held = [], [], 0
-        if held:
-            yield from _packed(sig, doc, buckets)
+                        for x, v in zip(held, ((found >> _U64(1) << _U64(1)) | _U64(parity), np.full(len(found), i, np.int64), np.full(len(found), keeps_all))):
+                            x.append(v)
+                        n_held += len(found)
+                if n_held >= FLUSH:
+                    yield _packed(*held, buckets)
+                    held, n_held = ([], [], []), 0
+        if n_held:
+            yield _packed(*held, buckets)
 
-    return _documents(docs).mapInArrow(rows, "bucket int, sigs binary, docs binary")
+    return _documents(docs).mapInArrow(rows, SIGNATURES)
 
 
 def meeting_sets(blobs: DataFrame, parts: int) -> DataFrame:
@@ -233,25 +239,30 @@ def meeting_sets(blobs: DataFrame, parts: int) -> DataFrame:
     """
     n_places = places(parts)
 
+    def shared_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for bucket, got in runs(batches):
+            sigs = np.concatenate([unblob(s, bucket) for s, _, _ in got])
+            docs = np.concatenate([undelta(d) for _, d, _ in got])
+            keeps = np.concatenate([np.unpackbits(np.frombuffer(k, np.uint8), count=len(d) // 8) for _, d, k in got])
+            order = np.argsort(sigs, kind="stable")
+            sigs, docs, keeps = sigs[order], docs[order], keeps[order]
+            begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            size = np.diff(np.append(begin, len(sigs)))
+            shared = np.repeat(size > 1, size)
+            scale = np.repeat(np.minimum(4 * np.log2(size), 127).astype(np.uint8), size)[shared] | keeps[shared] << 7
+            yield docs[shared], sigs[shared], scale
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
-        if not got:
-            return
-        sigs, docs = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.argsort(sigs, kind="stable")
-        sigs, docs = sigs[order], docs[order]
-        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        size = np.diff(np.append(begin, len(sigs)))
-        shared = np.repeat(size > 1, size)
-        scale = np.repeat(np.minimum(4 * np.log2(size), 127).astype(np.uint8), size)[shared] | (docs[shared] & 1).astype(np.uint8) << 7
-        sigs, ids = sigs[shared], docs[shared] >> 1
-        order = np.argsort(ids, kind="stable")
-        sigs, ids, scale = sigs[order], ids[order], scale[order]
-        for place, i, s, c in deal(ids % n_places, ids, sigs, scale):
-            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "docs": [delta(i)], "sigs": [s.tobytes()], "classes": [c.tobytes()]})
-
-    return blobs.repartition(parts, "bucket").mapInArrow(rows, "place bigint, docs binary, sigs binary, classes binary")
+        for ids, sigs, scale in together(shared_ones(batches), FLUSH):
+            order = np.argsort(ids, kind="stable")
+            ids, sigs, scale = ids[order], sigs[order], scale[order]
+            cols = ([], [], [], [])
+            for place, i, s, c in deal(ids % n_places, ids, sigs, scale):
+                for x, v in zip(cols, (place, delta(i), s.tobytes(), c.tobytes())):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "docs", "sigs", "classes"])
+
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(rows, "place bigint, docs binary, sigs binary, classes binary")
 
 
 def k2_of(s: int, parity: int) -> int:
@@ -264,6 +275,7 @@ def k2_of(s: int, parity: int) -> int:
 def used_signatures(meet: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(bucket, sigs, docs): shared signatures less those of the largest groups, within each set's allowance.
 
+    A set that shares fewer signatures than any link of its size needs uses none in that band.
     The sizes of sets come from nodes (doc_id, n), dealt to the same places.
     """
     n_places = places(parts)
@@ -272,68 +284,77 @@ def used_signatures(meet: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     null = F.lit(None).cast("bigint")
     both = meet.withColumns({"doc_id": null, "n": null}).unionByName(sizes)
 
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, got in runs(batches):
+            blobs = [x for x in got if x[0] is not None]
+            if not blobs:
+                continue
+            ids = np.concatenate([undelta(x[0]) for x in blobs])
+            sigs = np.concatenate([np.frombuffer(x[1], np.uint64) for x in blobs])
+            classes = np.concatenate([np.frombuffer(x[2], np.uint8) for x in blobs])
+            order = np.lexsort((sigs, classes & 127, sigs & _U64(1), ids))
+            ids, sigs, classes = ids[order], sigs[order], classes[order]
+            parity = (sigs & _U64(1)).astype(np.int64)
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (parity[1:] != parity[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(ids))
+            size_of = {x[3]: x[4] for x in got if x[0] is None}
+            keeps_all = np.bitwise_or.reduceat(classes, first) >> 7
+            use = np.zeros(len(ids), bool)
+            for i, j, k, p, d in zip(first.tolist(), last.tolist(), keeps_all.tolist(), parity[first].tolist(), ids[first].tolist()):
+                may = 0 if k else allowance(size_of[d], k2_of(size_of[d], p))
+                if k or j - i >= may + 2:
+                    use[i : j - may] = True
+            yield sigs[use], ids[use]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, known, of = [], [], []
-        for b in batches:
-            blob = b.filter(b.column(1).is_valid())
-            got += [(undelta(d), np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint8)) for d, s, c in zip(*(blob.column(k).to_pylist() for k in (1, 2, 3)))]
-            size = b.filter(b.column(1).is_null())
-            known.append(size.column(4).to_numpy(zero_copy_only=False).astype(np.int64))
-            of.append(size.column(5).to_numpy(zero_copy_only=False).astype(np.int64))
-        if not got:
-            return
-        ids, sigs, classes = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.lexsort((sigs, classes & 127, sigs & _U64(1), ids))
-        ids, sigs, classes = ids[order], sigs[order], classes[order]
-        group = ids * 2 + (sigs & _U64(1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-        last = np.append(first[1:], len(group))
-        known, of = np.concatenate(known), np.concatenate(of)
-        sort = np.argsort(known)
-        n = of[sort][np.searchsorted(known[sort], ids[first])]
-        keeps_all = np.bitwise_or.reduceat(classes, first) >> 7
-        use = np.zeros(len(ids), bool)
-        for i, j, s, k, p in zip(first.tolist(), last.tolist(), n.tolist(), keeps_all.tolist(), (group[first] & 1).tolist()):
-            use[i : j if k else max(i, j - allowance(s, k2_of(s, p)))] = True
-        ids, sigs = ids[use], sigs[use]
-        for k, s, d in deal((sigs >> _U64(REMAINDER_BITS)).astype(np.int64), sigs, ids):
-            low = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sigs": [low.tobytes()], "docs": [delta(d)]})
-
-    return both.repartition(parts, "place").mapInArrow(rows, "bucket int, sigs binary, docs binary")
+        for sigs, ids in together(used(batches), FLUSH):
+            cols = ([], [], [])
+            for k, s, d in deal((sigs >> _U64(REMAINDER_BITS)).astype(np.int64), sigs, ids):
+                low = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8]
+                for x, v in zip(cols, (k, low.tobytes(), delta(d))):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "sigs", "docs"])
+
+    return both.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(rows, "bucket int, sigs binary, docs binary")
 
 
 def groups_of(used: DataFrame, parts: int) -> DataFrame:
-    """(grp, doc_id, hub): groups of two or more sets that use one signature; equal groups of a task once.
+    """(grp, doc_id): groups of two or more sets that use one signature; equal groups of a bucket once.
 
-    grp is a hash of the members, hub the least of them.
+    grp is a hash of the members.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(unblob(s, k), undelta(d)) for batch in batches for k, s, d in zip(*(c.to_pylist() for c in batch.columns))]
-        if not got:
-            return
-        sigs, ids = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.lexsort((ids, sigs))
-        sigs, ids = sigs[order], ids[order]
-        begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        size = np.diff(np.append(begin, len(sigs)))
-        members = tk.mix64(np.add.reduceat(tk.mix64(ids.view(np.uint64)), begin) + size.astype(np.uint64)).view(np.int64)
-        first = np.zeros(len(begin), bool)
-        first[np.unique(members, return_index=True)[1]] = True
-        row = np.flatnonzero(np.repeat(first & (size > 1), size))
-        for i in range(0, len(row), 1 << 16):
-            at = row[i : i + (1 << 16)]
-            g = np.searchsorted(begin, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(members[g]), pa.array(ids[at]), pa.array(ids[begin[g]])], names=["grp", "doc_id", "hub"])
-
-    return used.repartition(parts, "bucket").mapInArrow(rows, "grp bigint, doc_id bigint, hub bigint")
-
-
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, shingles): the sets of the documents in nodes, six bytes a shingle."""
+        for bucket, got in runs(batches):
+            sigs = np.concatenate([unblob(s, bucket) for s, _ in got])
+            ids = np.concatenate([undelta(d) for _, d in got])
+            order = np.lexsort((ids, sigs))
+            sigs, ids = sigs[order], ids[order]
+            begin = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+            size = np.diff(np.append(begin, len(sigs)))
+            members = tk.mix64(np.add.reduceat(tk.mix64(ids.view(np.uint64)), begin) + size.astype(np.uint64)).view(np.int64)
+            first = np.zeros(len(begin), bool)
+            first[np.unique(members, return_index=True)[1]] = True
+            row = np.flatnonzero(np.repeat(first & (size > 1), size))
+            for i in range(0, len(row), 1 << 16):
+                at = row[i : i + (1 << 16)]
+                g = np.searchsorted(begin, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(members[g]), pa.array(ids[at])], names=["grp", "doc_id"])
+
+    return used.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(rows, "grp bigint, doc_id bigint")
+
+
+def hubs_of(kept: DataFrame) -> DataFrame:
+    """(grp, doc_id, hub): the hub of a group is the member that is in most groups, of equal ones the least."""
+    often = kept.groupBy("doc_id").count()
+    best = kept.join(often, "doc_id").groupBy("grp").agg(F.min(F.struct((-F.col("count")).alias("less"), F.col("doc_id").alias("hub")))["hub"].alias("hub"))
+    return kept.join(best, "grp").filter(F.col("doc_id") != F.col("hub"))
+
+
+def _of_nodes(docs: DataFrame, nodes: DataFrame, width: int, columns: str, make: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """doc_id and what make gives of the set, for the documents in nodes (doc_id), once each."""
     bitmap = id_filter(nodes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +363,28 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFra
             hit = pa.array(in_filter(bitmap, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))
             kept, texts = ids.filter(hit), batch.column(1).filter(hit)
             for s in tk.slices(texts):
-                sets = [np.unique(u & _U64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for u in tk.shingle_sets(tk.tokenize(s, tk.SOLID), width)]
-                yield pa.RecordBatch.from_arrays([kept.slice(s.first, s.rows()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                made = zip(*[make(u) for u in tk.shingle_sets(tk.tokenize(s, tk.SOLID), width)])
+                yield pa.RecordBatch.from_arrays([kept.slice(s.first, s.rows()), *[pa.array(c, pa.binary()) for c in made]], names=["doc_id", *columns.split()])
 
-    found = _documents(docs).filter(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id")).mapInArrow(rows, "doc_id bigint, shingles binary")
+    kinds = ", ".join(f"{c} binary" for c in columns.split())
+    found = _documents(docs).filter(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id")).mapInArrow(rows, f"doc_id bigint, {kinds}")
     return found.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, shingles): the sets of the documents in nodes, six bytes a shingle."""
+    return _of_nodes(docs, nodes, width, "shingles", lambda u: (_short_set(u).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),))
+
+
+def set_sketches(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, payload): four bytes of size and the sketch of the documents in nodes."""
+    return _of_nodes(docs, nodes, width, "payload", lambda u: (len(v := _short_set(u)).to_bytes(4, "little") + sketch(v),))
+
+
+def _short_set(u: np.ndarray) -> np.ndarray:
+    return np.unique(u & _U64((1 << 48) - 1))
+
+
 def _unpacked(b: bytes) -> np.ndarray:
     raw = np.frombuffer(b, np.uint8).reshape(-1, 6)
     wide = np.zeros((len(raw), 8), np.uint8)
@@ -399,27 +435,13 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Candidate pairs that the sketches do not rule out."""
-    payload = F.concat(F.col("size"), F.col("sketch"))
-    return _with_hubs(pairs, sketches.select(F.col("node").alias("doc_id"), payload.alias("payload")), _possible).select("a", "b")
-
-
-def sketches_of(sets: DataFrame) -> DataFrame:
-    """(node, size, sketch) of whole sets; size is four bytes."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in range(0, b.num_rows, 512):
-                part = b.slice(x, 512)
-                found = [_unpacked(v) for v in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u).to_bytes(4, "little") for u in found], pa.binary()), pa.array([sketch(u) for u in found], pa.binary())], names=["node", "size", "sketch"])
-
-    return sets.select("doc_id", "shingles").mapInArrow(rows, "node bigint, size binary, sketch binary")
+    return _with_hubs(pairs, sketches, _possible).select("a", "b")
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """Counts of the set's shingles by low hash bits; as many bytes as half the shingles, at least."""
+    """Counts of the set's shingles by low hash bits; as many bytes as the set has shingles, at least."""
     size = 64
-    while size < len(u) // 2:
+    while size < len(u):
         size *= 2
     return np.minimum(np.bincount((u & _U64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
@@ -434,31 +456,24 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def across_families(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def across_components(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of unlike components in one family that their sketches do not rule out.
 
-    Two sets differ in at least as many shingles as their sketches do.  A family's
-    sets are compared in pairs of blocks of BLOCK sets, ordered by size, and blocks too
-    far apart in size are not paired; a task holds two blocks.
+    members has family, node, component and n.  Two sets differ in at least as many
+    shingles as their sketches do.  A family of more than BLOCK sets is dealt into
+    blocks by hash, and pairs of blocks are compared.
     """
-
-    by_size = Window.partitionBy("family").orderBy("n", "node")
-    placed = durable(members.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "members")
-    rows = placed.join(sketches.select("node", "sketch"), "node")
-    blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (4 * F.col("x.high") >= 3 * F.col("y.low")))
-    near = near.filter((F.least("x.c_low", "y.c_low") < F.greatest("x.c_high", "y.c_high"))).select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = near.select("family", "i", "j", F.col("i").alias("block")).union(near.filter("i < j").select("family", "i", "j", F.col("j").alias("block")))
-    dealt = rows.join(sides, ["family", "block"])
+    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(sketches.withColumnRenamed("doc_id", "node"), "node").withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "payload")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         block, node, comp, n = (t[c].to_numpy() for c in ("block", "node", "component", "n"))
-        s = _folded(t["sketch"].to_pylist())
-        left = np.flatnonzero(block == i)
+        s = _folded([x[4:] for x in t["payload"].to_pylist()])
         a, b = [], []
-        for p in left.tolist():
+        for p in np.flatnonzero(block == i).tolist():
             with_ = np.flatnonzero((comp != comp[p]) & (4 * np.minimum(n, n[p]) >= 3 * np.maximum(n, n[p])) & ((block == j) if i != j else (np.arange(len(n)) > p)))
             if len(with_):
                 apart = np.abs(s[with_] - s[p]).sum(axis=1, dtype=np.int64)
@@ -468,7 +483,7 @@ def across_families(members: DataFrame, sketches: DataFrame) -> DataFrame:
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -480,51 +495,61 @@ def link_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Not every link is looked for: two texts that others already put into one component are not compared.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_link_components(docs, width), "linked")
+
+
+def _link_components(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = durable(shingle_counts(docs, width), "shingle-counts")
     known = counted.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # equal sets, by their key, are one node: the least document
-    same = known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    same = known.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     nodes = durable(known.select("doc_id", "key_a", "key_b").distinct().join(same, ["key_a", "key_b"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("n_shingles").alias("n")), "nodes")
 
     meet = meeting_sets(signature_blobs(docs, 4 * parts, width), parts)
     kept = durable(groups_of(used_signatures(meet, nodes, parts), parts).distinct(), "kept")
 
     of = nodes.select("doc_id", "node", "n")
-    stars = kept.select("doc_id", "hub").distinct().join(of, "doc_id").select("hub", F.col("node").alias("x"), F.col("n").alias("n_x")).distinct()
-    stars = stars.join(of.withColumnRenamed("doc_id", "hub"), "hub").filter("4 * least(n, n_x) >= 3 * greatest(n, n_x)").select("x", F.col("node").alias("y"))
-    pairs = durable(_pairs(stars, "x", "y"), "pairs")
-    needed = kept.select("doc_id").distinct().join(of, "doc_id").select(F.col("node").alias("doc_id")).distinct()
-    sets = durable(whole_sets(docs, durable(needed, "needed"), width), "sets")
-    sketches = durable(sketches_of(sets), "sketches")
-    linked = durable(checked(durable(possible(pairs, sketches), "possible"), sets), "links")
+    hub = of.select(F.col("doc_id").alias("hub"), F.col("node").alias("family"), F.col("n").alias("n_hub"))
+    stars = durable(hubs_of(kept).select("doc_id", "hub").distinct().join(of, "doc_id").join(hub, "hub").select("family", "node", "n", "n_hub").distinct(), "stars")
+    pairs = durable(_pairs(stars.filter("4 * least(n, n_hub) >= 3 * greatest(n, n_hub)"), "family", "node"), "pairs")
+    inside = durable(stars.select("family", "node").union(stars.select("family", F.col("family").alias("node"))).distinct(), "families")
+    needed = durable(inside.select(F.col("node").alias("doc_id")).distinct(), "needed")
+    sketches = durable(set_sketches(docs, needed, width), "sketches")
+    linked = _linked_pairs(docs, durable(possible(pairs, sketches), "possible"), width)
     found = components(linked)
 
-    # groups that still hold different components: every pair across them that was not checked
-    placed = of.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    grouped = kept.select("grp", "doc_id").join(placed, "doc_id").select("grp", "node", "component").distinct()
-    mixed = grouped.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("hub_node")).filter("least <> most").select("grp", "hub_node")
-    across = grouped.join(mixed, "grp")
-    family = components(across.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct())
-    labelled = across.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node").join(nodes.filter("doc_id = node").select("node", "n"), "node")
-    more = across_families(labelled, sketches).join(pairs, ["a", "b"], "left_anti")
-    linked_too = durable(checked(durable(more, "pairs"), sets), "links")
-    all_links = linked.unionByName(linked_too)
-    if not linked_too.isEmpty():
-        found = components(all_links)
+    # families that still hold different components: every pair across them that was not checked
+    members = inside.join(found, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component")).join(nodes.filter("doc_id = node").select("node", "n"), "node")
+    members = durable(members, "members")
+    mixed = members.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("family")
+    members = members.join(mixed, "family")
+    more = durable(across_components(members, sketches).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    linked_too = None if more.isEmpty() else _linked_pairs(docs, more, width)
+    if linked_too is not None and not linked_too.isEmpty():
+        found = components(linked.unionByName(linked_too))
     labels = of.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return counted.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _linked_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Of the pairs (a, b) those that link, checked on the whole sets of their documents."""
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    sets = durable(whole_sets(docs, ends, width), "sets")
+    return durable(checked(pairs, sets), "links")
+
+
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the documents that are not the least of their component.
 
     Only rows that a bounded filter over the dropped ids catches are joined with
     them; the others pass without a shuffle of their texts.
     """
-    found = link_components(docs, width)
-    drop = durable(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
+    with scratch(docs.sparkSession) as keep:
+        found = link_components(docs, width)
+        drop = keep(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
     return without(docs, drop)
 
 

@@ -48,6 +48,15 @@ def test_components_match_all_pairs(docs, rows, empty):
     assert J.op5_query(empty).count() == 0
 
 
+def test_components_of_ids_of_the_full_range(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    ids = [(1 << 63) - 1, -(1 << 63), 1 << 62, -(1 << 62) - 5, 3]
+    docs = spark.createDataFrame([(i, text if i != 3 else "other words", 5) for i in ids], "doc_id bigint, text string, dropped_id int")
+    got = {r.doc_id: r.component_id for r in J.op5_query(docs).collect()}
+    assert got == {i: (-(1 << 63) if i != 3 else 3) for i in ids}
+    assert {r.doc_id for r in J.one_of_each(docs).collect()} == {-(1 << 63), 3}
+
+
 def test_components_claim_no_count_of_links(docs):
     assert J.link_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
 
@@ -72,14 +81,15 @@ def test_linking_sets_share_more_signatures_than_they_may_pass_over(n):
         if not J.links(inter, n, len(t)):
             continue
         a, b = (J.signatures(np.unique(x)) for x in (s, t))
-        shared, free = {}, {}
+        shared, free, enough = {}, {}, {}
         for parity in (0, 1):
             x = {int(v) for p, sig, _ in a if p == parity for v in sig}
             y = {int(v) for p, sig, _ in b if p == parity for v in sig}
             shared[parity] = len(x & y)
             may = [0 if k else J.allowance(len(z), J.k2_of(len(z), parity)) for z, f in ((s, a), (t, b)) for p, _, k in f if p == parity]
             free[parity] = max(may, default=0)
-        assert any(shared[p] > free[p] for p in (0, 1))
+            enough[parity] = all(k or shared[parity] >= J.allowance(len(z), J.k2_of(len(z), parity)) + 2 for z, f in ((s, a), (t, b)) for p, _, k in f if p == parity)
+        assert any(shared[p] > free[p] and enough[p] for p in (0, 1))
 
 
 def test_bands_cover_every_linking_pair_of_sizes():
@@ -120,7 +130,7 @@ def expected_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [1 << 15, 3])
+@pytest.mark.parametrize("frequent", [1 << 12, 3, 0])
 def test_repeats_match_brute_force(docs, rows, frequent, monkeypatch):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
     want = expected_removal(rows)
