@@ -7,13 +7,16 @@ hypergeometric law, whose margins are the partition counts and the shard sizes.
 Rows are then permuted inside their partition (by a keyed hash), the first go to
 shard 0 and so on by the drawn counts, and are permuted again inside the shard.
 
-Only counts per partition and per shard bucket reach the driver; both are bounded
-by the number of partitions, which follows the number of rows / PARTITION_ROWS.
+The matrix is drawn in two steps, which gives the same law: the driver draws the
+counts of GROUPS ranges of partitions, and a task per range draws those of its
+partitions, with a seed of its own.  Nothing that reaches the driver or is broadcast
+grows beyond GROUPS rows, and HOT_PARTITIONS for rows that repeat very often.
 
 Inputs and edge cases
 * null text: size 1, crc32 of the empty string.  Null doc_id: placed by the hash of
   size and crc32, and returned as null.
 * repeated rows are placed one by one; rows equal in id and text are exchangeable.
+  Partitions that repeated rows overfill are parted by the rows' place in the input.
 * an empty table gives no rows; fewer rows than shards leave the last shards empty.
 * other input columns travel in a struct and cannot clash.
 """
@@ -23,20 +26,24 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import durable, utf8_size
+from .shared import durable, scratch, utf8_size
 
 SHARDS = 8
 SEED = 20250
 PARTITION_ROWS = 8192
+GROUPS = 1024
+#: Overfilled partitions up to which their list is broadcast.
+HOT_PARTITIONS = 100_000
 
 
 def draw_hypergeometric(rng: random.Random, good: int, bad: int, sample: int) -> int:
-    """How many of `sample` draws without replacement from good + bad are good; exact for any size.
+    """How many of `sample` draws without replacement from good + bad are good.
 
-    Rejection for discrete log-concave laws: a flat middle and exponential tails
+    Exact up to the rounding of log-gamma: about 1e-3 of the mass at 10**11.  Rejection for discrete log-concave laws: a flat middle and exponential tails
     around the mode cover the law, whose mass is evaluated by log-gamma.
     """
     low, high = max(0, sample - bad), min(sample, good)
@@ -81,30 +88,52 @@ def communication_matrix(counts: list[int], shards: list[int], seed: int = SEED)
     return matrix
 
 
-def shuffle_into_shards(docs: DataFrame, identity: list[F.Column], n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, identity: list[Column], n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs as struct `doc`, with shard (0..n_shards-1, sizes at most one apart) and slot (gapless from 0).
 
     `identity` are the columns that tell rows apart; they seed both permutations.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_sharded(docs, identity, n_shards, seed), "slots")
+
+
+def _sharded(docs: DataFrame, identity: list[Column], n_shards: int, seed: int) -> DataFrame:
     n_rows = docs.count()
     n_parts = max(1, -(-n_rows // PARTITION_ROWS))
-    placed = docs.select(F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(n_parts)).alias("part"), F.xxhash64(F.lit(seed + 1), *identity).alias("first_key"), F.xxhash64(F.lit(seed + 2), *identity).alias("second_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    counted = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    counts = [counted.get(p, 0) for p in range(n_parts)]
+    keyed = durable(docs.select(*[F.xxhash64(F.lit(seed + k), *identity).alias(f"key{k}") for k in range(3)], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "keyed")
+    whole = keyed.withColumn("part", F.pmod("key0", F.lit(n_parts))).withColumn("sub", F.lit(0))
+    overfull = durable(whole.groupBy("part").count().filter(F.col("count") > 4 * PARTITION_ROWS), "overfull")
+    n_hot = overfull.count()
+    if n_hot:
+        # rows that repeat too often also go by their place in the stored table, which does not change
+        hot = overfull.select(F.col("part").alias("hot"), F.ceil(F.col("count") / PARTITION_ROWS).alias("pieces"))
+        salted = keyed.withColumn("part", F.pmod("key0", F.lit(n_parts))).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+        met = salted.join(F.broadcast(hot) if n_hot <= HOT_PARTITIONS else hot, F.col("part") == F.col("hot"), "left")
+        key = lambda k: F.when(F.col("hot").isNull(), F.col(f"key{k}")).otherwise(F.xxhash64(f"key{k}", "place")).alias(f"key{k}")
+        whole = met.select("part", F.coalesce(F.pmod("place", F.col("pieces")), F.lit(0)).cast("int").alias("sub"), "key0", key(1), key(2), "doc")
+    placed = durable(whole, "placed")
+    counts = durable(placed.groupBy("part", "sub").count().withColumn("grp", F.floor(F.col("part") * GROUPS / n_parts).cast("int")), "part-counts")
     sizes = [n_rows // n_shards + (s < n_rows % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix(counts, sizes, seed)
-    ends = [[sum(row[: s + 1]) for s in range(n_shards)] for row in matrix]
-    spark = docs.sparkSession
-    sent = F.broadcast(spark.createDataFrame([(p, e) for p, e in enumerate(ends)], "part long, ends array<long>"))
-    local = placed.withColumn("turn", F.row_number().over(Window.partitionBy("part").orderBy("first_key", "second_key")).cast("long"))
-    sharded = local.join(sent, "part").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("turn"))))
+    in_group = {r["grp"]: r["n"] for r in counts.groupBy("grp").agg(F.sum("count").alias("n")).collect()}
+    groups = sorted(in_group)
+    margins = dict(zip(groups, communication_matrix([in_group[g] for g in groups], sizes, seed)))
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["part", "sub"])
+        g = int(part["grp"].iloc[0])
+        matrix = communication_matrix(part["count"].tolist(), margins[g], seed * GROUPS + g + 1)
+        return pd.DataFrame({"part": part["part"], "sub": part["sub"], "ends": [[sum(row[: s + 1]) for s in range(n_shards)] for row in matrix]})
+
+    sent = counts.groupBy("grp").applyInPandas(draw, "part bigint, sub int, ends array<bigint>")
+    turn = F.row_number().over(Window.partitionBy("part", "sub").orderBy("key1", "key2")).cast("long")
+    sharded = placed.withColumn("turn", turn).join(sent, ["part", "sub"]).withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("turn"))))
     bits = max(0, math.ceil(math.log2(max(1, n_rows / n_shards / PARTITION_ROWS))))
     # the high bits of the second key, as an unsigned number, order the buckets of a shard
-    bucket = F.shiftrightunsigned("second_key", 64 - bits) if bits else F.lit(0).cast("long")
-    sharded = durable(sharded.select("doc", "shard", "second_key", "first_key", bucket.alias("bucket")), "sharded")
+    bucket = F.shiftrightunsigned("key2", 64 - bits) if bits else F.lit(0).cast("long")
+    sharded = durable(sharded.select("doc", "shard", "key2", "key1", bucket.alias("bucket")), "sharded")
     tally = sharded.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.broadcast(tally.withColumn("ahead", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("second_key", "first_key"))
+    ahead = tally.withColumn("ahead", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key2", "key1"))
     return sharded.withColumn("inside", inside).join(ahead, ["shard", "bucket"]).select("doc", "shard", (F.col("ahead") + F.col("inside") - 1).alias("slot"))
 
 
