@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docgrove.llm import decontamination, jaccard, mixing, quality, training_order
-from docgrove.llm.shared import durable, table
+from docgrove.llm.shared import scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder and read again."""
+    """All stages over documents.
+
+    What a stage keeps is written to the shared folder and read again.  Tables that a
+    stage made on its way go with the stage; of the stages' own tables, the one that the
+    last stage reads stays, and the others go.
+    """
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs, "stage-" + name.split()[0])
-    return docs
+    *early, (_, last) = STAGES
+    with scratch(spark) as keep_last:
+        for i, (name, stage) in enumerate(early):
+            with scratch(spark) as keep:
+                kept = keep_last if i == len(early) - 1 else keep
+                docs = kept(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    return last(spark, docs, sf_dir)
