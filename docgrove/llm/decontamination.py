@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import durable, without
+from .shared import durable, scratch, unused_name, without
 
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; larger benchmarks go in blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct benchmark terms up to which postings are kept only for them.
 VOCABULARY_LIMIT = 1 << 21
 _CANDIDATES = 1 << 20
@@ -85,7 +85,7 @@ def item_windows(items: list[tuple[str | None, str | None]], width: int = WINDOW
     grid, length, item = np.concatenate(rows), np.concatenate(lengths), of_row[np.concatenate(owner)]
     real = np.arange(width) < length[:, None]
     vocabulary = np.unique(grid[real])
-    terms = np.where(real, np.searchsorted(vocabulary, grid), -1)
+    terms = np.where(real, np.searchsorted(vocabulary, grid), -1).astype(np.int32)
     return Windows(vocabulary, terms, length, item, ids)
 
 
@@ -320,23 +320,25 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Of rows that share an id, one contaminated row takes all.  Rows with a null id
     stand behind one id in the first look, and are judged by text if that one is hit.
     """
-    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-    hit = durable(decontaminate(named, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct(), "contaminated")
-    bare = hit.filter(F.col("doc_id") == NO_ID).select("doc_id")
-    kept = without(docs.filter(F.col("doc_id").isNotNull()), hit.filter(F.col("doc_id") != NO_ID))
-    nameless = docs.filter(F.col("doc_id").isNull())
-    if not bare.isEmpty():
-        # rows without an id: judged one by one, by their text
-        texts = decontaminated_texts(nameless, benchmark)
-        nameless = nameless.join(texts, nameless["text"].eqNullSafe(texts["clean_text"]), "left_semi")
-    return kept.unionByName(nameless)
-
-
-def decontaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """clean_text: the distinct texts of docs without a benchmark window."""
-    texts = durable(docs.select("text").distinct().select("text", F.xxhash64("text").alias("doc_id")), "texts")
+    with scratch(docs.sparkSession) as keep:
+        named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
+        hit = keep(decontaminate(named, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct(), "contaminated")
+        nameless = docs.filter(F.col("doc_id").isNull())
+        bad = None
+        if not hit.filter(F.col("doc_id") == NO_ID).isEmpty():
+            # rows without an id: judged one by one, by their text
+            bad = keep(contaminated_texts(nameless, benchmark), "contaminated-texts")
+    if bad is not None:
+        text = unused_name("bad_text", docs)
+        nameless = nameless.join(bad.toDF(text), F.col("text") == F.col(text), "left_anti")
+    return without(docs.filter(F.col("doc_id").isNotNull()), hit.filter(F.col("doc_id") != NO_ID)).unionByName(nameless)
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """text: the distinct texts of docs with a benchmark window."""
+    texts = durable(docs.filter(F.col("text").isNotNull()).select("text").distinct().select("text", F.xxhash64("text").alias("doc_id")), "texts")
     hit = decontaminate(texts, benchmark).filter(F.size("spans") > 0).select("doc_id").distinct()
-    return texts.join(hit, "doc_id", "left_anti").select(F.col("text").alias("clean_text"))
+    return texts.join(hit, "doc_id", "left_semi").select("text")
 
 
 def _verdicts(found: DataFrame, *more: Column) -> DataFrame:
