@@ -1,26 +1,38 @@
-"""The engine: reindex, search, export and clear over configured sources."""
+"""The engine: reindex, search, preview, export, dump and clear over configured sources."""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import embedding_text
+from ..functions import text as tx
+from ..functions.tokens import TOKEN_CAP, TokenCap
 from ..functions.vectors import HashingEmbedder
 from ..model import ChunkConfig
 from ..operators.chunking import chunk_rows, markdown_chunks, mdx_chunks
 from ..operators.html import html_chunks
-from ..operators.openapi import spec_chunks
-from ..sources.files import Source, read_source
+from ..operators.openapi import doc_url_map, spec_chunks
+from ..sources.config import resolve_deletion
+from ..sources.files import Source, read_chunk_dump, select_files
+from ..sources.remote import Staging, read_source
 from . import search as s
 from .index import VectorIndex, to_records
 
-#: Token cap of an embedding input, counted as four characters a token.
-TOKEN_CAP, CHARS_PER_TOKEN = 8100, 4
+#: Without a vocabulary, a token counts as so many characters.
+CHARS_PER_TOKEN = 4
+#: Parsers whose files fail one by one; a bad file of another parser fails its source.
+ISOLATED = ("html",)
+
+
+class SourceError(RuntimeError):
+    """A source that is not optional has files that cannot be parsed."""
 
 
 def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -43,11 +55,19 @@ def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig())
     return chunk_rows(files, make, keep=["source"])
 
 
-def _mdx(text: str, path: str, source: Source, config: ChunkConfig) -> list[dict]:
-    import re
+def with_page_urls(chunks: DataFrame, pages: DataFrame, base_url: str) -> DataFrame:
+    """API chunks with the address of the page (path, content) whose frontmatter names their operation."""
+    urls = doc_url_map(pages, base_url).withColumnRenamed("url", "page_url")
+    key = F.concat(F.upper("metadata.method"), F.lit(" "), F.col("metadata.path"))
+    joined = chunks.withColumn("key", key).join(urls, "key", "left")
+    address = F.coalesce("page_url", "metadata.sourceUrl")
+    return joined.withColumn("metadata", F.col("metadata").withField("sourceUrl", address)).select(*chunks.columns)
 
+
+def _mdx(text: str, path: str, source: Source, config: ChunkConfig) -> list[dict]:
     import yaml
 
+    text = tx.apply_str(tx.LINE_ENDINGS, text)
     head = re.match(r"(?s)\A---\n(.*?)\n---\n?", text)
     front = (yaml.safe_load(head[1]) if head else None) or {}
     slug = re.sub(r"/index$", "", re.sub(r"(?i)\.mdx?$", "", path))
@@ -59,11 +79,14 @@ def _mdx(text: str, path: str, source: Source, config: ChunkConfig) -> list[dict
     return mdx_chunks(body, f"{source.name}/{slug}", path, str(front.get("title") or slug.split("/")[-1]), front.get("description"), category, url, config)
 
 
-def embed_chunks(chunks: DataFrame, embedder: HashingEmbedder) -> DataFrame:
-    """chunks with `values`, embedded in Arrow batches; a chunk and its vector stay one row."""
+def embed_chunks(chunks: DataFrame, embedder: HashingEmbedder, cap: TokenCap | None = None) -> DataFrame:
+    """chunks with `values`, embedded in Arrow batches; a chunk and its vector stay one row.
+
+    Inputs are cut at TOKEN_CAP tokens of `cap`, or else at as many times CHARS_PER_TOKEN characters.
+    """
     m = lambda k: F.col(f"metadata.{k}")
-    text = embedding_text(F.col("documentTitle"), F.col("heading"), F.col("content"), m("language"), m("repository"), m("method"), m("path"), m("description"))
-    rows = chunks.withColumn("_input", F.substring(text, 1, TOKEN_CAP * CHARS_PER_TOKEN))
+    text = tx.embedding_text(F.col("documentTitle"), F.col("heading"), F.col("content"), m("language"), m("repository"), m("method"), m("path"), m("description"))
+    rows = chunks.withColumn("_input", cap.apply(text) if cap else F.substring(text, 1, TOKEN_CAP * CHARS_PER_TOKEN))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -72,45 +95,113 @@ def embed_chunks(chunks: DataFrame, embedder: HashingEmbedder) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = pa.array([embedder.embed(t or "") for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], vectors], schema=arrow)
+            vectors = embedder.embed_batch(b.column(b.num_columns - 1))
+            if vectors.shape != (b.num_rows, embedder.dimension):
+                raise ValueError(f"{vectors.shape} embeddings for {b.num_rows} texts in {embedder.dimension} dimensions")
+            values = pa.ListArray.from_arrays(pa.array(range(0, vectors.size + 1, embedder.dimension), pa.int32()), pa.array(vectors.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], values], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, index_path: str, embedder: HashingEmbedder | None = None, name: str = "docs"):
-        self.spark, self.embedder, self.name = spark, embedder or HashingEmbedder(), name
+    """Sources to index to results.
+
+    `staging` brings remote sources to files; its folder must be shared on a cluster.
+    """
+
+    def __init__(self, spark: SparkSession, index_path: str, embedder: HashingEmbedder | None = None, name: str = "docs", staging: Staging | None = None, cap: TokenCap | None = None):
+        self.spark, self.embedder, self.name, self.cap = spark, embedder or HashingEmbedder(), name, cap
         self.index = VectorIndex(spark, index_path, self.embedder.dimension)
+        self.staging = staging or Staging(spark, f"{self.index.path}/_staging")
 
     def chunks(self, sources: list[Source], config: ChunkConfig = ChunkConfig()) -> DataFrame:
-        """All chunks in config order (`source_ord`); optional sources that fail are left out."""
+        """All chunks in config order (`source_ord`), with an `error` column; missing optional sources are left out."""
         parts = []
         for i, source in enumerate(sources):
-            files = read_source(self.spark, source)
+            try:
+                files = read_source(source, self.staging)
+            except Exception:
+                if not source.optional:
+                    raise
+                files = None
             if files is not None:
-                parts.append(parse(files, source, config).withColumn("source_ord", F.lit(i)))
+                found = parse(files, source, config)
+                if source.parser == "openapi" and source.type == "local":
+                    found = with_page_urls(found, self._pages(source), source.base_url)
+                parts.append(found.withColumn("source_ord", F.lit(i)))
         if not parts:
             raise ValueError("no source could be read")
         return reduce(DataFrame.unionByName, parts)
 
-    def reindex(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), namespace: str = "") -> DataFrame:
-        """Builds and publishes the chunks of each source; returns the manifest row."""
-        found = self.chunks(sources, config)
-        good = found.filter(F.col("error").isNull())
-        for source in sources:
-            own = embed_chunks(good.filter(F.col("source") == source.name).drop("error", "source_ord"), self.embedder)
-            self.index.upsert(to_records(own), source.name, namespace, replace_source=True)
-        return manifest(good)
+    def _pages(self, source: Source) -> DataFrame:
+        """The .mdx files of a source's folder, in which frontmatter may name operations."""
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mdx").load(source.path)
+        path = F.substring_index("path", source.path.rstrip("/") + "/", -1)
+        return select_files(raw.select(path.alias("path"), F.decode("content", "utf-8").alias("content")), "mdx")
+
+    def reindex(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), namespace: str = "", dry_run: bool = False) -> DataFrame:
+        """Parses each source once and publishes all chunks as one version; returns the manifest row.
+
+        A file that cannot be parsed fails its source: an optional one is left as it
+        was, any other ends the run before anything is published.  A dry run stops
+        before the vectors.
+        """
+        path = f"{self.index.path}/_chunks-{uuid.uuid4().hex}"
+        try:
+            found = self.chunks(sources, config)
+            found.write.parquet(path)
+            found = self.spark.read.schema(found.schema).parquet(path)
+            failed = self._failed(found, sources)
+            good = found.filter(F.col("error").isNull() & ~F.col("source").isin(failed))
+            if not dry_run:
+                records = to_records(embed_chunks(good.drop("error", "source_ord"), self.embedder, self.cap), keep=("source",))
+                read = {r["source"] for r in found.select("source").distinct().collect()}  # one row per source
+                self.index.replace(records, sorted(read - set(failed)), namespace)
+            return self.spark.createDataFrame(manifest(good).collect(), "totalChunks bigint, categories array<string>, sources array<string>")
+        finally:
+            self.index.remove(path)
+            self.staging.cleanup()
+
+    def _failed(self, found: DataFrame, sources: list[Source]) -> list[str]:
+        of = {x.name: x for x in sources}
+        bad = found.filter("error is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("error")).collect()  # one row per source
+        failed = []
+        for r in bad:
+            if of[r["source"]].parser in ISOLATED:
+                continue
+            if not of[r["source"]].optional:
+                raise SourceError(f"{r['n']} files of source {r['source']} failed, among them: {r['error']}")
+            failed.append(r["source"])
+        return failed
+
+    def preview(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), n: int = 3) -> DataFrame:
+        """The first n chunks as a dry run shows them."""
+        found = self.chunks(sources, config).filter("error is null")
+        return found.orderBy("source_ord", "documentPath", "id").limit(n).select("heading", F.col("documentPath").alias("path"), "category", F.length("content").alias("size"))
 
     def search(self, query: str, limit: int | None = None, namespace: str | None = None) -> DataFrame:
-        return s.search(self.index.read(namespace), self.embedder.embed, query, limit)
+        return s.search(self.index.read(namespace), self._query, query, limit)
+
+    def _query(self, text: str) -> list[float]:
+        found = self.embedder.embed(text, "query")
+        if len(found) != self.index.dimension:
+            raise ValueError(f"the query has {len(found)} dimensions, the index {self.index.dimension}")
+        return found
 
     def search_text(self, query: str, limit: int | None = None) -> str:
         return s.format_results(self.search(query, limit), query, self.name).first()["text"]
 
-    def clear(self) -> None:
-        self.index.clear()
+    def export_text(self, dump: str, path: str, overwrite: bool = False) -> None:
+        """The text export of a chunk dump."""
+        s.export_text(read_chunk_dump(self.spark, dump), path, ["documentPath", "id"], overwrite)
+
+    def clear(self, force: bool = False, interactive: bool = False, answer: str | None = None) -> tuple[bool, str]:
+        """Empties the index if the deletion is forced, or confirmed by the index's name; whether it was, and why."""
+        ok, why = resolve_deletion(force, interactive, self.name, answer)
+        if ok:
+            self.index.clear()
+        return ok, why
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -118,6 +209,6 @@ def manifest(chunks: DataFrame) -> DataFrame:
 
 
 def write_dump(chunks: DataFrame, path: str) -> None:
-    """The chunk dump as JSON lines beside its manifest."""
+    """The chunk dump as JSON lines beside its manifest; ``read_chunk_dump`` reads it back."""
     chunks.write.mode("overwrite").json(f"{path}/chunks")
     manifest(chunks).write.mode("overwrite").json(f"{path}/manifest")

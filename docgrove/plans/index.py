@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_id, truncate_content
+from ..functions.vectors import assert_dimension
 from ..model import RECORD_METADATA
+from ..sources.config import dimension_mismatch
 
 CONTENT_LIMIT = 8000
 
@@ -19,44 +21,65 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def to_records(chunks: DataFrame, vector: str = "values") -> DataFrame:
-    """(id, values, metadata) of embedded chunks: ids made safe, contents cut, the description left out."""
+def to_records(chunks: DataFrame, vector: str = "values", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, values, metadata) of embedded chunks, and `keep`: ids made safe, contents cut, the description left out."""
     flat = {k: F.col(f"metadata.{k}") for k in ("sourceUrl", "repository", "language", "method", "path", "version")}
     flat |= {k: F.col(k) for k in ("documentPath", "documentTitle", "category", "heading")} | {"content": truncate_content(F.col("content"), CONTENT_LIMIT)}
-    return chunks.select(sanitize_id(F.col("id")).alias("id"), F.col(vector).cast("array<float>").alias("values"), F.struct(*[flat[k].alias(k) for k in RECORD_METADATA]).alias("metadata"))
+    return chunks.select(sanitize_id(F.col("id")).alias("id"), F.col(vector).cast("array<float>").alias("values"), F.struct(*[flat[k].alias(k) for k in RECORD_METADATA]).alias("metadata"), *keep)
 
 
 class VectorIndex:
-    """Versions of the table under `path`; CURRENT names the one that readers take."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(path.toString()).first()[0]
+    """Numbered versions of the table under `path`; readers take the last whole one.
+
+    A version is whole once Spark's committer has set its success mark, which it does
+    last and at once.  Two writers of one number cannot both succeed.  The version
+    before the last stays for readers that have begun.
+    """
+
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int, metric: str = "cosine"):
+        self.spark, self.path, self.dimension, self.metric = spark, path.rstrip("/"), dimension, metric
+
+    def _store(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def remove(self, path: str) -> None:
+        at, store = self._store(path)
+        store.delete(at, True)
+
+    def versions(self) -> list[str]:
+        """Whole versions, oldest first."""
+        at, store = self._store(self.path)
+        if not store.exists(at):
+            return []
+        names = sorted(f.getPath().getName() for f in store.listStatus(at))
+        return [n for n in names if n.startswith("v-") and store.exists(self._store(f"{self.path}/{n}/_SUCCESS")[0])]
+
+    def create(self) -> None:
+        """Stores dimension and metric, once; an index of another shape is an error."""
+        at, store = self._store(f"{self.path}/settings")
+        if not store.exists(at):
+            self.spark.createDataFrame([(self.dimension, self.metric)], "dimension int, metric string").coalesce(1).write.json(at.toString())
+        kept = self.spark.read.schema("dimension int, metric string").json(at.toString()).first()
+        wrong = dimension_mismatch(kept["dimension"], self.dimension) or (f"the index compares by {kept['metric']}" if kept["metric"] != self.metric else None)
+        if wrong:
+            raise ValueError(wrong)
 
     def _publish(self, records: DataFrame) -> None:
-        """Writes a new version, then moves the pointer: readers never see half of one."""
-        name = f"v-{uuid.uuid4().hex}"
-        records.write.partitionBy("namespace").parquet(f"{self.path}/{name}")
-        path, fs = self._pointer()
-        stream = fs.create(path, True)
-        stream.write(bytearray(name, "utf-8"))
-        stream.close()
+        self.create()
+        there = self.versions()
+        number = int(there[-1][2:]) + 1 if there else 0
+        records.write.partitionBy("namespace").parquet(f"{self.path}/v-{number:012d}")
+        for name in self.versions()[: -self.KEPT]:
+            self.remove(f"{self.path}/{name}")
 
     def read(self, namespace: str | None = None) -> DataFrame:
-        version = self.version()
-        if version is None:
+        there = self.versions()
+        if not there:
             raise ValueError(f"no index at {self.path}")
-        found = self.spark.read.schema("id string, values array<float>, metadata " + self._metadata() + ", source string, namespace string").parquet(f"{self.path}/{version}")
+        found = self.spark.read.schema("id string, values array<float>, metadata " + self._metadata() + ", source string, namespace string").parquet(f"{self.path}/{there[-1]}")
         return found if namespace is None else found.filter(F.coalesce("namespace", F.lit("")) == namespace)
 
     @staticmethod
@@ -64,15 +87,27 @@ class VectorIndex:
         return "struct<" + ",".join(f"{k}:string" for k in RECORD_METADATA) + ">"
 
     def upsert(self, records: DataFrame, source: str = "", namespace: str = "", replace_source: bool = False) -> None:
-        """Adds records (id, values, metadata), the later of one id winning; with replace_source, the source's old ones go."""
-        fresh = records.select("id", "values", "metadata", F.lit(source).alias("source"), F.lit(namespace).alias("namespace"), F.lit(1).alias("seq"))
-        if self.version() is not None:
-            old = self.read().withColumn("namespace", F.coalesce("namespace", F.lit(""))).withColumn("seq", F.lit(0))
-            if replace_source:
-                old = old.filter(~((F.col("source") == source) & (F.col("namespace") == namespace)))
-            fresh = old.unionByName(fresh)
-        key = F.struct("namespace", "id")
-        self._publish(keep_last(fresh.withColumn("key", key), "key", "seq").drop("key", "seq"))
+        """Adds records (id, values, metadata); with replace_source, the source's old ones go."""
+        self.replace(records.withColumn("source", F.lit(source)), [source] if replace_source else [], namespace)
+
+    def replace(self, records: DataFrame, sources: list[str], namespace: str = "") -> None:
+        """Adds records (id, values, metadata, source), of one id one and instead of an old one; old ones of `sources` go.
+
+        The new records are stored first.  Old ones are only filtered against their ids, and are not sorted again.
+        """
+        path = f"{self.path}/_fresh-{uuid.uuid4().hex}"
+        fresh = records.select("id", assert_dimension("values", self.dimension).alias("values"), "metadata", "source", F.lit(namespace).alias("namespace"))
+        try:
+            keep_last(fresh, "id", "source").write.parquet(path)
+            fresh = self.spark.read.schema(fresh.schema).parquet(path)
+            if self.versions():
+                old = self.read().withColumn("namespace", F.coalesce("namespace", F.lit("")))
+                if sources:
+                    old = old.filter(~(F.col("source").isin(sources) & (F.col("namespace") == namespace)))
+                fresh = old.join(fresh.select("namespace", "id"), ["namespace", "id"], "left_anti").unionByName(fresh)
+            self._publish(fresh)
+        finally:
+            self.remove(path)
 
     def clear(self) -> None:
         self._publish(self.spark.createDataFrame([], "id string, values array<float>, metadata " + self._metadata() + ", source string, namespace string"))

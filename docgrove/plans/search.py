@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,24 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return vectors.withColumn("score", cosine(F.col(vector_col), q)).orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values") -> DataFrame:
-    """The k nearest rows for every row of queries (query_id, query); the query set is broadcast, which must be small."""
-    scored = vectors.join(F.broadcast(queries)).withColumn("score", cosine(F.col(vector_col), F.col("query")))
+#: Queries of a set that travel to the vectors at once.
+QUERY_BLOCK = 4096
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values", score: Callable[[str, str], Column] = cosine) -> DataFrame:
+    """The k nearest rows for every row of queries (query_id, query), with `score` and `rank`.
+
+    The query set is counted and goes block by block, each of which is broadcast; a
+    task passes on k rows per query and no more.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = []
+    for n in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
+        scored = vectors.join(F.broadcast(block)).withColumn("score", score(vector_col, "query"))
+        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def result_columns(hits: DataFrame) -> DataFrame:
@@ -49,16 +64,22 @@ def lexical_overlap(text: Column, query: str) -> Column:
 
 
 def search(vectors: DataFrame, embed: Callable[[str], list[float]], query: str, limit: int | None = None, rerank: Callable[[Column, str], Column] | None = lexical_overlap, pool: int = RERANK_POOL) -> DataFrame:
-    """Result rows in order (`rank` from 1).  Without a reranker, or if it fails, the first k by vector score."""
+    """Result rows in order (`rank` from 1).  Without a reranker, or if it fails, the first k by vector score.
+
+    Only the pool, RERANK_POOL rows, is reranked; it comes to the driver first, so that
+    a scorer that fails on the rows fails here and not in the search.
+    """
     k = clamp_k(limit)
     hits = result_columns(top_k(vectors, embed(query), pool if rerank else k))
     order = [F.col("exact_score").desc(), F.col("id")]
     if rerank:
+        hits = vectors.sparkSession.createDataFrame(hits.collect(), hits.schema)
         try:
-            hits = hits.withColumn("rerank_score", rerank(rerank_text(F.col("title"), F.col("heading"), F.col("content")), query))
+            scored = hits.withColumn("rerank_score", rerank(rerank_text(F.col("title"), F.col("heading"), F.col("content")), query))
+            hits = vectors.sparkSession.createDataFrame(scored.collect(), scored.schema)
             order = [F.col("rerank_score").desc(), *order]
-        except Exception:
-            pass  # a reranker that cannot be applied must not fail the search
+        except Exception as e:
+            warnings.warn(f"the reranker failed, vector order stands: {type(e).__name__}", stacklevel=2)
     best = hits.orderBy(*order).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 

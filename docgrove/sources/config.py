@@ -116,12 +116,19 @@ def chunk_config(config: dict) -> ChunkConfig:
     return ChunkConfig(c.get("maxChunkSize", 2000), c.get("minChunkSize", 250), c.get("idealChunkSize", 1000))
 
 
+def _links(source: dict) -> dict:
+    """The settings of followLinks, which may also be a plain truth value."""
+    found = source.get("followLinks")
+    return found if isinstance(found, dict) else {}
+
+
 def sources_of(config: dict, only: str | None = None) -> list[Source]:
     """Configured sources, or the one named; an unknown name is an error that lists the known."""
     found = [
-        Source(s["name"], s.get("type", "local"), s.get("parser", "markdown"), s.get("path") or s.get("localPath") or "", s.get("displayName", ""), s.get("baseUrl", ""), s.get("repository", ""), s.get("language", "unknown"), bool(s.get("optional")), bool(s.get("followLinks")), int(s.get("maxPages", 500)), tuple(s.get("skipDirs", ())), tuple(s.get("skipFiles", ())))
+        Source(s["name"], s.get("type", "local"), s.get("parser", "markdown"), s.get("path") or s.get("localPath") or "", s.get("displayName", ""), s.get("baseUrl", ""), s.get("repository", ""), s.get("language", "unknown"), bool(s.get("optional")), bool(s.get("followLinks")), int(_links(s).get("maxPages", s.get("maxPages", 500))), tuple(s.get("skipDirs", ())), tuple(s.get("skipFiles", ())),
+            s.get("url", ""), s.get("saveAs"), tuple(_links(s).get("hostAllowlist", ())), _links(s).get("appendExtension", ""), s.get("host", ""), s.get("branch") or "main")
         for s in config.get("sources", [])
-    ]
+    ]
     chosen = [s for s in found if only is None or s.name == only]
     if not chosen:
         raise ValueError(f"no source {only!r}; there are {', '.join(s.name for s in found)}")

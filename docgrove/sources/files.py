@@ -6,12 +6,13 @@ skip rules are predicates on the relative path, so they prune before contents ar
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import CHUNK_FIELDS, CHUNKS
+
 EXTENSIONS = {"markdown": r"(?i)\.md$", "mdx": r"\.(mdx?|MDX?)$", "html": r"(?i)\.html?$", "openapi": r"(?i)\.(ya?ml|json)$"}
 
 
@@ -32,6 +33,12 @@ class Source:
     max_pages: int = 500
     skip_dirs: tuple[str, ...] = field(default=())
     skip_files: tuple[str, ...] = field(default=())
+    url: str = ""
+    save_as: str | None = None
+    hosts: tuple[str, ...] = field(default=())
+    append_extension: str = ""
+    host: str = ""
+    branch: str = "main"
 
 
 def scan(spark: SparkSession, root: str, parser: str, skip_dirs: tuple[str, ...] = (), skip_files: tuple[str, ...] = ()) -> DataFrame:
@@ -65,22 +72,9 @@ def select_files(files: DataFrame, parser: str, skip_dirs: tuple[str, ...] = (),
     return found
 
 
-def read_source(spark: SparkSession, source: Source) -> DataFrame | None:
-    """(context, path, content, url, language, source) rows; None for a missing optional source."""
-    if source.type not in ("local", "url", "github", "gitlab"):
-        raise ValueError(f"unknown source type {source.type}")
-    if "://" not in source.path and not os.path.exists(source.path):
-        if source.optional:
-            return None
-        raise FileNotFoundError(source.path)
-    from ..functions.text import file_context, file_source_url
-
-    files = scan(spark, source.path, source.parser, source.skip_dirs, source.skip_files)
-    context = F.lit(source.display_name or source.name)
-    url = file_source_url(F.lit(source.type), F.lit(source.base_url), F.lit(source.repository), F.lit(source.follow_links), F.col("path"))
-    return files.select(file_context(context, F.col("path")).alias("context"), "path", "content", url.alias("url"), F.lit(source.language).alias("language"), F.lit(source.name).alias("source"))
-
-
 def read_chunk_dump(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of a JSON dump."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("chunks").alias("c")).select("c.*")
+    """The chunks of a dump: of the engine's folder, or of one JSON file with an array `chunks`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.read.schema(f"{CHUNKS}, source string").json(folder.toString())
+    return spark.read.schema(f"chunks array<struct<{CHUNK_FIELDS}>>").option("multiLine", True).json(path).select(F.explode("chunks").alias("c")).select("c.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import shutil
 import subprocess
@@ -20,10 +21,11 @@ class Provider:
     default_host: str
     user: str
     prefix: str
+    token_name: str
 
 
-GITHUB = Provider("GitHub", "github.com", "x-access-token", "github-")
-GITLAB = Provider("GitLab", "gitlab.com", "oauth2", "gitlab-")
+GITHUB = Provider("GitHub", "github.com", "x-access-token", "github-", "GITHUB_TOKEN")
+GITLAB = Provider("GitLab", "gitlab.com", "oauth2", "gitlab-", "GITLAB_TOKEN")
 
 
 def validate(host: str, repository: str, branch: str) -> None:
@@ -44,13 +46,21 @@ def clone_dir(provider: Provider, host: str, repository: str) -> str:
 
 
 def stage(provider: Provider, host: str, repository: str, branch: str, into: str, token: str | None = None, run=subprocess.run) -> str:
-    """A shallow clone, or the default branch if `branch` is missing; the token never stays on disk."""
+    """A shallow clone, or the default branch if `branch` is missing; the token never stays on disk.
+
+    A clone that is there is brought up to date, or made anew if that fails.
+    """
     validate(host, repository, branch)
     target, url = f"{into}/{clone_dir(provider, host, repository)}", clone_url(provider, host, repository, token)
-    first = run(["git", "clone", "--depth", "1", "--branch", branch, "--", url, target], capture_output=True)
-    if first.returncode:
+    git = lambda *args, **more: run(["git", *args], capture_output=True, **more)
+    known = os.path.isdir(target) and not git("-C", target, "fetch", "--depth", "1", url, branch).returncode and not git("-C", target, "reset", "--hard", "FETCH_HEAD").returncode
+    if not known:
         shutil.rmtree(target, ignore_errors=True)
-        run(["git", "clone", "--depth", "1", "--", url, target], capture_output=True, check=True)
+        if git("clone", "--depth", "1", "--branch", branch, "--", url, target).returncode:
+            shutil.rmtree(target, ignore_errors=True)
+            if git("clone", "--depth", "1", "--", url, target).returncode:
+                hint = "the token may lack read access" if token else f"a private one needs {provider.token_name}"
+                raise RuntimeError(f"{repository} cannot be cloned: {hint}")
     try:
         bare = clone_url(provider, host, repository)
         run(["git", "-C", target, "remote", "set-url", "origin", bare], capture_output=True, check=True)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import file_context, file_source_url
 from ..plans.engine import embed_chunks, parse
 from ..plans.index import VectorIndex, to_records
 from ..sources.files import Source, select_files
+from ..sources.remote import described
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -19,8 +19,7 @@ def index_stream(spark: SparkSession, source: Source, index: VectorIndex, embedd
     raw = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(source.path)
     path = F.substring_index("path", source.path.rstrip("/") + "/", -1)
     files = select_files(raw.select(path.alias("path"), F.decode("content", "utf-8").alias("content")), source.parser, source.skip_dirs, source.skip_files)
-    url = file_source_url(F.lit(source.type), F.lit(source.base_url), F.lit(source.repository), F.lit(source.follow_links), F.col("path"))
-    rows = files.select(file_context(F.lit(source.display_name or source.name), F.col("path")).alias("context"), "path", "content", url.alias("url"), F.lit(source.language).alias("language"), F.lit(source.name).alias("source"))
+    rows = described(files, source)
 
     def upsert(batch: DataFrame, _: int) -> None:
         chunks = parse(batch, source).filter(F.col("error").isNull()).drop("error")
