@@ -57,15 +57,35 @@ def _python(pattern: str, replacement: str) -> tuple[re.Pattern, str]:
     return re.compile((flags[0] if flags else "") + body), re.sub(r"\$(\d)", r"\\g<\1>", replacement.replace("\\", r"\\"))
 
 
+#: Where a rule can only match texts that hold something, what that is: most texts are not searched at all.
+_ONLY_IF = {
+    LINE_ENDINGS[0][0]: lambda s: "\r" in s,
+    WHITESPACE[0][0]: lambda s: "\n\n\n\n" in s,
+    WHITESPACE[1][0]: lambda s: "\n\n\n" in s,
+    WHITESPACE[2][0]: lambda s: " \n" in s or "\t\n" in s or s.endswith((" ", "\t")),
+    TRIM[0][0]: lambda s: s != trimmed(s),
+    **{pattern: (lambda s: "<" in s) for pattern, _ in JSX},
+    **{pattern: (lambda s: "`" in s) for pattern, _ in (FENCES[0], HEADING[0])},
+    **{pattern: (lambda s: "*" in s) for pattern, _ in HEADING[1:3]},
+    HEADING[3][0]: lambda s: "](" in s,
+}
+
+
 def apply_str(rules: Rules, s: str) -> str:
     for pattern, replacement in rules:
-        p, r = _python(pattern, replacement)
-        s = p.sub(r, s)
+        may = _ONLY_IF.get(pattern)
+        if may is None or may(s):
+            p, r = _python(pattern, replacement)
+            s = p.sub(r, s)
     return s
 
 
+# Fixed value: the white space of Unicode and the byte order mark.
+SPACES = "\ufeff \t\n\r\v\f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def js_trim(c: Column) -> Column:
-    return apply(TRIM, c)
+    return F.btrim(c, F.lit(SPACES))
 
 
 def trimmed(s: str) -> str:
@@ -183,9 +203,10 @@ def extract_description(c: Column, max_length: int = 200) -> Column:
         listed = reduce(lambda a, b: a | b, [p.startswith(x) for x in "#-|>["]) | (p.startswith("*") & ~bold)
         return ~listed & ~(bold & p.endswith("**")) & (F.length(p) >= LEAST_PARAGRAPH)
 
-    clean = apply(DESCRIPTION, F.get(F.filter(paragraphs, prose), 0))
-    cut = F.when(F.length(clean) > max_length, F.concat(F.substring(clean, 1, max_length - 3), F.lit("..."))).otherwise(clean)
-    return F.when(c.isNotNull(), F.coalesce(cut, F.lit("")))
+    # the first one, bound once
+    first = F.transform(F.slice(F.filter(paragraphs, prose), 1, 1), lambda p: apply(DESCRIPTION, p))
+    cut = F.transform(first, lambda d: F.when(F.length(d) > max_length, F.concat(F.substring(d, 1, max_length - 3), F.lit("..."))).otherwise(d))
+    return F.when(c.isNotNull(), F.coalesce(F.get(cut, 0), F.lit("")))
 
 
 def description_str(s: str, max_length: int = 200) -> str:

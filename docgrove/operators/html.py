@@ -8,10 +8,11 @@ code for pre, backticks for code, ** and _ for strong and em, [text](href) for l
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 from ..model import ChunkConfig
@@ -174,11 +175,10 @@ def html_to_markdown(html: str) -> tuple[str, str]:
 
 def html_chunks(html: str, file: str, url: str, context: str, language: str = "unknown", config: ChunkConfig = ChunkConfig()) -> list[dict]:
     """README rules on the page's Markdown, with ids by file; a blank page gives none."""
-    _, markdown = html_to_markdown(html)
+    title, markdown = html_to_markdown(html)
     if not trimmed(markdown):
         return []
     found = readme_chunks(markdown, url, context, language, config)
-    title = main_content(html)[0]
     return [c | {"id": f"{context}/{file}#{i}", "documentPath": f"{context}/{file}", "documentTitle": title or context} for i, c in enumerate(found)]
 
 
@@ -190,8 +190,9 @@ def html_documents(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
 def pages_markdown(pages: DataFrame) -> DataFrame:
     """page_id, title and Markdown of raw pages."""
 
-    @F.udf("struct<title:string,markdown:string>", useArrow=True)
-    def convert(html):
-        return html_to_markdown(html or "")
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [html_to_markdown(x.as_py() or "") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]], names=["page_id", "title", "markdown"])
 
-    return pages.select("page_id", convert("html").alias("x")).select("page_id", "x.title", "x.markdown")
+    return pages.select("page_id", "html").mapInArrow(convert, f"page_id {pages.schema['page_id'].dataType.simpleString()}, title string, markdown string")

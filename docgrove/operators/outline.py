@@ -45,16 +45,15 @@ def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "content",
     )
     by = per_doc.orderBy("section_id")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    before, behind = by.rowsBetween(Window.unboundedPreceding, -1), per_doc.orderBy(F.col("section_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.length("content").cast("long")
+    found = found.withColumn("own", own).withColumn("ahead", F.coalesce(F.sum(own).over(before), F.lit(0))).withColumn("total", F.sum(own).over(per_doc))
     at = [F.when(F.col("level") == k, F.col("section_id")) for k in range(7)]
     last = [F.when(F.col("level") > k, F.last(at[k], ignorenulls=True).over(before)) for k in range(1, 7)]
-    next_ = [F.when(F.col("level") >= k, F.first(at[k], ignorenulls=True).over(after)) for k in range(1, 7)]
-    found = found.withColumn("parent_id", F.greatest(*last)).withColumn("end_id", F.when(F.col("level") > 0, F.least(*next_)).otherwise(F.col("section_id") + 1))
-    own = F.length("content").cast("long")
-    ahead = F.coalesce(F.sum(own).over(before), F.lit(0))
-    found = found.withColumn("own", own).withColumn("ahead", ahead).withColumn("total", F.sum("own").over(per_doc))
-    sums = F.map_from_entries(F.collect_list(F.struct("section_id", "ahead")).over(per_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return found.withColumn("subtree_size", F.coalesce(F.try_element_at(sums, F.col("end_id")), F.col("total")) - F.col("ahead")).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
+    # the characters before the next section of the same or a smaller level; windows that look back only, from the end
+    ends = [F.when(F.col("level") == k, F.last(F.when(F.col("level").between(1, k), F.col("ahead")), ignorenulls=True).over(behind)) for k in range(1, 7)]
+    size = F.when(F.col("level") > 0, F.coalesce(*ends, F.col("total")) - F.col("ahead")).otherwise(F.col("own"))
+    return found.withColumn("parent_id", F.greatest(*last)).withColumn("subtree_size", size).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
 
 
 @dataclass

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import HashingEmbedder, cosine, dot, round_score
-from ..model import ChunkConfig
-from ..operators.chunking import chunk_rows, markdown_documents, mdx_chunks, readme_chunks
+from ..functions.tokens import TokenCap
+from ..functions.vectors import HashingEmbedder, assert_dimension, cosine, dot, round_score
+from ..model import RECORD_METADATA, ChunkConfig
+from ..operators.chunking import changelog_chunks, chunk_rows, markdown_documents, mdx_chunks, migration_chunks, readme_chunks
 from ..operators.html import html_documents, pages_markdown
 from ..operators.openapi import openapi_documents, with_doc_urls
 from ..operators.outline import section_tree
-from ..sources.links import extract_links, page_path
+from ..sources.files import read_chunk_dump, select_files
+from ..sources.links import extract_links, link_table, page_path
 from . import search
-from .engine import embed_chunks, manifest
-from .index import keep_last, to_records
+from .engine import embed_chunks, manifest, with_page_urls, write_dump
+from .index import VectorIndex, keep_last, to_records
+
+#: Folder of the public tokenizer files, one of which counts the tokens of embedding inputs.
+TOKENIZERS = os.environ.get("DOCGROVE_TOKENIZERS", "/opt/tokenizers")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,10 +79,9 @@ def vector_topk_by_label(spark: SparkSession, d: str) -> DataFrame:
   from embeddings a, embeddings b where a.vec_id % 100 = 0) where r <= 5""")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     v = t(spark, d, "embeddings")
-    asked = F.broadcast(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query")))
-    scored = v.join(asked).withColumn("score", F.round(dot("embedding", "query"), 9))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank).filter("rank <= 5").select("q", "vec_id", "rank")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = search.top_k_each(v, asked, 5, "vec_id", "embedding", lambda a, b: F.round(dot(a, b), 9))
+    return found.select(F.col("query_id").alias("q"), "vec_id", "rank")
 
 
 @query(f"select vec_id, label from (select vec_id, label, {_COS} s from embeddings, {_Q} order by s desc, vec_id limit 30) order by label desc, s desc, vec_id limit 20")
@@ -108,25 +116,12 @@ def embedding_input(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", tx.embedding_text(title, title, F.col("text"), F.col("lang"), F.col("source"), none, none, about).alias("input"))
 
 
-@query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace('`' || split_part(text, ' ', 1) || '` **' || source || '**  [' || lang || '](http://x)', '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g').replace('  ', ' ').replace(chr(10), ' ')) heading
-  from documents where regexp_matches(split_part(text, ' ', 1), '^[^`*\[\]\s]+$')""")
+@query(r"""with raw as (select doc_id, '`' || split_part(text, ' ', 1) || '` **' || source || '** *' || split_part(text, ' ', 2) || '*  [' || lang || '](http://x/' || doc_id || ') ' || split_part(text, ' ', 3) x from documents)
+  select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\s+', ' ', 'g')) heading from raw""")
 def clean_heading(spark: SparkSession, d: str) -> DataFrame:
-    return _headings(t(spark, d, "documents").filter(_first_word().rlike(r"^[^`*\[\]\s]+$")))
-
-
-@query()
-def clean_heading_all(spark: SparkSession, d: str) -> DataFrame:
-    """clean_heading over the whole table, with the first words that SQL does not clean alike."""
-    return _headings(t(spark, d, "documents"))
-
-
-def _first_word() -> F.Column:
-    return F.get(F.split("text", " "), 0)
-
-
-def _headings(docs: DataFrame) -> DataFrame:
-    first = _first_word()
-    raw = F.concat(F.lit("`"), first, F.lit("` **"), F.col("source"), F.lit("**  ["), F.col("lang"), F.lit("](http://x)"))
+    docs = t(spark, d, "documents")
+    word = lambda k: F.coalesce(F.get(F.split("text", " "), k), F.when(F.col("text").isNotNull(), F.lit("")))
+    raw = F.concat(F.lit("`"), word(0), F.lit("` **"), "source", F.lit("** *"), word(1), F.lit("*  ["), "lang", F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") "), word(2))
     return docs.select("doc_id", tx.clean_heading(raw).alias("heading"))
 
 
@@ -136,38 +131,26 @@ def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.normalize_whitespace(tx.normalize_line_endings(padded)).alias("body"))
 
 
-@query(r"""with p as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) x from documents where length(text) >= 30 and not regexp_matches(text, '[`*\[\]#>|-]'))
-  select doc_id, case when length(x) > 200 then substr(x, 1, 197) || '...' else x end description from p""")
+@query(r"""with raw as (select doc_id, E'# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n' || text || E'\n\nanother paragraph that is long enough to count' x from documents),
+  parts as (select doc_id, list_transform(regexp_split_to_array(regexp_replace(x, '(?s)```.*?```', '', 'g'), '\n\n+'), lambda p: trim(p, E' \t\n\r\v\f')) ps from raw),
+  first as (select doc_id, list_filter(ps, lambda p: length(p) >= 30 and not (p[1] in ('#', '-', '|', '>', '[')) and not (p[1] = '*' and not starts_with(p, '**')) and not (starts_with(p, '**') and ends_with(p, '**')))[1] p from parts),
+  cleaned as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\s+', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g')) x from first)
+  select doc_id, case when length(x) > 200 then substr(x, 1, 197) || '...' else coalesce(x, '') end description from cleaned""")
 def extract_description(spark: SparkSession, d: str) -> DataFrame:
-    return _descriptions(t(spark, d, "documents").filter((F.length("text") >= 30) & ~F.col("text").rlike(r"[`*\[\]#>|-]")))
-
-
-@query()
-def extract_description_all(spark: SparkSession, d: str) -> DataFrame:
-    """extract_description over the whole table; SQL cannot follow marks, short or null texts."""
-    return _descriptions(t(spark, d, "documents"))
-
-
-def _descriptions(docs: DataFrame) -> DataFrame:
     built = F.concat(F.lit("# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n"), F.col("text"), F.lit("\n\nanother paragraph that is long enough to count"))
-    return docs.select("doc_id", tx.extract_description(built).alias("description"))
+    return t(spark, d, "documents").select("doc_id", tx.extract_description(built).alias("description"))
 
 
-@query(r"select doc_id, ['# ' || source || chr(10), '```' || chr(10) || lang || chr(10) || '```', chr(10) || text] parts, true whole from documents where not contains(text, '```')")
+@query(r"""with raw as (select doc_id, string_split('# ' || source || E'\n```\n' || lang || E'\n```\n' || text || case doc_id % 3 when 0 then E'\n```\ncode ' || doc_id || E'\n```' when 1 then E'\n```\nopen' else '' end, '```') s from documents),
+  cut as (select doc_id, list_filter(list_transform(range(1, len(s) + 1), lambda k: case when k % 2 = 0 and k < len(s) then '```' || s[k] || '```' when k % 2 = 1 and k = len(s) - 1 then s[k] || '```' || s[len(s)] when k % 2 = 1 then s[k] end), lambda p: p is not null and p <> '') parts from raw)
+  select doc_id, parts, true whole from cut""")
 def fence_split(spark: SparkSession, d: str) -> DataFrame:
-    return _fences(t(spark, d, "documents").filter(~F.col("text").contains("```")))
-
-
-@query()
-def fence_split_all(spark: SparkSession, d: str) -> DataFrame:
-    """fence_split over the whole table, with texts that hold fences or are null."""
-    return _fences(t(spark, d, "documents"))
-
-
-def _fences(docs: DataFrame) -> DataFrame:
-    built = F.concat(F.lit("# "), F.col("source"), F.lit("\n```\n"), F.col("lang"), F.lit("\n```\n"), F.col("text"))
+    """Closed fences, open ones and none, behind one that every document has."""
+    k = F.col("doc_id") % 3
+    tail = F.when(k == 0, F.concat(F.lit("\n```\ncode "), F.col("doc_id").cast("string"), F.lit("\n```"))).when(k == 1, F.lit("\n```\nopen")).otherwise(F.lit(""))
+    built = F.concat(F.lit("# "), F.col("source"), F.lit("\n```\n"), F.col("lang"), F.lit("\n```\n"), F.col("text"), tail)
     parts = tx.split_fences(built)
-    return docs.select("doc_id", parts.alias("parts"), (F.array_join(parts, "") == built).alias("whole"))
+    return t(spark, d, "documents").select("doc_id", parts.alias("parts"), (F.array_join(parts, "") == built).alias("whole"))
 
 
 @query(r"""select doc_id, 'https://example.com/' || source || '/' || doc_id canonical, 'https://github.com/' || source || '/' || lang || '/blob/main/docs/' || doc_id || '.md' file_url, source || '/docs' context from documents""")
@@ -189,22 +172,27 @@ def section_headings(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", tx.section_heading(heading, crumbs, F.col("source")).alias("heading"))
 
 
-@query(r"""select doc_id, case when doc_id % 2 = 0 then E'> **Note:** a\n\n#### ' || lang || E'\n\n**step**\n b' else '> **' || lang || E':** a\n\n- **c**: d' end body from documents""")
+_PLAIN = "regexp_replace(split_part(text, ' ', {k}), '[^a-zA-Z0-9]', '', 'g') || doc_id"
+
+
+@query(rf"""with w as (select doc_id, lang, {_PLAIN.format(k=1)} a, {_PLAIN.format(k=2)} b, {_PLAIN.format(k=3)} c from documents)
+  select doc_id, case when doc_id % 2 = 0 then '> **Note:** ' || a || E'\n\n#### ' || lang || E'\n\n**' || b || E'**\n ' || c || E'\n\n' || a
+    else '> **' || a || ':** ' || b || E'\n\n> ' || c || E'\n\n- **' || lang || '**: ' || a || E'\n' || c end body from w""")
 def component_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents")
-    mint = F.concat(F.lit("---\ntitle: x\n---\nimport A from 'a';\n<Frame><Note>a</Note></Frame>\n<Card>gone</Card>\n<Accordion title=\""), F.col("lang"), F.lit('"></Accordion>\n<Steps><Step title="step"> b</Step></Steps>\nexport const a = 1;'))
-    fuma = F.concat(F.lit("<Callout title=\""), F.col("lang"), F.lit("\" type='x'> a </Callout>\n<Callout type=\"\"></Callout><Cards><Card title=\"c\"> d </Card></Cards>"))
-    made = F.when(F.col("doc_id") % 2 == 0, tx.clean_mdx(mint)).otherwise(tx.clean_mdx(F.regexp_replace(fuma, '<Callout type=""></Callout>', "<Callout type=></Callout>")))
-    return docs.select("doc_id", F.regexp_replace(F.regexp_replace(F.regexp_replace(made, "\n>\\s*\n", "\n"), "\n{2,}", "\n\n"), "(?m)[ ]+$", "").alias("body"))
+    """Both dialects of components, with words of each document in every place."""
+    a, b, c = (F.concat(F.regexp_replace(F.coalesce(F.get(F.split("text", " "), k), F.when(F.col("text").isNotNull(), F.lit(""))), "[^a-zA-Z0-9]", ""), F.col("doc_id").cast("string")) for k in range(3))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    mint = say("---\ntitle: ", b, "\n---\nimport A from 'a';\n<Frame><Note>", a, "</Note></Frame>\n<Card>", c, '</Card>\n<Accordion title="', F.col("lang"), '"></Accordion>\n<Steps><Step title="', b, '"> ', c, "</Step></Steps>\nexport const a = 1;\n", a)
+    fuma = say('<Callout title="', a, "\" type='x'> ", b, " </Callout>\n<Callout type=x> ", c, ' </Callout>\n<Cards><Card title="', F.col("lang"), '"> ', a, " </Card></Cards>\n", c)
+    return t(spark, d, "documents").select("doc_id", tx.clean_mdx(F.when(F.col("doc_id") % 2 == 0, mint).otherwise(fuma)).alias("body"))
 
 
 # --- relational steps ---------------------------------------------------------
 
 
-@query("select doc_id, source from documents where length(text) >= 125 and length(text) < 2000")
+@query("select doc_id, source from documents where length(text) >= 125")
 def min_size_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = ChunkConfig()
-    return t(spark, d, "documents").filter((F.length("text") >= c.min_size / 2) & (F.length("text") < c.max_size)).select("doc_id", "source")
+    return t(spark, d, "documents").filter(F.length("text") >= ChunkConfig().min_size / 2).select("doc_id", "source")
 
 
 @query("select id, doc_id, n_chars from (select source || ':' || (doc_id % 97) id, doc_id, n_chars, row_number() over (partition by source || ':' || (doc_id % 97) order by doc_id desc) r from documents) where r = 1")
@@ -311,21 +299,12 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("p_brand", F.posexplode(fold).alias("batch", "x")).select("p_brand", "batch", F.col("x.n").alias("n"), F.col("x.size").alias("size"))
 
 
-@query(r"""select doc_id, source || '/readme#0' id, case when length(trim(text)) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) content from documents where length(trim(text)) >= 125 and not regexp_matches(text, '(?m)^#{1,6}\s') and not contains(text, '```') and not contains(text, chr(13))""")
+@query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
+  y as (select doc_id, source || '/readme#0' id, case when length(x) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || x content from x where length(x) > 50)
+  select * from y where length(content) >= 125""")
 def readme_documents(spark: SparkSession, d: str) -> DataFrame:
-    """README chunks of texts without headings: each is one chunk, whatever its size."""
-    docs = t(spark, d, "documents").filter((F.length(F.trim("text")) >= 125) & ~F.col("text").rlike(r"(?m)^#{1,6}\s") & ~F.col("text").contains("```") & ~F.col("text").contains("\r"))
-    return _readmes(docs)
-
-
-@query()
-def readme_documents_all(spark: SparkSession, d: str) -> DataFrame:
-    """README chunks of the whole table: texts with headings or fences, CR, short and null ones too."""
-    return _readmes(t(spark, d, "documents"))
-
-
-def _readmes(docs: DataFrame) -> DataFrame:
-    found = chunk_rows(docs.select("doc_id", "source", "text"), lambda r: readme_chunks(r["text"] or "", "", r["source"]), keep=["doc_id"])
+    """README chunks of all texts; those of these tables have no headings, so each gives one chunk at most."""
+    found = chunk_rows(t(spark, d, "documents").select("doc_id", "source", "text"), lambda r: readme_chunks(r["text"] or "", "", r["source"]), keep=["doc_id"])
     return found.select("doc_id", "id", "content")
 
 
@@ -356,17 +335,235 @@ def page_markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mdx_sections(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("## Usage\n<Tabs><Tab title=\"One\">"), F.col("text"), F.lit("</Tab><Tab title=\"Two\">"), F.col("text"), F.lit("</Tab></Tabs>\n## Notes\n"), F.col("text"))
-    docs = t(spark, d, "documents").select("doc_id", "source", body.alias("body"))
-    return chunk_rows(docs, lambda r: mdx_chunks(r["body"], f"{r['source']}/{r['doc_id']}", f"{r['doc_id']}.mdx", "Title", None, r["source"], ""), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
+    docs = t(spark, d, "documents").select("doc_id", "source", tx.clean_mdx(body).alias("body"))
+    return chunk_rows(docs, lambda r: mdx_chunks(r["body"] or "", f"{r['source']}/{r['doc_id']}", f"{r['doc_id']}.mdx", "Title", None, r["source"], "", cleaned=True), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
 
 
 @query()
 def openapi_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Specs built from parts, one per brand, rendered to chunks."""
-    op = F.concat(F.lit('"/parts/'), F.col("p_partkey").cast("string"), F.lit('": {"get": {"operationId": "get_part_'), F.col("p_partkey").cast("string"), F.lit('", "summary": "Reads a part", "responses": {"200": {"description": "ok", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/Part"}}}}}}}'))
+    return openapi_documents(_part_specs(t(spark, d, "part")), "https://docs.example.com").filter("error is null").select("id", "documentTitle", "content")
+
+
+def _part_specs(parts: DataFrame) -> DataFrame:
+    """(path, content): specs of a hundred operations each, dealt by hash; a spec's size does not grow with the table."""
+    n = parts.count()
+    key = F.col("p_partkey").cast("string")
+    op = F.concat(F.lit('"/parts/'), key, F.lit('": {"get": {"operationId": "get_part_'), key, F.lit('", "summary": "Reads a part", "responses": {"200": {"description": "ok", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/Part"}}}}}}}'))
     spec = F.concat(F.lit('{"paths": {'), F.array_join(F.array_sort(F.collect_list(op)), ", "), F.lit('}, "components": {"schemas": {"Part": {"type": "object", "properties": {"name": {"type": "string"}, "size": {"type": "integer", "minimum": 1}}}}}}'))
-    files = t(spark, d, "part").groupBy("p_brand").agg(spec.alias("content")).select(F.col("p_brand").alias("path"), "content")
-    return openapi_documents(files, "https://docs.example.com").filter("error is null").select("id", "documentTitle", "content")
+    return parts.groupBy(F.pmod(F.xxhash64("p_partkey"), F.lit(-(-n // 100) or 1)).cast("string").alias("path")).agg(spec.alias("content"))
+
+
+# --- chunkers on inputs whose chunks SQL can state ------------------------------
+
+_BODY = "left(repeat(source || ' ' || lang || ' ' || doc_id || ' words ', 60), {n})"
+
+
+def _body(n: int | F.Column) -> F.Column:
+    """As many characters as wished, from each document's own columns."""
+    once = F.concat("source", F.lit(" "), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit(" words "))
+    return F.substring(F.repeat(once, 60), F.lit(1), n if isinstance(n, F.Column) else F.lit(n))
+
+
+def _files(docs: DataFrame, part: F.Column, joiner: str, rows: int = 20) -> DataFrame:
+    """(file, source, text): every source's documents in order, `rows` to a file, their parts joined."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    numbered = docs.withColumn("n", n).withColumn("file", F.floor(F.col("n") / rows).cast("int"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("part")))), lambda x: x["part"])
+    return numbered.groupBy("source", "file").agg(F.array_join(parts, joiner).alias("text"))
+
+
+_NUMBERED = "numbered as (select *, row_number() over (partition by source order by doc_id) - 1 n from documents)"
+
+
+@query(rf"""with {_NUMBERED}, b as (select *, trim({_BODY.format(n="300 + doc_id % 500")}) body from numbered)
+  select source, (n // 20)::int file, 'Document ' || doc_id heading, body content from b""")
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of 300 to 799 characters under headings: each is a chunk of its own."""
+    docs = t(spark, d, "documents")
+    part = F.concat(F.lit("## Document "), F.col("doc_id").cast("string"), F.lit("\n"), _body(F.lit(300) + F.col("doc_id").cast("int") % 500))
+    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: readme_chunks(r["text"], "", r["source"]), keep=["source", "file"])
+    return found.select("source", "file", "heading", "content")
+
+
+@query(rf"""with {_NUMBERED}, v as (
+    select source, doc_id, n, n // 20 file, '1.' || n || '.0' version, n % 5 < 2 small,
+      '## 1.' || n || E'.0\n' || case when n % 5 < 2 then 'note ' || doc_id else trim({_BODY.format(n="300 + doc_id % 500")}) end body from numbered),
+  two as (select *, lead(body) over w next_body, lead(version) over w next_version, lead(small) over w next_small, lag(small) over w and n % 5 = 1 is_second from v window w as (partition by source, file order by n))
+  select source, file::int file, case when small and coalesce(next_small, false) then 'Versions ' || next_version || ' - ' || version else 'Version ' || version end heading,
+    case when small and coalesce(next_small, false) then body || E'\n\n' || next_body else body end content, version
+  from two where not coalesce(is_second, false)""")
+def changelog_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Large versions alone, runs of two small ones together."""
+    docs = t(spark, d, "documents")
+    body = F.when(F.col("n") % 5 < 2, F.concat(F.lit("note "), F.col("doc_id").cast("string"))).otherwise(_body(F.lit(300) + F.col("doc_id").cast("int") % 500))
+    part = F.concat(F.lit("## 1."), F.col("n").cast("string"), F.lit(".0\n"), body)
+    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: changelog_chunks(r["text"], "", r["source"]), keep=["source", "file"])
+    return found.select("source", "file", "heading", "content", F.col("metadata.version").alias("version"))
+
+
+@query(rf"""with {_NUMBERED}, b as (select *, trim({_BODY.format(n="100 + doc_id % 300")}) body from numbered)
+  select source, (n // 20)::int file, 'From ' || doc_id heading, body content from b where length(body) >= 100""")
+def migration_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Migration guides: sections of 100 characters and more stand alone."""
+    docs = t(spark, d, "documents")
+    part = F.concat(F.lit("## From "), F.col("doc_id").cast("string"), F.lit("\n"), F.trim(_body(F.lit(100) + F.col("doc_id").cast("int") % 300)))
+    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: migration_chunks(r["text"], "", r["source"]), keep=["source", "file"])
+    return found.select("source", "file", "heading", "content")
+
+
+@query(rf"""with b as (select doc_id, trim({_BODY.format(n="60 + doc_id * 37 % 1200")}) a, trim({_BODY.format(n="60 + doc_id * 91 % 1200")}) b from documents),
+  c as (select *, length(a) + length(b) + 5 + 50 + 100 <= 2000 fits from b)
+  select doc_id, doc_id || '#0' id, 'Setup' heading, E'## Setup\n\n### One\n\n' || a || E'\n\n### Two\n\n' || b content from c where fits
+  union all select doc_id, doc_id || '#0', 'Setup - One', E'## Setup\n\n### One\n\n' || a from c where not fits
+  union all select doc_id, doc_id || '#1', 'Setup - Two', E'## Setup\n\n### Two\n\n' || b from c where not fits""")
+def mdx_tabs(spark: SparkSession, d: str) -> DataFrame:
+    """Two tabs: one chunk where both fit, else one each."""
+    k = F.col("doc_id").cast("int")
+    a, b = F.trim(_body(F.lit(60) + k * 37 % 1200)), F.trim(_body(F.lit(60) + k * 91 % 1200))
+    text = F.concat(F.lit('## Setup\n<Tabs><Tab title="One">'), a, F.lit('</Tab><Tab title="Two">'), b, F.lit("</Tab></Tabs>"))
+    docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
+    return chunk_rows(docs, lambda r: mdx_chunks(r["text"], str(r["doc_id"]), "p.mdx", "T", None, "c", ""), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
+
+
+@query(rf"""with b as (select doc_id, trim({_BODY.format(n="100 + doc_id * 37 % 900")}) a, trim({_BODY.format(n="100 + doc_id * 91 % 900")}) b from documents)
+  select doc_id, doc_id || '#0' id, 'Use: First' heading, E'## Use\n\n### 1. First\n' || a content from b
+  union all select doc_id, doc_id || '#1', 'Use: Second', E'## Use\n\n### 2. Second\n' || b from b
+  union all select doc_id, doc_id || '#2', 'More', E'## More\n' || a from b""")
+def mdx_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered examples become chunks of their own; a plain section follows."""
+    k = F.col("doc_id").cast("int")
+    a, b = F.trim(_body(F.lit(100) + k * 37 % 900)), F.trim(_body(F.lit(100) + k * 91 % 900))
+    text = F.concat(F.lit("## Use\n\n### 1. First\n"), a, F.lit("\n\n### 2. Second\n"), b, F.lit("\n\n## More\n"), a)
+    docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
+    return chunk_rows(docs, lambda r: mdx_chunks(r["text"], str(r["doc_id"]), "p.mdx", "T", None, "c", ""), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
+
+
+@query(rf"""select doc_id, 'Page ' || doc_id title, '# Page ' || doc_id || E'\n\n## ' || source || E'\n\n' || trim({_BODY.format(n="20 + doc_id % 400")}) || E' **bold** and `code`\n\n- ' || lang || E'\n- [link](https://x.example/' || doc_id || E')\n\n```sql\nselect ' || doc_id || E'\n```' markdown from documents""")
+def html_to_markdown_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with boilerplate around a main element of known parts."""
+    key = F.col("doc_id").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    html = say("<html><head><title>Page ", key, "</title></head><body><nav>menu</nav><main><h2>", F.col("source"), "</h2><p>", F.trim(_body(F.lit(20) + F.col("doc_id").cast("int") % 400)), " <b>bold</b> and <code>code</code></p><ul><li>", F.col("lang"), '</li><li><a href="https://x.example/', key, '">link</a></li></ul><pre><code class="language-sql">select ', key, "</code></pre></main><footer>foot</footer></body></html>")
+    pages = t(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return pages_markdown(pages).withColumnRenamed("page_id", "doc_id")
+
+
+@query(r"""select 'api/get_part_' || p_partkey id, 'GET' m, '/parts/' || p_partkey path, case when p_partkey % 2 = 0 then 'https://docs.example.com/ref/' || p_partkey else 'https://docs.example.com/parts/get-part-' || p_partkey end url from part""")
+def openapi_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Specs of many operations, every second of which a page's frontmatter names."""
+    parts = t(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    pages = parts.filter("p_partkey % 2 = 0").select(F.concat(F.lit("ref/"), key, F.lit(".mdx")).alias("path"), F.concat(F.lit('---\nopenapi: "get /parts/'), key, F.lit('"\n---\nbody')).alias("content"))
+    found = openapi_documents(_part_specs(parts), "https://docs.example.com").filter("error is null")
+    found = with_page_urls(found, pages, "https://docs.example.com")
+    return found.select("id", F.col("metadata.method").alias("m"), F.col("metadata.path").alias("path"), F.col("metadata.sourceUrl").alias("url"))
+
+
+# --- files, index, dump ---------------------------------------------------------
+
+_PATHS = "case doc_id % 6 when 0 then 'guides/' || source || '/' || doc_id || '.md' when 1 then 'Vendor/' || doc_id || '.MD' when 2 then '.git/' || doc_id || '.html' when 3 then 'web/' || doc_id || '.htm' when 4 then doc_id || '.yaml' else 'a/' || lang || '.mdx' end"
+
+
+@query(f"""with p as (select doc_id, {_PATHS} path from documents)
+  select 'markdown' parser, doc_id, path from p where regexp_matches(path, '(?i)\\.md$') and not regexp_matches(path, '(?i)(^|/)vendor/') union all
+  select 'mdx', doc_id, path from p where regexp_matches(path, '\\.(mdx?|MDX?)$') and not path like '%/en.mdx' union all
+  select 'html', doc_id, path from p where regexp_matches(path, '(?i)\\.html?$') and not regexp_matches(path, '(^|/)\\.[^/]*/') union all
+  select 'openapi', doc_id, path from p where path = (select min(path) from p where regexp_matches(path, '^[^/]*\\.yaml$'))""")
+def file_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """The discovery rules of each parser, with skipped folders and files."""
+    docs, key, k = t(spark, d, "documents"), F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    path = (
+        F.when(k == 0, F.concat(F.lit("guides/"), "source", F.lit("/"), key, F.lit(".md")))
+        .when(k == 1, F.concat(F.lit("Vendor/"), key, F.lit(".MD")))
+        .when(k == 2, F.concat(F.lit(".git/"), key, F.lit(".html")))
+        .when(k == 3, F.concat(F.lit("web/"), key, F.lit(".htm")))
+        .when(k == 4, F.concat(key, F.lit(".yaml")))
+        .otherwise(F.concat(F.lit("a/"), "lang", F.lit(".mdx")))
+    )
+    files = docs.select("doc_id", path.alias("path"))
+    rules = (("markdown", ("vendor",), ()), ("mdx", (), ("EN.mdx",)), ("html", (), ()), ("openapi", (), ()))
+    return reduce(DataFrame.unionByName, [select_files(files, *r).select(F.lit(r[0]).alias("parser"), "doc_id", "path") for r in rules])
+
+
+@query("""with raw as (select unnest(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\\s)\\]"''>,]+'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[.,;]+$', ''), '[?#].*$', ''), '/+$', '')), lambda x: regexp_matches(x, '^https?://[^/]+/'))))) url from pages)
+  select url from (select distinct url from raw) order by url limit 500""")
+def page_link_table(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that a crawl of all pages' links would fetch: the first 500, which is the rule."""
+    return link_table(t(spark, d, "pages"), "html")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one; a local one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/docgrove/{name}-{uuid.uuid4().hex}"
+
+
+def _records(docs: DataFrame) -> DataFrame:
+    none = {k: F.lit(None).cast("string").alias(k) for k in RECORD_METADATA}
+    meta = none | {"sourceUrl": F.col("source").alias("sourceUrl"), "content": tx.truncate_content(F.col("text")).alias("content"), "heading": F.col("lang").alias("heading")}
+    vector = F.array((F.col("doc_id") % 7).cast("float"), F.lit(1.0).cast("float"))
+    return docs.select(tx.sanitize_id(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("id"), vector.alias("values"), F.struct(*[meta[k] for k in RECORD_METADATA]).alias("metadata"))
+
+
+def _two_versions(spark: SparkSession, d: str) -> VectorIndex:
+    """All documents as source one, then a third of them again as source two."""
+    index, docs = VectorIndex(spark, _scratch(spark, "index"), 2), t(spark, d, "documents")
+    index.upsert(_records(docs), "one", replace_source=True)
+    index.upsert(_records(docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new"))), "two", replace_source=True)
+    return index
+
+
+@query(r"""select regexp_replace(source || '/' || doc_id, '[^a-zA-Z0-9_-]', '_', 'g') id, case when doc_id % 3 = 0 then 'two' else 'one' end source, case when doc_id % 3 = 0 then 'new' else lang end heading, length(case when length(text) > 8000 then substr(text, 1, 8000) || '...' else text end) n from documents""")
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """What an index holds after an upsert that replaces a third of its records."""
+    return _two_versions(spark, d).read().select("id", "source", F.col("metadata.heading").alias("heading"), F.length("metadata.content").alias("n"))
+
+
+@query("select 'full' step, count(*) n, 2 dimension from documents union all select 'cleared', 0, 2")
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of an index before and after it is cleared."""
+    index = _two_versions(spark, d)
+    full = index.stats()
+    index.clear()
+    none = index.stats()
+    return spark.createDataFrame([("full", full["vectorCount"], full["dimension"]), ("cleared", none["vectorCount"], none["dimension"])], "step string, n bigint, dimension int")
+
+
+@query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
+  y as (select source || '/' || doc_id id, source, case when length(x) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || x content from x where length(x) > 50)
+  select id, source, content, '' url from y where length(content) >= 125""")
+def chunk_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as a dump and read back."""
+    docs = t(spark, d, "documents").select("doc_id", "source", "text")
+    chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}"} for c in readme_chunks(r["text"] or "", "", r["source"])], keep=["source"]).drop("error")
+    path = _scratch(spark, "dump")
+    write_dump(chunks, path)
+    return read_chunk_dump(spark, path).select("id", "source", "content", F.col("metadata.sourceUrl").alias("url"))
+
+
+@query("select doc_id, 64 n, true unit from documents")
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk keeps its own vector, of the right size and of length 1."""
+    none = F.lit(None).cast("string")
+    meta = F.struct(*[none.alias(k) for k in ("description", "sourceUrl", "method", "path", "language", "repository", "version")])
+    docs = t(spark, d, "documents")
+    key = F.col("doc_id").cast("string")
+    chunks = docs.select(key.alias("id"), F.lit("p").alias("documentPath"), "source", F.col("source").alias("documentTitle"), F.col("lang").alias("category"), key.alias("heading"), F.col("text").alias("content"), meta.alias("metadata"))
+    found = embed_chunks(chunks, HashingEmbedder(64)).withColumn("values", assert_dimension("values", 64))
+    return found.select(F.col("id").cast("bigint").alias("doc_id"), F.size("values").alias("n"), (F.abs(dot("values", "values") - 1) < 1e-5).alias("unit"))
+
+
+@query(r"""with top as (select *, row_number() over (order by n_chars desc, doc_id) rank from documents qualify rank <= 5)
+  select '# docs Documentation' || chr(10) || '> Query: longest' || chr(10) || '> Results: ' || count(*) || chr(10) || chr(10)
+    || string_agg(concat_ws(chr(10), repeat('-', 40), '## ' || source, 'Source: ' || lang, '', doc_id, ''), chr(10) order by rank) "text" from top""")
+def result_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text form of the five longest documents."""
+    docs = t(spark, d, "documents")
+    rank = F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id"))
+    none = F.lit(None).cast("string")
+    top = docs.orderBy(F.col("n_chars").desc(), "doc_id").limit(5).select(rank.alias("rank"), F.col("source").alias("title"), F.col("lang").alias("url"), F.col("doc_id").cast("string").alias("content"), none.alias("method"), none.alias("path"), none.alias("language"))
+    return search.format_results(top, "longest", "docs")
 
 
 @query()
@@ -374,6 +571,7 @@ def e2e_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents chunked, embedded by feature hashing, searched, reranked and projected."""
     docs = t(spark, d, "documents").select("doc_id", "source", "text")
     chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}#{i}"} for i, c in enumerate(readme_chunks(r["text"] or "", "", r["source"]))]).filter("error is null").drop("error")
-    embedder = HashingEmbedder(64)
-    records = to_records(embed_chunks(chunks, embedder))
+    embedder, vocabulary = HashingEmbedder(64), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    cap = TokenCap.from_file(vocabulary) if os.path.exists(vocabulary) else None
+    records = to_records(embed_chunks(chunks, embedder, cap))
     return search.search(records, embedder.embed, "the thing that was there", 10).select("rank", "id", "score", "title", "heading")
