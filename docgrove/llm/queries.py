@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, jaccard, lm_scoring, mixing, quality, secrets, sharding, substrings, token_counts, training_order
 from .shared import table
@@ -54,6 +55,27 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.op10_query(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_quality that the method's verdict does not enter."""
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op4_secrets."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_sharding promises of its shards: rows, and gapless slots from 0."""
+    found = op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return found.select(F.col("shard").cast("bigint").alias("shard"), "n_rows", "n_slots", "first_slot", "last_slot")
+
+
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of op7_token_counts: the lines of every text, which tile it."""
+    return op7_token_counts(spark, sf_dir).select("doc_id", "section", "char_start", "char_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op1_proximity": op1_proximity,
@@ -66,10 +88,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substrings": op9_substrings,
     "op10_training_order": op10_training_order,
+    "quality_base_counts": quality_base_counts,
+    "secret_counts": secret_counts,
+    "shard_sizes": shard_sizes,
+    "section_spans": section_spans,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
+    "op9_substrings": substrings.ORACLE,
+    "quality_base_counts": quality.BASE_ORACLE,
+    "secret_counts": secrets.COUNTS_ORACLE,
+    "shard_sizes": sharding.SIZES_ORACLE,
+    "section_spans": token_counts.SPANS_ORACLE,
 }

@@ -142,3 +142,10 @@ def op6_query(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), crc.alias("text_crc32"))
     placed = shuffle_into_shards(rows, [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
     return placed.select("doc.doc_id", "doc.size", "doc.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+SIZES_ORACLE = """
+with n as (select count(*) n from documents), s as (select unnest(range(0, 8)) shard),
+sized as (select shard, n // 8 + (shard < n % 8)::bigint n_rows from s, n)
+select shard, n_rows, n_rows n_slots, 0::bigint first_slot, n_rows - 1 last_slot from sized where n_rows > 0
+"""

@@ -529,3 +529,22 @@ def op9_query(docs: DataFrame) -> DataFrame:
     found = remove_repeats(docs)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Byte windows as pairs of hexadecimal digits.
+ORACLE = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) s from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) p from d)),
+f as (select s, min(doc_id) least from w group by s having min(doc_id) < max(doc_id)),
+hit as (select w.doc_id, w.p from w join f using (s) where least < w.doc_id),
+covered as (select distinct doc_id, unnest(range(p, p + 50)) b from hit),
+steps as (select doc_id, b, b - lag(b) over (partition by doc_id order by b) step from covered),
+gone as (select doc_id, count(*)::bigint n_removed, count(*) filter (where step is distinct from 1)::bigint n_spans from steps group by doc_id),
+bytes as (select doc_id, h, unnest(range(0, length(h) // 2)) b from d join gone using (doc_id)),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * b + 1, 2), '' order by b) filter (where c.b is null) h
+  from bytes left join covered c using (doc_id, b) group by doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(case when n_removed is null then d.h else coalesce(kept.h, '') end)) kept_sha256
+from d left join gone using (doc_id) left join kept using (doc_id)
+"""

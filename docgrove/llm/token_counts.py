@@ -101,3 +101,12 @@ def count_tokens(docs: DataFrame, section_ends: Callable[[str], np.ndarray] = li
 
 def op7_query(docs: DataFrame) -> DataFrame:
     return count_tokens(docs).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+SPANS_ORACLE = """
+with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) x from documents),
+p as (select doc_id, unnest(range(1, len(x) + 1)) i, x from l),
+s as (select doc_id, i, i = len(x) is_last, length(x[i]) + (i < len(x))::bigint n from p),
+e as (select *, sum(n) over (partition by doc_id order by i) char_end, count(*) over (partition by doc_id) lines from s)
+select doc_id, (i - 1)::bigint section, (char_end - n)::bigint char_start, char_end::bigint char_end from e where n > 0 or lines = 1
+"""

@@ -126,6 +126,43 @@ def test_shards_are_exact_and_gapless(docs, rows, empty):
     assert Counter((r.doc_id, r.shard, r.slot) for r in again if r.doc_id not in (3, None)) == Counter((r.doc_id, r.shard, r.slot) for r in got if r.doc_id not in (3, None))
 
 
+def test_shards_follow_the_drawn_matrix(spark, monkeypatch):
+    """Shards and slots anew in Python, from the keys of the rows."""
+    monkeypatch.setattr(sharding, "PARTITION_ROWS", 16)
+    n = 700
+    docs = spark.createDataFrame([(i, f"text {i * i}") for i in range(n)], "doc_id bigint, text string").repartition(3)
+    crc = F.crc32(F.encode("text", "utf-8"))
+    ids = [F.col("doc_id"), (F.octet_length("text").cast("long") + 1), crc]
+    keys = docs.select("doc_id", *[F.xxhash64(F.lit(sharding.SEED + k), *ids).alias(f"k{k}") for k in range(3)]).collect()
+    n_parts = -(-n // 16)
+    parts = defaultdict(list)
+    for r in keys:
+        parts[r.k0 % n_parts].append((r.k1, r.k2, r.doc_id))
+    groups = defaultdict(list)
+    for p in sorted(parts):
+        groups[p * sharding.GROUPS // n_parts].append(p)
+    sizes = [n // 8 + (s < n % 8) for s in range(8)]
+    margins = sharding.communication_matrix([sum(len(parts[p]) for p in groups[g]) for g in sorted(groups)], sizes)
+    shard = defaultdict(list)
+    for g, margin in zip(sorted(groups), margins):
+        for p, row in zip(groups[g], sharding.communication_matrix([len(parts[p]) for p in groups[g]], margin, sharding.SEED * sharding.GROUPS + g + 1)):
+            turn = iter(sorted(parts[p]))
+            for s, k in enumerate(row):
+                shard[s] += [next(turn) for _ in range(k)]
+    want = {doc: (s, slot) for s, held in shard.items() for slot, (_, _, doc) in enumerate(sorted(held, key=lambda x: (x[1] % (1 << 64), x[0])))}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op6_query(docs).collect()} == want
+
+
+def test_shards_of_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTITION_ROWS", 16)
+    docs = spark.createDataFrame([(None, None)] * 300 + [(5, "five")] * 200 + [(i, f"t{i}") for i in range(100)], "doc_id bigint, text string").repartition(4)
+    slots = defaultdict(list)
+    for r in sharding.op6_query(docs).collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(map(len, slots.values())) == [75] * 8
+    assert all(sorted(v) == list(range(75)) for v in slots.values())
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     good, bad, sample = 7, 9, 6
@@ -169,18 +206,31 @@ def test_encoder_splits_slices_by_row(rows):
     assert got == [e.plain.encode_ordinary(t or "") for t in texts]
 
 
-def test_token_attribution(docs, rows, empty):
+def expected_lines(plain, text):
+    """Per line its span and tokens, character by character: a token goes where most of its characters are."""
+    text = text or ""
+    lines = [x for x in re.findall(r"[^\n]*\n|[^\n]+", text)] or [""]
+    line_of, spans, at = [], [], 0
+    for k, x in enumerate(lines):
+        line_of += [k] * len(x)
+        spans.append((at, at + len(x)))
+        at += len(x)
+    char_of = [i for i, c in enumerate(text) for _ in c.encode()]
+    n, byte = [0] * len(lines), 0
+    for t in plain.encode_ordinary(text):
+        size = len(plain.decode_single_token_bytes(t))
+        held = Counter(line_of[i] for i in sorted(set(char_of[byte : byte + size])))
+        n[min(held, key=lambda k: (-held[k], k))] += 1
+        byte += size
+    return [(k, a, b, n[k]) for k, (a, b) in enumerate(spans)]
+
+
+def test_token_attribution(spark, docs, rows, empty):
     e = encoding.worker_encoder(encoding.packed_ranks())
-    got = defaultdict(list)
-    for r in token_counts.op7_query(docs).collect():
-        got[r.doc_id].append(r)
-    for r in rows:
-        if r[0] in (3, None):
-            continue
-        found = sorted(got[r[0]], key=lambda x: x.section)
-        text = r[1] or ""
-        assert "".join(text[x.char_start : x.char_end] for x in found) == text
-        assert sum(x.n_tokens for x in found) == len(e.plain.encode_ordinary(text))
+    more = [(700 + i, t) for i, t in enumerate(["\n", "\n\n\n", "a\n\n\nb\n", "x  \n  y", "\U0001f600\n\U0001f600\u0301 \n", "é\n" * 50, "end\n"])]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    want = Counter((i, *line) for i, text in [*((r[0], r[1]) for r in rows), *more] for line in expected_lines(e.plain, text))
+    assert Counter(tuple(r) for r in token_counts.op7_query(table).collect()) == want
     assert token_counts.op7_query(empty).count() == 0
 
 
@@ -208,6 +258,40 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(len(k) * v for k, v in counts.items()), 2.0 * len(w), rel_tol=1e-9)
 
 
+def plain_vocabulary():
+    """Weights of the pieces, straight from the model file."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=f"{encoding.TOKENIZERS}/{lm_scoring.VOCABULARY}")
+    size, weight = m.get_piece_size(), Counter()
+    for i in range(size):
+        if m.is_byte(i):
+            weight[bytes([int(m.id_to_piece(i)[3:5], 16)])] += 1 / size
+        elif not m.is_control(i) and not m.is_unknown(i):
+            piece = m.id_to_piece(i).replace("\u2581", " ").encode()
+            if b" " not in piece[1:] and 1 - m.get_score(i) <= size:
+                weight[piece] += 1 / (1 - m.get_score(i))
+    total = sum(weight.values())
+    return {p: w / total for p, w in weight.items()}
+
+
+def arcs_of(word, pieces):
+    return {(i, j): pieces[word[i:j]] for i in range(len(word)) for j in range(i + 1, min(len(word), i + 64) + 1) if word[i:j] in pieces}
+
+
+def plain_sums(word, pieces):
+    """Weights of all spellings up to each place and from it on, in extended precision."""
+    n = len(word)
+    ends, starts = np.zeros(n + 1, np.longdouble), np.zeros(n + 1, np.longdouble)
+    ends[0] = starts[n] = 1
+    arcs = arcs_of(word, pieces)
+    for (i, j), p in sorted(arcs.items(), key=lambda x: x[0][1]):
+        ends[j] += ends[i] * np.longdouble(p)
+    for (i, j), p in sorted(arcs.items(), key=lambda x: -x[0][0]):
+        starts[i] += starts[j] * np.longdouble(p)
+    return ends, starts
+
+
 def tokens(text):
     return SOLID.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -221,14 +305,14 @@ def test_lm_scores(docs, rows, empty, dictionary):
             counts.update(tokens(r[1]))
             n_docs += 1
     total, distinct = sum(counts.values()) + n_docs, len(counts) + 1
-    first = lm_scoring.vocabulary()
-    assert math.isclose(sum(math.exp(v) for v in first.values()), 1, rel_tol=1e-9)
-    expected = {}
-    lattice = lm_scoring.Lattice(first)
+    first = plain_vocabulary()
+    expected = Counter()
     for w, c in counts.items():
-        lattice.expected(b" " + w.encode(), c, expected)
+        ends, starts = plain_sums(b" " + w.encode(), first)
+        for (i, j), p in arcs_of(b" " + w.encode(), first).items():
+            expected[(b" " + w.encode())[i:j]] += float(c * ends[i] * p * starts[j] / ends[-1])
     mass = sum(round(v, 3) for v in expected.values()) + lm_scoring.PRIOR + n_docs + 1
-    trained = lm_scoring.Lattice({p: math.log((round(expected.get(p, 0.0), 3) + lm_scoring.PRIOR * math.exp(w)) / mass) for p, w in first.items()})
+    trained = {p: (round(expected.get(p, 0.0), 3) + lm_scoring.PRIOR * w) / mass for p, w in first.items()}
     got = defaultdict(list)
     for r in lm_scoring.score_documents(docs, dictionary=dictionary).collect():
         got[r.doc_id].append(r)
@@ -237,7 +321,7 @@ def test_lm_scores(docs, rows, empty, dictionary):
         w = tokens(r[1])
         base = sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w) + math.log10((n_docs + 1) / (total + distinct + 1))
         for x in set(w) - set(cache):
-            cache[x] = trained.forward(b" " + x.encode())
+            cache[x] = float(np.log(plain_sums(b" " + x.encode(), trained)[0][-1]))
         score = (sum(cache[x] for x in w) + math.log((n_docs + 1) / mass)) / math.log(10)
         found = [g for g in got[r[0]] if g.n_tokens == len(w) + 1][0]
         assert found.held_out == held(r[0]) and found.train_tokens == total

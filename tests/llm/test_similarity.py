@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from docgrove.llm import jaccard as J
-from docgrove.llm import substrings, suffixes
+from docgrove.llm import shared, substrings, suffixes
 from docgrove.llm.components import components
 
 
@@ -61,7 +61,9 @@ def test_components_claim_no_count_of_links(docs):
     assert J.link_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
 
 
-def test_one_of_each(docs, rows):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_one_of_each(docs, rows, broadcast, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_IDS", broadcast)
     want = expected_components(rows)
     kept = J.one_of_each(docs)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] is None or want[r[0]] == r[0])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -159,6 +160,32 @@ def test_quality_ratio_matches_plain_sums(spark, docs, rows):
     assert abs(got - want) < 1e-9
 
 
+def test_quality_verdicts_match_counts_in_python(spark, docs, rows):
+    """Every ratio and verdict anew: buckets by Spark's hash, all else in Python."""
+    labels = [(i, 1, 0) for i in range(9)] + [(20, 1, 1), (21, 0, 0)]
+    got = quality.op3_query(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    split = [(k, i, *(w[i : i + 2] + [None])[:2]) for k, r in enumerate(rows) for w in [SOLID.findall(r[1] or "")] for i in range(len(w))]
+    hashed = spark.createDataFrame(split, "k bigint, i int, a string, b string").select("k", F.pmod(F.xxhash64("a"), F.lit(quality.BUCKETS)).alias("x"), F.when(F.col("b").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.lit(quality.BUCKETS))).alias("y")).collect()
+    grams = [[] for _ in rows]
+    for r in hashed:
+        grams[r.k] += [v for v in (r.x, r.y) if v is not None]
+    raw, target = Counter(), Counter()
+    for r, g in zip(rows, grams):
+        raw.update(g)
+        if r[0] is not None and r[0] < 9:
+            target.update(g)
+    prior, n_raw = quality.PRIOR_SHARE * sum(target.values()), sum(raw.values()) + quality.SMOOTHING * quality.BUCKETS
+    share = lambda b: (raw[b] + quality.SMOOTHING) / n_raw
+    weight = lambda b: round(1e6 * np.log((target[b] + prior * share(b)) / (sum(target.values()) + prior) / share(b)))
+    want = Counter()
+    for r, g in zip(rows, grams):
+        llr = np.mean([weight(b) for b in g]) / 1e6 if g else None
+        failed = base_counts(r[1])[-1]
+        want[r[0], None if llr is None else round(llr, 5), not failed and llr >= quality.THRESHOLD] += 1
+    assert Counter((r.doc_id, None if r.llr is None else round(r.llr, 5), r.kept) for r in got) == want
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
 @pytest.mark.parametrize("buckets", [1 << 14, 1 << 7])
 def test_quality_cut_holds_where_ngrams_crowd_the_buckets(spark, buckets, monkeypatch):
     monkeypatch.setattr(quality, "BUCKETS", buckets)
@@ -211,6 +238,36 @@ def test_secret_checksums():
     assert [s[0] for s in secrets.scan("IBAN: GB82 WEST 1234 5698 7654 32")] == ["iban"]
 
 
+def added_spans(text):
+    """Tokens, cards and account numbers by trying every place of the text."""
+    out, low = [], text.lower()
+    rules = (
+        ("token", secrets.TOKEN_PREFIXES, secrets.TOKEN, lambda m: secrets.BASE62[(n := zlib.crc32(m[1].encode())) % 62] == m[2][5] and sum(secrets.BASE62.index(c) * 62 ** (5 - i) for i, c in enumerate(m[2])) == n, 0),
+        ("card", secrets.CARD_KEYWORDS, secrets.CARD, lambda m: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(re.sub(r"\D", "", m[1])))) % 10 == 0, 1),
+        ("iban", secrets.IBAN_KEYWORDS, secrets.IBAN, lambda m: int("".join(str(int(c, 36)) for c in "".join(m[1].replace(" ", "")[i] for i in range(-len(m[1].replace(" ", "")) + 4, 4)))) % 97 == 1, 1),
+    )
+    for kind, keywords, pattern, valid, group in rules:
+        free = 0
+        for at in range(len(text)):
+            if at >= free and low.startswith(tuple(keywords), at):
+                m = pattern.match(text, at)
+                if m and valid(m):
+                    out.append((kind, m.start(group), m.end()))
+                    free = m.end()
+    return out
+
+
+def test_added_secret_spans_match_a_plain_search():
+    rng = random.Random(5)
+    body = lambda: "".join(rng.choice(secrets.BASE62) for _ in range(30))
+    parts = ["card number: 4111 1111 1111 1111", "visa 4012-8888-8888-1881", "card 4111 1111 1111 1112", "IBAN: GB82 WEST 1234 5698 7654 32", "iban DE89370400440532013000", "iban GB82WEST12345698765433", "mastercard no. 5555555555554444", "visacard=4111111111111111"]
+    for _ in range(300):
+        b = body()
+        good = rng.choice(secrets.TOKEN_PREFIXES) + b + secrets.token_checksum(b)
+        text = rng.choice([" ", ", ", "\n", "x"]).join(rng.sample([*parts, good, good[:-1] + "0", good + "Z", "password=" + good], 5))
+        assert [s for s in secrets.scan(text) if s[0] in ("token", "card", "iban")] == sorted(added_spans(text), key=lambda s: (s[1], secrets.KINDS.index(s[0]))), text
+
+
 def test_secret_query(spark, docs, rows, empty):
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(SECRET_TEXTS)], "doc_id bigint, text string"))
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.op4_query(more).collect()}
