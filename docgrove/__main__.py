@@ -61,6 +61,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = _config(a.config) if a.command == "reindex" else {}
     dimension = int((settings.get("embeddings") or {}).get("dimensions", 256))
     engine = Engine(spark, a.index, HashingEmbedder(dimension), a.name)
+    if a.command in ("search", "clear"):
+        # an index that is there says how many dimensions it has
+        engine = Engine(spark, a.index, HashingEmbedder(engine.index.stats()["dimension"]), a.name)
     if a.command == "reindex":
         sources = conf.sources_of(settings, a.source)
         if a.dump:
@@ -71,8 +74,6 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         row = engine.reindex(sources, conf.chunk_config(settings), dry_run=a.dry_run).first()
         print(f"{row['totalChunks']} chunks from {', '.join(row['sources'])}")
     elif a.command == "search":
-        engine.index.dimension = engine.index.stats()["dimension"]
-        engine.embedder = HashingEmbedder(engine.index.dimension)
         print(engine.search_text(a.query, a.limit))
     elif a.command == "export":
         engine.export_text(a.dump, a.out, a.overwrite)
