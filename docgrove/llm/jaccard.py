@@ -58,7 +58,7 @@ SINGLES_UPTO = 48
 #: Bands up to this size enumerate subsets of two of three parts; beyond, whole partitions select enough.
 ENUMERATE_UPTO = 256
 SLACK = 12
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 HUB_ROWS = 128
 #: Sets of a family that are compared with each other in one piece.
 BLOCK = 1024

@@ -149,13 +149,20 @@ def suspect(bitmap: np.ndarray):
     return test
 
 
+#: Distinct ids that are broadcast, at eight bytes each and what a hash table adds.
+BROADCAST_IDS = 1 << 20
+
+
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in drop (distinct ids).
+    """docs less the rows whose doc_id is in drop (distinct ids, stored).
 
-    Only rows that a bounded filter over the dropped ids catches are joined with
-    them; the others pass without a shuffle of their texts.
+    Up to BROADCAST_IDS ids are broadcast.  Beyond, only rows that a bounded filter over
+    the ids catches are joined with them.  Either way the other rows pass without a
+    shuffle of their texts.
     """
-    flag = suspect(id_filter(drop))(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
     gone = unused_name("dropped_id", docs)
-    caught = docs.filter(flag)
-    return docs.filter(~flag).unionByName(caught.join(drop.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti"))
+    ids, same = drop.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone)
+    if drop.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), same, "left_anti")
+    flag = suspect(id_filter(drop))(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
+    return docs.filter(~flag).unionByName(docs.filter(flag).join(ids, same, "left_anti"))

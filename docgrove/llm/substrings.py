@@ -50,7 +50,7 @@ ANCHOR = 26
 REACH = LENGTH - ANCHOR
 #: Documents of an anchor from which its contexts are parted into strings.
 FREQUENT = 1 << 13
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Entries in a row of documents or spans that need not meet others.
 DIRECT = 1 << 14
 #: Bytes of contexts that are suffix-sorted at once; an anchor's contexts are never parted.
@@ -312,7 +312,7 @@ def context_blobs(texts: DataFrame, buckets: int, frequent: np.ndarray) -> DataF
             pick = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
             held.append((sig, range_hashes(prefix, low, high), np.full(len(sig), doc, np.int64), low - first, size, s.data[pick]))
             n_held += len(sig)
-            if n_held >= FLUSH // 4:
+            if n_held >= FLUSH // 2:
                 yield from pack(held, turn)
                 held, n_held, turn = [], 0, turn + 1
         if n_held:
