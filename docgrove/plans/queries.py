@@ -335,8 +335,8 @@ def page_markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mdx_sections(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("## Usage\n<Tabs><Tab title=\"One\">"), F.col("text"), F.lit("</Tab><Tab title=\"Two\">"), F.col("text"), F.lit("</Tab></Tabs>\n## Notes\n"), F.col("text"))
-    docs = t(spark, d, "documents").select("doc_id", "source", tx.clean_mdx(body).alias("body"))
-    return chunk_rows(docs, lambda r: mdx_chunks(r["body"] or "", f"{r['source']}/{r['doc_id']}", f"{r['doc_id']}.mdx", "Title", None, r["source"], "", cleaned=True), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
+    docs = t(spark, d, "documents").select("doc_id", "source", body.alias("body"))
+    return chunk_rows(docs, lambda r: mdx_chunks(r["body"] or "", f"{r['source']}/{r['doc_id']}", f"{r['doc_id']}.mdx", "Title", None, r["source"], ""), keep=["doc_id"]).select("doc_id", "id", "heading", "content")
 
 
 @query()
