@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lm_scoring, mixing, quality, secrets, sharding, substrings, token_counts, training_order
+from . import best_fit, conversations, decontamination, hard_negatives, jaccard, lm_scoring, mixing, quality, secrets, sharding, substrings, token_counts, training_order
 from .shared import table
 
 
@@ -55,6 +55,18 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.op10_query(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op11_query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op12_query(table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.op13_query(table(spark, sf_dir, "documents"))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_quality that the method's verdict does not enter."""
     return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -88,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substrings": op9_substrings,
     "op10_training_order": op10_training_order,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversations": op12_conversations,
+    "op13_packing": op13_packing,
     "quality_base_counts": quality_base_counts,
     "secret_counts": secret_counts,
     "shard_sizes": shard_sizes,
@@ -99,6 +114,7 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
     "op9_substrings": substrings.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "quality_base_counts": quality.BASE_ORACLE,
     "secret_counts": secrets.COUNTS_ORACLE,
     "shard_sizes": sharding.SIZES_ORACLE,
