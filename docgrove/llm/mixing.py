@@ -25,9 +25,9 @@ Inputs and edge cases
   its own, ordered last.
 * null doc_id is kept; its place in the shuffle comes from ``nameless`` (the text's
   digest in the query and the pipeline).
-* repeated rows of one id and size are queued one after another.  Where the cut falls
-  among them, each partition of the input gives its share of them, rounded down: their
-  number is then short by less than the number of partitions.
+* repeated rows of one id and size are queued one after another, by partition of the
+  input.  Where the cut falls among them, exactly as many are taken as fit; which of
+  them depends on the partitions, the rows (doc_id, size, taken) do not.
 * an empty table, or one without words, gives targets of 0 and an empty mix.
 * added columns get names that the table does not have.
 """
@@ -187,7 +187,7 @@ def copies_taken(docs: DataFrame, found: list[SourceCut], key: Column, size: Col
 
     There is one cut per source, so their join moves no row of docs.
     """
-    cut, n, mark, source, split, part, turn, held = (unused_name(f"mix_{x}", docs) for x in ("cut", "copies", "key", "source", "split", "part", "turn", "held"))
+    cut, n, mark, source, split, part, turn, ahead, p, s, m = (unused_name(f"mix_{x}", docs) for x in ("cut", "copies", "key", "source", "split", "part", "turn", "ahead", "p", "s", "m"))
     rows = [(c.source, (c.source_size, c.target, c.whole, [(p.key, p.size, p.taken, p.among) for p in c.places])) for c in found]
     table = docs.sparkSession.createDataFrame(rows, CUTS).toDF(source, cut)
     table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
@@ -198,10 +198,15 @@ def copies_taken(docs: DataFrame, found: list[SourceCut], key: Column, size: Col
         # equal rows that a cut parts
         parted = lambda p: (p["taken"] < p["among"]) & (F.col(mark) == p["key"]) & (size == p["size"])
         taken = taken.withColumn(split, F.coalesce((size > 0) & F.exists(F.col(cut)["places"], parted), F.lit(False))).withColumn(part, F.spark_partition_id())
-        group = Window.partitionBy(part, source_col, mark)
-        equal = taken.filter(split).withColumn(turn, F.row_number().over(group.orderBy(F.lit(0)))).withColumn(held, F.count(F.lit(1)).over(group))
-        over = F.filter(F.col(cut)["places"], lambda p: parted(p) & (F.col(turn) > F.floor(p["taken"] * F.col(held) / p["among"])))
-        equal = equal.withColumn(n, F.col(n) - F.size(over)).drop(turn, held)
+        equal = taken.filter(split)
+        # a row's turn is its number in its partition behind all rows of earlier partitions: a few counts per partition
+        counts = equal.groupBy(F.col(part).alias(p), F.col(source_col).alias(s), F.col(mark).alias(m)).agg(F.count(F.lit(1)).alias(turn))
+        upto = F.sum(turn).over(Window.partitionBy(s, m).orderBy(p)) - F.col(turn)
+        same = (F.col(part) == F.col(p)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.col(mark) == F.col(m))
+        numbered = equal.withColumn(turn, F.row_number().over(Window.partitionBy(part, source_col, mark).orderBy(F.lit(0))))
+        equal = numbered.join(counts.withColumn(ahead, upto).drop(turn), same).drop(p, s, m)
+        over = F.filter(F.col(cut)["places"], lambda p: parted(p) & (F.col(ahead) + F.col(turn) > p["taken"]))
+        equal = equal.withColumn(n, F.col(n) - F.size(over)).drop(turn, ahead)
         taken = taken.filter(~F.col(split)).unionByName(equal).drop(split, part)
     return taken.drop(mark), cut, n
 

@@ -40,6 +40,21 @@ def test_mix_meets_targets(docs, rows, empty):
     assert mixing.op2_query(empty).count() == 0
 
 
+def test_parted_repeats_are_taken_exactly_in_any_layout(spark):
+    rows = [(7, "one two three", "a")] * 4000 + [(k, "w " * 5, "b") for k in range(100, 300)] + [(9, "x y", "c")] * 700
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(1) for c in ("p", "s", "m", "rows")})
+    found = [Counter(map(tuple, mixing.op2_query(docs.repartition(n)).collect())) for n in (2, 40)]
+    assert found[0] == found[1] and sum(found[0].values()) == len(rows)
+    target, taken = {}, Counter()
+    for (_, size, source_size, goal, words), n in found[0].items():
+        target[source_size] = goal
+        taken[source_size] += words * n
+    for k, goal in target.items():
+        assert abs(taken[k] - goal) <= 5
+    mix = [Counter(r.doc_id for r in mixing.mixed_documents(docs.repartition(n)).select("doc_id").collect()) for n in (2, 40)]
+    assert mix[0] == mix[1]
+
+
 def expected_mix(rows):
     """(doc_id, size, source_size, target) and how often such rows are taken in all, row by row in Python."""
     base = []
