@@ -1,10 +1,13 @@
-"""Command line: reindex, search, export, clear and doctor over a configuration file.
+"""Command line: reindex, search, export, upkeep of the index, and checks of a configuration file.
 
     python -m docgrove --index PATH reindex [--config FILE] [--source NAME] [--dry-run] [--dump PATH]
     python -m docgrove --index PATH search QUERY [--limit N]
     python -m docgrove --index PATH export DUMP OUT [--overwrite]
     python -m docgrove --index PATH clear [--force]
+    python -m docgrove --index PATH compact
+    python -m docgrove --index PATH lists [--number N] [--recall R]
     python -m docgrove doctor [--config FILE]
+    python -m docgrove validate [--config FILE] [--check-env]
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from .functions.tokens import TokenCap
 from .functions.vectors import HashingEmbedder
-from .plans.engine import Engine, write_dump
+from .plans.engine import Engine
 from .sources import config as conf
 
 
@@ -25,15 +29,22 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     parser.add_argument("--index", default="index")
     parser.add_argument("--name", default="docs")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("reindex", "doctor"):
+    for name in ("reindex", "doctor", "validate"):
         commands.add_parser(name).add_argument("--config")
     reindex = commands.choices["reindex"]
     reindex.add_argument("--source")
     reindex.add_argument("--dry-run", action="store_true")
     reindex.add_argument("--dump")
+    reindex.add_argument("--vocabulary", help="file of (base64 token, rank) lines that counts the tokens of embedding inputs")
+    commands.choices["validate"].add_argument("--check-env", action="store_true")
+    commands.add_parser("compact")
+    lists = commands.add_parser("lists")
+    lists.add_argument("--number", type=int)
+    lists.add_argument("--recall", type=float, default=0.95)
     search = commands.add_parser("search")
     search.add_argument("query")
     search.add_argument("--limit", type=int)
+    search.add_argument("--exact", action="store_true")
     export = commands.add_parser("export")
     export.add_argument("dump")
     export.add_argument("out")
@@ -49,6 +60,23 @@ def _config(path: str | None) -> dict:
     return conf.load(Path(found).read_text())
 
 
+def _validate(path: str | None, check_env: bool) -> int:
+    """Prints errors and warnings of a configuration, and with check_env of variables that it names and the environment lacks."""
+    found = next((p for p in ([path] if path else conf.STANDARD_PATHS) if Path(p).exists()), None)
+    if found is None:
+        print(f"error: no configuration at {path or ', '.join(conf.STANDARD_PATHS)}")
+        return 1
+    text = Path(found).read_text()
+    result = conf.validate(conf.parse(text))
+    errors = result["errors"] + ([f"{name} is not set" for name in conf.unset(text)] + conf.missing_key(conf.parse(text)) if check_env else [])
+    for kind, lines in (("error", errors), ("warning", result["warnings"])):
+        for line in lines:
+            print(f"{kind}: {line}")
+    if not errors:
+        print(f"{found} is valid")
+    return int(bool(errors))
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _arguments(sys.argv[1:] if args is None else args)
     if a.command == "doctor":
@@ -57,24 +85,32 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{c['status']:4} {c['label']}" + (f": {c['detail']}" if c["detail"] else ""))
         print(conf.count_results(checks))
         return int(conf.has_failure(checks))
+    if a.command == "validate":
+        return _validate(a.config, a.check_env)
     spark = spark or SparkSession.builder.appName("docgrove").getOrCreate()
     settings = _config(a.config) if a.command == "reindex" else {}
     dimension = int((settings.get("embeddings") or {}).get("dimensions", 256))
     engine = Engine(spark, a.index, HashingEmbedder(dimension), a.name)
-    if a.command in ("search", "clear"):
+    if a.command in ("search", "clear", "compact", "lists"):
         # an index that is there says how many dimensions it has
         engine = Engine(spark, a.index, HashingEmbedder(engine.index.stats()["dimension"]), a.name)
+    elif a.command == "reindex" and a.vocabulary:
+        engine.cap = TokenCap.from_file(a.vocabulary)
     if a.command == "reindex":
         sources = conf.sources_of(settings, a.source)
-        if a.dump:
-            write_dump(engine.chunks(sources, conf.chunk_config(settings)).filter("error is null").drop("error", "source_ord"), a.dump)
-        if a.dry_run:
-            for r in engine.preview(sources, conf.chunk_config(settings)).collect():
+
+        def show(first: DataFrame) -> None:
+            for r in first.collect():
                 print(f"{r['path']}: {r['heading']} ({r['category']}, {r['size']} characters)")
-        row = engine.reindex(sources, conf.chunk_config(settings), dry_run=a.dry_run).first()
+
+        row = engine.reindex(sources, conf.chunk_config(settings), dry_run=a.dry_run, dump=a.dump, show=show if a.dry_run else None).first()
         print(f"{row['totalChunks']} chunks from {', '.join(row['sources'])}")
     elif a.command == "search":
-        print(engine.search_text(a.query, a.limit))
+        print(engine.search_text(a.query, a.limit, a.exact))
+    elif a.command == "compact":
+        print("compacted" if engine.index.compact() else "another writer came first")
+    elif a.command == "lists":
+        print(f"{engine.index.fit_lists(a.number, a.recall)} lists are probed for a recall of {a.recall:g}")
     elif a.command == "export":
         engine.export_text(a.dump, a.out, a.overwrite)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,6 +16,10 @@ TOKEN_CAP = 8100
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The vocabulary that counts tokens where no other is named.
+VOCABULARY = os.path.join(os.environ.get("DOCGROVE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
+
 @lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str):
     import tiktoken
@@ -35,6 +40,13 @@ class TokenCap:
         with open(path, "rb") as f:
             return cls(f.read(), **settings)
 
+    @classmethod
+    def default(cls) -> TokenCap:
+        """TOKEN_CAP tokens of VOCABULARY; an error where that file is missing, for no other count is exact."""
+        if not os.path.exists(VOCABULARY):
+            raise FileNotFoundError(f"embedding inputs are cut by tokens: name a vocabulary file, there is none at {VOCABULARY}")
+        return cls.from_file(VOCABULARY)
+
     def cut(self, text: str) -> str:
         ids = _encoding(self.ranks, self.pattern).encode_ordinary(text)
         return text if len(ids) <= self.cap else _encoding(self.ranks, self.pattern).decode(ids[: self.cap])

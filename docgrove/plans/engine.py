@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokens import TOKEN_CAP, TokenCap
+from ..functions.tokens import TokenCap
 from ..functions.vectors import HashingEmbedder
 from ..model import ChunkConfig
 from ..operators.chunking import chunk_rows, markdown_chunks, mdx_chunks
@@ -25,8 +25,6 @@ from ..sources.remote import Staging, read_source
 from . import search as s
 from .index import VectorIndex, to_records
 
-#: Without a vocabulary, a token counts as so many characters.
-CHARS_PER_TOKEN = 4
 #: Parsers whose files fail one by one; a bad file of another parser fails its source.
 ISOLATED = ("html",)
 
@@ -36,7 +34,10 @@ class SourceError(RuntimeError):
 
 
 def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks of a source's files (context, path, content, url, language, source), with `error`."""
+    """Chunks of a source's files (context, path, content, url, language, source), with `error`.
+
+    `file` and `place` say where in its source a chunk stands.
+    """
 
     def make(r: dict) -> list[dict]:
         text, url, context = r["content"] or "", r["url"] or "", r["context"]
@@ -52,7 +53,7 @@ def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig())
         # ids by file: files of one directory would share them otherwise
         return [c | {"id": f"{context}/{r['path']}#{i}"} for i, c in enumerate(found)]
 
-    return chunk_rows(files, make, keep=["source"])
+    return chunk_rows(files.withColumn("file", F.col("path")), make, keep=["source", "file"], place="place")
 
 
 def with_page_urls(chunks: DataFrame, pages: DataFrame, base_url: str) -> DataFrame:
@@ -82,11 +83,11 @@ def _mdx(text: str, path: str, source: Source, config: ChunkConfig) -> list[dict
 def embed_chunks(chunks: DataFrame, embedder: HashingEmbedder, cap: TokenCap | None = None) -> DataFrame:
     """chunks with `values`, embedded in Arrow batches; a chunk and its vector stay one row.
 
-    Inputs are cut at TOKEN_CAP tokens of `cap`, or else at as many times CHARS_PER_TOKEN characters.
+    Inputs are cut at the tokens of `cap`, of ``TokenCap.default()`` if none is given.
     """
     m = lambda k: F.col(f"metadata.{k}")
     text = tx.embedding_text(F.col("documentTitle"), F.col("heading"), F.col("content"), m("language"), m("repository"), m("method"), m("path"), m("description"))
-    rows = chunks.withColumn("_input", cap.apply(text) if cap else F.substring(text, 1, TOKEN_CAP * CHARS_PER_TOKEN))
+    rows = chunks.withColumn("_input", (cap or TokenCap.default()).apply(text))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -116,7 +117,7 @@ class Engine:
         self.staging = staging or Staging(spark, f"{self.index.path}/_staging")
 
     def chunks(self, sources: list[Source], config: ChunkConfig = ChunkConfig()) -> DataFrame:
-        """All chunks in config order (`source_ord`), with an `error` column; missing optional sources are left out."""
+        """All chunks, with an `error` column and their place by configuration, file and chunk (`source_ord`); missing optional sources are left out."""
         parts = []
         for i, source in enumerate(sources):
             try:
@@ -129,7 +130,7 @@ class Engine:
                 found = parse(files, source, config)
                 if source.parser == "openapi" and source.type == "local":
                     found = with_page_urls(found, self._pages(source), source.base_url)
-                parts.append(found.withColumn("source_ord", F.lit(i)))
+                parts.append(found.withColumn("source_ord", F.struct(F.lit(i).alias("source"), "file", "place")).drop("file", "place"))
         if not parts:
             raise ValueError("no source could be read")
         return reduce(DataFrame.unionByName, parts)
@@ -140,12 +141,13 @@ class Engine:
         path = F.substring_index("path", source.path.rstrip("/") + "/", -1)
         return select_files(raw.select(path.alias("path"), F.decode("content", "utf-8").alias("content")), "mdx")
 
-    def reindex(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), namespace: str = "", dry_run: bool = False) -> DataFrame:
+    def reindex(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), namespace: str = "", dry_run: bool = False, dump: str | None = None, show: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Parses each source once and publishes all chunks as one version; returns the manifest row.
 
         A file that cannot be parsed fails its source: an optional one is left as it
         was, any other ends the run before anything is published.  A dry run stops
-        before the vectors.
+        before the vectors.  What is published is also what `dump` gets, and what `show`
+        gets the first of.
         """
         path = f"{self.index.path}/_chunks-{uuid.uuid4().hex}"
         try:
@@ -154,8 +156,12 @@ class Engine:
             found = self.spark.read.schema(found.schema).parquet(path)
             failed = self._failed(found, sources)
             good = found.filter(F.col("error").isNull() & ~F.col("source").isin(failed))
+            if dump:
+                write_dump(good.drop("error", "source_ord"), dump)
+            if show:
+                show(_first(good))
             if not dry_run:
-                records = to_records(embed_chunks(good.drop("error", "source_ord"), self.embedder, self.cap), keep=("source",))
+                records = to_records(embed_chunks(good.drop("error"), self.embedder, self.cap), keep=("source", "source_ord"))
                 read = {r["source"] for r in found.select("source").distinct().collect()}  # one row per source
                 self.index.replace(records, sorted(read - set(failed)), namespace)
             return self.spark.createDataFrame(manifest(good).collect(), "totalChunks bigint, categories array<string>, sources array<string>")
@@ -177,11 +183,12 @@ class Engine:
 
     def preview(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), n: int = 3) -> DataFrame:
         """The first n chunks as a dry run shows them."""
-        found = self.chunks(sources, config).filter("error is null")
-        return found.orderBy("source_ord", "documentPath", "id").limit(n).select("heading", F.col("documentPath").alias("path"), "category", F.length("content").alias("size"))
+        return _first(self.chunks(sources, config).filter("error is null"), n)
 
-    def search(self, query: str, limit: int | None = None, namespace: str | None = None) -> DataFrame:
-        return s.search(self.index.read(namespace), self._query, query, limit)
+    def search(self, query: str, limit: int | None = None, namespace: str | None = None, exact: bool = False) -> DataFrame:
+        """Results from the lists that the index probes, or with `exact` from all of its records."""
+        vector = self._query(query)
+        return s.search(self.index.candidates(vector, namespace, 0 if exact else None), lambda _: vector, query, limit)
 
     def _query(self, text: str) -> list[float]:
         found = self.embedder.embed(text, "query")
@@ -189,8 +196,8 @@ class Engine:
             raise ValueError(f"the query has {len(found)} dimensions, the index {self.index.dimension}")
         return found
 
-    def search_text(self, query: str, limit: int | None = None) -> str:
-        return s.format_results(self.search(query, limit), query, self.name).first()["text"]
+    def search_text(self, query: str, limit: int | None = None, exact: bool = False) -> str:
+        return s.format_results(self.search(query, limit, exact=exact), query, self.name).first()["text"]
 
     def export_text(self, dump: str, path: str, overwrite: bool = False) -> None:
         """The text export of a chunk dump."""
@@ -204,6 +211,10 @@ class Engine:
         return ok, why
 
 
+def _first(chunks: DataFrame, n: int = 3) -> DataFrame:
+    return chunks.orderBy("source_ord", "documentPath", "id").limit(n).select("heading", F.col("documentPath").alias("path"), "category", F.length("content").alias("size"))
+
+
 def manifest(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("totalChunks"), F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("source")).alias("sources"))
 

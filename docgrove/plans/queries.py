@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokens import TokenCap
 from ..functions.vectors import HashingEmbedder, assert_dimension, cosine, dot, round_score
 from ..model import RECORD_METADATA, ChunkConfig
 from ..operators.chunking import changelog_chunks, chunk_rows, markdown_documents, mdx_chunks, migration_chunks, readme_chunks
@@ -24,9 +20,7 @@ from ..sources.links import extract_links, link_table, page_path
 from . import search
 from .engine import embed_chunks, manifest, with_page_urls, write_dump
 from .index import VectorIndex, keep_last, to_records
-
-#: Folder of the public tokenizer files, one of which counts the tokens of embedding inputs.
-TOKENIZERS = os.environ.get("DOCGROVE_TOKENIZERS", "/opt/tokenizers")
+from .scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -493,12 +487,6 @@ def page_link_table(spark: SparkSession, d: str) -> DataFrame:
     return link_table(t(spark, d, "pages"), "html")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/docgrove/{name}-{uuid.uuid4().hex}"
-
-
 def _records(docs: DataFrame) -> DataFrame:
     none = {k: F.lit(None).cast("string").alias(k) for k in RECORD_METADATA}
     meta = none | {"sourceUrl": F.col("source").alias("sourceUrl"), "content": tx.truncate_content(F.col("text")).alias("content"), "heading": F.col("lang").alias("heading")}
@@ -508,16 +496,60 @@ def _records(docs: DataFrame) -> DataFrame:
 
 def _two_versions(spark: SparkSession, d: str) -> VectorIndex:
     """All documents as source one, then a third of them again as source two."""
-    index, docs = VectorIndex(spark, _scratch(spark, "index"), 2), t(spark, d, "documents")
+    index, docs = VectorIndex(spark, shared_folder(spark, "index"), 2), t(spark, d, "documents")
     index.upsert(_records(docs), "one", replace_source=True)
     index.upsert(_records(docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new"))), "two", replace_source=True)
     return index
 
 
-@query(r"""select regexp_replace(source || '/' || doc_id, '[^a-zA-Z0-9_-]', '_', 'g') id, case when doc_id % 3 = 0 then 'two' else 'one' end source, case when doc_id % 3 = 0 then 'new' else lang end heading, length(case when length(text) > 8000 then substr(text, 1, 8000) || '...' else text end) n from documents""")
+_UPSERTED = r"""select regexp_replace(source || '/' || doc_id, '[^a-zA-Z0-9_-]', '_', 'g') id, case when doc_id % 3 = 0 then 'two' else 'one' end source, case when doc_id % 3 = 0 then 'new' else lang end heading, md5(case when length(text) > 8000 then substr(text, 1, 8000) || '...' else text end) content_md5 from documents"""
+
+
+def _contents(index: VectorIndex) -> DataFrame:
+    return index.read().select("id", "source", F.col("metadata.heading").alias("heading"), F.md5("metadata.content").alias("content_md5"))
+
+
+@query(_UPSERTED)
 def index_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """What an index holds after an upsert that replaces a third of its records."""
-    return _two_versions(spark, d).read().select("id", "source", F.col("metadata.heading").alias("heading"), F.length("metadata.content").alias("n"))
+    """What an index holds after an upsert that replaces a third of its records: two segments, less what is gone."""
+    return _contents(_two_versions(spark, d))
+
+
+@query(_UPSERTED)
+def index_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same index once it is one segment."""
+    index = _two_versions(spark, d)
+    index.compact()
+    return _contents(index)
+
+
+def _listed(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors in inverted lists, and the vectors whose id is divisible by 100 as queries."""
+    v = t(spark, d, "embeddings")
+    index = VectorIndex(spark, shared_folder(spark, "lists"), 64)
+    none = F.struct(*[F.lit(None).cast("string").alias(k) for k in RECORD_METADATA])
+    index.upsert(v.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), none.alias("metadata")))
+    index.fit_lists(recall=0.95)
+    return index, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""select q, vec_id, r rank, floor(s * 100 + 0.5) / 100 score from (
+  select a.vec_id q, b.vec_id, {_COS.replace("embedding::double[]", "b.embedding::double[]").replace(", q)", ", a.embedding::double[])").replace("(q,", "(a.embedding::double[],")} s, row_number() over (partition by a.vec_id order by s desc, b.vec_id) r
+  from embeddings a, embeddings b where a.vec_id % 100 = 0) where r <= 10""")
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of all vectors by the index's exact switch."""
+    index, asked = _listed(spark, d)
+    found = index.top_k_each(asked, 10, probes=0)
+    return found.select(F.col("query_id").alias("q"), F.col("id").cast("bigint").alias("vec_id"), "rank", round_score(F.col("score")).alias("score"))
+
+
+@query("select count(*) n_queries, 10 k, true reached from embeddings where vec_id % 100 = 0")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the probed lists give nine in ten of the true ten nearest of all vectors."""
+    index, asked = _listed(spark, d)
+    exact, probed = index.top_k_each(asked, 10, probes=0), index.top_k_each(asked, 10)
+    held = exact.join(probed.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
+    return held.agg(F.count_distinct("query_id").alias("n_queries"), F.lit(10).alias("k"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("reached"))
 
 
 @query("select 'full' step, count(*) n, 2 dimension from documents union all select 'cleared', 0, 2")
@@ -537,7 +569,7 @@ def chunk_dump(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as a dump and read back."""
     docs = t(spark, d, "documents").select("doc_id", "source", "text")
     chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}"} for c in readme_chunks(r["text"] or "", "", r["source"])], keep=["source"]).drop("error")
-    path = _scratch(spark, "dump")
+    path = shared_folder(spark, "dump")
     write_dump(chunks, path)
     return read_chunk_dump(spark, path).select("id", "source", "content", F.col("metadata.sourceUrl").alias("url"))
 
@@ -571,7 +603,6 @@ def e2e_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents chunked, embedded by feature hashing, searched, reranked and projected."""
     docs = t(spark, d, "documents").select("doc_id", "source", "text")
     chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}#{i}"} for i, c in enumerate(readme_chunks(r["text"] or "", "", r["source"]))]).filter("error is null").drop("error")
-    embedder, vocabulary = HashingEmbedder(64), f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    cap = TokenCap.from_file(vocabulary) if os.path.exists(vocabulary) else None
-    records = to_records(embed_chunks(chunks, embedder, cap))
+    embedder = HashingEmbedder(64)
+    records = to_records(embed_chunks(chunks, embedder))
     return search.search(records, embedder.embed, "the thing that was there", 10).select("rank", "id", "score", "title", "heading")

@@ -50,8 +50,27 @@ def find(folder: str, path: str | None = None) -> str | None:
     return next((p for p in ([path] if path else [f"{folder}/{x}" for x in STANDARD_PATHS]) if os.path.exists(p)), None)
 
 
+def parse(text: str, env: dict[str, str] | None = None) -> Any:
+    """The configuration as written, variables put in; not validated."""
+    return yaml.safe_load(substitute(text, env)) or {}
+
+
+def unset(text: str, env: dict[str, str] | None = None) -> list[str]:
+    """Names of ${NAME} without a default that the environment lacks."""
+    env = os.environ if env is None else env
+    named = re.findall(r"\$\{([^}:]+)(:-[^}]*)?\}", text)
+    return sorted({name for name, default in named if not default and not env.get(name)})
+
+
+def missing_key(config: Any, env: dict[str, str] | None = None) -> list[str]:
+    """The variable of the embedding provider's key, if the environment lacks it."""
+    env = os.environ if env is None else env
+    name = API_KEYS.get(((config or {}).get("embeddings") or {}).get("provider", "openai")) if isinstance(config, dict) else None
+    return [f"{name} is not set"] if name and not env.get(name) else []
+
+
 def load(text: str, env: dict[str, str] | None = None) -> dict[str, Any]:
-    config = yaml.safe_load(substitute(text, env)) or {}
+    config = parse(text, env)
     found = validate(config)
     if found["errors"]:
         raise ValueError("; ".join(found["errors"]))

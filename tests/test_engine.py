@@ -357,7 +357,7 @@ def test_command_line(spark, tmp_path, capsys):
     cfg.write_text(f"sources:\n- {{name: docs, type: local, path: {root}}}\nembeddings: {{provider: openai, model: text-embedding-3-small, dimensions: 64}}\n")
     at = ["--index", str(tmp_path / "index")]
     assert main([*at, "reindex", "--config", str(cfg), "--dry-run", "--dump", str(tmp_path / "dump")], spark) == 0
-    assert "Refunds (documentation" in capsys.readouterr().out and not (tmp_path / "index" / "settings").exists()
+    assert "Refunds (documentation" in capsys.readouterr().out and not (tmp_path / "index" / "log").exists()
     assert main([*at, "reindex", "--config", str(cfg)], spark) == 0 and "1 chunks from docs" in capsys.readouterr().out
     assert main([*at, "search", "refunds", "--limit", "1"], spark) == 0 and "How refunds work" in capsys.readouterr().out
     assert main([*at, "export", str(tmp_path / "dump"), str(tmp_path / "txt")], spark) == 0
