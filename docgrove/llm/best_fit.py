@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import textkernel as tk
-from .encoding import TOKENIZERS, Encoder
+from .encoding import TOKENIZERS
 from .shared import durable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,25 +54,99 @@ def read_vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> str:
         return f.read()
 
 
-class _Words:
-    """The given tokenizer under the name by which Encoder asks for ids."""
+#: Slots of a worker's table of pieces, and the ids that it holds at most.
+SLOTS = 1 << 19
+HELD_IDS = 1 << 22
+#: Longer pieces, in bytes, are not kept.
+LONG_PIECE = 64
 
-    def __init__(self, vocabulary: str):
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Marks that always start a new word of the vocabulary's split pattern behind a letter.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,:;!?")] = True
 
-    def encode_ordinary(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+class WordEncoder:
+    """Token ids (uint16) of the rows of a slice, by a vocabulary that drops white space and case.
 
-class WordEncoder(Encoder):
-    """Ids of a vocabulary that drops white space: distinct pieces between it are encoded once."""
+    The pieces between white space, parted before a mark behind a letter, are encoded
+    independently of each other: each distinct one once, all new ones of a slice in one
+    call, and the ids of its other places are gathered from a table.  Pieces are told apart by a
+    64-bit hash; what the table holds must also agree in length and in the first eight bytes.
+    """
 
     def __init__(self, vocabulary: str):
-        self.plain = _Words(vocabulary)
-        if self.plain.tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self._clear()
 
+    def _clear(self) -> None:
+        self.hash, self.head = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.size, self.begin, self.count = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, count) of the ids of words, appended to those held."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        flat = np.array(found.ids, np.uint16)
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        behind = np.cumsum([len(w) + 1 for w in words])
+        upto = np.searchsorted(at, behind)
+        count = np.diff(upto, prepend=0)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        begin = upto - count + self.used
+        self.used += len(flat)
+        return begin, count
+
+    def encode(self, s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, first): row r has ids first[r]..first[r + 1]."""
+        n = len(s.data)
+        if self.used > HELD_IDS:
+            self._clear()
+        # the special tokens, whose case counts, have this in them
+        data = s.data if b"<|" in s.data.tobytes() else tk.ASCII_LOWER[s.data]
+        solid = tk.SOLID[data]
+        starts, ends = solid.copy(), np.ones(n + 1, bool)
+        starts[1:] &= ~solid[:-1] | (_MARK[data[1:]] & _LETTER[data[:-1]])
+        borders = s.offsets[:-1][s.offsets[:-1] < n]
+        starts[borders] = solid[borders]
+        start = np.flatnonzero(starts)
+        if not len(start):
+            return np.zeros(0, np.uint16), np.zeros(s.rows() + 1, np.int64)
+        # a piece ends where white space, another piece or another row begins
+        ends[:n] = starts | ~solid
+        ends[s.offsets] = True
+        stop = np.flatnonzero(ends)
+        end = stop[np.searchsorted(stop, start, "right")]
+        size = end - start
+        up, down = tk.powers(n + 1)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(tk.BYTE_CODES[data] * up[:n], out=prefix[1:])
+        h = tk.mix64((prefix[end] - prefix[start]) * down[start] + size.astype(np.uint64))
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        head = np.lib.stride_tricks.sliding_window_view(padded, 8)[start].view(np.uint64)[:, 0]
+        head &= tk.HEAD_MASKS[np.minimum(size, 8)]
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        hit = (self.hash[slot] == h) & (self.size[slot] == size) & (self.head[slot] == head)
+        begin, count = self.begin[slot], self.count[slot]
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            _, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            new = miss[first]
+            raw = data.tobytes()
+            b, c = self._add([raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(start[new].tolist(), end[new].tolist())])
+            begin[miss], count[miss] = b[inverse], c[inverse]
+            keep = size[new] <= LONG_PIECE
+            new, at = new[keep], slot[new[keep]]
+            self.hash[at], self.head[at], self.size[at], self.begin[at], self.count[at] = h[new], head[new], size[new], b[keep], c[keep]
+        before = np.append(0, np.cumsum(count))
+        ids = self.ids[np.arange(before[-1]) + np.repeat(begin - before[:-1], count)]
+        return ids, before[np.searchsorted(start, s.offsets)]
+
 
 @lru_cache(maxsize=1)
 def worker_words(vocabulary: str) -> WordEncoder:

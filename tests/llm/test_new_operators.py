@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from docgrove.llm import best_fit, conversations, hard_negatives
+from docgrove.llm import textkernel as tk
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -163,12 +165,13 @@ def test_packing_is_whole_and_tight(docs, rows, empty):
     assert Counter(tuple(r)[:5] for r in apart) == expected
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "It's  they'LL x y", "é ̸= ΣΑΣ İ", "a\x00b \x1c c\x85d", "", "  \n"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "It's  they'LL x y", "é ̸= ΣΑΣ İ", "a\x00b \x1c c\x85d", "a.́b é;̸ x:̈ y\u3000,z?'s !!'t a.'s", "<|ENDOFTEXT|>", "it.İ K. ﬁn,", "", "  \n"])
 def test_pieces_between_white_space_encode_alone(text):
     vocabulary = best_fit.read_vocabulary()
     encoder = best_fit.WordEncoder(vocabulary)
-    for t in (text, f"x {text}\n\n{text} {text}"):
-        assert encoder.encode_text(t).tolist() == Tokenizer.from_str(vocabulary).encode(t, add_special_tokens=False).ids
+    for t in (text, f"x {text}\n\n{text} {text}", text + ",", f"Ab{text}.{text};B"):
+        ids = np.concatenate([encoder.encode(s)[0] for s in tk.slices(pa.array([t], pa.string()))])
+        assert ids.tolist() == Tokenizer.from_str(vocabulary).encode(t, add_special_tokens=False).ids
 
 
 def two_fit(lengths, sequence):
