@@ -2,7 +2,10 @@
 
 A document is a preorder list of sections.  A section's subtree is the run up to
 the next section of the same or a smaller level, so parents, subtree ends and sizes
-come from window functions over one (document, position) sort, without recursion.
+follow from what stands before and behind it.  They come from scans in two levels:
+windows inside segments of a document, and windows over one summary per segment (for
+each of the six levels the last section, and the first place where one ends).  No task
+holds the lines or sections of a whole document.
 """
 
 from __future__ import annotations
@@ -10,50 +13,88 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, trimmed
 
 HEADING_LINE = r"(?dU)^(#{1,6})\s+(.+)$"
 INTRO_OVER = 50
+#: Line numbers, and sections, of a segment.
+SEGMENT = 4096
+LEVELS = range(1, 7)
 
 
-def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section_id, parent_id, level, heading, content, subtree_size) of every section.
+def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """``line_sections`` of whole texts."""
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    return line_sections(lines, id_col, segment=segment)
+
+
+def _with(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with a table that has one row per key; null keys agree."""
+    own = {k: f"_{k}" for k in keys}
+    renamed = table.withColumnsRenamed(own)
+    same = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys]
+    return rows.join(renamed, same, "left").drop(*own.values())
+
 
-    Text before the first heading is 'Introduction' at level 0 if longer than 50
-    characters ('Documentation' where there is no heading at all).
+def line_sections(lines: DataFrame, id_col: str = "doc_id", order_col: str = "line_no", line_col: str = "line", segment: int = SEGMENT) -> DataFrame:
+    """(id, section_id, parent_id, level, heading, content, subtree_size) of every section of lines (id, line number, line).
+
+    Line numbers rise in a document; they may have gaps.  Text before the first heading is
+    'Introduction' at level 0 if longer than 50 characters ('Documentation' where there
+    is no heading at all).
     """
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    order = Window.partitionBy(id_col).orderBy("line_no")
-    is_head = F.col("line").rlike(HEADING_LINE)
-    lines = lines.withColumn("is_head", is_head).withColumn("section_id", F.sum(F.col("is_head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.select(F.col(id_col), F.col(order_col).alias("line_no"), F.col(line_col).alias("line"))
+    lines = lines.withColumns({"is_head": F.col("line").rlike(HEADING_LINE), "seg": F.floor(F.col("line_no") / segment)})
+    before = Window.partitionBy(id_col).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lines.groupBy(id_col, "seg").agg(F.count_if("is_head").alias("heads"))
+    heads = heads.withColumn("heads_before", F.coalesce(F.sum("heads").over(before), F.lit(0))).drop("heads")
+    upto = Window.partitionBy(id_col, "seg").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _with(lines, heads, id_col, "seg").withColumn("section_id", F.col("heads_before") + F.sum(F.col("is_head").cast("int")).over(upto))
     body = F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line_no", "line"))))
     found = lines.groupBy(id_col, "section_id").agg(
         F.max(F.when(F.col("is_head"), F.length(F.regexp_extract("line", HEADING_LINE, 1)))).alias("level"),
         F.max(F.when(F.col("is_head"), js_trim(F.regexp_extract("line", HEADING_LINE, 2)))).alias("heading"),
         js_trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"),
     )
-    per_doc = Window.partitionBy(id_col)
-    found = found.withColumn("headed", F.max("section_id").over(per_doc) > 0)
-    found = found.filter((F.col("section_id") > 0) | (F.length("content") > INTRO_OVER)).select(
+    headed = lines.groupBy(id_col).agg(F.bool_or("is_head").alias("headed"))
+    found = _with(found.filter((F.col("section_id") > 0) | (F.length("content") > INTRO_OVER)), headed, id_col)
+    found = found.select(
         id_col,
         "section_id",
         F.coalesce("level", F.lit(0)).alias("level"),
         F.coalesce("heading", F.when(F.col("headed"), F.lit("Introduction")).otherwise(F.lit("Documentation"))).alias("heading"),
         "content",
+        F.length("content").cast("long").alias("own"),
+        F.floor(F.col("section_id") / segment).alias("seg"),
     )
-    by = per_doc.orderBy("section_id")
-    before, behind = by.rowsBetween(Window.unboundedPreceding, -1), per_doc.orderBy(F.col("section_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.length("content").cast("long")
-    found = found.withColumn("own", own).withColumn("ahead", F.coalesce(F.sum(own).over(before), F.lit(0))).withColumn("total", F.sum(own).over(per_doc))
-    at = [F.when(F.col("level") == k, F.col("section_id")) for k in range(7)]
-    last = [F.when(F.col("level") > k, F.last(at[k], ignorenulls=True).over(before)) for k in range(1, 7)]
-    # the characters before the next section of the same or a smaller level; windows that look back only, from the end
-    ends = [F.when(F.col("level") == k, F.last(F.when(F.col("level").between(1, k), F.col("ahead")), ignorenulls=True).over(behind)) for k in range(1, 7)]
-    size = F.when(F.col("level") > 0, F.coalesce(*ends, F.col("total")) - F.col("ahead")).otherwise(F.col("own"))
-    return found.withColumn("parent_id", F.greatest(*last)).withColumn("subtree_size", size).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
+    return _nested(found, id_col).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
+
+
+def _nested(found: DataFrame, id_col: str) -> DataFrame:
+    """Sections (id, section_id, level, own, seg) with parent_id and subtree_size."""
+    inside = Window.partitionBy(id_col, "seg")
+    ahead_in = inside.orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)
+    behind_in = inside.orderBy(F.col("section_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    level, at = F.col("level"), F.col("section_id")
+    local = found.withColumn("ahead", F.coalesce(F.sum("own").over(ahead_in), F.lit(0)))
+    last = lambda k: F.max(F.when(level == k, at))
+    closes = lambda k: F.min(F.when(level.between(1, k), F.struct("section_id", "ahead")))["ahead"]
+    sums = local.groupBy(id_col, "seg").agg(F.sum("own").alias("total"), *(last(k).alias(f"last{k}") for k in (0, *LEVELS)), *(closes(k).alias(f"closes{k}") for k in LEVELS))
+    per_doc = Window.partitionBy(id_col)
+    earlier = per_doc.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    later = per_doc.orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"base": F.coalesce(F.sum("total").over(earlier), F.lit(0)), "whole": F.sum("total").over(per_doc)})
+    carried: dict[str, Column] = {f"last{k}": F.max(f"last{k}").over(earlier) for k in (0, *LEVELS)}
+    carried |= {f"closes{k}": F.last(F.col("base") + F.col(f"closes{k}"), ignorenulls=True).over(later) for k in LEVELS}
+    sums = sums.select(id_col, "seg", "base", "whole", *(c.alias(k) for k, c in carried.items()))
+    placed = _with(local, sums, id_col, "seg").withColumn("ahead", F.col("base") + F.col("ahead"))
+    parents = [F.when(level > k, F.coalesce(F.last(F.when(level == k, at), ignorenulls=True).over(ahead_in), F.col(f"last{k}"))) for k in (0, *LEVELS)]
+    ends = [F.when(level == k, F.coalesce(F.last(F.when(level.between(1, k), F.col("ahead")), ignorenulls=True).over(behind_in), F.col(f"closes{k}"))) for k in LEVELS]
+    size = F.when(level > 0, F.coalesce(*ends, F.col("whole")) - F.col("ahead")).otherwise(F.col("own"))
+    return placed.withColumns({"parent_id": F.greatest(*parents[1:]), "subtree_size": size})
 
 
 @dataclass

@@ -14,7 +14,8 @@ from ..model import RECORD_METADATA, ChunkConfig
 from ..operators.chunking import changelog_chunks, chunk_rows, markdown_documents, mdx_chunks, migration_chunks, readme_chunks
 from ..operators.html import html_documents, pages_markdown
 from ..operators.openapi import openapi_documents, with_doc_urls
-from ..operators.outline import section_tree
+from ..operators.outline import line_sections
+from ..operators.runs import pack_runs
 from ..sources.files import read_chunk_dump, select_files
 from ..sources.links import extract_links, link_table, page_path
 from . import search
@@ -241,15 +242,26 @@ def page_title(spark: SparkSession, d: str) -> DataFrame:
 # --- structure ----------------------------------------------------------------
 
 
-def _nation_tree(spark: SparkSession, d: str) -> DataFrame:
-    """A Markdown text per region: ## nations, ### segments with their customers' names."""
-    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    segments = rows.groupBy("n_regionkey", "n_name", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list("c_name")), "\n").alias("body"))
-    part = F.concat(F.lit("### "), F.col("c_mktsegment"), F.lit("\n"), F.col("body"))
-    nations = segments.groupBy("n_regionkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", part.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    part = F.concat(F.lit("## "), F.col("n_name"), F.lit("\nabout "), F.col("n_name"), F.lit("\n"), F.col("body"))
-    regions = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", part.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    return regions.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("# Region\n"), F.col("body")).alias("text"))
+def _nation_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A document per region, line by line: ## nations, ### segments with a line for each of their customers.
+
+    No document is ever one text: line numbers are a place for nation and segment, then the customer's key.
+    """
+    nations = t(spark, d, "nation").withColumn("place", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")))
+    rows = t(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    segments = rows.groupBy("n_regionkey", "n_name", "place", "c_mktsegment").agg(F.min("c_custkey").alias("first"))
+    segments = segments.withColumn("at", F.row_number().over(Window.partitionBy("n_regionkey", "n_name").orderBy("c_mktsegment")))
+    place = lambda at: F.shiftleft((F.col("place") * 64 + at).cast("bigint"), 40)
+    line = lambda no, text: (F.col("n_regionkey").alias("doc_id"), no.alias("line_no"), text.alias("line"))
+    heads = segments.select("n_regionkey", "n_name", "place").distinct()
+    parts = [
+        heads.select("n_regionkey").distinct().select(*line(F.lit(0).cast("bigint"), F.lit("# Region"))),
+        heads.select(*line(place(F.lit(0)), F.concat(F.lit("## "), "n_name"))),
+        heads.select(*line(place(F.lit(0)) + 1, F.concat(F.lit("about "), "n_name"))),
+        segments.select(*line(place(F.col("at")), F.concat(F.lit("### "), "c_mktsegment"))),
+        rows.join(F.broadcast(segments.select("n_name", "c_mktsegment", "at")), ["n_name", "c_mktsegment"]).select(*line(place(F.col("at")) + 1 + F.col("c_custkey"), F.col("c_name"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _TREE = """with leaf as (select n_regionkey, n_name, c_mktsegment, sum(length(c_name)) + count(*) - 1 size from customer join nation on c_nationkey = n_nationkey group by n_regionkey, n_name, c_mktsegment),
@@ -259,12 +271,12 @@ _TREE = """with leaf as (select n_regionkey, n_name, c_mktsegment, sum(length(c_
 
 @query(_TREE + "select n_regionkey doc_id, c_mktsegment heading, 3 \"level\", size::bigint subtree_size from leaf union all select n_regionkey, n_name, 2, size::bigint from mid union all select n_regionkey, 'Region', 1, sum(size)::bigint from mid group by 1")
 def section_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return section_tree(_nation_tree(spark, d)).select("doc_id", "heading", "level", "subtree_size")
+    return line_sections(_nation_lines(spark, d)).select("doc_id", "heading", "level", "subtree_size")
 
 
 @query(_TREE + "select n_regionkey doc_id, c_mktsegment heading, n_name parent from leaf union all select n_regionkey, n_name, 'Region' from mid union all select distinct n_regionkey, 'Region', null from mid")
 def section_parents(spark: SparkSession, d: str) -> DataFrame:
-    tree = section_tree(_nation_tree(spark, d))
+    tree = line_sections(_nation_lines(spark, d))
     up = tree.select("doc_id", F.col("section_id").alias("parent_id"), F.col("heading").alias("parent"))
     return tree.join(up, ["doc_id", "parent_id"], "left").select("doc_id", "heading", "parent")
 
@@ -278,19 +290,21 @@ def section_parents(spark: SparkSession, d: str) -> DataFrame:
     select * from r)
   select p_brand, batch, count(*) n, max(total)::bigint size from recursive_pack group by p_brand, batch""")
 def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring part names packed up to 200 characters: a fold over ordered arrays."""
-    parts = t(spark, d, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.length("p_name").alias("n")))), lambda x: x["n"]).alias("sizes"))
-    state = F.struct(F.array().cast("array<struct<n:bigint,size:bigint>>").alias("done"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("size"))
-    one, long = F.lit(1).cast("bigint"), lambda x: x.cast("bigint")
-    fold = F.aggregate(
-        "sizes",
-        state,
-        lambda s, x: F.when((s["n"] == 0) | (s["size"] + x <= 200), F.struct(s["done"].alias("done"), (s["n"] + one).alias("n"), long(s["size"] + x).alias("size"))).otherwise(
-            F.struct(F.concat(s["done"], F.array(F.struct(s["n"].alias("n"), s["size"].alias("size")))).alias("done"), one.alias("n"), long(x).alias("size"))
-        ),
-        lambda s: F.concat(s["done"], F.array(F.struct(s["n"].alias("n"), s["size"].alias("size")))),
-    )
-    return parts.select("p_brand", F.posexplode(fold).alias("batch", "x")).select("p_brand", "batch", F.col("x.n").alias("n"), F.col("x.size").alias("size"))
+    """Neighbouring part names packed up to 200 characters."""
+    parts = t(spark, d, "part").select("p_brand", "p_partkey", F.length("p_name").alias("n"))
+    runs = pack_runs(parts, "p_brand", "p_partkey", "n", 200)
+    return runs.groupBy("p_brand", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n")).alias("size"))
+
+
+@query("""with recursive x as (select row_number() over (order by l_orderkey, l_linenumber) i, l_quantity::bigint n from lineitem),
+  p as (select i, n, (sum(n) over (order by i))::bigint s from x),
+  e as (select a.i, b.i nxt, coalesce(b.s - b.n, (select max(s) from p)) - a.s + a.n size from p a asof left join p b on a.s - a.n + 1000 < b.s),
+  r as (select i, nxt, size, 0::bigint batch from e where i = 1 union all select e.i, e.nxt, e.size, r.batch + 1 from r join e on e.i = r.nxt)
+  select batch, coalesce(nxt, (select count(*) + 1 from x)) - i n, size from r""")
+def one_key_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All line items as one key, packed to shipments of 1000 pieces."""
+    items = t(spark, d, "lineitem").select(F.lit("all").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.col("l_quantity").cast("bigint").alias("n"))
+    return pack_runs(items, "key", "at", "n", 1000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
 
 
 @query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
