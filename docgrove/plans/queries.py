@@ -296,14 +296,14 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("p_brand", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n")).alias("size"))
 
 
-@query("""with recursive x as (select row_number() over (order by l_orderkey, l_linenumber) i, l_quantity::bigint n from lineitem),
+@query("""with recursive x as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) i, floor(l_quantity)::bigint n from lineitem),
   p as (select i, n, (sum(n) over (order by i))::bigint s from x),
-  e as (select a.i, b.i nxt, coalesce(b.s - b.n, (select max(s) from p)) - a.s + a.n size from p a asof left join p b on a.s - a.n + 1000 < b.s),
-  r as (select i, nxt, size, 0::bigint batch from e where i = 1 union all select e.i, e.nxt, e.size, r.batch + 1 from r join e on e.i = r.nxt)
-  select batch, coalesce(nxt, (select count(*) + 1 from x)) - i n, size from r""")
+  e as (select i, greatest(count(*) over w, 1) n, greatest(sum(n) over w, n)::bigint size from p window w as (order by s range between current row and greatest(1000 - n, 0) following)),
+  r as (select i, n, size, 0::bigint batch from e where i = 1 union all select e.i, e.n, e.size, r.batch + 1 from r join e on e.i = r.i + r.n)
+  select batch, n, size from r""")
 def one_key_batches(spark: SparkSession, d: str) -> DataFrame:
     """All line items as one key, packed to shipments of 1000 pieces."""
-    items = t(spark, d, "lineitem").select(F.lit("all").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.col("l_quantity").cast("bigint").alias("n"))
+    items = t(spark, d, "lineitem").select(F.lit("all").alias("key"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.floor("l_quantity").alias("n"))
     return pack_runs(items, "key", "at", "n", 1000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
 
 
