@@ -20,6 +20,7 @@ from ..operators.chunking import chunk_rows, markdown_chunks, mdx_chunks
 from ..operators.html import html_chunks
 from ..operators.openapi import doc_url_map, spec_chunks
 from ..sources.config import resolve_deletion
+from ..sources.datasources import BATCH, send
 from ..sources.files import Source, read_chunk_dump, select_files
 from ..sources.remote import Staging, read_source
 from . import search as s
@@ -199,6 +200,10 @@ class Engine:
     def search_text(self, query: str, limit: int | None = None, exact: bool = False) -> str:
         return s.format_results(self.search(query, limit, exact=exact), query, self.name).first()["text"]
 
+    def push(self, put: Callable[[str, list[dict]], None], namespace: str = "", batch_size: int = BATCH, delay_ms: int = 0) -> None:
+        """Sends the index's records to a hosted one, `put(namespace, records)`, in batches with retries."""
+        send(self.index.read(namespace).select("id", "values", "metadata"), put, namespace, batch_size, delay_ms)
+
     def export_text(self, dump: str, path: str, overwrite: bool = False) -> None:
         """The text export of a chunk dump."""
         s.export_text(read_chunk_dump(self.spark, dump), path, ["documentPath", "id"], overwrite)

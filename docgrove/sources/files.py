@@ -1,17 +1,21 @@
 """File sources as DataFrames: discovery rules of Markdown, MDX, HTML and OpenAPI trees.
 
-Listing and reading are Spark's (``binaryFile`` with a recursive lookup and a glob);
-skip rules are predicates on the relative path, so they prune before contents are used.
+Trees that are shared as a file system are listed by ``docgrove_tree``, which enters no folder
+and opens no file that the rules skip.  Other stores are listed by Spark's
+``binaryFile``, and the rules are predicates on the relative path.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CHUNK_FIELDS, CHUNKS
+from .datasources import register, tree_source
 
 EXTENSIONS = {"markdown": r"(?i)\.md$", "mdx": r"\.(mdx?|MDX?)$", "html": r"(?i)\.html?$", "openapi": r"(?i)\.(ya?ml|json)$"}
 
@@ -48,6 +52,12 @@ def scan(spark: SparkSession, root: str, parser: str, skip_dirs: tuple[str, ...]
     of specs only the first by name, not in a subdirectory, is taken.
     """
     root = root.rstrip("/")
+    at = re.fullmatch(r"(?:file:(?://)?)?(/.*|[^:]*)", root)
+    if at:
+        register(spark, tree_source(EXTENSIONS[parser]))
+        options = {"skipDirs": "\n".join(skip_dirs), "skipFiles": "\n".join(skip_files), "hiddenDirs": str(parser != "html").lower(), "recursive": str(parser != "openapi").lower()}
+        found = spark.read.format("docgrove_tree").options(path=os.path.abspath(at[1]), **options).load()
+        return select_files(found.select("path", F.decode("content", "utf-8").alias("content")), parser, skip_dirs, skip_files)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", parser != "openapi").load(root)
     full = F.col("path")
     # the part after the root, whatever scheme the listing puts in front

@@ -16,21 +16,19 @@ import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_context, file_source_url
 from . import git
+from .datasources import read_pages
 from .files import Source, scan, select_files
 from .links import link_table, page_path, resolve_filename, with_retry
 
 TIMEOUT_S, ATTEMPTS, BASE_MS = 30.0, 4, 1000.0
-#: Tasks that fetch pages side by side.
-FETCHERS = 8
 PROVIDERS = {"github": git.GITHUB, "gitlab": git.GITLAB}
 
 
@@ -63,22 +61,6 @@ def fetch(url: str, get: Callable[[str], str] = http_get, sleep: Callable[[float
     return with_retry(lambda: get(url), attempts=ATTEMPTS, base_ms=BASE_MS, sleep=sleep)
 
 
-def fetch_pages(urls: DataFrame, extension: str = "", get: Callable[[str], str] = http_get, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(url, content, error) of every page; a page that fails has an error and no content."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple[str, str | None, str | None]] = []
-            for url in batch["url"]:
-                try:
-                    out.append((url, fetch(url + extension, get, sleep), None))
-                except Exception as e:
-                    out.append((url, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=["url", "content", "error"])
-
-    return urls.repartition(FETCHERS, "url").mapInPandas(rows, "url string, content string, error string")
-
-
 class Staging:
     """Reads sources, staging remote ones under `folder`; `get` and `run` are the network's two doors."""
 
@@ -110,7 +92,9 @@ class Staging:
         if source.follow_links:
             text = self.spark.createDataFrame([(seed,)], "content string")
             links = link_table(text, "content", list(source.hosts) or None, source.max_pages)
-            pages = fetch_pages(links, source.append_extension, self.get, self.sleep)
+            get, sleep = self.get, self.sleep
+            # max_pages rows at most
+            pages = read_pages(self.spark, [r["url"] for r in links.collect()], lambda url: fetch(url, get, sleep), source.append_extension)
             found = pages.select(F.concat(page_path(F.col("url")), F.lit(source.append_extension)).alias("path"), "content", "url", "error")
         else:
             found = self.spark.createDataFrame([(resolve_filename(source.url, source.save_as), seed, source.url, None)], "path string, content string, url string, error string")
