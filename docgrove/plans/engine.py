@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -25,6 +25,7 @@ from ..sources.files import Source, read_chunk_dump, select_files
 from ..sources.remote import Staging, read_source
 from . import search as s
 from .index import VectorIndex, to_records
+from .terms import FUSED_RANKS, TermIndex, fuse
 
 #: Parsers whose files fail one by one; a bad file of another parser fails its source.
 ISOLATED = ("html",)
@@ -115,6 +116,7 @@ class Engine:
     def __init__(self, spark: SparkSession, index_path: str, embedder: HashingEmbedder | None = None, name: str = "docs", staging: Staging | None = None, cap: TokenCap | None = None):
         self.spark, self.embedder, self.name, self.cap = spark, embedder or HashingEmbedder(), name, cap
         self.index = VectorIndex(spark, index_path, self.embedder.dimension)
+        self.terms = TermIndex(spark, f"{self.index.path}/terms")
         self.staging = staging or Staging(spark, f"{self.index.path}/_staging")
 
     def chunks(self, sources: list[Source], config: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -186,6 +188,20 @@ class Engine:
         """The first n chunks as a dry run shows them."""
         return _first(self.chunks(sources, config).filter("error is null"), n)
 
+    def index_terms(self) -> TermIndex:
+        """Builds the inverted index of the records' titles, headings and contents, for hybrid searches."""
+        m = lambda k: F.coalesce(F.col(f"metadata.{k}"), F.lit(""))
+        text = F.concat_ws("\n", m("documentTitle"), m("heading"), m("content"))
+        return self.terms.build(self.index.read().select("id", text.alias("content")))
+
+    def search_hybrid(self, query: str, limit: int | None = None, namespace: str | None = None) -> DataFrame:
+        """Results of a pool from both the vectors and the terms (``index_terms``), reranked by BM25 over the whole corpus."""
+        vector = self._query(query)
+        near = s.top_k(self.index.candidates(vector, namespace), vector, FUSED_RANKS).select("id", "score")
+        near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+        pool = fuse(s.RERANK_POOL, near, self.terms.top_k(query, FUSED_RANKS))
+        return s.search(self.index.read(namespace), lambda _: vector, query, limit, rerank=self.terms.scorer(), among=pool)
+
     def search(self, query: str, limit: int | None = None, namespace: str | None = None, exact: bool = False) -> DataFrame:
         """Results from the lists that the index probes, or with `exact` from all of its records."""
         vector = self._query(query)

@@ -22,6 +22,7 @@ from . import search
 from .engine import embed_chunks, manifest, with_page_urls, write_dump
 from .index import VectorIndex, keep_last, to_records
 from .scratch import shared_folder
+from .terms import TermIndex, fuse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,6 +577,42 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("full", full["vectorCount"], full["dimension"]), ("cleared", none["vectorCount"], none["dimension"])], "step string, n bigint, dimension int")
 
 
+_BM25 = r"""words as (select doc_id id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) term from documents),
+  tf as (select id, term, count(*) tf from words where term <> '' group by id, term),
+  lengths as (select doc_id id, coalesce(n, 0)::double length from documents left join (select id, sum(tf) n from tf group by id) x on x.id = doc_id),
+  df as (select term, count(*) df from tf group by term),
+  asked as (select distinct q, term from (select q, unnest(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')) term from queries) where term <> ''),
+  scored as (select q, id, round(sum(ln(1 + ((select count(*) from documents) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select avg(length) from lengths)))), 9) bm25
+    from asked join tf using (term) join df using (term) join lengths using (id) group by q, id),
+  lexical as (select q, id, bm25, row_number() over (partition by q order by bm25 desc, id) r from scored)"""
+
+
+def _terms(spark: SparkSession, d: str) -> TermIndex:
+    return TermIndex(spark, shared_folder(spark, "terms")).build(t(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"with queries as (select item_id q, substr(text, 1, 60) t from benchmark), {_BM25} select q, id doc_id, r rank, round(bm25, 6) score from lexical where r <= 5")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five documents of highest BM25 for the beginning of each benchmark item."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    found = _terms(spark, d).top_k_each(asked, 5)
+    return found.select(F.col("query_id").alias("q"), F.col("id").alias("doc_id"), "rank", F.round("bm25", 6).alias("score"))
+
+
+@query(f"""with queries as (select doc_id q, substr(text, 1, 60) t from documents join embeddings on vec_id = doc_id where doc_id % 100 = 0), {_BM25},
+  near as (select a.vec_id q, b.vec_id id, row_number() over (partition by a.vec_id order by round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) r from embeddings a join documents on doc_id = a.vec_id, embeddings b where a.vec_id % 100 = 0),
+  fused as (select q, id, round(sum(1.0::double / (60 + r)), 9) fused from (select q, id, r from lexical where r <= 30 union all select q, id, r from near where r <= 30) group by q, id)
+  select q, id, r rank from (select q, id, row_number() over (partition by q order by fused desc, id) r from fused) where r <= 10""")
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Terms and vectors fused by rank, for the documents whose id is divisible by 100 and that have a vector."""
+    docs, v = t(spark, d, "documents"), t(spark, d, "embeddings")
+    asked = docs.filter("doc_id % 100 = 0").join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), "embedding")
+    near = search.top_k_each(v, asked.select("query_id", F.col("embedding").alias("query")), 30, "vec_id", "embedding", lambda a, b: F.round(dot(a, b), 9))
+    lexical = _terms(spark, d).top_k_each(asked.select("query_id", "query"), 30)
+    found = fuse(10, near.select("query_id", F.col("vec_id").alias("id"), "rank"), lexical, by=("query_id",))
+    return found.select(F.col("query_id").alias("q"), "id", "rank")
+
+
 @query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
   y as (select source || '/' || doc_id id, source, case when length(x) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || x content from x where length(x) > 50)
   select id, source, content, '' url from y where length(content) >= 125""")

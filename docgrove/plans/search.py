@@ -74,13 +74,17 @@ def lexical_overlap(text: Column, query: str) -> Column:
     return F.when(F.size(words) > 0, F.size(held) / F.size(words)).otherwise(F.lit(0.0))
 
 
-def search(vectors: DataFrame, embed: Callable[[str], list[float]], query: str, limit: int | None = None, rerank: Callable[[Column, str], Column] | None = lexical_overlap, pool: int = RERANK_POOL) -> DataFrame:
+def search(vectors: DataFrame, embed: Callable[[str], list[float]], query: str, limit: int | None = None, rerank: Callable[[Column, str], Column] | None = lexical_overlap, pool: int = RERANK_POOL, among: DataFrame | None = None) -> DataFrame:
     """Result rows in order (`rank` from 1).  Without a reranker, or if it fails, the first k by vector score.
 
+    `among` holds the ids of a pool that another first stage has chosen.
+
     Only the pool, RERANK_POOL rows, is reranked; it comes to the driver first, so that
     a scorer that fails on the rows fails here and not in the search.
     """
     k = clamp_k(limit)
+    if among is not None:
+        vectors = vectors.join(F.broadcast(among.select("id")), "id", "left_semi")
     hits = result_columns(top_k(vectors, embed(query), pool if rerank else k))
     order = [F.col("exact_score").desc(), F.col("id")]
     if rerank:
