@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as tx
 from ..functions.vectors import HashingEmbedder, assert_dimension, cosine, dot, round_score
 from ..model import RECORD_METADATA, ChunkConfig
@@ -16,6 +17,7 @@ from ..operators.html import html_documents, pages_markdown
 from ..operators.openapi import openapi_documents, with_doc_urls
 from ..operators.outline import line_sections
 from ..operators.runs import pack_runs
+from ..operators.specs import resolved_operations
 from ..sources.files import read_chunk_dump, select_files
 from ..sources.links import extract_links, link_table, page_path
 from . import search
@@ -29,11 +31,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return add
@@ -219,9 +221,21 @@ def doc_url_join(spark: SparkSession, d: str) -> DataFrame:
     return with_doc_urls(ops, urls, "https://docs.example.com").select("k", F.upper("method").alias("m"), "url")
 
 
-@query(r"""select page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\s)\]"''>,]+'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[.,;]+$', ''), '[?#].*$', ''), '/+$', '')), lambda x: regexp_matches(x, '^https?://[^/]+/')))) links from pages""")
+#: What is added to every page: repeats, upper case, queries, fragments, marks behind links, bare roots, other schemes.
+_LINKED = """html || ' see <a href="' || url || '">here</a>, (HTTPS://Docs.Example.COM/Guide/' || page_id % 7 || '?q=1#top) https://docs.example.com/Guide/' || page_id % 7 || '/, [x](http://other' || page_id % 3 || '.example/a/b' || page_id || '#f). https://docs.example.com/ ftp://docs.example.com/x https://docs.example.com/z/' || page_id || '.;' """
+_LINKS = """select page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, 'https?://[^\\s)\\]"''>,]+'), lambda x: lower(regexp_extract(x, '^(https?://[^/?#]+)', 1)) || regexp_replace(regexp_extract(regexp_replace(x, '[.,;]+$', ''), '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')), lambda x: regexp_matches(x, '^https?://[^/]+/')))) links from linked"""
+
+
+def _linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda n=None: (F.col("page_id") if n is None else F.col("page_id") % n).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = say(F.col("html"), ' see <a href="', F.col("url"), '">here</a>, (HTTPS://Docs.Example.COM/Guide/', key(7), "?q=1#top) https://docs.example.com/Guide/", key(7), "/, [x](http://other", key(3), ".example/a/b", key(), "#f). https://docs.example.com/ ftp://docs.example.com/x https://docs.example.com/z/", key(), ".;")
+    return t(spark, d, "pages").select("page_id", text.alias("text"))
+
+
+@query(f"with linked as (select page_id, {_LINKED} t from pages) {_LINKS}")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", extract_links(F.col("html")).alias("links"))
+    return _linked_pages(spark, d).select("page_id", extract_links(F.col("text")).alias("links"))
 
 
 @query(r"select page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+/+', ''), '[?#].*$', '') path from pages where regexp_matches(url, '^https?://[^/]+/+[^?#]')")
@@ -363,6 +377,59 @@ def _part_specs(parts: DataFrame) -> DataFrame:
     return parts.groupBy(F.pmod(F.xxhash64("p_partkey"), F.lit(-(-n // 100) or 1)).cast("string").alias("path")).agg(spec.alias("content"))
 
 
+@query("""select (p_partkey // 100)::string spec, '/parts/' || p_partkey path, 'get_part_' || p_partkey operation_id, case when p_partkey % 5 = 0 then 'P' || p_partkey when p_partkey % 5 = 1 and p_partkey - 1 in (select p_partkey from part) then 'P' || (p_partkey - 1) end resolved from part""")
+def spec_references(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of specs and the schemas that their answers end at, behind references, cycles and gaps."""
+    key = F.col("p_partkey")
+    name = lambda k: F.concat(F.lit("P"), k.cast("string"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    to = lambda n: say('{"$ref": "#/components/schemas/', n, '"}')
+    k = key % 5
+    schema = F.when(k == 0, F.lit('{"type": "object"}')).when(k.isin(1, 3), to(name(key - 1))).when(k == 2, to(name(key + 1))).otherwise(to(F.lit("Gone")))
+    op = say('"/parts/', key.cast("string"), '": {"get": {"operationId": "get_part_', key.cast("string"), '", "responses": {"200": {"content": {"application/json": {"schema": ', to(name(key)), '}}}}}, "summary": "no method"}')
+    spec = say('{"paths": {', F.array_join(F.collect_list(op), ", "), '}, "components": {"schemas": {', F.array_join(F.collect_list(say('"', name(key), '": ', schema)), ", "), "}}}")
+    specs = t(spark, d, "part").groupBy(F.floor(key / 100).cast("string").alias("path")).agg(spec.alias("content"))
+    return resolved_operations(specs).select("spec", "path", "operation_id", "resolved")
+
+
+@query("""with x as (select p_brand, p_partkey, length(p_name) n, row_number() over (partition by p_brand order by p_partkey) i from part),
+  recursive_pack as (
+    with recursive r(p_brand, i, total, batch) as (
+      select p_brand, i, n, 0 from x where i = 1
+      union all select x.p_brand, x.i, case when r.total + x.n <= 500 then r.total + x.n else x.n end, case when r.total + x.n <= 500 then r.batch else r.batch + 1 end
+      from r join x on x.p_brand = r.p_brand and x.i = r.i + 1)
+    select * from r)
+  select p_brand, batch, count(*) n, max(total)::bigint size from recursive_pack group by p_brand, batch""")
+def sql_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Part names packed up to 500 characters, in SQL."""
+    sql.register(spark)
+    return spark.sql("select * from pack_batches(limit => 500, rows => table(select p_brand, p_partkey, length(p_name) size from {parts}) partition by p_brand order by p_partkey)", parts=t(spark, d, "part"))
+
+
+@query(r"""with b as (select doc_id, E'\n# Top\nabout ' || source || E'\n## First\n' || coalesce(text, '') || E'\n### Deep\n' || lang || E'\n## Second\nend' t from documents),
+  n as (select doc_id, length(trim((select string_agg(l, chr(10) order by i) from (select unnest(string_split(coalesce(text, ''), chr(10))) l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) i) q), E' \t\n\r\v\f')) n, length(lang) l, length(source) + 6 s from documents)
+  select doc_id, 'Top' heading, 1 "level", s + n + l + 3 subtree_size from n union all select doc_id, 'First', 2, n + l from n union all select doc_id, 'Deep', 3, l from n union all select doc_id, 'Second', 2, 3 from n""")
+def sql_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of whole texts under given headings, in SQL."""
+    sql.register(spark)
+    text = F.concat(F.lit("\n# Top\nabout "), F.col("source"), F.lit("\n## First\n"), F.coalesce("text", F.lit("")), F.lit("\n### Deep\n"), F.col("lang"), F.lit("\n## Second\nend"))
+    docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
+    return spark.sql("select d.doc_id, o.heading, o.level, o.subtree_size from {docs} d, lateral outline_sections(d.text) o", docs=docs)
+
+
+@query(r"""with raw as (select doc_id, string_split('# ' || source || E'\n```\n' || lang || E'\n```\n' || text || case doc_id % 3 when 0 then E'\n```\ncode ' || doc_id || E'\n```' when 1 then E'\n```\nopen' else '' end, '```') s from documents),
+  cut as (select doc_id, list_filter(list_transform(range(1, len(s) + 1), lambda k: case when k % 2 = 0 and k < len(s) then '```' || s[k] || '```' when k % 2 = 1 and k = len(s) - 1 then s[k] || '```' || s[len(s)] when k % 2 = 1 then s[k] end), lambda p: p is not null and p <> '') parts from raw)
+  select doc_id, (unnest(range(len(parts))))::int part, md5(unnest(parts)) body from cut""")
+def sql_fences(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of fence_split by the table function of SQL."""
+    sql.register(spark)
+    k = F.col("doc_id") % 3
+    tail = F.when(k == 0, F.concat(F.lit("\n```\ncode "), F.col("doc_id").cast("string"), F.lit("\n```"))).when(k == 1, F.lit("\n```\nopen")).otherwise(F.lit(""))
+    built = F.concat(F.lit("# "), F.col("source"), F.lit("\n```\n"), F.col("lang"), F.lit("\n```\n"), F.col("text"), tail)
+    docs = t(spark, d, "documents").select("doc_id", built.alias("text"))
+    return spark.sql("select d.doc_id, p.part, md5(p.body) body from {docs} d, lateral fence_parts(d.text) p", docs=docs)
+
+
 # --- chunkers on inputs whose chunks SQL can state ------------------------------
 
 _BODY = "left(repeat(source || ' ' || lang || ' ' || doc_id || ' words ', 60), {n})"
@@ -495,26 +562,10 @@ def file_discovery(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [select_files(files, *r).select(F.lit(r[0]).alias("parser"), "doc_id", "path") for r in rules])
 
 
-@query("""with raw as (select unnest(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\\s)\\]"''>,]+'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[.,;]+$', ''), '[?#].*$', ''), '/+$', '')), lambda x: regexp_matches(x, '^https?://[^/]+/'))))) url from pages)
-  select url from (select distinct url from raw) order by url limit 500""")
+@query(f"with linked as (select page_id, {_LINKED} t from pages), raw as (select unnest(links) url from ({_LINKS})) select url from (select distinct url from raw where url like '%://docs.example.com/%') order by url limit 500")
 def page_link_table(spark: SparkSession, d: str) -> DataFrame:
-    """The pages that a crawl of all pages' links would fetch: the first 500, which is the rule."""
-    return link_table(t(spark, d, "pages"), "html")
-
-
-def _records(docs: DataFrame) -> DataFrame:
-    none = {k: F.lit(None).cast("string").alias(k) for k in RECORD_METADATA}
-    meta = none | {"sourceUrl": F.col("source").alias("sourceUrl"), "content": tx.truncate_content(F.col("text")).alias("content"), "heading": F.col("lang").alias("heading")}
-    vector = F.array((F.col("doc_id") % 7).cast("float"), F.lit(1.0).cast("float"))
-    return docs.select(tx.sanitize_id(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("id"), vector.alias("values"), F.struct(*[meta[k] for k in RECORD_METADATA]).alias("metadata"))
-
-
-def _two_versions(spark: SparkSession, d: str) -> VectorIndex:
-    """All documents as source one, then a third of them again as source two."""
-    index, docs = VectorIndex(spark, shared_folder(spark, "index"), 2), t(spark, d, "documents")
-    index.upsert(_records(docs), "one", replace_source=True)
-    index.upsert(_records(docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new"))), "two", replace_source=True)
-    return index
+    """The pages of one host that a crawl of all pages' links would fetch: the first 500, which is the rule."""
+    return link_table(_linked_pages(spark, d), "text", ["docs.example.com"])
 
 
 _UPSERTED = r"""select regexp_replace(source || '/' || doc_id, '[^a-zA-Z0-9_-]', '_', 'g') id, case when doc_id % 3 = 0 then 'two' else 'one' end source, case when doc_id % 3 = 0 then 'new' else lang end heading, md5(case when length(text) > 8000 then substr(text, 1, 8000) || '...' else text end) content_md5 from documents"""
