@@ -16,8 +16,9 @@ from ..functions import text as tx
 from ..functions.tokens import TokenCap
 from ..functions.vectors import HashingEmbedder
 from ..model import ChunkConfig
-from ..operators.chunking import chunk_rows, markdown_chunks, mdx_chunks
+from ..operators.chunking import chunk_rows, mdx_chunks
 from ..operators.html import html_chunks
+from ..operators.markdown import markdown_files
 from ..operators.openapi import doc_url_map, spec_chunks
 from ..sources.config import resolve_deletion
 from ..sources.datasources import BATCH, send
@@ -40,6 +41,11 @@ def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig())
 
     `file` and `place` say where in its source a chunk stands.
     """
+    if source.parser == "markdown":
+        found = markdown_files(files, config)
+        # ids by file: files of one directory would share them otherwise
+        own = F.concat(F.col("metadata.repository"), F.lit("/"), "file", F.lit("#"), F.col("place").cast("string"))
+        return found.withColumns({"id": own, "source": F.lit(source.name), "error": F.lit(None).cast("string")})
 
     def make(r: dict) -> list[dict]:
         text, url, context = r["content"] or "", r["url"] or "", r["context"]
@@ -47,13 +53,9 @@ def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig())
             return _mdx(text, r["path"], source, config)
         if source.parser == "html":
             return html_chunks(text, r["path"], url, context, r["language"], config)
-        if source.parser == "openapi":
-            import yaml
+        import yaml
 
-            return spec_chunks(yaml.safe_load(text), source.base_url)
-        found = markdown_chunks(r["path"], text, url, context, r["language"], config)
-        # ids by file: files of one directory would share them otherwise
-        return [c | {"id": f"{context}/{r['path']}#{i}"} for i, c in enumerate(found)]
+        return spec_chunks(yaml.safe_load(text), source.base_url)
 
     return chunk_rows(files.withColumn("file", F.col("path")), make, keep=["source", "file"], place="place")
 

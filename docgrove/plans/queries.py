@@ -12,8 +12,9 @@ from ..functions import sql
 from ..functions import text as tx
 from ..functions.vectors import HashingEmbedder, assert_dimension, cosine, dot, round_score
 from ..model import RECORD_METADATA, ChunkConfig
-from ..operators.chunking import changelog_chunks, chunk_rows, markdown_documents, mdx_chunks, migration_chunks, readme_chunks
+from ..operators.chunking import changelog_chunks, chunk_rows, mdx_chunks, readme_chunks
 from ..operators.html import html_documents, pages_markdown
+from ..operators.markdown import markdown_documents, section_chunks
 from ..operators.openapi import openapi_documents, with_doc_urls
 from ..operators.outline import line_sections
 from ..operators.runs import pack_runs
@@ -327,8 +328,8 @@ def one_key_batches(spark: SparkSession, d: str) -> DataFrame:
   select * from y where length(content) >= 125""")
 def readme_documents(spark: SparkSession, d: str) -> DataFrame:
     """README chunks of all texts; those of these tables have no headings, so each gives one chunk at most."""
-    found = chunk_rows(t(spark, d, "documents").select("doc_id", "source", "text"), lambda r: readme_chunks(r["text"] or "", "", r["source"]), keep=["doc_id"])
-    return found.select("doc_id", "id", "content")
+    docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("context"), F.col("text").alias("content"), F.lit("").alias("url"), F.col("lang").alias("language"))
+    return section_chunks(docs, "doc_id").select("doc_id", "id", "content")
 
 
 @query(r"""select doc_id, concat_ws(chr(10), repeat('-', 40), '## ' || source, 'Heading: ' || lang, 'Source: ' || nullif(source, ''), '', text, '') block from documents""")
@@ -339,14 +340,16 @@ def export_text(spark: SparkSession, d: str) -> DataFrame:
     return search.export_blocks(chunks).withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents)
+  select source || '/README.md' "documentPath", 'Document ' || doc_id heading, case when length(x) < 250 then '## Document ' || doc_id || chr(10) || chr(10) else '' end || x content from x where x <> '' and length(x) + case when length(x) < 250 then 5 + length('Document ' || doc_id) else 0 end >= 125""")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of constructed Markdown: one text per source, a ## section per document."""
+    """Chunks of constructed Markdown: a file for every fifty documents of a source, a ## section per document."""
     docs = t(spark, d, "documents")
     section = F.concat(F.lit("## Document "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
     files = docs.groupBy("source", (F.col("doc_id") / 50).cast("long").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", section.alias("s")))), lambda x: x["s"]), "\n\n").alias("content"))
-    rows = files.select(F.col("source").alias("context"), F.concat(F.lit("part-"), F.col("part").cast("string"), F.lit(".md")).alias("path"), "content", F.lit("https://example.com").alias("url"), F.lit("en").alias("language"))
-    return markdown_documents(rows).select("documentPath", "heading", "content", F.col("metadata.description").alias("description"))
+    path = F.concat("source", F.lit("/part-"), F.col("part").cast("string"), F.lit(".md"))
+    rows = files.select(F.col("source").alias("context"), path.alias("path"), "content", F.lit("https://example.com").alias("url"), F.lit("en").alias("language"))
+    return markdown_documents(rows).select("documentPath", "heading", "content")
 
 
 @query()
@@ -449,6 +452,13 @@ def _files(docs: DataFrame, part: F.Column, joiner: str, rows: int = 20) -> Data
     return numbered.groupBy("source", "file").agg(F.array_join(parts, joiner).alias("text"))
 
 
+def _file_chunks(files: DataFrame, migration: bool) -> DataFrame:
+    key = F.concat_ws(":", F.col("file").cast("string"), "source")
+    rows = files.select(key.alias("key"), F.col("source").alias("context"), F.col("text").alias("content"), F.lit("").alias("url"), F.lit("en").alias("language"))
+    named = F.split("key", ":", 2)
+    return section_chunks(rows, "key", migration=migration).select(named[1].alias("source"), named[0].cast("int").alias("file"), "heading", "content")
+
+
 _NUMBERED = "numbered as (select *, row_number() over (partition by source order by doc_id) - 1 n from documents)"
 
 
@@ -458,8 +468,7 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of 300 to 799 characters under headings: each is a chunk of its own."""
     docs = t(spark, d, "documents")
     part = F.concat(F.lit("## Document "), F.col("doc_id").cast("string"), F.lit("\n"), _body(F.lit(300) + F.col("doc_id").cast("int") % 500))
-    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: readme_chunks(r["text"], "", r["source"]), keep=["source", "file"])
-    return found.select("source", "file", "heading", "content")
+    return _file_chunks(_files(docs, part, "\n\n"), False)
 
 
 @query(rf"""with {_NUMBERED}, v as (
@@ -484,8 +493,7 @@ def migration_sections(spark: SparkSession, d: str) -> DataFrame:
     """Migration guides: sections of 100 characters and more stand alone."""
     docs = t(spark, d, "documents")
     part = F.concat(F.lit("## From "), F.col("doc_id").cast("string"), F.lit("\n"), F.trim(_body(F.lit(100) + F.col("doc_id").cast("int") % 300)))
-    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: migration_chunks(r["text"], "", r["source"]), keep=["source", "file"])
-    return found.select("source", "file", "heading", "content")
+    return _file_chunks(_files(docs, part, "\n\n"), True)
 
 
 @query(rf"""with b as (select doc_id, trim({_BODY.format(n="60 + doc_id * 37 % 1200")}) a, trim({_BODY.format(n="60 + doc_id * 91 % 1200")}) b from documents),

@@ -6,7 +6,7 @@ import pytest
 
 from docgrove.functions import sql
 from docgrove.operators import runs
-from docgrove.operators.chunking import markdown_documents
+from docgrove.operators.markdown import markdown_documents
 from docgrove.operators.outline import section_tree
 from docgrove.operators.specs import operations, references, resolved_operations, schemas
 
