@@ -13,11 +13,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.hosted import HostedEmbedder
 from .functions.tokens import TokenCap
 from .functions.vectors import HashingEmbedder
 from .plans.engine import Engine
@@ -36,6 +38,7 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     reindex.add_argument("--dry-run", action="store_true")
     reindex.add_argument("--dump")
     reindex.add_argument("--vocabulary", help="file of (base64 token, rank) lines that counts the tokens of embedding inputs")
+    reindex.add_argument("--hosted", action="store_true", help="embed by the provider that the configuration names, not offline")
     commands.choices["validate"].add_argument("--check-env", action="store_true")
     commands.add_parser("compact")
     lists = commands.add_parser("lists")
@@ -45,6 +48,8 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     search.add_argument("query")
     search.add_argument("--limit", type=int)
     search.add_argument("--exact", action="store_true")
+    search.add_argument("--hosted", action="store_true")
+    search.add_argument("--config")
     export = commands.add_parser("export")
     export.add_argument("dump")
     export.add_argument("out")
@@ -88,13 +93,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "validate":
         return _validate(a.config, a.check_env)
     spark = spark or SparkSession.builder.appName("docgrove").getOrCreate()
-    settings = _config(a.config) if a.command == "reindex" else {}
+    hosted = getattr(a, "hosted", False)
+    settings = _config(a.config) if a.command == "reindex" or hosted else {}
     dimension = int((settings.get("embeddings") or {}).get("dimensions", 256))
     engine = Engine(spark, a.index, HashingEmbedder(dimension), a.name)
     if a.command in ("search", "clear", "compact", "lists"):
         # an index that is there says how many dimensions it has
         engine = Engine(spark, a.index, HashingEmbedder(engine.index.stats()["dimension"]), a.name)
-    elif a.command == "reindex" and a.vocabulary:
+    if hosted:
+        engine = Engine(spark, a.index, HostedEmbedder.of(settings, dict(os.environ)), a.name)
+    if a.command == "reindex" and a.vocabulary:
         engine.cap = TokenCap.from_file(a.vocabulary)
     if a.command == "reindex":
         sources = conf.sources_of(settings, a.source)

@@ -22,7 +22,7 @@ from ..operators.markdown import markdown_files
 from ..operators.openapi import doc_url_map, spec_chunks
 from ..sources.config import resolve_deletion
 from ..sources.datasources import BATCH, send
-from ..sources.files import Source, read_chunk_dump, select_files
+from ..sources.files import Source, read_chunk_dump, scan
 from ..sources.remote import Staging, read_source
 from . import search as s
 from .index import VectorIndex, to_records
@@ -133,18 +133,17 @@ class Engine:
                 files = None
             if files is not None:
                 found = parse(files, source, config)
-                if source.parser == "openapi" and source.type == "local":
-                    found = with_page_urls(found, self._pages(source), source.base_url)
+                root = source.path if source.type == "local" else self.staging.roots.get(source.name)
+                if source.parser == "openapi" and root:
+                    found = with_page_urls(found, self._pages(root), source.base_url)
                 parts.append(found.withColumn("source_ord", F.struct(F.lit(i).alias("source"), "file", "place")).drop("file", "place"))
         if not parts:
             raise ValueError("no source could be read")
         return reduce(DataFrame.unionByName, parts)
 
-    def _pages(self, source: Source) -> DataFrame:
-        """The .mdx files of a source's folder, in which frontmatter may name operations."""
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mdx").load(source.path)
-        path = F.substring_index("path", source.path.rstrip("/") + "/", -1)
-        return select_files(raw.select(path.alias("path"), F.decode("content", "utf-8").alias("content")), "mdx")
+    def _pages(self, root: str) -> DataFrame:
+        """The .mdx files of a folder, in which frontmatter may name operations."""
+        return scan(self.spark, root, "mdx")
 
     def reindex(self, sources: list[Source], config: ChunkConfig = ChunkConfig(), namespace: str = "", dry_run: bool = False, dump: str | None = None, show: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Parses each source once and publishes all chunks as one version; returns the manifest row.

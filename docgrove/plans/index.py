@@ -47,7 +47,7 @@ def to_records(chunks: DataFrame, vector: str = "values", keep: tuple[str, ...]
 METADATA = "struct<" + ",".join(f"{k}:string" for k in RECORD_METADATA) + ">"
 #: Columns of a record as read, and as stored.
 RECORD = f"id string, values array<float>, metadata {METADATA}, source string, namespace string"
-STORED = f"id string, values array<float>, metadata {METADATA}, source string, norm double, namespace string, list int"
+STORED = f"id string, values array<float>, metadata {METADATA}, source string, file string, norm double, namespace string, list int"
 KEY = ["namespace", "id"]
 
 
@@ -226,12 +226,15 @@ class VectorIndex:
         stored = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}")
         return Segment(name, stored.count()), stored
 
-    def _gone(self, s: Segment, keys: DataFrame, sources: list[str], namespace: str) -> Segment:
+    def _gone(self, s: Segment, keys: DataFrame, sources: list[str], namespace: str, files: DataFrame | None) -> Segment:
         """The segment less its records with new keys or of dropped sources; their keys are written, and nothing else."""
-        old = self._segment(s, namespace).select("namespace", "id", "source")
+        old = self._segment(s, namespace).select("namespace", "id", "source", "file")
         # records of sources that are dropped go whatever their ids; the others meet the new ids
         dropped = F.coalesce(F.col("source").isin(sources), F.lit(False)) if sources else F.lit(False)
-        hit = old.filter(dropped).unionByName(old.filter(~dropped).join(keys, "id", "left_semi"))
+        rest = old.filter(~dropped)
+        hit = old.filter(dropped).unionByName(rest.join(keys, "id", "left_semi"))
+        if files is not None:
+            hit = hit.unionByName(rest.join(keys, "id", "left_anti").join(files, ["source", "file"], "left_semi").select(rest.columns))
         name = uuid.uuid4().hex
         at = f"{self.path}/gone/{name}"
         hit.select(*KEY).write.parquet(at)
@@ -262,16 +265,18 @@ class VectorIndex:
         """Adds records (id, values, metadata); with replace_source, the source's old ones go."""
         self.replace(records.withColumn("source", F.lit(source)), [source] if replace_source else [], namespace)
 
-    def replace(self, records: DataFrame, sources: list[str], namespace: str = "") -> None:
+    def replace(self, records: DataFrame, sources: list[str], namespace: str = "", files: DataFrame | None = None) -> None:
         """Adds records (id, values, metadata, source), of one id one and instead of an old one; old ones of `sources` go.
 
+        So do old ones of the `files` (source, file); records may say their `file`.
+
         Of records with one id the last by `source_ord` stays, if there is such a column
         (the later source in the configuration, and in a source the later file and chunk).
         """
         self.create()
         base = self._now()
         order = F.col("source_ord") if "source_ord" in records.columns else F.lit(0)
-        fresh = records.select("id", assert_dimension("values", self.dimension).alias("values"), "metadata", "source", F.lit(namespace).alias("namespace"), order.alias("ord"))
+        fresh = records.select("id", assert_dimension("values", self.dimension).alias("values"), "metadata", "source", (F.col("file") if "file" in records.columns else F.lit(None)).cast("string").alias("file"), F.lit(namespace).alias("namespace"), order.alias("ord"))
         segment, stored = self._write(fresh, base)
         twice = stored.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
         if not twice.isEmpty():
@@ -280,9 +285,9 @@ class VectorIndex:
             single = rank.join(twice, "id", "left_anti").unionByName(keep_last(rank.join(twice, "id", "left_semi"), "id", "ord"))
             segment, stored = self._write(single.withColumn("namespace", F.lit(namespace)).drop("ord", "norm", "list"), base)
             self.store.remove(f"data/{doubled.data}")
-        self._publish(segment, stored.select("id"), sources, namespace)
+        self._publish(segment, stored.select("id"), sources, namespace, files)
 
-    def _publish(self, segment: Segment, keys: DataFrame, sources: list[str], namespace: str) -> None:
+    def _publish(self, segment: Segment, keys: DataFrame, sources: list[str], namespace: str, files: DataFrame | None) -> None:
         done: dict[str, tuple[list, Segment]] = {}
         for attempt in range(self.ATTEMPTS):
             m = self._now()
@@ -290,7 +295,7 @@ class VectorIndex:
                 for s in m.segments:
                     # what other writers have changed since the last attempt is looked at again
                     if s.data not in done or done[s.data][0] != s.gone:
-                        done[s.data] = (s.gone, self._gone(s, keys, sources, namespace))
+                        done[s.data] = (s.gone, self._gone(s, keys, sources, namespace, files))
             except Exception:
                 if self._now().number == m.number:
                     raise

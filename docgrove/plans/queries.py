@@ -371,6 +371,26 @@ def openapi_chunks(spark: SparkSession, d: str) -> DataFrame:
     return openapi_documents(_part_specs(t(spark, d, "part")), "https://docs.example.com").filter("error is null").select("id", "documentTitle", "content")
 
 
+@query(r"""select 'api/get_part_' || p_partkey id, 'Get Part ' || p_partkey || ' - GET /parts/' || p_partkey title, '## GET /parts/' || p_partkey || E'\n\n### Description\n' || p_name || E'\n\n### Method\nGET\n\n### Endpoint\n/parts/' || p_partkey
+    || E'\n\n#### Base URLs\n- https://api.example (live)\n\n### Parameters\n#### Path Parameters\n- **id** (integer) - Required [min: ' || p_size || E']\n#### Query Parameters\n- **brand** (string) - Optional - of the maker (Allowed: `' || p_brand
+    || E'`)\n\n### Request Body\n- **n** (integer) - Optional\n\n### Request Example\n```json\n{\n  "n": ' || p_size || E'\n}\n```\n\n### Response\n#### Success Response (200)\nok\n- **name** (string) - Required\n- **made** (Maker) - Optional\n- **tags** (array[string]) - Optional\n\n#### Response Example\n```json\n{\n  "name": "string",\n  "made": {},\n  "tags": [\n    "string"\n  ]\n}\n```\n\n#### Client Error Response (404)\nnone' content from part
+  union all select 'api/get_part_' || p_partkey || '/code/python', 'Get Part ' || p_partkey || ' - Python Example', 'Python code example for `GET /parts/' || p_partkey || E'`\n\n```python\nget(' || p_partkey || E')\n```' from part""")
+def openapi_contents(spark: SparkSession, d: str) -> DataFrame:
+    """The rendered chunks of operations with parameters, bodies, references, answers and samples, from every part's columns."""
+    key = F.col("p_partkey").cast("string")
+    size, say = F.col("p_size").cast("string"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    answer = '"responses": {"200": {"description": "ok", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/Part"}}}}, "404": {"description": "none"}}'
+    op = say(
+        '"/parts/', key, '": {"get": {"operationId": "get_part_', key, '", "summary": ', F.to_json(F.array("p_name")).substr(F.lit(2), F.length(F.to_json(F.array("p_name"))) - 2),
+        ', "parameters": [{"name": "id", "in": "path", "required": true, "schema": {"type": "integer", "minimum": ', size, '}}, {"name": "brand", "in": "query", "schema": {"type": "string", "enum": ["', F.col("p_brand"), '"]}, "description": "of the maker"}], ',
+        '"requestBody": {"content": {"application/json": {"schema": {"type": "object", "properties": {"n": {"type": "integer", "default": ', size, "}}}}}}, ", answer, ', "x-codeSamples": [{"lang": "Python", "source": "get(', key, ')"}]}}',
+    )
+    named = '"Part": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "made": {"$ref": "#/components/schemas/Maker"}, "tags": {"type": "array", "items": {"type": "string"}}}}, "Maker": {"type": "object", "properties": {"mail": {"type": "string", "format": "email"}, "since": {"type": "string", "format": "date"}}}'
+    spec = say('{"servers": [{"url": "https://api.example", "description": "live"}], "paths": {', F.array_join(F.collect_list(op), ", "), '}, "components": {"schemas": {', named, "}}}")
+    specs = t(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).cast("string").alias("path")).agg(spec.alias("content"))
+    return openapi_documents(specs, "https://docs.example.com").select("id", F.col("documentTitle").alias("title"), "content")
+
+
 def _part_specs(parts: DataFrame) -> DataFrame:
     """(path, content): specs of a hundred operations each, dealt by hash; a spec's size does not grow with the table."""
     n = parts.count()

@@ -69,6 +69,8 @@ class Staging:
         self.env = dict(os.environ) if env is None else env
         #: Pages that could not be fetched, as (source, url, error).
         self.skipped: list[tuple[str, str, str]] = []
+        #: Folders of the repositories that were cloned, by source.
+        self.roots: dict[str, str] = {}
         self._undo: list[tuple[str, Callable[[], None]]] = []
 
     def files(self, source: Source) -> DataFrame | None:
@@ -116,6 +118,7 @@ class Staging:
         inside = os.path.join(target, source.path) if source.path not in ("", ".") else target
         if not os.path.exists(inside):
             raise FileNotFoundError(f"{source.path} is not in repository {source.repository}")
+        self.roots[source.name] = inside
         return inside
 
     def _remove(self, at: str) -> None:

@@ -306,6 +306,23 @@ def test_repositories_are_staged(spark, tmp_path):
     other.cleanup()
 
 
+def test_operations_of_a_repository_get_their_pages(spark, tmp_path):
+    class Repository(Git):
+        def __call__(self, args, **k):
+            done = super().__call__(args, **k)
+            if "clone" in args and done.returncode == 0:
+                with open(args[-1] + "/guide/spec.yaml", "w") as f:
+                    f.write("paths:\n  /pets:\n    get: {operationId: list_pets, responses: {}}\n")
+                with open(args[-1] + "/guide/pets.mdx", "w") as f:
+                    f.write('---\nopenapi: "GET /pets"\n---\ntext')
+            return done
+
+    staging = Staging(spark, str(tmp_path / "stage"), run=Repository({"main"}), env={})
+    engine = Engine(spark, str(tmp_path / "i"), staging=staging)
+    found = engine.chunks([Source("api", type="github", repository="o/r", path="guide", parser="openapi", base_url="https://d.example")]).collect()
+    assert [r.metadata.sourceUrl for r in found] == ["https://d.example/pets"]
+
+
 def test_cleanup_goes_on_after_a_failure(spark, tmp_path):
     stage, seen = Staging(spark, str(tmp_path)), []
     stage._undo = [("a", lambda: seen.append("a")), ("b", lambda: 1 / 0)]

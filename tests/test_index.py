@@ -132,6 +132,18 @@ def test_the_later_source_and_chunk_win(spark, tmp_path):
     assert {k: c for k, (_, c) in contents(index).items()} == {"x": "from alpha", "y": "second file", "z": "chunk 1", "u": "alone"}
 
 
+def test_records_of_replaced_files_go(spark, tmp_path):
+    index = VectorIndex(spark, str(tmp_path / "i"), DIMENSION)
+    of = lambda rows, file: records(spark, rows).withColumns({"source": F.lit("s"), "file": F.lit(file)})
+    index.replace(of([("a0", "x"), ("a1", "y"), ("a2", "z")], "a.md").unionByName(of([("b0", "b")], "b.md")), [])
+    files = lambda *names: spark.createDataFrame([("s", n) for n in names], "source string, file string")
+    index.replace(of([("a0", "shorter")], "a.md"), [], files=files("a.md"))
+    assert {k: c for k, (_, c) in contents(index).items()} == {"a0": "shorter", "b0": "b"}
+    index.replace(of([], "b.md"), [], files=files("b.md", "new.md"))
+    assert {k: c for k, (_, c) in contents(index).items()} == {"a0": "shorter"}
+    assert index.compact() and index.stats()["vectorCount"] == 1
+
+
 def test_reindex_lets_the_later_source_overwrite(spark, tmp_path):
     for name in ("zeta", "alpha"):
         (tmp_path / name).mkdir()
