@@ -1,6 +1,6 @@
-"""README and migration guides to chunks on DataFrames, from their section trees.
+"""READMEs, migration guides and changelogs to chunks on DataFrames.
 
-The rules are those of ``chunking.readme_chunks`` and ``migration_chunks``, stated as
+The rules are those of ``chunking.readme_chunks``, ``migration_chunks`` and ``changelog_chunks``, stated as
 relations instead of a walk over one document:
 
 * a section larger than the largest size that has children is opened; as sizes only grow
@@ -25,11 +25,18 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import ChunkConfig
 from ..plans.scratch import stored
-from .chunking import changelog_chunks, chunk_rows
 from .outline import LEVELS, SEGMENT, _with, section_tree
 from .runs import pack_runs
 
 
+#: Names of a document's key and text inside, where no caller's column is called so.
+DOC, TEXT = "_doc", "_text"
+
+
+def _inner(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias(DOC), F.col(text_col).alias(TEXT), "context", "url", "language")
+
+
 def _carried(rows: DataFrame, id_col: str, value: Column, name: str) -> DataFrame:
     """rows (id, section_id) with the last value that is not null at or before each, by scans in two levels."""
     rows = rows.withColumns({name: value, "seg": F.floor(F.col("section_id") / SEGMENT)})
@@ -100,14 +107,22 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, config: ChunkConfig = Ch
     return _with(found, crumbs, id_col, "parent_id").select(id_col, "section_id", "heading", "crumb", "content")
 
 
+def _cut_at_fences(content: Column, limit: int, least: float) -> Column:
+    """(done, held): prose and fences packed to strings of the limit at most, those under the least size left out, and what is packed last."""
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    kept = lambda s: F.when(F.length(tx.js_trim(s["held"])) >= least, F.array_append(s["done"], tx.js_trim(s["held"]))).otherwise(s["done"])
+    step = lambda s, p: F.when(F.length(s["held"]) + F.length(p) <= limit, F.struct(s["done"].alias("done"), F.concat(s["held"], p).alias("held"))).otherwise(F.struct(kept(s).alias("done"), p.alias("held")))
+    return F.aggregate(tx.split_fences(content), state, step, lambda s: F.struct(s["done"].alias("done"), tx.js_trim(s["held"]).alias("held")))
+
+
+def _with_tail(cut: Column, least: float) -> Column:
+    return F.when(F.length(cut["held"]) >= least, F.array_append(cut["done"], cut["held"])).otherwise(cut["done"])
+
+
 def packed_by_fences(content: Column, config: ChunkConfig) -> Column:
     """The parts of a piece, at fences, in strings of the largest size at most; too small ones go, and a piece without others stays whole."""
-    limit, least, tail = config.max_size, config.min_size, config.min_size / 2
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-    kept = lambda s, n: F.when(F.length(tx.js_trim(s["held"])) >= n, F.array_append(s["done"], tx.js_trim(s["held"]))).otherwise(s["done"])
-    step = lambda s, p: F.when(F.length(s["held"]) + F.length(p) <= limit, F.struct(s["done"].alias("done"), F.concat(s["held"], p).alias("held"))).otherwise(F.struct(kept(s, least).alias("done"), p.alias("held")))
-    cut = F.aggregate(tx.split_fences(content), state, step, lambda s: kept(s, tail))
-    return F.when(F.length(content) <= limit, F.array(content)).otherwise(F.when(F.size(cut) > 0, cut).otherwise(F.array(content)))
+    cut = _with_tail(_cut_at_fences(content, config.max_size, config.min_size), config.min_size / 2)
+    return F.when(F.length(content) <= config.max_size, F.array(content)).otherwise(F.when(F.size(cut) > 0, cut).otherwise(F.array(content)))
 
 
 def _numbered(rows: DataFrame, id_col: str) -> DataFrame:
@@ -123,6 +138,8 @@ def _numbered(rows: DataFrame, id_col: str) -> DataFrame:
 def section_chunks(docs: DataFrame, id_col: str = "id", text_col: str = "content", config: ChunkConfig = ChunkConfig(), migration: bool = False, keep_all: bool = False) -> DataFrame:
     """CHUNKS of docs (id, context, content, url, language) with id_col and `index`, by README or migration rules."""
     rules = ChunkConfig(config.max_size, 100, config.ideal_size) if migration else config
+    names = {"id": "chunk_id"} if id_col == "id" else {}
+    docs, outer, id_col, text_col = _inner(docs, id_col, text_col), id_col, DOC, TEXT
     found = pieces(docs, id_col, text_col, rules, keep_all)
     parts = F.array("content") if migration else packed_by_fences(F.col("content"), config)
     found = found.select(id_col, "section_id", "heading", "crumb", F.posexplode(parts).alias("piece", "content")).filter(F.length("content") >= (100 if migration else config.min_size / 2))
@@ -143,26 +160,91 @@ def section_chunks(docs: DataFrame, id_col: str = "id", text_col: str = "content
         "content": F.col("content"),
         "metadata": F.struct(tx.extract_description(F.col("content")).alias("description"), url.alias("sourceUrl"), none.alias("method"), none.alias("path"), F.col("language").alias("language"), context.alias("repository"), none.alias("version")),
     }
+    return found.select(F.col(id_col).alias(outer), "index", *(c.alias(names.get(k, k)) for k, c in fields.items()))
+
+
+# Fixed value: a version heading.
+VERSION = r"##?\s*\[?v?(\d+\.\d+\.\d+[^\]\n]*)\]?"
+
+
+def changelog_rows(docs: DataFrame, id_col: str = "id", text_col: str = "content", config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
+    """(id, index, heading, content, version) of the versions in each text: small neighbours together, large ones packed by their fences.
+
+    A large version does not end the open run of small ones, which comes behind it.  Text
+    before the first version is left out, unless keep_all (its heading is null then).
+    Texts without a version give no rows.
+    """
+    normal = tx.normalize_line_endings(F.coalesce(text_col, F.lit("")))
+    cut = docs.select(F.col(id_col), F.posexplode(F.split(normal, f"(?m)(?=^{VERSION})")).alias("n", "body"))
+    cut = stored(cut.select(id_col, "n", tx.js_trim(F.col("body")).alias("body"), tx.js_trim(F.regexp_extract("body", f"^{VERSION}", 1)).alias("version")), "versions")
+    versions = cut.filter("version <> ''").withColumn("size", F.length("body"))
+    large = F.col("size") > config.max_size
+    others = versions.filter(~large).withColumn("alone", F.col("size") >= config.min_size)
+    key = F.to_json(F.struct(F.col(id_col).alias("d")))
+    sizes = others.select(key.alias("key"), "n", F.when(F.col("alone"), config.ideal_size + 1).otherwise(F.col("size")).alias("size"))
+    packed = pack_runs(sizes, "key", "n", "size", config.ideal_size).select("key", "n", "batch")
+    # a run is closed by the item behind it that is not large
+    behind = F.lead("n").over(Window.partitionBy(id_col).orderBy("n"))
+    others = _with(others.withColumns({"key": key, "behind": behind}), packed, "key", "n").drop("key")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c])
+    runs = others.groupBy(id_col, "batch").agg(in_order("version").alias("names"), in_order("body").alias("bodies"), F.bool_or("alone").alias("alone"), F.max_by("behind", "n").alias("behind"), F.max("n").alias("last"))
+    runs = runs.withColumns({"body": F.array_join("bodies", "\n\n"), "newest": F.get("names", 0), "oldest": F.element_at("names", -1)})
+    title = F.when(F.size("names") > 1, F.concat(F.lit("Versions "), "oldest", F.lit(" - "), "newest")).otherwise(F.concat(F.lit("Version "), "newest"))
+    # a run that its joints have made too large is cut, and its parts are numbered but for one that is the rest alone
+    pieces = _cut_at_fences(F.col("body"), config.max_size, config.min_size)
+    parts = F.when(F.length("body") <= config.max_size, F.array("body")).otherwise(_with_tail(pieces, config.min_size))
+    numbered = (F.length("body") > config.max_size) & ((F.col("piece") > 0) | (F.size(pieces["done"]) > 0))
+    place = lambda pos, rank: F.struct(pos.cast("bigint").alias("at"), F.lit(rank).alias("rank"))
+    end = F.lit(2**31)
+    runs = runs.select(id_col, F.when(F.col("alone"), place(F.col("last"), 1)).otherwise(place(F.coalesce("behind", end), 0)).alias("place"), "body", title.alias("title"), F.col("newest").alias("version"), F.posexplode(parts).alias("piece", "content"))
+    runs = runs.select(id_col, "place", "piece", F.when(numbered, F.concat("title", F.lit(" (Part "), (F.col("piece") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("heading"), "content", "version")
+    whole = versions.filter(large).select(id_col, place(F.col("n"), 1).alias("place"), "version", F.posexplode(_with_tail(_cut_at_fences(F.col("body"), config.max_size, config.min_size), config.min_size)).alias("piece", "content"))
+    found = runs.unionByName(whole.select(id_col, "place", "piece", F.concat(F.lit("Version "), "version").alias("heading"), "content", "version"))
+    if keep_all:
+        first = versions.groupBy(id_col).agg(F.min_by("version", "n").alias("of"))
+        before = _with(cut.filter("n = 0 and version = '' and body <> ''"), first, id_col).filter("of is not null")
+        found = found.unionByName(before.select(id_col, place(F.lit(-1), 0).alias("place"), F.lit(0).alias("piece"), F.lit(None).cast("string").alias("heading"), F.col("body").alias("content"), F.col("of").alias("version")))
+    index = F.row_number().over(Window.partitionBy(id_col).orderBy("place", "piece")) - 1
+    return found.select(id_col, index.cast("bigint").alias("index"), "heading", "content", "version")
+
+
+def changelog_chunks_of(docs: DataFrame, id_col: str = "id", text_col: str = "content", config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
+    """CHUNKS of docs (id, context, content, url, language) with id_col and `index`, by changelog rules; texts without a version go by README rules."""
     names = {"id": "chunk_id"} if id_col == "id" else {}
-    return found.select(id_col, "index", *(c.alias(names.get(k, k)) for k, c in fields.items()))
+    outer, outer_text = id_col, text_col
+    docs, id_col, text_col = _inner(docs, id_col, text_col), DOC, TEXT
+    has_version = F.coalesce(F.col(text_col), F.lit("")).rlike(f"(?m)^{VERSION}") | tx.normalize_line_endings(F.coalesce(text_col, F.lit(""))).rlike(f"(?m)^{VERSION}")
+    rows = _with(changelog_rows(docs.filter(has_version), id_col, text_col, config, keep_all), docs.select(F.col(id_col), "context", "url", "language"), id_col)
+    context, none = F.coalesce("context", F.lit("")), F.lit(None).cast("string")
+    fields = {
+        "id": F.concat(context, F.lit("/changelog#"), F.col("index").cast("string")),
+        "documentPath": F.concat(context, F.lit("/CHANGELOG.md")),
+        "documentTitle": F.concat(context, F.lit(" Changelog")),
+        "category": F.lit("changelog"),
+        "heading": F.coalesce("heading", F.concat(context, F.lit(" Changelog"))),
+        "content": F.col("content"),
+        "metadata": F.struct(tx.extract_description(F.col("content")).alias("description"), F.col("url").alias("sourceUrl"), none.alias("method"), none.alias("path"), F.col("language").alias("language"), context.alias("repository"), F.col("version").alias("version")),
+    }
+    rows = rows.select(F.col(id_col).alias(outer), "index", *(c.alias(names.get(k, k)) for k, c in fields.items()))
+    plain = docs.filter(~has_version).select(F.col(DOC).alias(outer), F.col(TEXT).alias(outer_text), "context", "url", "language")
+    return rows.unionByName(section_chunks(plain, outer, outer_text, config, False, keep_all))
 
 
 def markdown_files(files: DataFrame, config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
     """CHUNKS of Markdown files (context, path, content, url, language), with their path and the chunk's place in it (`file`, `place`).
 
-    Routed by the lower-cased path: changelogs, whose versions follow each other, go by
-    ``chunk_rows``; migration guides and all others by ``section_chunks``.  Paths tell
-    the files apart.
+    Routed by the lower-cased path: changelogs, migration guides, and all others as READMEs.
+    Paths tell the files apart.
     """
     files = stored(files.select("context", "path", "content", "url", "language").withColumn("file", F.col("path")), "files")
     name = F.lower("path")
     history, move = name.contains("changelog"), name.contains("migration") | name.contains("upgrade")
-    changelogs = chunk_rows(files.filter(history), lambda r: changelog_chunks(r["content"] or "", r["url"] or "", r["context"] or "", r["language"], config, keep_all=keep_all), keep=["file"], place="place").drop("error")
-    found = [changelogs]
-    for which, migration in ((~history & move, True), (~history & ~move, False)):
-        part = section_chunks(files.filter(which), "file", "content", config, migration, keep_all)
-        found.append(part.withColumn("place", F.col("index").cast("int")).select(changelogs.columns))
-    return reduce(DataFrame.unionByName, found)
+    found = [
+        changelog_chunks_of(files.filter(history), "file", "content", config, keep_all),
+        section_chunks(files.filter(~history & move), "file", "content", config, True, keep_all),
+        section_chunks(files.filter(~history & ~move), "file", "content", config, False, keep_all),
+    ]
+    return reduce(DataFrame.unionByName, found).withColumn("place", F.col("index").cast("int")).drop("index")
 
 
 def markdown_documents(files: DataFrame, config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:

@@ -12,9 +12,9 @@ from ..functions import sql
 from ..functions import text as tx
 from ..functions.vectors import HashingEmbedder, assert_dimension, cosine, dot, round_score
 from ..model import RECORD_METADATA, ChunkConfig
-from ..operators.chunking import changelog_chunks, chunk_rows, mdx_chunks, readme_chunks
+from ..operators.chunking import chunk_rows, mdx_chunks
 from ..operators.html import html_documents, pages_markdown
-from ..operators.markdown import markdown_documents, section_chunks
+from ..operators.markdown import changelog_chunks_of, markdown_documents, section_chunks
 from ..operators.openapi import openapi_documents, with_doc_urls
 from ..operators.outline import line_sections
 from ..operators.runs import pack_runs
@@ -323,13 +323,18 @@ def one_key_batches(spark: SparkSession, d: str) -> DataFrame:
     return pack_runs(items, "key", "at", "n", 1000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
 
 
+def _readme_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """CHUNKS of all texts as READMEs, with doc_id and source."""
+    docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("context"), F.col("text").alias("content"), F.lit("").alias("url"), F.col("lang").alias("language"))
+    return section_chunks(docs, "doc_id").withColumn("source", F.col("metadata.repository"))
+
+
 @query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
   y as (select doc_id, source || '/readme#0' id, case when length(x) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || x content from x where length(x) > 50)
   select * from y where length(content) >= 125""")
 def readme_documents(spark: SparkSession, d: str) -> DataFrame:
     """README chunks of all texts; those of these tables have no headings, so each gives one chunk at most."""
-    docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("context"), F.col("text").alias("content"), F.lit("").alias("url"), F.col("lang").alias("language"))
-    return section_chunks(docs, "doc_id").select("doc_id", "id", "content")
+    return _readme_chunks(spark, d).select("doc_id", "id", "content")
 
 
 @query(r"""select doc_id, concat_ws(chr(10), repeat('-', 40), '## ' || source, 'Heading: ' || lang, 'Source: ' || nullif(source, ''), '', text, '') block from documents""")
@@ -472,11 +477,11 @@ def _files(docs: DataFrame, part: F.Column, joiner: str, rows: int = 20) -> Data
     return numbered.groupBy("source", "file").agg(F.array_join(parts, joiner).alias("text"))
 
 
-def _file_chunks(files: DataFrame, migration: bool) -> DataFrame:
+def _file_chunks(files: DataFrame, rule: Callable[[DataFrame, str], DataFrame], *more: F.Column) -> DataFrame:
     key = F.concat_ws(":", F.col("file").cast("string"), "source")
     rows = files.select(key.alias("key"), F.col("source").alias("context"), F.col("text").alias("content"), F.lit("").alias("url"), F.lit("en").alias("language"))
     named = F.split("key", ":", 2)
-    return section_chunks(rows, "key", migration=migration).select(named[1].alias("source"), named[0].cast("int").alias("file"), "heading", "content")
+    return rule(rows, "key").select(named[1].alias("source"), named[0].cast("int").alias("file"), "heading", "content", *more)
 
 
 _NUMBERED = "numbered as (select *, row_number() over (partition by source order by doc_id) - 1 n from documents)"
@@ -488,7 +493,7 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of 300 to 799 characters under headings: each is a chunk of its own."""
     docs = t(spark, d, "documents")
     part = F.concat(F.lit("## Document "), F.col("doc_id").cast("string"), F.lit("\n"), _body(F.lit(300) + F.col("doc_id").cast("int") % 500))
-    return _file_chunks(_files(docs, part, "\n\n"), False)
+    return _file_chunks(_files(docs, part, "\n\n"), section_chunks)
 
 
 @query(rf"""with {_NUMBERED}, v as (
@@ -503,8 +508,7 @@ def changelog_versions(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents")
     body = F.when(F.col("n") % 5 < 2, F.concat(F.lit("note "), F.col("doc_id").cast("string"))).otherwise(_body(F.lit(300) + F.col("doc_id").cast("int") % 500))
     part = F.concat(F.lit("## 1."), F.col("n").cast("string"), F.lit(".0\n"), body)
-    found = chunk_rows(_files(docs, part, "\n\n"), lambda r: changelog_chunks(r["text"], "", r["source"]), keep=["source", "file"])
-    return found.select("source", "file", "heading", "content", F.col("metadata.version").alias("version"))
+    return _file_chunks(_files(docs, part, "\n\n"), changelog_chunks_of, F.col("metadata.version").alias("version"))
 
 
 @query(rf"""with {_NUMBERED}, b as (select *, trim({_BODY.format(n="100 + doc_id % 300")}) body from numbered)
@@ -513,7 +517,7 @@ def migration_sections(spark: SparkSession, d: str) -> DataFrame:
     """Migration guides: sections of 100 characters and more stand alone."""
     docs = t(spark, d, "documents")
     part = F.concat(F.lit("## From "), F.col("doc_id").cast("string"), F.lit("\n"), F.trim(_body(F.lit(100) + F.col("doc_id").cast("int") % 300)))
-    return _file_chunks(_files(docs, part, "\n\n"), True)
+    return _file_chunks(_files(docs, part, "\n\n"), lambda rows, key: section_chunks(rows, key, migration=True))
 
 
 @query(rf"""with b as (select doc_id, trim({_BODY.format(n="60 + doc_id * 37 % 1200")}) a, trim({_BODY.format(n="60 + doc_id * 91 % 1200")}) b from documents),
@@ -697,8 +701,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
   select id, source, content, '' url from y where length(content) >= 125""")
 def chunk_dump(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as a dump and read back."""
-    docs = t(spark, d, "documents").select("doc_id", "source", "text")
-    chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}"} for c in readme_chunks(r["text"] or "", "", r["source"])], keep=["source"]).drop("error")
+    chunks = _readme_chunks(spark, d).withColumn("id", F.concat_ws("/", "source", F.col("doc_id").cast("string"))).drop("doc_id", "index")
     path = shared_folder(spark, "dump")
     write_dump(chunks, path)
     return read_chunk_dump(spark, path).select("id", "source", "content", F.col("metadata.sourceUrl").alias("url"))
@@ -731,8 +734,7 @@ def result_text(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def e2e_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents chunked, embedded by feature hashing, searched, reranked and projected."""
-    docs = t(spark, d, "documents").select("doc_id", "source", "text")
-    chunks = chunk_rows(docs, lambda r: [c | {"id": f"{r['source']}/{r['doc_id']}#{i}"} for i, c in enumerate(readme_chunks(r["text"] or "", "", r["source"]))]).filter("error is null").drop("error")
+    chunks = _readme_chunks(spark, d).withColumn("id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("#"), F.col("index").cast("string")))
     embedder = HashingEmbedder(64)
     records = to_records(embed_chunks(chunks, embedder))
     return search.search(records, embedder.embed, "the thing that was there", 10).select("rank", "id", "score", "title", "heading")
