@@ -285,12 +285,19 @@ class VectorIndex:
             single = rank.join(twice, "id", "left_anti").unionByName(keep_last(rank.join(twice, "id", "left_semi"), "id", "ord"))
             segment, stored = self._write(single.withColumn("namespace", F.lit(namespace)).drop("ord", "norm", "list"), base)
             self.store.remove(f"data/{doubled.data}")
-        self._publish(segment, stored.select("id"), sources, namespace, files)
+        self._publish(segment, stored, base.centroids, sources, namespace, files)
 
-    def _publish(self, segment: Segment, keys: DataFrame, sources: list[str], namespace: str, files: DataFrame | None) -> None:
+    def _publish(self, segment: Segment, records: DataFrame, centroids: str | None, sources: list[str], namespace: str, files: DataFrame | None) -> None:
         done: dict[str, tuple[list, Segment]] = {}
+        keys = records.select("id")
         for attempt in range(self.ATTEMPTS):
             m = self._now()
+            if m.centroids != centroids:
+                # the lists have been fitted anew meanwhile
+                moved = segment
+                segment, records = self._write(records.withColumn("namespace", F.lit(namespace)).drop("norm", "list"), m)
+                keys, centroids = records.select("id"), m.centroids
+                self.store.remove(f"data/{moved.data}")
             try:
                 for s in m.segments:
                     # what other writers have changed since the last attempt is looked at again
@@ -320,8 +327,8 @@ class VectorIndex:
         known = {s.data: s.gone for s in base.segments}
         for attempt in range(self.ATTEMPTS):
             m = self._now()
-            if set(known) - {s.data for s in m.segments}:
-                # another compaction, or an upsert that left nothing of a segment, came first
+            if set(known) - {s.data for s in m.segments} or centroids != m.centroids and set(known) != {s.data for s in m.segments}:
+                # another compaction, an upsert that left nothing of a segment, or one into other lists came first
                 self.store.remove(f"data/{whole.data}")
                 return False
             later = [g for s in m.segments for g in s.gone if s.data in known and g not in known[s.data]]

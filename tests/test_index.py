@@ -187,3 +187,27 @@ def test_lists_take_later_upserts(spark, clustered):
     best = index.top_k_each(spark.createDataFrame([(1, one["values"])], "query_id int, query array<float>"), 2).collect()
     assert {r.id for r in best} == {"v5", "new"} and index.stats()["vectorCount"] == 2882
     assert index.compact() and index.manifest().centroids and index.candidates(one["values"]).filter("id = 'new'").count() == 1
+
+
+def test_upserts_and_new_lists_that_meet(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = lambda name, n: spark.createDataFrame([(f"{name}{k}", rng.normal(size=DIMENSION).tolist(), dict.fromkeys(RECORD_METADATA)) for k in range(n)], f"id string, values array<float>, metadata {METADATA}")
+    index, other = (VectorIndex(spark, str(tmp_path / "i"), DIMENSION) for _ in range(2))
+    index.upsert(rows("a", 60), "one")
+    put, raced = index._put, []
+
+    def late(m):
+        if not raced:
+            raced.append(1)
+            other.fit_lists(4) if len(index.manifest().segments) == 1 and not index.manifest().centroids else other.upsert(rows("c", 9), "three")
+        return put(m)
+
+    index._put = late
+    index.upsert(rows("b", 20), "two")  # lists come while it writes
+    raced.clear()
+    index.fit_lists(3)  # an upsert comes while it writes
+    m = index.manifest()
+    lists = {r.list for r in index._live(m).select("list").distinct().collect()}
+    assert index.stats()["vectorCount"] == 89 and m.centroids and lists <= {0, 1, 2}
+    one = index.read().filter("id = 'c0'").first()["values"]
+    assert index.candidates(one, probes=1).filter("id = 'c0'").count() == 1
