@@ -70,8 +70,11 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, config: ChunkConfig = Ch
     opened = tree.filter("opens")
     # where nothing is opened, the roots are all that is visited
     none_opens = tree.filter(F.col("subtree_size") > config.max_size).isEmpty() or opened.isEmpty()
-    marks = opened.select(id_col, F.col("section_id").alias("parent_id")).withColumn("under", F.lit(True))
-    tree = _with(tree, marks, id_col, "parent_id").withColumn("visited", F.col("parent_id").isNull() | F.coalesce("under", F.lit(False)))
+    if none_opens:
+        tree = tree.withColumn("visited", F.col("parent_id").isNull())
+    else:
+        marks = opened.select(id_col, F.col("section_id").alias("parent_id")).withColumn("under", F.lit(True))
+        tree = _with(tree, marks, id_col, "parent_id").withColumn("visited", F.col("parent_id").isNull() | F.coalesce("under", F.lit(False)))
 
     # what a section adds to the text of the one it belongs to
     alone = (F.col("own") >= config.min_size) & ~F.col("has_kids")
@@ -227,7 +230,7 @@ def changelog_chunks_of(docs: DataFrame, id_col: str = "id", text_col: str = "co
     }
     rows = rows.select(F.col(id_col).alias(outer), "index", *(c.alias(names.get(k, k)) for k, c in fields.items()))
     plain = docs.filter(~has_version).select(F.col(DOC).alias(outer), F.col(TEXT).alias(outer_text), "context", "url", "language")
-    return rows.unionByName(section_chunks(plain, outer, outer_text, config, False, keep_all))
+    return rows if plain.isEmpty() else rows.unionByName(section_chunks(plain, outer, outer_text, config, False, keep_all))
 
 
 def markdown_files(files: DataFrame, config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
@@ -239,11 +242,14 @@ def markdown_files(files: DataFrame, config: ChunkConfig = ChunkConfig(), keep_a
     files = stored(files.select("context", "path", "content", "url", "language").withColumn("file", F.col("path")), "files")
     name = F.lower("path")
     history, move = name.contains("changelog"), name.contains("migration") | name.contains("upgrade")
-    found = [
-        changelog_chunks_of(files.filter(history), "file", "content", config, keep_all),
-        section_chunks(files.filter(~history & move), "file", "content", config, True, keep_all),
-        section_chunks(files.filter(~history & ~move), "file", "content", config, False, keep_all),
-    ]
+    kind = F.when(history, 0).when(move, 1).otherwise(2)
+    rules = (
+        lambda rows: changelog_chunks_of(rows, "file", "content", config, keep_all),
+        lambda rows: section_chunks(rows, "file", "content", config, True, keep_all),
+        lambda rows: section_chunks(rows, "file", "content", config, False, keep_all),
+    )
+    there = sorted(r[0] for r in files.select(kind).distinct().collect()) or [2]  # three kinds at most
+    found = [rules[k](files.filter(kind == k)) for k in there]
     return reduce(DataFrame.unionByName, found).withColumn("place", F.col("index").cast("int")).drop("index")
 
 
