@@ -1,23 +1,20 @@
 """JSON specs as VARIANT tables: operations and schema references, without Python.
 
 ``operations`` explodes paths and methods, ``references`` follows ``$ref`` from schema to
-schema of a spec with a recursive query that keeps the names it has seen.  YAML specs are parsed
-by ``openapi``; their rendered chunks stay there.
+schema of a spec by joins, twice as far in each.  YAML specs are parsed by ``openapi``;
+their rendered chunks stay there.
 
-A text that is no JSON gives no rows.  Spark ends a recursion of more than
-``spark.sql.cteRecursionRowLimit`` rows with an error; only schemas that refer to others
-take part in it.
+A text that is no JSON gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
 from .openapi import METHODS, SCHEMA_PREFIX
 
-#: References in a row that are followed; a longer chain is an error.
-LEVELS = 1000
-
 
 def _named(name: str) -> str:
     """The schema's name in a $ref column."""
@@ -47,18 +44,26 @@ def schemas(specs: DataFrame, path_col: str = "path", content_col: str = "conten
 
 
 def references(named: DataFrame) -> DataFrame:
-    """(spec, name, resolved) of schemas (spec, name, ref): where the references from a name end; null at a gap or a cycle."""
-    return named.sparkSession.sql(
-        f"""with recursive walk(spec, name, at, seen) max recursion level {LEVELS} as (
-          select spec, name, ref, array(name) from {{named}} where ref is not null
-          union all
-          select w.spec, w.name, n.ref, array_append(w.seen, n.name) from walk w join {{named}} n on n.spec <=> w.spec and n.name = w.at
-          where n.ref is not null and not array_contains(w.seen, n.name))
-        select n.spec, n.name, n.name resolved from {{named}} n where n.ref is null
-        union all
-        select first(w.spec), w.name, max(n.name) from walk w left join {{named}} n on n.spec <=> w.spec and n.name = w.at and n.ref is null group by w.spec, w.name""",
-        named=named,
-    )
+    """(spec, name, resolved) of schemas (spec, name, ref): where the references from a name end; null at a gap or a cycle.
+
+    Steps are doubled: a row (name, at) stands for 2^k references in a row, or, once
+    `ended`, for all up to the schema at the end.  As each distance to an end is that of
+    some name on the way, a round that finds no new end is the last one.
+    """
+    named = stored(named, "schemas")
+    steps, ends = named.select("spec", "name", F.coalesce("ref", "name").alias("at"), F.col("ref").isNull().alias("ended"), F.col("ref").isNull().alias("own")).distinct(), -1
+    while True:
+        steps = stored(steps, "references")
+        n = steps.filter("ended").count()
+        if n == ends:
+            break
+        ends, further = n, steps.select(F.col("spec").alias("s"), F.col("name").alias("n"), F.col("at").alias("next"), F.col("ended").alias("last"))
+        on = steps.filter("not ended").join(further, F.col("spec").eqNullSafe(F.col("s")) & (F.col("at") == F.col("n")))
+        steps = steps.filter("ended").unionByName(on.select("spec", "name", F.col("next").alias("at"), F.col("last").alias("ended"), F.lit(False).alias("own"))).distinct()
+    found = steps.filter("ended and not own").groupBy(F.col("spec").alias("s"), F.col("name").alias("n")).agg(F.max("at").alias("resolved"))
+    referring = named.filter("ref is not null").select("spec", "name").distinct()
+    behind = referring.join(found, F.col("spec").eqNullSafe(F.col("s")) & (F.col("name") == F.col("n")), "left").select("spec", "name", "resolved")
+    return named.filter("ref is null").select("spec", "name", F.col("name").alias("resolved")).unionByName(behind)
 
 
 def resolved_operations(specs: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:

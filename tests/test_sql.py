@@ -69,3 +69,18 @@ def test_specs_as_variants(spark):
     assert {k[0] for k in ends} == {"s", None} and len(ends) == 14
     got = {(r.spec, r.path, r.method): r.resolved for r in resolved_operations(specs).collect()}
     assert got["s", "/a", "get"] == got[None, "/a", "get"] == "End" and got["s", "/c", "put"] is None and len(got) == 8
+
+
+def test_references_of_any_number_and_length(spark):
+    ring = [("ring", f"R{i}", f"R{(i + 1) % 7}") for i in range(7)]
+    line = [("line", f"L{i}", f"L{i + 1}" if i < 1500 else None) for i in range(1501)]
+    rows = [*ring, *line, ("twice", "A", None), ("twice", "A", "B"), ("twice", "B", "A"), ("twice", "B", None), (None, "A", "C"), (None, "C", None)]
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        found = [(r.spec, r.name, r.resolved) for r in references(spark.createDataFrame(rows, "spec string, name string, ref string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    want = [*(("ring", f"R{i}", None) for i in range(7)), *(("line", f"L{i}", "L1500") for i in range(1501)), ("twice", "A", "A"), ("twice", "A", "B"), ("twice", "B", "B"), ("twice", "B", "B"), (None, "A", "C"), (None, "C", "C")]
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(found, key=key) == sorted(want, key=key)
