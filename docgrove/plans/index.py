@@ -371,8 +371,7 @@ class VectorIndex:
     def top_k_each(self, queries: DataFrame, k: int, namespace: str | None = None, probes: int | None = None) -> DataFrame:
         """The k nearest records (id, score, rank) for each row of queries (query_id, query), from the lists that each probes.
 
-        Blocks of queries, each with the lists that it probes, are broadcast and meet the
-        records by list; with 0 probes every record is scored.
+        Queries meet the records of the lists that they probe; with 0 probes every record is scored.
         """
         m = self.manifest()
         probes = m.probes if probes is None else probes

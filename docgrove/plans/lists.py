@@ -84,6 +84,6 @@ def tune(rows: DataFrame, model: KMeansModel, n_vectors: int, recall: float, k:
     if not queries:
         return 1
     ranked = dict(zip(queries, np.argsort(order(model, np.array(list(queries.values()), float)), axis=1)))
-    exact = search.top_k_each(rows, rows.sparkSession.createDataFrame(list(queries.items()), asked.schema), k, id_col, vector).select("query_id", "list").collect()
+    exact = search.top_k_each(rows.select(id_col, vector, "list"), rows.sparkSession.createDataFrame(list(queries.items()), asked.schema), k, id_col, vector).select("query_id", "list").collect()
     needed = np.sort([0 if r["list"] == UNLISTED else ranked[r["query_id"]][r["list"]] + 1 for r in exact])
     return max(1, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]))

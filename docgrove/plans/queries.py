@@ -79,7 +79,7 @@ def vector_topk_by_label(spark: SparkSession, d: str) -> DataFrame:
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     v = t(spark, d, "embeddings")
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = search.top_k_each(v, asked, 5, "vec_id", "embedding", lambda a, b: F.round(dot(a, b), 9))
+    found = search.top_k_each(v, asked, 5, "vec_id", "embedding", "dot", 9)
     return found.select(F.col("query_id").alias("q"), "vec_id", "rank")
 
 
@@ -705,7 +705,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Terms and vectors fused by rank, for the documents whose id is divisible by 100 and that have a vector."""
     docs, v = t(spark, d, "documents"), t(spark, d, "embeddings")
     asked = docs.filter("doc_id % 100 = 0").join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), "embedding")
-    near = search.top_k_each(v, asked.select("query_id", F.col("embedding").alias("query")), 30, "vec_id", "embedding", lambda a, b: F.round(dot(a, b), 9))
+    near = search.top_k_each(v, asked.select("query_id", F.col("embedding").alias("query")), 30, "vec_id", "embedding", "dot", 9)
     lexical = _terms(spark, d).top_k_each(asked.select("query_id", "query"), 30)
     found = fuse(10, near.select("query_id", F.col("vec_id").alias("id"), "rank"), lexical, by=("query_id",))
     return found.select(F.col("query_id").alias("q"), "id", "rank")

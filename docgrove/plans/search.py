@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, round_score
+from . import nearest
 
 DEFAULT_TOP_K, MAX_TOP_K, RERANK_POOL, RERANK_TEXT = 10, 20, 30, 1200
 RULE = "-" * 40
@@ -34,26 +34,21 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return vectors.withColumn("score", score).orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-#: Queries of a set that travel to the vectors at once.
+#: Queries of a set that meet a share of the vectors at once.
 QUERY_BLOCK = 4096
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values", score: Callable[[str, str], Column] = cosine, on: str | None = None, per_query: int = 1) -> DataFrame:
-    """The k nearest rows for every row of queries (query_id, query), with `score` and `rank`.
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values", score: str = "cosine", digits: int | None = None, on: str | None = None, per_query: int = 1) -> DataFrame:
+    """The k nearest rows for every row of queries (query_id, query), with `score` and `rank`; the vectors themselves are left out.
 
-    The query set is counted and goes block by block, each of which is broadcast; a
-    task passes on k rows per query and no more.  With `on`, a query meets only rows that
-    agree with it in this column; it may have `per_query` rows with different values.
+    The score is `cosine` or `dot`, rounded to digits if given.  Blocks of queries meet
+    shares of the vectors (``nearest``), and a share passes on k rows per query and no more.  With
+    `on`, a query meets only rows that agree with it in this column; it may have
+    `per_query` rows with different values.
     """
-    block_rows = max(1, QUERY_BLOCK // per_query) * per_query
-    blocks = max(1, -(-queries.count() // block_rows))
+    found = nearest.top_k_each(vectors, queries, k, id_col, vector_col, score == "cosine", digits, on, QUERY_BLOCK, per_query)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col))
-    found = []
-    for n in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        scored = vectors.join(F.broadcast(block), on).withColumn("score", score(vector_col, "query"))
-        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def result_columns(hits: DataFrame) -> DataFrame:
