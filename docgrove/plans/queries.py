@@ -46,6 +46,10 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The white space that Columns and Python's strings trim (``text.js_trim``, ``text.trimmed``), as SQL; an escape E'\\v' would be the letter v.
+_SPACES = " || ".join(f"chr({ord(c)})" for c in tx.SPACES)
+_SPACES_STR = _SPACES + " || " + " || ".join(f"chr({c})" for c in range(28, 32))
+
 # --- vectors ------------------------------------------------------------------
 
 _Q = "(select embedding::double[] q from embeddings where vec_id = 0)"
@@ -711,7 +715,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query_id").alias("q"), "id", "rank")
 
 
-@query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents),
+@query(rf"""with x as (select doc_id, source, trim(text, {_SPACES}) x from documents),
   y as (select source || '/' || doc_id id, source, case when length(x) < 250 then '# Documentation' || chr(10) || chr(10) else '' end || x content from x where length(x) > 50)
   select id, source, content, '' url from y where length(content) >= 125""")
 def chunk_dump(spark: SparkSession, d: str) -> DataFrame:
