@@ -134,11 +134,11 @@ def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.normalize_whitespace(tx.normalize_line_endings(padded)).alias("body"))
 
 
-@query(r"""with raw as (select doc_id, E'# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n' || text || E'\n\nanother paragraph that is long enough to count' x from documents),
-  parts as (select doc_id, list_transform(regexp_split_to_array(regexp_replace(x, '(?s)```.*?```', '', 'g'), '\n\n+'), lambda p: trim(p, E' \t\n\r\v\f')) ps from raw),
-  first as (select doc_id, list_filter(ps, lambda p: length(p) >= 30 and not (p[1] in ('#', '-', '|', '>', '[')) and not (p[1] = '*' and not starts_with(p, '**')) and not (starts_with(p, '**') and ends_with(p, '**')))[1] p from parts),
-  cleaned as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\s+', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g')) x from first)
-  select doc_id, case when length(x) > 200 then substr(x, 1, 197) || '...' else coalesce(x, '') end description from cleaned""")
+@query(rf"""with raw as (select doc_id, E'# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n' || text || E'\n\nanother paragraph that is long enough to count' x from documents),
+  parts as (select doc_id, x is null nothing, list_transform(regexp_split_to_array(regexp_replace(x, '(?s)```.*?```', '', 'g'), '\n\n+'), lambda p: trim(p, {_SPACES})) ps from raw),
+  first as (select doc_id, nothing, list_filter(ps, lambda p: length(p) >= 30 and not (p[1] in ('#', '-', '|', '>', '[')) and not (p[1] = '*' and not starts_with(p, '**')) and not (starts_with(p, '**') and ends_with(p, '**')))[1] p from parts),
+  cleaned as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), {_SPACES}) x, nothing from first)
+  select doc_id, case when nothing then null when length(x) > 200 then substr(x, 1, 197) || '...' else coalesce(x, '') end description from cleaned""")
 def extract_description(spark: SparkSession, d: str) -> DataFrame:
     built = F.concat(F.lit("# Title\n\n```\ncode\n```\n\n- a list\n\n> quote\n\n"), F.col("text"), F.lit("\n\nanother paragraph that is long enough to count"))
     return t(spark, d, "documents").select("doc_id", tx.extract_description(built).alias("description"))
