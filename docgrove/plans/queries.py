@@ -349,7 +349,7 @@ def export_text(spark: SparkSession, d: str) -> DataFrame:
     return search.export_blocks(chunks).withColumnRenamed("id", "doc_id")
 
 
-@query(r"""with x as (select doc_id, source, trim(text, E' \t\n\r\v\f') x from documents)
+@query(rf"""with x as (select doc_id, source, trim(text, {_SPACES}) x from documents)
   select source || '/README.md' "documentPath", 'Document ' || doc_id heading, case when length(x) < 250 then '## Document ' || doc_id || chr(10) || chr(10) else '' end || x content from x where x <> '' and length(x) + case when length(x) < 250 then 5 + length('Document ' || doc_id) else 0 end >= 125""")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of constructed Markdown: a file for every fifty documents of a source, a ## section per document."""
