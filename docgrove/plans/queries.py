@@ -516,7 +516,7 @@ def changelog_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""with {_NUMBERED}, b as (select *, trim({_BODY.format(n="100 + doc_id % 300")}) body from numbered)
-  select source, (n // 20)::int file, 'From ' || doc_id heading, body content from b where length(body) >= 100""")
+  select source, (n // 20)::int file, 'From ' || doc_id heading, case when length(body) >= 100 then body else '## From ' || doc_id || E'\n\n' || body end content from b where length(body) + case when length(body) >= 100 then 0 else 10 + length(doc_id::varchar) end >= 100""")
 def migration_sections(spark: SparkSession, d: str) -> DataFrame:
     """Migration guides: sections of 100 characters and more stand alone."""
     docs = t(spark, d, "documents")
