@@ -254,7 +254,7 @@ def running_index(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", index.alias("chunk_index"))
 
 
-@query("select page_id, replace(regexp_extract(html, '(?s)<title>\\s*(.*?)\\s*</title>', 1), '&amp;', '&') title from pages")
+@query(rf"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), {_SPACES_STR}) title from pages""")
 def page_title(spark: SparkSession, d: str) -> DataFrame:
     return pages_markdown(t(spark, d, "pages")).select("page_id", "title")
 
