@@ -438,8 +438,8 @@ def sql_batches(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select * from pack_batches(limit => 500, rows => table(select p_brand, p_partkey, length(p_name) size from {parts}) partition by p_brand order by p_partkey)", parts=t(spark, d, "part"))
 
 
-@query(r"""with b as (select doc_id, E'\n# Top\nabout ' || source || E'\n## First\n' || coalesce(text, '') || E'\n### Deep\n' || lang || E'\n## Second\nend' t from documents),
-  n as (select doc_id, length(trim((select string_agg(l, chr(10) order by i) from (select unnest(string_split(coalesce(text, ''), chr(10))) l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) i) q), E' \t\n\r\v\f')) n, length(lang) l, length(source) + 6 s from documents)
+@query(rf"""with b as (select doc_id, E'\n# Top\nabout ' || source || E'\n## First\n' || coalesce(text, '') || E'\n### Deep\n' || lang || E'\n## Second\nend' t from documents),
+  n as (select doc_id, length(trim((select string_agg(l, chr(10) order by i) from (select unnest(string_split(coalesce(text, ''), chr(10))) l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) i) q), {_SPACES_STR})) n, length(trim(lang, {_SPACES_STR})) l, length(trim('about ' || source, {_SPACES_STR})) s from documents)
   select doc_id, 'Top' heading, 1 "level", s + n + l + 3 subtree_size from n union all select doc_id, 'First', 2, n + l from n union all select doc_id, 'Deep', 3, l from n union all select doc_id, 'Second', 2, 3 from n""")
 def sql_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Outlines of whole texts under given headings, in SQL."""

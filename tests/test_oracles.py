@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["chunk_dump", "extract_description", "markdown_chunks", "migration_sections", "page_title", "readme_documents"])
+@pytest.mark.parametrize("name", ["chunk_dump", "extract_description", "markdown_chunks", "migration_sections", "page_title", "readme_documents", "sql_outlines"])
 def test_query_and_sql_agree(spark, tables, name):
     con = duckdb.connect()
     for f in os.listdir(tables):
