@@ -12,11 +12,20 @@ import math
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .nearest import rounded
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
+#: Documents and postings of a share at most, about; queries of a block; terms that are broadcast.
+SHARE_DOCUMENTS, SHARE_POSTINGS, BLOCK_QUERIES, BROADCAST_TERMS = 1 << 13, 1 << 21, 1 << 16, 1 << 20
 #: Constant of reciprocal rank fusion, and the ranks of each list that enter it.
 FUSION, FUSED_RANKS = 60, 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +52,45 @@ def weight(tf: Column, length: Column, mean: Column | float) -> Column:
     return tf * (K1 + 1) / (tf + (length / mean * B + (1 - B)) * K1)
 
 
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of a column's values, and the values."""
+    coded = pc.dictionary_encode(column, null_encoding="encode").combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def _best_of_share(postings: pa.Table, asked: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The k best documents of a share (query_id, id, bm25) for each query: postings (term, id, part), asked (query_id, term)."""
+    (doc, ids), (term, terms) = _coded(postings["id"]), _coded(postings["term"])
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    by_term = np.argsort(term, kind="stable")
+    doc, part = doc[by_term], postings["part"].to_numpy()[by_term]
+    first = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+    query, names = _coded(asked["query_id"])
+    wanted = pc.fill_null(pc.index_in(asked["term"], value_set=terms), -1).to_numpy()
+    query, wanted = query[wanted >= 0], wanted[wanted >= 0]
+    by_query = np.lexsort((wanted, query))
+    query, wanted = query[by_query], wanted[by_query]
+    edges = np.searchsorted(query, np.arange(len(names) + 1))
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for q in np.flatnonzero(np.diff(edges)):
+        score = np.zeros(len(ids))
+        for t in wanted[edges[q] : edges[q + 1]]:
+            score[doc[first[t] : first[t + 1]]] += part[first[t] : first[t + 1]]
+        at = np.flatnonzero(score)
+        if len(at) > k:
+            # what may be as good as the k-th once scores are rounded
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - 1e-8]
+        # rounded, so that the order of a sum decides no tie
+        score = rounded(score[at], 9)
+        top = np.lexsort((place[at], -score))[:k]
+        for into, x in zip(found, (np.full(len(top), q), at[top], score[top])):
+            into.append(x)
+    q, at, score = (np.concatenate(x) for x in found)
+    return pa.Table.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(score)], schema=schema)
+
+
 class TermIndex:
     """The index under `path`: postings, and the numbers of documents and words."""
 
@@ -92,12 +140,32 @@ class TermIndex:
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("bm25").desc(), "id")))
 
     def top_k_each(self, queries: DataFrame, k: int) -> DataFrame:
-        """The k best documents (query_id, id, bm25, rank) for each row of queries (query_id, query)."""
+        """The k best documents (query_id, id, bm25, rank) for each row of queries (query_id, query).
+
+        Queries meet shares of the documents, whose postings are summed in one array a
+        query; a share passes on k documents per query.
+        """
+        n, mean = self.totals()
         asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
-        # sums per (query, document) are made in part before they are shuffled
-        scored = self._scored(self.postings().join(asked, "term"), "query_id")
+        terms = asked.select("term").distinct()
+        held, rows = self.postings(), self.postings().count()
+        few = terms.count() <= BROADCAST_TERMS
+        held = held.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        shares = max(1, -(-n // SHARE_DOCUMENTS), -(-rows // SHARE_POSTINGS))
+        blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+        share = lambda c: F.pmod(F.xxhash64(F.lit("share"), c), F.lit(shares)).cast("int")
+        held = held.select("term", "id", (idf(F.lit(float(n)), F.col("df")) * weight(F.col("tf"), F.col("length"), F.lit(mean))).alias("part"), share("id").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        asked = asked.select("query_id", "term", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+        out = StructType([asked.schema["query_id"], held.schema["id"], StructField("bm25", DoubleType())])
+        arrow = to_arrow_schema(out)
+
+        def best(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _best_of_share(left, right, k, arrow) if left.num_rows and right.num_rows else arrow.empty_table()
+
+        keys = ("block", "share")
+        found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, out)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
-        return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
     def scorer(self) -> Callable[[Column, str], Column]:
         """A reranker for ``search.search``: BM25 of a pool's texts by the statistics of the whole corpus."""

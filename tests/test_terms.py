@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docgrove.functions.vectors import HashingEmbedder
+from docgrove.plans import terms as terms_module
 from docgrove.plans.engine import Engine
-from docgrove.plans.terms import BUCKETS, TermIndex, fuse, query_terms
+from docgrove.plans.terms import BUCKETS, TermIndex, fuse, query_terms, terms_of
 from docgrove.sources.files import Source
 
 LOREM = "Words about nothing in particular fill this paragraph so that it is long enough. " * 4
@@ -79,3 +81,18 @@ def test_hybrid_search_finds_rare_words(spark, tmp_path):
     engine.index_terms()
     best = engine.search_hybrid("zyx", 3).orderBy("rank").collect()
     assert "zyx" in best[0].content and len(best) == 3
+
+
+def test_queries_meet_shares_of_the_documents(spark, tmp_path, monkeypatch):
+    words = "red blue green sun moon star tree leaf".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 8] for j in range(1, 2 + i % 9))) for i in range(200)], "id bigint, content string")
+    index = TermIndex(spark, str(tmp_path / "t")).build(docs)
+    asked = spark.createDataFrame([(1, "red leaf"), (2, "moon moon sun none"), (None, "tree"), (4, "none"), (5, None), (6, "star blue green red sun")], "query_id int, query string")
+    terms = asked.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
+    want = index._scored(index.postings().join(terms, "term"), "query_id").withColumn("rank", rank).filter("rank <= 7")
+    monkeypatch.setattr(terms_module, "SHARE_DOCUMENTS", 30)
+    monkeypatch.setattr(terms_module, "BLOCK_QUERIES", 2)
+    key = lambda df: sorted(repr((r.query_id, r["rank"], r.id, r.bm25)) for r in df.collect())
+    found = index.top_k_each(asked, 7)
+    assert key(found) == key(want) and "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
