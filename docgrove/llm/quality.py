@@ -12,10 +12,10 @@ largest difference of the shares below it) on the scores of this very table.  On
 HELD good documents is kept out of the target for that, for the target's own
 documents score too well.
 
-Target documents are those labelled quality 1 and not toxic; a bounded sample of
-TARGET_ROWS of them (least hash of the id) is used, and CUT_ROWS at most of the held
-good ones and of the bad ones; that is all that is broadcast besides the BUCKETS
-weights.  Counts of the raw corpus cover every document.
+Target documents are all those labelled quality 1 and not toxic, but for the held ones,
+and the cut is found on all held good ones and all bad ones.  Counts of the raw corpus
+cover every document.  Labelled ids are broadcast up to BROADCAST_LABELS of them and
+joined by a shuffle beyond; besides, only the BUCKETS weights travel.
 
 Inputs and edge cases
 * null and empty texts have no words: all counts 0, base_failed and not kept.
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .shared import SOLID_WORD, WHITE
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 20_000
+#: Labelled ids that are broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 1 << 22
 SMOOTHING = 0.5
 #: Weight of the target's prior, which is the raw corpus, against the target's own counts.
 PRIOR_SHARE = 0.5
@@ -46,7 +47,6 @@ PRIOR_SHARE = 0.5
 THRESHOLD = -0.06
 #: One in so many good documents is held out of the target to find the cut.
 HELD = 4
-CUT_ROWS = 20_000
 LEAST_LABELLED = 10
 #: Millionths of a nat between the cuts that are tried.
 CUT_STEP = 500
@@ -83,18 +83,18 @@ def _labelled(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None
     return ids.filter("good and not held").select("doc_id"), held, bad
 
 
-def _sample(ids: DataFrame, rows: int) -> DataFrame:
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with the labelled ids."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids, "doc_id", how)
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> list[int]:
+def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[int]:
     """Per bucket log(target / raw) in millionths of a nat."""
     texts = docs.select(F.col("doc_id"), F.col("text"))
-    sample = F.broadcast(_sample(_labelled(labels)[0], target_rows))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in _tally(texts).collect():  # at most BUCKETS rows
         raw[r["bucket"]] = r["n"]
-    for r in _tally(texts.join(sample, "doc_id", "left_semi")).collect():
+    for r in _tally(_of(texts, _labelled(labels)[0], "left_semi")).collect():
         target[r["bucket"]] = r["n"]
     if not sum(target):
         return [0] * BUCKETS
@@ -179,8 +179,8 @@ def label_cut(docs: DataFrame, labels: DataFrame, weights: list[int]) -> float:
     _, held, bad = _labelled(labels)
     if bad is None:
         return THRESHOLD
-    ids = _sample(held, CUT_ROWS).withColumn("good", F.lit(1)).unionByName(_sample(bad, CUT_ROWS).withColumn("good", F.lit(0)))
-    words = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("good", _words(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_WORDS)
+    ids = held.withColumn("good", F.lit(1)).unionByName(bad.withColumn("good", F.lit(0)))
+    words = _of(docs.select("doc_id", "text"), ids, "inner").select("good", _words(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_WORDS)
     steps = words.select("good", F.floor(_ratio(_weights_column(weights)) * SCALE / CUT_STEP).alias("step")).groupBy("step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).orderBy("step").collect()
     n_good, n_bad = sum(r["good"] for r in steps), sum(r["bad"] for r in steps)
     if min(n_good, n_bad) < LEAST_LABELLED:

@@ -150,6 +150,16 @@ def test_quality_base_counts_and_verdict(spark, docs, rows, empty):
     assert all(r.llr in (None, 0.0) for r in quality.op3_query(docs, labels.limit(0)).collect())
 
 
+def test_quality_target_holds_every_labelled_document(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    weights, by_count = quality.bucket_weights(docs, labels), {}
+    for r in quality._tally(docs).collect():
+        by_count.setdefault(r["n"], set()).add(weights[r["bucket"]])
+    # corpus and target are the same texts, so a bucket's weight follows from its count
+    assert all(len(w) == 1 for w in by_count.values())
+
+
 def test_quality_ratio_matches_plain_sums(spark, docs, rows):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
     weights = quality.bucket_weights(docs, labels)
