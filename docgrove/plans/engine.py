@@ -19,7 +19,7 @@ from ..model import ChunkConfig
 from ..operators.chunking import chunk_rows, mdx_chunks
 from ..operators.html import html_chunks
 from ..operators.markdown import markdown_files
-from ..operators.openapi import doc_url_map, spec_chunks
+from ..operators.openapi import doc_url_map, load_spec, spec_chunks
 from ..sources.config import resolve_deletion
 from ..sources.datasources import BATCH, send
 from ..sources.files import Source, read_chunk_dump, scan
@@ -53,9 +53,7 @@ def parse(files: DataFrame, source: Source, config: ChunkConfig = ChunkConfig())
             return _mdx(text, r["path"], source, config)
         if source.parser == "html":
             return html_chunks(text, r["path"], url, context, r["language"], config)
-        import yaml
-
-        return spec_chunks(yaml.safe_load(text), source.base_url)
+        return spec_chunks(load_spec(text), source.base_url)
 
     return chunk_rows(files.withColumn("file", F.col("path")), make, keep=["source", "file"], place="place")
 

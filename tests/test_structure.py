@@ -1,5 +1,6 @@
 """Outlines, chunkers, HTML and OpenAPI."""
 
+import json
 import random
 
 import pytest
@@ -166,6 +167,14 @@ def test_openapi_chunks():
     assert oa.endpoint_content(SPEC, "PUT", "/pets/{id}") is None
 
 
+def test_specs_in_json_are_read_as_json(monkeypatch):
+    assert oa.load_spec("a: [1, 0x10, ~, 2024]\n") == {"a": [1, 16, None, 2024]} and oa.load_spec('{"a": NaN, b: 1}') == {"a": "NaN", "b": 1} and oa.load_spec("") is None
+    assert oa.load_spec('{"a": [1e3, "\\ud83d\\ude00", "2024-01-01", "<<"]}') == {"a": [1000.0, "\U0001f600", "2024-01-01", "<<"]}
+    # YAML's parser takes a second for 80 KB
+    monkeypatch.setattr(oa, "yaml", None)
+    assert oa.load_spec(json.dumps(SPEC)) == SPEC
+
+
 def test_openapi_examples_stop_at_cycles():
     s = oa.Schemas(SPEC["components"]["schemas"])
     assert s.resolve("#/components/schemas/Loop") is None
