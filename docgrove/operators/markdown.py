@@ -11,8 +11,9 @@ relations instead of a walk over one document:
 * small neighbours under one opened section are packed by ``runs.pack_runs``;
 * a piece that is too large is packed by its fences, inside its row.
 
-No task holds the sections of a whole document.  Sections, units and pieces are written to the
-shared folder once each, for several later steps read them.
+The rules work on sections without their texts, and no task holds those of a whole document; they are
+written to the shared folder, for several later steps read them.  A text is cut and put together in the
+partition of its own row, which is the only one that is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import ChunkConfig
 from ..plans.scratch import stored
-from .outline import LEVELS, SEGMENT, _with, section_tree
+from .outline import LEVELS, SEGMENT, _with, body_of, cut_at_headings, nested, text_sections
 from .runs import pack_runs
 
 
@@ -57,13 +58,13 @@ def _crumbs(opened: DataFrame, id_col: str) -> DataFrame:
     return held.select(id_col, "opened", "crumb")
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
-    """(id, section_id, heading, crumb, content) of the pieces of each text, in the order of section_id.
+def _plan(docs: DataFrame, id_col: str, config: ChunkConfig, keep_all: bool) -> DataFrame:
+    """(id, pos, section_id, unit, piece, bare, title, heading, crumb) of the sections of each text (id, text), without their texts.
 
-    `id_col` tells the rows of docs apart.
+    `unit` is the visited section that a section belongs to, `piece` the first unit of its
+    piece, null where it is left out; heading and crumb of a piece stand at its first section.
     """
-    normal = docs.select(F.col(id_col), tx.normalize_line_endings(F.coalesce(text_col, F.lit(""))).alias("text"))
-    tree = stored(section_tree(normal, id_col, "text").withColumn("own", F.length("content").cast("bigint")), "sections")
+    tree = stored(nested(text_sections(docs, id_col, "text").drop("content"), id_col).drop("seg", "ahead", "base", "whole"), "sections")
     parents = tree.filter("parent_id is not null").select(id_col, F.col("parent_id").alias("section_id")).distinct().withColumn("has_kids", F.lit(True))
     tree = _with(tree, parents, id_col, "section_id").withColumn("has_kids", F.coalesce("has_kids", F.lit(False)))
     tree = tree.withColumn("opens", F.col("has_kids") & (F.col("subtree_size") > config.max_size))
@@ -76,38 +77,64 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, config: ChunkConfig = Ch
         marks = opened.select(id_col, F.col("section_id").alias("parent_id")).withColumn("under", F.lit(True))
         tree = _with(tree, marks, id_col, "parent_id").withColumn("visited", F.col("parent_id").isNull() | F.coalesce("under", F.lit(False)))
 
-    # what a section adds to the text of the one it belongs to
+    # what a section adds to the text of the one it belongs to: its text, or its title too
     alone = (F.col("own") >= config.min_size) & ~F.col("has_kids")
     level = F.least(F.greatest("level", F.lit(1)), F.lit(4))
     title = F.when((F.col("heading") != "") & (F.col("heading") != "Introduction"), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "heading"))
     bare = F.col("visited") & (F.col("opens") | alone)
-    part = F.when(bare, F.col("content")).otherwise(F.concat_ws("\n\n", title, F.when(F.col("content") != "", F.col("content"))))
-    placed = _carried(tree, id_col, F.when(F.col("visited"), F.col("section_id")), "unit").withColumn("part", part)
-    parts = F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("section_id", "part"))))
-    texts = placed.groupBy(id_col, "unit").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("content"))
-    facts = placed.filter("visited").select(id_col, F.col("section_id").alias("unit"), "section_id", "parent_id", "heading", "level", "own", "subtree_size", "opens", "has_kids")
-    units = stored(_with(facts, texts, id_col, "unit").drop("unit"), "units")
+    placed = _carried(tree, id_col, F.when(F.col("visited"), F.col("section_id")), "unit")
+    placed = stored(placed.withColumns({"bare": bare, "title": F.when(~bare, title)}), "placed")
     own_kept = (F.col("own") >= config.min_size / 2) | (F.lit(keep_all) & (F.col("own") > 0))
     stays = F.when(F.col("opens"), own_kept).otherwise((F.col("subtree_size") >= config.min_size) | (F.col("own") > 0) | F.col("has_kids"))
 
-    roots = units.filter("parent_id is null").filter(stays)
+    units = placed.filter("visited")
+    columns = [id_col, "unit", "piece", "parent_id", "name"]
+    single = lambda rows: rows.filter(stays).withColumns({"piece": F.col("unit"), "name": F.col("heading")}).select(columns)
+    found = single(units.filter("parent_id is null"))
     if none_opens:
-        return roots.select(id_col, "section_id", "heading", F.lit(None).cast("string").alias("crumb"), "content")
-    below = units.filter("parent_id is not null").withColumn("small", F.col("subtree_size") < config.min_size)
-    key = F.to_json(F.struct(F.col(id_col).alias("d"), F.col("parent_id").alias("p")))
-    sizes = below.select(key.alias("key"), "section_id", F.when(F.col("small"), F.col("subtree_size")).otherwise(config.ideal_size + 1).alias("size"))
-    packed = pack_runs(sizes, "key", "section_id", "size", config.ideal_size).select("key", "section_id", "batch")
-    below = _with(below.withColumn("key", key), packed, "key", "section_id")
-    lone = below.filter(~F.col("small")).filter(stays)
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("section_id", c))), lambda x: x[c])
-    runs = below.filter("small").groupBy(id_col, "parent_id", "batch").agg(F.min("section_id").alias("section_id"), in_order("heading").alias("headings"), in_order("content").alias("contents"))
-    named = F.array_join(F.filter("headings", lambda h: h != ""), " / ")
-    name = F.when(F.size("headings") == 1, F.get("headings", 0)).when(named == "", F.lit("Combined Section")).otherwise(named)
-    runs = runs.select(id_col, "section_id", "parent_id", name.alias("heading"), F.array_join("contents", "\n\n").alias("content"))
-    columns = [id_col, "section_id", "parent_id", "heading", "content"]
-    found = roots.select(columns).unionByName(lone.select(columns)).unionByName(runs.select(columns))
-    crumbs = _crumbs(opened, id_col).withColumnRenamed("opened", "parent_id")
-    return _with(found, crumbs, id_col, "parent_id").select(id_col, "section_id", "heading", "crumb", "content")
+        found = found.withColumn("crumb", F.lit(None).cast("string"))
+    else:
+        below = units.filter("parent_id is not null").withColumn("small", F.col("subtree_size") < config.min_size)
+        key = F.to_json(F.struct(F.col(id_col).alias("d"), F.col("parent_id").alias("p")))
+        sizes = below.select(key.alias("key"), "section_id", F.when(F.col("small"), F.col("subtree_size")).otherwise(config.ideal_size + 1).alias("size"))
+        packed = pack_runs(sizes, "key", "section_id", "size", config.ideal_size).select("key", "section_id", "batch")
+        below = _with(below.withColumn("key", key), packed, "key", "section_id")
+        runs = below.filter("small").groupBy(id_col, "parent_id", "batch").agg(F.array_sort(F.collect_list(F.struct("unit", "heading"))).alias("of"))
+        headings = F.transform("of", lambda x: x["heading"])
+        named = F.array_join(F.filter(headings, lambda h: h != ""), " / ")
+        name = F.when(F.size("of") == 1, F.get(headings, 0)).when(named == "", F.lit("Combined Section")).otherwise(named)
+        runs = runs.select(id_col, "parent_id", F.get("of", 0)["unit"].alias("piece"), name.alias("name"), F.explode(F.transform("of", lambda x: x["unit"])).alias("unit"))
+        found = found.unionByName(single(below.filter(~F.col("small")))).unionByName(runs.select(columns))
+        crumbs = _crumbs(opened, id_col).withColumnRenamed("opened", "parent_id")
+        found = _with(found, crumbs, id_col, "parent_id")
+    first = F.col("section_id") == F.col("piece")
+    plan = _with(placed.select(id_col, "pos", "section_id", "unit", "bare", "title"), found.select(id_col, "unit", "piece", "name", "crumb"), id_col, "unit")
+    return plan.select(id_col, "pos", "section_id", "unit", "piece", "bare", "title", F.when(first, F.col("name")).alias("heading"), F.when(first, F.col("crumb")).alias("crumb"))
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, config: ChunkConfig = ChunkConfig(), keep_all: bool = False) -> DataFrame:
+    """(key, about, section_id, heading, crumb, content) of the pieces of each text, in the order of section_id.
+
+    `id_col` tells the rows of docs apart; `key` is a struct of it, and `about` one of the
+    other columns.  Which section belongs to which piece is found without the texts; these
+    are shuffled once, to meet their plans, and cut and put together where they are.
+    """
+    text = tx.normalize_line_endings(F.coalesce(text_col, F.lit("")))
+    plan = _plan(docs.select(F.col(id_col), text.alias("text")), id_col, config, keep_all)
+    # a struct is never null, so the join's keys are its own and later groups need no shuffle
+    key = F.struct(id_col).alias("key")
+    entry = F.struct("section_id", "pos", "unit", "piece", "bare", "title", "heading", "crumb")
+    plan = plan.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("plan"))
+    texts = docs.select(key, F.struct(*(c for c in docs.columns if c not in (id_col, text_col))).alias("about"), text.alias("text")).repartition("key")
+    rows = texts.join(plan, "key")
+    rows = rows.withColumn("part", F.slice(cut_at_headings(F.col("text")), F.get("plan", 0)["pos"] + 1, F.size("plan")))
+    rows = rows.select("key", "about", F.explode(F.arrays_zip("part", "plan")).alias("x")).select("key", "about", body_of(F.col("x.part")).alias("own"), "x.plan.*").filter("piece is not null")
+    part = F.when(F.col("bare"), F.col("own")).otherwise(F.concat_ws("\n\n", "title", F.when(F.col("own") != "", F.col("own"))))
+    joined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order, "part")))), lambda x: x["part"]), "\n\n")
+    kept = [F.first("about").alias("about"), F.max("heading").alias("heading"), F.max("crumb").alias("crumb")]
+    units = rows.withColumn("part", part).groupBy("key", "piece", "unit").agg(*kept, joined("section_id", F.col("part") != "").alias("part"))
+    found = units.groupBy("key", "piece").agg(*kept, joined("unit", F.lit(True)).alias("content"))
+    return found.select("key", "about", F.col("piece").alias("section_id"), "heading", "crumb", "content")
 
 
 def _cut_at_fences(content: Column, limit: int, least: float) -> Column:
@@ -128,16 +155,6 @@ def packed_by_fences(content: Column, config: ChunkConfig) -> Column:
     return F.when(F.length(content) <= config.max_size, F.array(content)).otherwise(F.when(F.size(cut) > 0, cut).otherwise(F.array(content)))
 
 
-def _numbered(rows: DataFrame, id_col: str) -> DataFrame:
-    """rows (id, section_id, piece) with `index`, from 0 in each document; counted by segments."""
-    rows = rows.withColumn("seg", F.floor(F.col("section_id") / SEGMENT))
-    earlier = Window.partitionBy(id_col).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(id_col, "seg").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(id_col, "seg", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy(id_col, "seg").orderBy("section_id", "piece"))
-    return _with(rows, counts, id_col, "seg").withColumn("index", F.col("ahead") + inside - 1).drop("ahead", "seg")
-
-
 def section_chunks(docs: DataFrame, id_col: str = "id", text_col: str = "content", config: ChunkConfig = ChunkConfig(), migration: bool = False, keep_all: bool = False) -> DataFrame:
     """CHUNKS of docs (id, context, content, url, language) with id_col and `index`, by README or migration rules."""
     rules = ChunkConfig(config.max_size, 100, config.ideal_size) if migration else config
@@ -145,10 +162,9 @@ def section_chunks(docs: DataFrame, id_col: str = "id", text_col: str = "content
     docs, outer, id_col, text_col = _inner(docs, id_col, text_col), id_col, DOC, TEXT
     found = pieces(docs, id_col, text_col, rules, keep_all)
     parts = F.array("content") if migration else packed_by_fences(F.col("content"), config)
-    found = found.select(id_col, "section_id", "heading", "crumb", F.posexplode(parts).alias("piece", "content")).filter(F.length("content") >= (100 if migration else config.min_size / 2))
-    found = _numbered(stored(found, "pieces"), id_col)
-    about = docs.select(F.col(id_col), "context", "url", "language")
-    found = _with(found, about, id_col)
+    found = found.select("key", "about", "section_id", "heading", "crumb", F.posexplode(parts).alias("piece", "content")).filter(F.length("content") >= (100 if migration else config.min_size / 2))
+    index = F.row_number().over(Window.partitionBy("key").orderBy("section_id", "piece")) - 1
+    found = found.withColumn("index", index.cast("bigint")).select("key.*", "about.*", "index", "heading", "crumb", "piece", "content")
     kind, file, category = ("migration", "MIGRATION.md", "migration") if migration else ("readme", "README.md", "documentation")
     context, say = F.coalesce("context", F.lit("")), F.concat
     heading = say("heading", F.when(F.col("piece") > 0, F.lit(" (continued)")).otherwise(F.lit("")))

@@ -19,16 +19,53 @@ from pyspark.sql import functions as F
 from ..functions.text import js_trim, trimmed
 
 HEADING_LINE = r"(?dU)^(#{1,6})\s+(.+)$"
+#: Where a heading line begins in a text; white space behind the marks ends with the line.
+HEADING_START = r"(?dUm)(?=^#{1,6}[^\S\n]+.+$)"
 INTRO_OVER = 50
 #: Line numbers, and sections, of a segment.
 SEGMENT = 4096
 LEVELS = range(1, 7)
 
 
+def cut_at_headings(text: Column) -> Column:
+    """The sections of a text as they stand, each from its heading line on; the first one may be without."""
+    return F.split(text, HEADING_START)
+
+
+def _first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
+def body_of(part: Column) -> Column:
+    """The text of a section below its heading."""
+    line = _first_line(part)
+    return js_trim(F.when(line.rlike(HEADING_LINE), part.substr(F.length(line) + 2, F.length(part))).otherwise(part))
+
+
+def text_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """(id, pos, section_id, level, heading, content, own, seg) of the sections of whole texts, in the rows of the texts: nothing is shuffled.
+
+    `pos` is the place in ``cut_at_headings``.
+    """
+    text, line = F.col(text_col), _first_line(F.col("part"))
+    cut = docs.select(F.col(id_col), _first_line(text).rlike(HEADING_LINE).alias("begins"), F.length(text).alias("n"), F.posexplode(cut_at_headings(text)).alias("pos", "part"))
+    is_head = F.col("begins") | (F.col("pos") > 0)
+    intro = F.when(F.length("part") < F.col("n"), F.lit("Introduction")).otherwise(F.lit("Documentation"))
+    found = cut.select(
+        id_col,
+        "pos",
+        (F.col("pos") + F.col("begins").cast("int")).cast("bigint").alias("section_id"),
+        F.when(is_head, F.length(F.regexp_extract(line, HEADING_LINE, 1))).otherwise(F.lit(0)).alias("level"),
+        F.when(is_head, js_trim(F.regexp_extract(line, HEADING_LINE, 2))).otherwise(intro).alias("heading"),
+        body_of(F.col("part")).alias("content"),
+    )
+    found = found.withColumns({"own": F.length("content").cast("bigint"), "seg": F.floor(F.col("section_id") / segment)})
+    return found.filter((F.col("section_id") > 0) | (F.col("own") > INTRO_OVER))
+
+
 def section_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """``line_sections`` of whole texts."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return line_sections(lines, id_col, segment=segment)
+    return nested(text_sections(docs, id_col, text_col, segment), id_col).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
 
 
 def _with(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
@@ -70,10 +107,10 @@ def line_sections(lines: DataFrame, id_col: str = "doc_id", order_col: str = "li
         F.length("content").cast("long").alias("own"),
         F.floor(F.col("section_id") / segment).alias("seg"),
     )
-    return _nested(found, id_col).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
+    return nested(found, id_col).select(id_col, "section_id", "parent_id", "level", "heading", "content", "subtree_size")
 
 
-def _nested(found: DataFrame, id_col: str) -> DataFrame:
+def nested(found: DataFrame, id_col: str) -> DataFrame:
     """Sections (id, section_id, level, own, seg) with parent_id and subtree_size."""
     inside = Window.partitionBy(id_col, "seg")
     ahead_in = inside.orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1)

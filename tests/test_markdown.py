@@ -86,3 +86,20 @@ def test_keep_all_and_nothing(spark):
     expected = ch.readme_chunks(text, "u", "c", "en", config, keep_all=True)
     assert sorted(r.content for r in section_chunks(docs, config=config, keep_all=True).collect()) == sorted(c["content"] for c in expected)
     assert section_chunks(docs.limit(0)).count() == 0
+
+
+def test_texts_are_moved_once(spark):
+    """What is shuffled and written stays under three times the texts."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in (stages.apply(i) for i in range(stages.size())))
+
+    rng = random.Random(4)
+    rows = [(i, "c", "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=200)) for _ in range(500)), "", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id int, context string, content string, url string, language string").localCheckpoint()
+    before = moved()
+    assert section_chunks(docs).count() == 20
+    section_chunks(docs).write.format("noop").mode("overwrite").save()
+    assert moved() - before < 3 * sum(len(r[2]) for r in rows)
