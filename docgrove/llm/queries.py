@@ -69,7 +69,8 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_quality that the method's verdict does not enter."""
-    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    found = quality.base_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,15 @@ def test_quality_base_counts_and_verdict(spark, docs, rows, empty):
     assert all(r.llr in (None, 0.0) for r in quality.op3_query(docs, labels.limit(0)).collect())
 
 
+def test_quality_base_counts_need_no_pass_of_their_own(spark, docs, rows, tmp_path):
+    from docgrove.llm import queries
+
+    # no labels there, and nothing runs before the result is asked for
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.quality_base_counts(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *base_counts(r[1])) for r in rows)
+
+
 def test_quality_target_holds_every_labelled_document(spark):
     docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
