@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,12 @@ class TokenCap:
         ids = _encoding(self.ranks, self.pattern).encode_ordinary(text)
         return text if len(ids) <= self.cap else _encoding(self.ranks, self.pattern).decode(ids[: self.cap])
 
+    def cut_batch(self, texts: pa.Array) -> pa.Array:
+        """``cut`` of every text of a batch.  A token has a byte at least, so texts of no more bytes than the cap stay."""
+        long = pc.fill_null(pc.greater(pc.binary_length(texts), self.cap), False)
+        found = texts.filter(long)
+        return pc.replace_with_mask(texts, long, pa.array((self.cut(t.as_py()) for t in found), texts.type, size=len(found))) if len(found) else texts
+
     def apply(self, text: Column) -> Column:
         """The capped text.  A token has a byte at least, so only texts of more bytes than the cap reach Python."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -83,28 +83,23 @@ def _mdx(text: str, path: str, source: Source, config: ChunkConfig) -> list[dict
 
 
 def embed_chunks(chunks: DataFrame, embedder: HashingEmbedder, cap: TokenCap | None = None) -> DataFrame:
-    """chunks with `values`, embedded in Arrow batches; a chunk and its vector stay one row.
+    """chunks with `values`, embedded in Arrow batches of their inputs; a chunk and its vector stay one row.
 
     Inputs are cut at the tokens of `cap`, of ``TokenCap.default()`` if none is given.
     """
     m = lambda k: F.col(f"metadata.{k}")
     text = tx.embedding_text(F.col("documentTitle"), F.col("heading"), F.col("content"), m("language"), m("repository"), m("method"), m("path"), m("description"))
-    rows = chunks.withColumn("_input", (cap or TokenCap.default()).apply(text))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
-
-    schema = StructType([*chunks.schema.fields, StructField("values", ArrayType(FloatType()))])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = embedder.embed_batch(b.column(b.num_columns - 1))
-            if vectors.shape != (b.num_rows, embedder.dimension):
-                raise ValueError(f"{vectors.shape} embeddings for {b.num_rows} texts in {embedder.dimension} dimensions")
-            values = pa.ListArray.from_arrays(pa.array(range(0, vectors.size + 1, embedder.dimension), pa.int32()), pa.array(vectors.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], values], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+    cap = cap or TokenCap.default()
+
+    def run(texts: pa.Array) -> pa.Array:
+        # cut here: another function would be a second worker beside each task's
+        vectors = embedder.embed_batch(cap.cut_batch(texts))
+        if vectors.shape != (len(texts), embedder.dimension):
+            raise ValueError(f"{vectors.shape} embeddings for {len(texts)} texts in {embedder.dimension} dimensions")
+        return pa.ListArray.from_arrays(pa.array(range(0, vectors.size + 1, embedder.dimension), pa.int32()), pa.array(vectors.ravel().astype(np.float32)))
+
+    # not deterministic for Spark, so that no text is embedded twice; only the inputs go to Python
+    return chunks.withColumn("values", F.arrow_udf(run, "array<float>").asNondeterministic()(text))
 
 
 class Engine:

@@ -339,6 +339,27 @@ def test_token_cap(spark):
     assert short == "short" and none is None and cut == ("many words of it " * 5)[: len(cut)] and 60 < len(cut) < 90
 
 
+def test_embedding_takes_one_worker_a_task_and_little_memory(spark):
+    import tracemalloc
+
+    from docgrove.functions.vectors import HashingEmbedder
+    from docgrove.model import CHUNKS
+    from docgrove.plans.engine import embed_chunks
+
+    chunks = spark.createDataFrame([("a", "p", "t", "c", "h", "one two " * 9000, None), ("b", None, None, None, None, None, None)], CHUNKS)
+    found = embed_chunks(chunks, HashingEmbedder(16))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    by_id = {r["id"]: r["values"] for r in found.collect()}
+    assert len(by_id["a"]) == len(by_id["b"]) == 16 and abs(sum(x * x for x in by_id["a"]) - 1) < 1e-5
+    texts = pa.array(["some words " * 400] * 1000)
+    tracemalloc.start()
+    HashingEmbedder(64).embed_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
 def test_embeddings_by_batch_equal_single_ones():
     texts = ["One two, two", "", None, "été _x9 One", "a" * 200]
     e = HashingEmbedder(16)
