@@ -13,8 +13,9 @@ items are sorted by range over the tasks, and a task sums up its stretch of a ke
   summary is a short table from the size that the open run brings along to the size
   that it leaves.
 
+A task takes its stretch by pieces of PIECE items at most, and joins their summaries.
 The summaries of a key, one per stretch, are followed in order; then each stretch
-numbers its own items.  Only keys, places and sizes move.
+numbers its own items, again by pieces.  Only keys, places and sizes move.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql.types import StructType
 
 from ..plans.scratch import shared_folder
 
+#: Items that a task works on at once, at most.
+PIECE = 1 << 14
 SUMMARY = "n bigint, total bigint, reach array<bigint>, leaves array<bigint>, runs array<bigint>"
 
 
@@ -61,6 +64,22 @@ def summary(sizes: np.ndarray, limit: int) -> tuple[int, int, list[int], list[in
     return n, int(prefix[-1]), (limit - prefix[1:][candidates]).tolist(), (prefix[-1] - prefix[last[candidates]]).tolist(), (1 + count[candidates]).tolist()
 
 
+def together(a: tuple, b: tuple) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """The summary of a stretch and the one behind it, from their summaries."""
+    n, total, reach, leaves, runs = a[0], a[1], *(np.asarray(x, np.int64) for x in a[2:])
+    reach_b, leaves_b, runs_b = (np.asarray(x, np.int64) for x in b[2:])
+    # what each start of the first leaves is brought along to the second, where it ends or goes on
+    which = np.searchsorted(-reach_b, -leaves, "right")
+    ends, at = which < len(reach_b), np.minimum(which, len(reach_b) - 1)
+    leaves, runs = np.where(ends, leaves_b[at], leaves + b[1]), np.where(ends, runs + runs_b[at], runs)
+    if reach[-1] >= 0:
+        # a run that passes all of the first ends in the second
+        further = reach_b - total
+        upto = int(np.searchsorted(-further, 0, "right")) + 1
+        reach, leaves, runs = np.append(reach, further[:upto]), np.append(leaves, leaves_b[:upto]), np.append(runs, runs_b[:upto])
+    return n + b[0], total + b[1], reach, leaves, runs
+
+
 def first_start(sizes: np.ndarray, carry: int | None, limit: int) -> int:
     """The first item that an open run of size `carry` does not take; item 0 if there is no open run."""
     return 0 if carry is None else int(np.searchsorted(np.cumsum(sizes), limit - carry, "right"))
@@ -78,23 +97,24 @@ def number(sizes: np.ndarray, carry: int | None, limit: int) -> np.ndarray:
     return np.cumsum(marks) - (carry is None)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], upto: int) -> Iterator[pa.Table]:
-    """Rows that agree in their first `upto` columns, by which they are sorted."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def number_on(sizes: np.ndarray, carry: int | None, limit: int) -> tuple[np.ndarray, int]:
+    """``number``, and the size of the run that is open behind the items."""
+    found = number(sizes, carry, limit)
+    last = found[-1]
+    return found, int(sizes[found == last].sum()) + (carry if carry is not None and last == 0 else 0)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], upto: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Rows that agree in their first `upto` columns, by which they are sorted, PIECE at most; and whether they are the first of their kind."""
+    begun, last = False, None
     for b in batches:
         if not b.num_rows:
             continue
-        ends = sorted({e for k in range(upto) for e in pc.run_end_encode(b.column(k)).run_ends.to_pylist()})
+        ends = sorted({e for k in range(upto) for e in pc.run_end_encode(b.column(k)).run_ends.to_pylist()} | set(range(PIECE, b.num_rows, PIECE)))
         for at, end in zip([0, *ends], ends):
             mark = [b.column(k)[at].as_py() for k in range(upto)]
-            if held and mark != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = mark
-            held.append(b.slice(at, end - at))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield not begun or mark != last, b.slice(at, end - at)
+            begun, last = True, mark
 
 
 def pack_runs(items: DataFrame, key: str, order: str, size: str, limit: int, batch: str = "batch") -> DataFrame:
@@ -117,9 +137,17 @@ def pack_runs(items: DataFrame, key: str, order: str, size: str, limit: int, bat
     arrow = to_arrow_schema(schema)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _stretches(batches, 2):
-            found = summary(t["size"].to_numpy(), limit)
-            yield pa.RecordBatch.from_arrays([pa.array([t[0][0].as_py()], arrow.field(0).type), pa.array([t[1][0].as_py()], arrow.field(1).type), *(pa.array([x], f.type) for x, f in zip(found, list(arrow)[2:]))], schema=arrow)
+        def row(mark: list, found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([*mark, *found], arrow)], schema=arrow)
+
+        mark, found = [], None
+        for new, b in _pieces(batches, 2):
+            own = summary(b.column("size").to_numpy(), limit)
+            if new and found is not None:
+                yield row(mark, found)
+            mark, found = ([b.column(0)[0].as_py(), b.column(1)[0].as_py()], own) if new else (mark, together(found, own))
+        if found is not None:
+            yield row(mark, found)
 
     carried = StructType([*kinds, *StructType.fromDDL("carry bigint, first bigint").fields])
     carried_arrow = to_arrow_schema(carried)
@@ -151,9 +179,13 @@ def pack_runs(items: DataFrame, key: str, order: str, size: str, limit: int, bat
     out_arrow = to_arrow_schema(out)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _stretches(batches, 2):
-            found = number(t["size"].to_numpy(), t["carry"][0].as_py(), limit) + t["first"][0].as_py()
-            t = t.select(["key", "ord", "size"]).append_column("batch", pa.array(found))
-            yield from t.cast(out_arrow).to_batches(max_chunksize=1 << 14)
+        carry, first = None, 0
+        for new, b in _pieces(batches, 2):
+            if new:
+                carry, first = b.column("carry")[0].as_py(), b.column("first")[0].as_py()
+            found, carry = number_on(b.column("size").to_numpy(), carry, limit)
+            t = pa.Table.from_arrays([*(b.column(c) for c in ("key", "ord", "size")), pa.array(found + first)], names=out_arrow.names)
+            first += int(found[-1])
+            yield from t.cast(out_arrow).to_batches()
 
     return joined.mapInArrow(assign, out).toDF(key, order, size, batch)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,32 @@ def test_a_document_of_many_lines_is_no_task(spark):
     assert found.count() == 401
     first = {r.heading: r for r in found.filter("section_id <= 3").collect()}
     assert (first["s0"].subtree_size, first["t"].parent_id, first["s100"].parent_id, first["s100"].subtree_size) == (195, 1, None, 197)
+
+
+def test_pieces_of_a_stretch_give_the_whole(monkeypatch):
+    """Joined summaries act like the one of the whole, and numbers by pieces are those of the whole."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        limit, n = int(rng.integers(1, 40)), int(rng.integers(1, 60))
+        sizes = rng.integers(0, int(rng.choice([2, 8, 50])), n)
+        cuts = [0, *sorted(set(rng.integers(1, n + 1, 4).tolist()) - {n}), n]
+        parts = [sizes[a:b] for a, b in zip(cuts, cuts[1:])]
+        whole, found = runs.summary(sizes, limit), runs.summary(parts[0], limit)
+        for p in parts[1:]:
+            found = runs.together(found, runs.summary(p, limit))
+
+        def act(s, c):
+            which = 0 if c is None else next((i for i, r in enumerate(s[2]) if r < c), len(s[2]))
+            return (int(s[3][which]), int(s[4][which])) if which < len(s[2]) else (c + s[1], 0)
+
+        for c in [None, *range(limit + 12)]:
+            assert found[:2] == whole[:2] and act(found, c) == act(whole, c)
+            carry, first, got = c, 0, []
+            for p in parts:
+                numbers, carry = runs.number_on(p, carry, limit)
+                got += (numbers + first).tolist()
+                first += int(numbers[-1])
+            assert got == runs.number(sizes, c, limit).tolist()
+    monkeypatch.setattr(runs, "PIECE", 3)
+    batch = pa.RecordBatch.from_pydict({"k": [1] * 7 + [2]})
+    assert [(new, b.num_rows) for new, b in runs._pieces([batch, batch], 1)] == [(True, 3), (False, 3), (False, 1), (True, 1), (True, 3), (False, 3), (False, 1), (True, 1)]
